@@ -1,0 +1,19 @@
+"""Names of all queries of the library, with their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FLAGSHIP = "doc_language_profile"
+
+
+def queries() -> dict[str, Query]:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
