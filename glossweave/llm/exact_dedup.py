@@ -59,6 +59,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.max_by("doc_id", _rank(F.col("n_chars"), F.col("doc_id"))).alias("keep_id"),
         F.count(F.lit(1)).alias("group_size"),
     )
+    groups = materialise(groups, "exact-groups")  # the join then shuffles both sides itself, and Spark can split a hot text
     grouped = rows.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

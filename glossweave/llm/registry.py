@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import exact_dedup
+from glossweave.llm import exact_dedup, minhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op7_minhash_near_dedup": minhash_dedup.op7_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op7_minhash_near_dedup": minhash_dedup.OP7_SQL,
     }
