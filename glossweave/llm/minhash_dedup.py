@@ -5,14 +5,13 @@
 2. Inverted lists: every pair among the ``INDEXED`` smallest retained values names a list.  Two
    sets that reach the threshold share at least two of those values but for a chance of 4e-6 (0.2^10 +
    8 * 0.2^9) at a similarity of exactly 0.8, and much less above it or where sets are small.
-3. Inside a list of at most ``SHORT`` members the union sketches give estimates; pairs at ``MAYBE``
-   or more go on.  A member that a leader resembles at ``SURE`` or more is absorbed: it needs no
-   pair with other absorbed members, so a large group of near copies gives a star and not all pairs.
-   A longer list gives its leader's star and is then split by a further retained value, as often
-   as needed; at the last level, leaders take turns until none is left.  Nothing is capped or dropped.
-4. Each pair that goes on is confirmed on the full sets; confirmed links are closed to components.
-   An absorbed pair that fails on the full sets comes back in another pass in which the two may not
-   be absorbed.
+3. Each list first gives a star: its members with a leader, another leader from list to list.  Pairs
+   whose union sketch estimates ``MAYBE`` or more are confirmed on the full sets, and confirmed links
+   are closed to components.  A large group of near copies becomes one component here, at linear cost.
+4. Of the members of a list that are still in different components, a list of at most ``SHORT`` tries
+   all such pairs; a longer one is split by a further retained value, as often as needed, and at the
+   last level each member outside the list's main component takes its turn as leader.  Nothing is
+   capped or dropped.  These pairs pass the same filter and the same exact check.
 
 Null and empty texts have an empty set and no link.  Repeated rows share a class.  A row with a null
 id gets its class's component and is never kept.  Extra columns are ignored here.
@@ -26,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm.components import components
@@ -37,7 +36,6 @@ SKETCH = 64
 INDEXED = 10
 SHORT = 128
 MAYBE = 0.58
-SURE = 0.92
 LEVELS = 5
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -103,20 +101,20 @@ def _deeper(hot: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            keys, owner, last, absorbed = [], [], [], []
-            for key, rep, at, gone, low in zip(rows["key"], rows["rep"], rows["last"], rows["absorbed"], rows["low"], strict=True):
+            keys, owner, last, component = [], [], [], []
+            for key, rep, at, c, low in zip(rows["key"], rows["rep"], rows["last"], rows["c"], rows["low"], strict=True):
                 v = np.frombuffer(low, np.uint64)[at + 1 :]
                 keys.append(mix(mix(np.full(len(v), np.int64(key)).view(np.uint64)) * U(31) + v))
                 owner.append(np.full(len(v), rep, np.int64))
                 last.append(np.arange(at + 1, at + 1 + len(v), dtype=np.int8))
-                absorbed.append(np.full(len(v), gone))
+                component.append(np.full(len(v), c, np.int64))
             if keys:
                 yield pa.record_batch(
-                    {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner), "last": np.concatenate(last), "absorbed": np.concatenate(absorbed)}
+                    {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner), "last": np.concatenate(last), "c": np.concatenate(component)}
                 )
 
-    return hot.join(classes.select("rep", "low"), "rep").select("key", "rep", "last", "absorbed", "low").mapInArrow(
-        run, "key long, rep long, last byte, absorbed boolean"
+    return hot.join(classes.select("rep", "low"), "rep").select("key", "rep", "last", "c", "low").mapInArrow(
+        run, "key long, rep long, last byte, c long"
     )
 
 
@@ -141,40 +139,25 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (twice & (rank <= limit)).sum(axis=1) / np.maximum(total, 1)
 
 
-def _pairs_of_list(rep: np.ndarray, n: np.ndarray, sk: np.ndarray, absorbed: np.ndarray, held: np.ndarray) -> list[tuple[int, int, bool]]:
-    """Pairs of one short list that may be links: stars of its leaders."""
+def _cross_pairs(rep: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of one short list, of different components, that may be links."""
     g = len(rep)
-    if g == 2:
-        close = np.array([[False, True], [True, False]])
-    else:
-        values, place = np.unique(sk, return_inverse=True)
-        has = np.zeros((g, len(values)), np.float32)
-        has[np.arange(g)[:, None], place.reshape(sk.shape)] = 1
-        if values[-1] == _PAD:
-            has[:, -1] = 0
-        size = np.minimum(n, SKETCH)
-        close = has @ has.T >= 0.5 * np.minimum(size[:, None], size[None, :])
-        np.fill_diagonal(close, False)
+    values, place = np.unique(sk, return_inverse=True)
+    has = np.zeros((g, len(values)), np.float32)
+    has[np.arange(g)[:, None], place.reshape(sk.shape)] = 1
+    if values[-1] == _PAD:
+        has[:, -1] = 0
+    size = np.minimum(n, SKETCH)
+    close = has @ has.T >= 0.5 * np.minimum(size[:, None], size[None, :])
     close &= 5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])
-    out, led, gone = [], np.zeros(g, bool), absorbed.copy()
-    for i in np.argsort(rep, kind="stable"):
-        if gone[i] or not close[i].any():
-            continue
-        led[i] = True
-        j = np.flatnonzero(close[i] & ~led)
-        if not len(j):
-            continue
-        e = estimate(np.broadcast_to(sk[i], (len(j), SKETCH)), sk[j], np.broadcast_to(n[i], len(j)), n[j])
-        for k, x in zip(j, e, strict=True):
-            if x >= MAYBE:
-                sure = bool(x >= SURE and not held[k] and not held[i])
-                gone[k] |= sure
-                out.append((int(rep[i]), int(rep[k]), sure))
-    return out
+    close &= c[:, None] != c[None, :]
+    i, j = np.nonzero(np.triu(close, 1))
+    ok = estimate(sk[i], sk[j], n[i], n[j]) >= MAYBE if len(i) else np.zeros(0, bool)
+    return [(max(x, y), min(x, y)) for x, y in zip(rep[i][ok].tolist(), rep[j][ok].tolist(), strict=True)]
 
 
 def _short(lists: DataFrame) -> DataFrame:
-    """a, b, absorbed: pairs from lists of at most SHORT members.  Reads rows sorted by key, one list at a time."""
+    """a, b: pairs from lists of at most SHORT members.  Reads rows sorted by key, one list at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -182,19 +165,12 @@ def _short(lists: DataFrame) -> DataFrame:
         def solve(df: pd.DataFrame) -> pd.DataFrame:
             key = df["key"].to_numpy()
             cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            rep, n = df["rep"].to_numpy(), df["n"].to_numpy()
-            absorbed, held = df["absorbed"].to_numpy(bool), df["held"].to_numpy(bool)
+            rep, n, c = df["rep"].to_numpy(), df["n"].to_numpy(), df["c"].to_numpy()
             sk = _padded(df["sketch"].tolist())
-            found: set[tuple[int, int, bool]] = set()
-            width = np.diff(cut)
-            two = cut[:-1][width == 2]
-            ok = ~(absorbed[two] & absorbed[two + 1]) & (5 * np.minimum(n[two], n[two + 1]) >= 4 * np.maximum(n[two], n[two + 1]))
-            two = two[ok]
-            e = estimate(sk[two], sk[two + 1], n[two], n[two + 1])
-            found |= {(int(x), int(y), False) for x, y, z in zip(rep[two], rep[two + 1], e, strict=True) if z >= MAYBE}
-            for s, t in zip(cut[:-1][width > 2], cut[1:][width > 2], strict=True):
-                found |= set(_pairs_of_list(rep[s:t], n[s:t], sk[s:t], absorbed[s:t], held[s:t]))
-            return pd.DataFrame([(max(x, y), min(x, y), z) for x, y, z in found], columns=["a", "b", "absorbed"])
+            found: set[tuple[int, int]] = set()
+            for s, t in zip(cut[:-1], cut[1:], strict=True):
+                found.update(_cross_pairs(rep[s:t], n[s:t], sk[s:t], c[s:t]))
+            return pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
 
         for df in frames:
             df = df if rest is None else pd.concat([rest, df], ignore_index=True)
@@ -208,56 +184,67 @@ def _short(lists: DataFrame) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest)
 
-    return lists.select("key", "rep", "n", "sketch", "absorbed", "held").repartition("key").sortWithinPartitions("key").mapInPandas(
-        run, "a long, b long, absorbed boolean"
-    )
+    return lists.select("key", "rep", "n", "sketch", "c").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
-def _star(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """The members of long lists with their estimate against the list's leader: the smallest one not absorbed."""
-    lead = lists.where("not absorbed").groupBy("key").agg(F.min("rep").alias("leader"))
-    of = classes.select(F.col("rep").alias("leader"), F.col("sketch").alias("sketch0"), F.col("n").alias("n0"), F.col("held").alias("held0"))
-    rows = lists.join(lead.join(of, "leader"), "key").select("key", "rep", "last", "absorbed", "leader", "n", "n0", "held", "held0", "sketch", "sketch0")
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct pairs whose sizes and union sketch allow a link."""
+    a = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            n, n0 = df["n"].to_numpy(), df["n0"].to_numpy()
-            e = estimate(_padded(df["sketch"].tolist()), _padded(df["sketch0"].tolist()), n, n0) if len(df) else np.zeros(0)
-            e = np.where(5 * np.minimum(n, n0) >= 4 * np.maximum(n, n0), e, 0.0)
-            sure = (e >= SURE) & ~df["held"].to_numpy(bool) & ~df["held0"].to_numpy(bool)
-            yield df[["key", "rep", "last", "absorbed", "leader"]].assign(likely=e >= MAYBE, sure=sure)
+            if len(df):
+                e = estimate(_padded(df["sa"].tolist()), _padded(df["sb"].tolist()), df["na"].to_numpy(), df["nb"].to_numpy())
+                yield df.loc[e >= MAYBE, ["a", "b"]]
 
-    return rows.mapInPandas(run, "key long, rep long, last byte, absorbed boolean, leader long, likely boolean, sure boolean")
+    rows = pairs.distinct().join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    return rows.mapInPandas(run, "a long, b long")
 
 
-def candidates(classes: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """a > b, absorbed: pairs of class representatives that may reach the threshold."""
-    classes = (
-        classes.withColumn("held", F.lit(False))
-        if held is None
-        else classes.join(held.withColumn("held", F.lit(True)), "rep", "left").withColumn("held", F.coalesce("held", F.lit(False)))
-    )
-    full = classes.select("rep", "n", "sketch", "held")
-    found = []
-    postings, level = _postings(classes).withColumn("absorbed", F.lit(False)), 2
-    while True:
-        sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(~F.col("absorbed")).alias("open")).where("size > 1 and open")
-        lists = materialise(postings.join(sizes, "key").join(full, "rep"), "lists")
-        found.append(_short(lists.where(F.col("size") <= SHORT)))
-        hot = lists.where(F.col("size") > SHORT)
-        if hot.isEmpty():
+def _leader(lists: DataFrame) -> DataFrame:
+    """One member of each list, another one from list to list."""
+    return lists.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("leader"))
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def stars(lists: DataFrame) -> DataFrame:
+    """a > b: every member of a list with the list's leader."""
+    led = materialise(_leader(lists), "leaders")
+    return lists.join(led, "key").where("rep <> leader").select(*_pair("rep", "leader"))
+
+
+def cross_pairs(lists: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
+    """a > b: likely pairs that share a list and not yet a component."""
+    spark = lists.sparkSession
+    rows = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "last", F.coalesce("component", "rep").alias("c"))
+    full = classes.select("rep", "n", "sketch")
+    found: list[DataFrame] = []
+    for level in range(2, LEVELS + 1):
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+        sizes = materialise(sizes.where("c0 <> c1").select("key", "size"), "sizes")
+        rows = materialise(rows.join(sizes, "key"), "open-lists")
+        found.append(materialise(_short(rows.where(F.col("size") <= SHORT).join(full, "rep")), "short"))
+        rows = rows.where(F.col("size") > SHORT).select("key", "rep", "last", "c")
+        if rows.isEmpty():
             break
-        star = materialise(_star(hot, classes), "star")
-        found.append(
-            star.where("likely and rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b"), F.col("sure").alias("absorbed")).distinct()
-        )
-        rest = star.select("key", "rep", "last", (F.col("absorbed") | F.col("sure") | (F.col("rep") == F.col("leader"))).alias("absorbed"))
         if level < LEVELS:
-            unsettled = rest.where("not absorbed").select("key").distinct()
-            rest, level = _deeper(rest.join(unsettled, "key", "left_semi"), classes), level + 1
-        postings = rest
-    pairs = reduce(DataFrame.unionByName, found)
-    return pairs.groupBy("a", "b").agg(F.max("absorbed").alias("absorbed"))
+            rows = _deeper(rows, classes)
+    else:
+        weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+        main = weight.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+        minor = materialise(rows.join(main, "key").where("c <> main").select("key", "rep", "c"), "minor")
+        while not minor.isEmpty():  # of two members of different components, one is outside the main one
+            led = materialise(_leader(minor), "leaders")
+            turn = led.join(minor.select("key", F.col("rep").alias("leader"), F.col("c").alias("lc")), ["key", "leader"])
+            found.append(materialise(_likely(rows.join(turn, "key").where("c <> lc").select(*_pair("rep", "leader")), classes), "star"))
+            minor = materialise(minor.join(led.withColumnRenamed("leader", "rep"), ["key", "rep"], "left_anti"), "minor")
+    if not found:
+        return spark.createDataFrame([], "a long, b long")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -276,18 +263,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 z = np.sort(np.concatenate([x, y]), kind="stable")
                 both = int((z[1:] == z[:-1]).sum())
                 ok.append(100 * both >= percent * (len(z) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], names=["a", "b", "absorbed", "linked"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
     return (
         pairs.join(full.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
         .join(full.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        .select("a", "b", "absorbed", "x", "y")
-        .mapInArrow(compare, "a long, b long, absorbed boolean, linked boolean")
+        .select("a", "b", "x", "y")
+        .mapInArrow(compare, "a long, b long, linked boolean")
     )
 
 
@@ -300,17 +287,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     classes = materialise(groups, "classes")
     known = classes.where("rep is not null")
-    links, held = None, None
-    while True:
-        checked = materialise(confirm(materialise(candidates(known, held), "pairs"), docs.where("doc_id is not null"), width, percent), "checked")
-        linked = checked.where("linked").select("a", "b")
-        links = linked if links is None else links.unionByName(linked)
-        failed = checked.where("absorbed and not linked").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        if held is not None:
-            failed = failed.join(held, "rep", "left_anti")
-        if failed.isEmpty():
-            break
-        held = materialise(failed if held is None else held.unionByName(failed), "held")
+    postings = materialise(_postings(known), "postings")
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    lists = materialise(postings.join(sizes, "key"), "lists")
+    texts = docs.where("doc_id is not null")
+    first = materialise(confirm(materialise(_likely(stars(lists), known), "pairs"), texts, width, percent), "checked")
+    linked = first.where("linked").select("a", "b")
+    more = cross_pairs(lists, components(linked), known).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = materialise(confirm(materialise(more, "pairs"), texts, width, percent), "checked")
+    links = linked.unionByName(second.where("linked").select("a", "b"))
     at = components(links).withColumnRenamed("node", "rep")
     named = classes.select("n", "s1", "s2", "rep").join(at, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
@@ -331,7 +316,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-         ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS x
+         ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
