@@ -9,9 +9,9 @@
    whose union sketch estimates ``MAYBE`` or more are confirmed on the full sets, and confirmed links
    are closed to components.  A large group of near copies becomes one component here, at linear cost.
 4. Of the members of a list that are still in different components, a list of at most ``SHORT`` tries
-   all such pairs; a longer one is split by a further retained value, as often as needed, and at the
-   last level each member outside the list's main component takes its turn as leader.  Nothing is
-   capped or dropped.  These pairs pass the same filter and the same exact check.
+   all such pairs; a longer one is split by a further retained value, and what is still longer after ``LEVELS`` values
+   is tried in pairs of blocks of ``SHORT``, so no task holds more than two blocks.  Nothing is capped
+   or dropped.  These pairs pass the same filter and the same exact check.
 
 Null and empty texts have an empty set and no link.  Repeated rows share a class.  A row with a null
 id gets its class's component and is never kept.  Extra columns are ignored here.
@@ -36,7 +36,7 @@ SKETCH = 64
 INDEXED = 10
 SHORT = 128
 MAYBE = 0.58
-LEVELS = 5
+LEVELS = 4
 _PAD = np.uint32(0xFFFFFFFF)
 
 
@@ -234,14 +234,11 @@ def cross_pairs(lists: DataFrame, component: DataFrame, classes: DataFrame) -> D
         if level < LEVELS:
             rows = _deeper(rows, classes)
     else:
-        weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-        main = weight.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        minor = materialise(rows.join(main, "key").where("c <> main").select("key", "rep", "c"), "minor")
-        while not minor.isEmpty():  # of two members of different components, one is outside the main one
-            led = materialise(_leader(minor), "leaders")
-            turn = led.join(minor.select("key", F.col("rep").alias("leader"), F.col("c").alias("lc")), ["key", "leader"])
-            found.append(materialise(_likely(rows.join(turn, "key").where("c <> lc").select(*_pair("rep", "leader")), classes), "star"))
-            minor = materialise(minor.join(led.withColumnRenamed("leader", "rep"), ["key", "rep"], "left_anti"), "minor")
+        size = materialise(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
+        mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        each = rows.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        each = each.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        found.append(materialise(_short(each.join(full, "rep")), "block-pairs"))
     if not found:
         return spark.createDataFrame([], "a long, b long")
     return reduce(DataFrame.unionByName, found).distinct()

@@ -10,8 +10,8 @@ share one long (32 bits each), so 32 sums serve all 64 bits and partial sums run
 so a table for each such choice, keyed by the chosen blocks, holds every pair.
 
 Null counts as empty; a text without words has the fingerprint 0.  Equal texts have equal fingerprints.
-Rows without an id are left out; rows that repeat an id each get their own row, and of their texts
-the smallest stands for the id as another's neighbour.  Empty tables give no rows.
+Rows without an id are left out.  Of rows that repeat an id each distinct text gets a row, and one of
+them stands for the id as another's neighbour.  Empty tables give no rows.
 """
 
 from __future__ import annotations
