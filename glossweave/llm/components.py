@@ -13,7 +13,7 @@ def _star(both: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges``: a, b (long, a > b or any order).  Returns node, component: the smallest id reachable.
+    """``edges``: a, b (long, in any order).  Returns node, component (the smallest id reachable) of all nodes but those smallest ones.
 
     Each round points every larger neighbour at the smallest one (large star), then every smaller
     neighbour and the node itself (small star); the number of rounds grows with the logarithm of

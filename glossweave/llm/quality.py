@@ -79,6 +79,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([features(b) for b in byte_rows(column)]).reshape(-1, FEATURES)
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 class Model:
     """Binned logistic regression trained on the non-negative positive-unlabelled risk."""
 
@@ -93,10 +97,10 @@ class Model:
                 out.append(x[:, j : j + 1] > e[None, :])
         return np.concatenate([*out, np.ones((len(x), 1), bool)], axis=1).astype(np.float32)
 
-    def fit(self, pos: np.ndarray, unl: np.ndarray, steps: int = 500, rate: float = 0.05, decay: float = 2e-4) -> Model:
+    def fit(self, pos: np.ndarray, unl: np.ndarray, steps: int = 500, rate: float = 0.02) -> Model:
         if not len(pos) or not len(unl):
             return self
-        both = np.concatenate([pos, unl])
+        both, decay = np.concatenate([pos, unl]), 1e-3 + 0.5 / len(pos)
         q = np.concatenate([[0.002, 0.005, 0.01, 0.02, 0.04], np.linspace(0.08, 0.92, BINS), [0.96, 0.98, 0.99, 0.995, 0.998]])
         self.edges = [np.unique(np.concatenate([np.quantile(c, q), [0.0]])) for c in both.T]
         self.edges = [e[(e < c.max()) & (e >= c.min())] for e, c in zip(self.edges, both.T, strict=True)]
@@ -105,7 +109,7 @@ class Model:
         w[-1] = np.log(self.prior / (1 - self.prior))
         m, v = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
-            sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
+            sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
             up = p.T @ (sp - 1) / len(p)  # of the loss as positives
             down = p.T @ sp / len(p)  # of the positives' loss as negatives
             rest = u.T @ su / len(u)
@@ -120,7 +124,7 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weight is None:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-(self._design(x) @ self.weight).astype(np.float64)))
+        return _sigmoid((self._design(x) @ self.weight).astype(np.float64))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
