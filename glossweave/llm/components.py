@@ -26,7 +26,6 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(_star(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "cc-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (
             large.join(low, "a")
@@ -35,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = materialise(small, "cc-small")
+        e = materialise(small, "cc")
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == tuple(state):
             break

@@ -8,10 +8,12 @@
 3. Each list first gives a star: its members with a leader, another leader from list to list.  Pairs
    whose union sketch estimates ``MAYBE`` or more are confirmed on the full sets, and confirmed links
    are closed to components.  A large group of near copies becomes one component here, at linear cost.
-4. Of the members of a list that are still in different components, a list of at most ``SHORT`` tries
-   all such pairs; a longer one is split by a further retained value, and what is still longer after ``LEVELS`` values
-   is tried in pairs of blocks of ``SHORT``, so no task holds more than two blocks.  Nothing is capped
-   or dropped.  These pairs pass the same filter and the same exact check.
+4. Each list then has a main component, and members outside it.  Between two outside members a list of at
+   most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
+   is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
+   members against a large main component and goes on without it, or is split by a further
+   retained value; what is still longer after ``LEVELS`` values is tried in pairs of blocks of ``SHORT``.
+   Nothing is capped or dropped.
 
 Null and empty texts have an empty set and no link.  Repeated rows share a class.  A row with a null
 id gets its class's component and is never kept.  Extra columns are ignored here.
@@ -139,8 +141,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (twice & (rank <= limit)).sum(axis=1) / np.maximum(total, 1)
 
 
-def _cross_pairs(rep: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of one short list, of different components, that may be links."""
+def _cross_pairs(rep: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray, main: int) -> list[tuple[int, int, bool]]:
+    """Of one short list: likely pairs outside its main component, and members that some main member resembles."""
     g = len(rep)
     values, place = np.unique(sk, return_inverse=True)
     has = np.zeros((g, len(values)), np.float32)
@@ -153,11 +155,20 @@ def _cross_pairs(rep: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray)
     close &= c[:, None] != c[None, :]
     i, j = np.nonzero(np.triu(close, 1))
     ok = estimate(sk[i], sk[j], n[i], n[j]) >= MAYBE if len(i) else np.zeros(0, bool)
-    return [(max(x, y), min(x, y)) for x, y in zip(rep[i][ok].tolist(), rep[j][ok].tolist(), strict=True)]
+    out, several = set(), (c == main).sum() > 1
+    for x, y in zip(i[ok], j[ok], strict=True):
+        if several and (c[x] == main or c[y] == main):
+            out.add((int(rep[y if c[x] == main else x]), main, True))
+        else:
+            out.add((max(int(rep[x]), int(rep[y])), min(int(rep[x]), int(rep[y])), False))
+    return list(out)
 
 
 def _short(lists: DataFrame) -> DataFrame:
-    """a, b: pairs from lists of at most SHORT members.  Reads rows sorted by key, one list at a time."""
+    """a, b, whole: from lists of at most SHORT members, pairs (whole is false) or a member and a component (true).
+
+    Reads rows sorted by key, one list at a time.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -165,12 +176,12 @@ def _short(lists: DataFrame) -> DataFrame:
         def solve(df: pd.DataFrame) -> pd.DataFrame:
             key = df["key"].to_numpy()
             cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            rep, n, c = df["rep"].to_numpy(), df["n"].to_numpy(), df["c"].to_numpy()
+            rep, n, c, main = df["rep"].to_numpy(), df["n"].to_numpy(), df["c"].to_numpy(), df["main"].to_numpy()
             sk = _padded(df["sketch"].tolist())
-            found: set[tuple[int, int]] = set()
+            found: set[tuple[int, int, bool]] = set()
             for s, t in zip(cut[:-1], cut[1:], strict=True):
-                found.update(_cross_pairs(rep[s:t], n[s:t], sk[s:t], c[s:t]))
-            return pd.DataFrame(list(found), columns=["a", "b"], dtype=np.int64)
+                found.update(_cross_pairs(rep[s:t], n[s:t], sk[s:t], c[s:t], int(main[s])))
+            return pd.DataFrame(list(found), columns=["a", "b", "whole"]).astype({"a": np.int64, "b": np.int64, "whole": bool})
 
         for df in frames:
             df = df if rest is None else pd.concat([rest, df], ignore_index=True)
@@ -184,7 +195,7 @@ def _short(lists: DataFrame) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest)
 
-    return lists.select("key", "rep", "n", "sketch", "c").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
+    return lists.select("key", "rep", "n", "sketch", "c", "main").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, whole boolean")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -218,34 +229,41 @@ def stars(lists: DataFrame) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
-    """a > b: likely pairs that share a list and not yet a component."""
-    spark = lists.sparkSession
+    """a, b, whole: likely pairs that share a list and not yet a component, or a member and a whole component."""
     rows = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "last", F.coalesce("component", "rep").alias("c"))
     full = classes.select("rep", "n", "sketch")
     found: list[DataFrame] = []
-    for level in range(2, LEVELS + 1):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        sizes = materialise(sizes.where("c0 <> c1").select("key", "size"), "sizes")
+    level = 2
+    while True:
+        weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+        sizes = weight.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts"))
+        sizes = materialise(sizes.where("parts > 1").select("key", "size", "main", "most"), "sizes")
         rows = materialise(rows.join(sizes, "key"), "open-lists")
         found.append(materialise(_short(rows.where(F.col("size") <= SHORT).join(full, "rep")), "short"))
-        rows = rows.where(F.col("size") > SHORT).select("key", "rep", "last", "c")
-        if rows.isEmpty():
+        long = rows.where(F.col("size") > SHORT)
+        if long.isEmpty():
             break
+        big = F.col("most") >= max(2, SHORT // 4)
+        rest = long.where(big & (F.col("c") != F.col("main")))  # what is outside a large component is held against all of it
+        found.append(materialise(rest.select(F.col("rep").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside"))
+        mixed = long.where(~big).select("key", "rep", "last", "c")
+        rest = rest.select("key", "rep", "last", "c")
         if level < LEVELS:
-            rows = _deeper(rows, classes)
-    else:
-        size = materialise(rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
-        mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        each = rows.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        each = each.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-        found.append(materialise(_short(each.join(full, "rep")), "block-pairs"))
-    if not found:
-        return spark.createDataFrame([], "a long, b long")
+            rows, level = rest.unionByName(_deeper(mixed, classes)), level + 1
+        elif mixed.isEmpty():
+            rows = rest
+        else:
+            size = materialise(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
+            mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+            each = mixed.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            each = each.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("main", F.lit(-(2**63)))
+            found.append(materialise(_short(each.join(full, "rep")), "block-pairs"))
+            rows = rest
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``pairs`` with ``linked``: 100 * intersection >= percent * union, on the full sets."""
+def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """id, set: the whole shingle sets of the texts with these ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,9 +271,64 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 [batch.column(0), pa.array([shingle_set(b, width).tobytes() for b in byte_rows(batch.column(1))], pa.binary())], names=["id", "set"]
             )
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
-    full = materialise(texts.mapInArrow(sets, "id long, set binary"), "sets")
+    return materialise(texts.mapInArrow(sets, "id long, set binary"), "sets")
+
+
+def _reach(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of the two lists of sets reach the threshold, by one product of their incidence matrices."""
+    values, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    has = np.zeros((len(a) + len(b), len(values)), np.float32)
+    size = np.array([len(x) for x in (*a, *b)])
+    has[np.repeat(np.arange(len(size)), size), place] = 1
+    both = (has[: len(a)] @ has[len(a) :].T).astype(np.int64)
+    return 100 * both >= percent * (size[: len(a), None] + size[None, len(a) :] - both)
+
+
+def beside_components(pairs: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of members (a) with any member of a component (b names it), confirmed on the full sets.
+
+    Components meet their visitors in chunks of at most about SHORT members, so no task holds a whole one.
+    """
+    roots = component.select(F.col("component").alias("node"), "component").distinct()
+    chunks = component.groupBy("component").agg(F.ceil((F.count(F.lit(1)) + 1) / SHORT).cast("int").alias("chunks"))
+    chunks = chunks.join(pairs.select(F.col("b").alias("component")).distinct(), "component", "left_semi")
+    chunks = materialise(chunks, "chunks")
+    own = component.unionByName(roots).join(chunks, "component")
+    own = own.select("component", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), F.col("node").alias("id"), F.lit(False).alias("visits"))
+    guests = pairs.select(F.col("b").alias("component"), F.col("a").alias("id")).distinct().join(chunks, "component")
+    guests = guests.select("component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", F.lit(True).alias("visits"))
+    rows = own.unionByName(guests).join(sets, "id").repartition("component", "chunk").sortWithinPartitions("component", "chunk", "visits")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, members, waiting = None, [], []
+
+        def solve() -> pd.DataFrame:
+            out = []
+            if members and waiting:
+                hit = _reach([x for _, x in waiting], members, percent).any(axis=1)
+                out = [(g, here[0]) for (g, _), h in zip(waiting, hit, strict=True) if h]
+            return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+        for df in frames:
+            for c, k, i, visits, s in zip(df["component"], df["chunk"], df["id"], df["visits"], df["set"], strict=True):
+                if here != (c, k):
+                    yield solve()
+                    here, members, waiting = (c, k), [], []
+                if not visits:
+                    members.append(np.frombuffer(s, np.uint64))
+                else:
+                    waiting.append((i, np.frombuffer(s, np.uint64)))
+                    if len(waiting) >= SHORT:
+                        yield solve()
+                        waiting = []
+        yield solve()
+
+    return rows.select("component", "chunk", "id", "visits", "set").mapInPandas(run, "a long, b long")
+
+
+def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked: 100 * intersection >= percent * union, on the full sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,12 +361,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     lists = materialise(postings.join(sizes, "key"), "lists")
     texts = docs.where("doc_id is not null")
-    first = materialise(confirm(materialise(_likely(stars(lists), known), "pairs"), texts, width, percent), "checked")
+    pairs = materialise(_likely(stars(lists), known), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    first = materialise(confirm(pairs, full_sets(ids, texts, width), percent), "checked")
     linked = first.where("linked").select("a", "b")
-    more = cross_pairs(lists, components(linked), known).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialise(confirm(materialise(more, "pairs"), texts, width, percent), "checked")
-    links = linked.unionByName(second.where("linked").select("a", "b"))
-    at = components(links).withColumnRenamed("node", "rep")
+    joined = materialise(components(linked), "joined")
+    more = materialise(cross_pairs(lists, joined, known), "more")
+    pairs = more.where("not whole").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
+    beside = more.where("whole").select("a", "b")
+    visited = joined.unionByName(joined.select(F.col("component").alias("node"), "component")).join(beside.select(F.col("b").alias("component")).distinct(), "component", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(beside.select("a")).union(visited.select("node")).distinct()
+    sets = full_sets(ids, texts, width)
+    second = confirm(pairs, sets, percent).where("linked").select("a", "b").unionByName(beside_components(beside, joined, sets, percent))
+    second = materialise(second, "checked")
+    to_a, to_b = (joined.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("a", "ca"), ("b", "cb")))
+    between = second.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    further = materialise(components(between), "further").withColumnRenamed("component", "last")
+    moved = joined.join(further, joined["component"] == further["node"], "left").select(joined["node"], F.coalesce("last", "component").alias("component"))
+    whole = moved.unionByName(further.withColumnRenamed("last", "component").join(joined.select("node"), "node", "left_anti"))
+    at = whole.withColumnRenamed("node", "rep")
     named = classes.select("n", "s1", "s2", "rep").join(at, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.coalesce("component_id", "doc_id")
