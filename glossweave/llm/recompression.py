@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm.kernels import U, _powers, byte_rows, mix, sequence_hashes, word_hashes, word_spans
-from glossweave.llm.repeats import Runs, covered, keyed, repeated, with_starts
+from glossweave.llm.repeats import Kernel, Runs, covered, cut, keyed, repeated, with_starts
 from glossweave.llm.scratch import table
 
-ROUNDS = 7
+ROUNDS = 4
 BLOCK = 1 << 15
 _NONE = U(2**64 - 1)
 
@@ -68,12 +68,20 @@ def _pairs_round(state: State, r: int, end: int) -> State:
     return name, lo[head], hi[last], *_union(clo, chi, head, last, second[head], ~pair & ~second[head], end)
 
 
-class Symbols:
+class Symbols(Kernel):
     """The kernel for windows of ``width`` words."""
 
+    block, gap = BLOCK, 1
+
     def __init__(self, width: int, rounds: int = ROUNDS) -> None:
         self.width, self.rounds = width, rounds
 
+    def units(self, b: np.ndarray) -> np.ndarray:
+        return word_hashes(b, False)
+
+    def fill(self, at: int) -> np.ndarray:
+        return mix(np.array([at], np.uint64) ^ U(0xA0761D6478BD642F))
+
     def levels(self, w: np.ndarray) -> Iterator[State]:
         """symbol, lo, hi, context lo, context hi after each round, words first."""
         at = np.arange(len(w))
@@ -83,43 +91,32 @@ class Symbols:
             state = _pairs_round(_runs_round(state, r, len(w)), r, len(w))
             yield state
 
-    def __call__(self, b: np.ndarray) -> Runs:
-        w = word_hashes(b, False)
-        parts = [self._block(w[lo : lo + BLOCK + self.width - 1], lo) for lo in range(0, max(1, len(w) - self.width + 1), BLOCK)]
-        return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
-
-    def _block(self, w: np.ndarray, lo: int) -> Runs:
-        count = len(w) - self.width + 1
-        if count <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def anchors(self, w: np.ndarray, valid: np.ndarray) -> Runs:
         power, inverse = _powers()
         h = np.zeros(len(w) + 1, np.uint64)
         np.cumsum(w * power[: len(w)], out=h[1:])
         rank, clo, chi = [], [], []
         for level, (symbol, _, _, a, z) in enumerate(self.levels(w)):
             fits = np.flatnonzero((a >= 0) & (z <= len(w)) & (z - a <= self.width))
-            rank.append((U(self.rounds - level) << U(60)) | ((mix(symbol[fits] + U(level)) >> U(22)) << U(18)))
+            rank.append((U(self.rounds - level) << U(60)) | ((mix(symbol[fits] + U(level)) >> U(23)) << U(19)))
             clo.append(a[fits])
             chi.append(z[fits])
         rank, clo, chi = np.concatenate(rank), np.concatenate(clo), np.concatenate(chi)
         rank |= np.arange(len(rank), dtype=np.uint64)
         length = chi - clo
         order = np.argsort(length, kind="stable")
-        cut = np.searchsorted(length[order], np.arange(self.width + 2))
+        ends = np.searchsorted(length[order], np.arange(self.width + 2))
         best = np.full(len(w) + 1, _NONE)
         for k in range(1, self.width + 1):  # best[i]: of the symbols with their context in w[i : i + k]
-            best[:-1] = np.minimum(best[:-1], best[1:])
-            own = order[cut[k] : cut[k + 1]]
+            np.minimum(best[:-1], best[1:], out=best[:-1])
+            own = order[ends[k] : ends[k + 1]]
             np.minimum.at(best, clo[own], rank[own])
             best[len(w) - k + 1 :] = _NONE
-        t = (best[:count] & U((1 << 18) - 1)).astype(np.int64)
-        a = np.concatenate(([0], np.flatnonzero(np.diff(t)) + 1))
-        n = np.diff(np.concatenate((a, [count])))
-        t = t[a]
-        name = mix((h[chi[t]] - h[clo[t]]) * inverse[clo[t]] + (rank[t] >> U(18)) * U(0xD6E8FEB86659FD93))
+        a, n, t = cut((best[: len(valid)] & U((1 << 19) - 1)).astype(np.int64), valid)
+        name = mix((h[chi[t]] - h[clo[t]]) * inverse[clo[t]] + (rank[t] >> U(19)) * U(0xD6E8FEB86659FD93))
         end = a + n - 1 + self.width
         seg = mix((h[end] - h[a]) * inverse[a] + n.astype(np.uint64) * U(0x9E3779B97F4A7C15) + (clo[t] - a).astype(np.uint64) * U(0xBF58476D1CE4E5B9))
-        return a + lo, n, name, seg
+        return a, n, name, seg
 
     def windows(self, b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
         w = word_hashes(b, False)
@@ -148,10 +145,9 @@ def kept_words(b: np.ndarray, starts: pa.Scalar | None, width: int) -> tuple[int
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one blank)."""
     rows = keyed(docs, id_col, text_col)
-    kernel = Symbols(width)
-    starts = repeated(rows, kernel, kernel.windows, earlier_only=True)
+    starts = repeated(rows, Symbols(width), earlier_only=True)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [kept_words(b, batch.column(2)[i], width) for i, b in enumerate(byte_rows(batch.column(1)))]
             yield pa.RecordBatch.from_arrays(
@@ -159,7 +155,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return with_starts(rows, starts).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
+    return with_starts(rows, starts).mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

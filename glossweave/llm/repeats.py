@@ -17,7 +17,7 @@ decision (name with seg, name with window).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,77 @@ from glossweave.llm.kernels import byte_rows
 from glossweave.llm.scratch import materialise
 
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+class Kernel:
+    """Cuts the windows of texts into runs.  Texts are handled many at a time, and long ones in pieces.
+
+    Pieces of a text overlap by a window less one unit, and ``gap`` units part the pieces in a block, so
+    every window lies in one piece and no window holds a gap.
+    """
+
+    width: int
+    block: int
+    gap = 0
+
+    def units(self, b: np.ndarray) -> np.ndarray:
+        """The units of a text: its bytes, or a hash for each word."""
+        raise NotImplementedError
+
+    def fill(self, at: int) -> np.ndarray:
+        """A gap that agrees with nothing else."""
+        raise NotImplementedError
+
+    def anchors(self, x: np.ndarray, valid: np.ndarray) -> Runs:
+        """First start, number of windows, name and seg of each run of valid windows in one block."""
+        raise NotImplementedError
+
+    def windows(self, b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start in the given runs."""
+        raise NotImplementedError
+
+    def many(self, texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text number, a, n, name, seg) arrays for blocks of texts."""
+        held: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+        for i, b in enumerate(texts):
+            u = self.units(b)
+            for lo in range(0, len(u) - self.width + 1, self.block):
+                piece = u[lo : lo + self.block + self.width - 1]
+                held.append((i, lo, piece))
+                size += len(piece) + self.gap
+                if size >= self.block:
+                    yield self._solve(held)
+                    held, size = [], 0
+        if held:
+            yield self._solve(held)
+
+    def _solve(self, held: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        parts, starts, at = [], [], 0
+        for _, _, piece in held:
+            starts.append(at)
+            parts.append(piece)
+            at += len(piece)
+            if self.gap:
+                parts.append(self.fill(at))
+                at += self.gap
+        x = np.concatenate(parts)
+        valid = np.zeros(len(x) - self.width + 1, bool)
+        for s, (_, _, piece) in zip(starts, held, strict=True):
+            valid[s : s + len(piece) - self.width + 1] = True
+        a, n, name, seg = self.anchors(x, valid)
+        k = np.searchsorted(starts, a, "right") - 1
+        text, lo = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+        return text[k], a - np.array(starts)[k] + lo[k], n, name, seg
+
+
+def cut(t: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and anchor of the runs of valid windows with one anchor."""
+    t = np.where(valid, t, -1)
+    a = np.concatenate(([0], np.flatnonzero(np.diff(t)) + 1))
+    n = np.diff(np.concatenate((a, [len(t)])))
+    keep = t[a] >= 0
+    return a[keep], n[keep], t[a][keep]
 _LAST = (1 << 63) - 1
 
 
@@ -39,34 +110,19 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def _runs(docs: DataFrame, kernel: Callable[[np.ndarray], Runs]) -> DataFrame:
+def _runs(docs: DataFrame, kernel: Kernel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            got, rows, held = [], [], 0
-            for i, b in enumerate(byte_rows(batch.column(2))):
-                r = kernel(b)
-                got.append(r)
-                rows.append((i, len(r[0])))
-                held += len(r[0])
-                if held > 200_000:
-                    yield _batch(d, h, rows, got)
-                    got, rows, held = [], [], 0
-            if got:
-                yield _batch(d, h, rows, got)
+            for i, a, n, name, seg in kernel.many(byte_rows(batch.column(2))):
+                yield pa.record_batch(
+                    {"d": d[i], "h": h[i], "a": a.astype(np.int32), "n": n.astype(np.int32), "name": name.view(np.int64), "seg": seg.view(np.int64)}
+                )
 
     return docs.select("d", "h", "text").mapInArrow(run, "d long, h long, a int, n int, name long, seg long")
 
 
-def _batch(d: np.ndarray, h: np.ndarray, rows: list[tuple[int, int]], got: list[Runs]) -> pa.RecordBatch:
-    at = np.repeat([i for i, _ in rows], [n for _, n in rows]).astype(np.int64)
-    a, n, name, seg = (np.concatenate([g[k] for g in got]) for k in range(4))
-    return pa.record_batch(
-        {"d": d[at], "h": h[at], "a": a.astype(np.int32), "n": n.astype(np.int32), "name": name.astype(np.uint64).view(np.int64), "seg": seg.astype(np.uint64).view(np.int64)}
-    )
-
-
-def _windows(docs: DataFrame, reps: DataFrame, windows: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def _windows(docs: DataFrame, reps: DataFrame, kernel: Kernel) -> DataFrame:
     """d, h, at, name, w, copies, least: the windows of the runs in ``reps``, which has one row a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +140,7 @@ def _windows(docs: DataFrame, reps: DataFrame, windows: Callable[[np.ndarray, np
                         "h": np.full(len(at), h[i]),
                         "at": at.astype(np.int32),
                         "name": name[each],
-                        "w": windows(b, a, n).view(np.int64),
+                        "w": kernel.windows(b, a, n).view(np.int64),
                         "copies": copies[each],
                         "least": least[each],
                     }
@@ -96,7 +152,7 @@ def _windows(docs: DataFrame, reps: DataFrame, windows: Callable[[np.ndarray, np
     )
 
 
-def repeated(docs: DataFrame, kernel: Callable, windows: Callable, earlier_only: bool) -> DataFrame:
+def repeated(docs: DataFrame, kernel: Kernel, earlier_only: bool) -> DataFrame:
     """d, h, starts (array of a, n): window starts to remove.
 
     ``earlier_only``: a window goes if it also starts in a document with a smaller id; else, if it
@@ -117,7 +173,7 @@ def repeated(docs: DataFrame, kernel: Callable, windows: Callable, earlier_only:
     classes = materialise(classes, "classes")
     many = mixed.join(classes.select("name", "seg", "copies", "least"), ["name", "seg"]).where("d > least" if earlier_only else "copies > 1").select("d", "h", "a", "n")
     reps = classes.select("rep.d", "rep.h", "rep.a", "rep.n", "name", "copies", "least")
-    single = materialise(_windows(docs, reps, windows), "windows")
+    single = materialise(_windows(docs, reps, kernel), "windows")
     met = single.groupBy("name", "w").agg(F.sum("copies").alias("all"), F.min("least").alias("first"), F.max("least").alias("last"))
     met = materialise(met.where("first < last" if earlier_only else "all > 1").select("name", "w", "first"), "met")
     found = single.join(met, ["name", "w"]).where("least > first" if earlier_only else "copies = 1").select("d", "h", F.col("at").alias("a"), F.lit(1).alias("n"))

@@ -27,36 +27,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm.kernels import PLAIN, U, _powers, byte_rows, mix
-from glossweave.llm.repeats import Runs, covered, keyed, repeated, with_starts
+from glossweave.llm.repeats import Kernel, Runs, covered, cut, keyed, repeated, with_starts
 from glossweave.llm.scratch import table
 
 GRAM = 16
 BLOCK = 1 << 16
-_PLACE = U((1 << 17) - 1)
+_PLACE = U((1 << 18) - 1)  # a block and the piece that filled it are shorter
 
 
-class Phrases:
+class Phrases(Kernel):
     """The kernel for windows of ``width`` bytes."""
 
+    block = BLOCK
+
     def __init__(self, width: int) -> None:
         self.width = width
         self.gram = max(1, min(GRAM, width // 4))
         self.reach = max(1, min(width // 2, width - self.gram + 1))
 
+    def units(self, b: np.ndarray) -> np.ndarray:
+        return b
+
     def _prefix(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power, inverse = _powers()
         h = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(PLAIN[x] * power[: len(x)], out=h[1:])
         return h, inverse
 
-    def __call__(self, b: np.ndarray) -> Runs:
-        parts = [self._block(b[lo : lo + BLOCK + self.width - 1], lo) for lo in range(0, max(1, len(b) - self.width + 1), BLOCK)]
-        return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
-
-    def _block(self, x: np.ndarray, lo: int) -> Runs:
-        count = len(x) - self.width + 1
-        if count <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def anchors(self, x: np.ndarray, valid: np.ndarray) -> Runs:
         h, inverse = self._prefix(x)
         g = len(x) - self.gram + 1
         low = mix((h[self.gram :] - h[:g]) * inverse[:g])
@@ -67,15 +65,12 @@ class Phrases:
             span *= 2
         if span < self.reach:
             low = np.minimum(low[: len(low) - (self.reach - span)], low[self.reach - span :])
-        t = (low[:count] & _PLACE).astype(np.int64)
-        a = np.concatenate(([0], np.flatnonzero(np.diff(t)) + 1))
-        n = np.diff(np.concatenate((a, [count])))
-        t = t[a]
+        a, n, t = cut((low[: len(valid)] & _PLACE).astype(np.int64), valid)
         common = self.width - self.reach + 1
         name = mix((h[t + common] - h[t]) * inverse[t])
         end = a + n - 1 + self.width
         seg = mix((h[end] - h[a]) * inverse[a] + n.astype(np.uint64) * U(0x9E3779B97F4A7C15) + (t - a).astype(np.uint64) * U(0xD6E8FEB86659FD93))
-        return a + lo, n, name, seg
+        return a, n, name, seg
 
     def windows(self, b: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = []
@@ -88,10 +83,9 @@ class Phrases:
 def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans (removed start and end)."""
     rows = keyed(docs, id_col, text_col)
-    kernel = Phrases(width)
-    starts = repeated(rows, kernel, kernel.windows, earlier_only=False)
+    starts = repeated(rows, Phrases(width), earlier_only=False)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
@@ -108,7 +102,7 @@ def remove_repeats(docs: DataFrame, width: int = 400, id_col: str = "doc_id", te
             )
 
     return with_starts(rows, starts).mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
+        remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, end: long>>"
     )
 
 
