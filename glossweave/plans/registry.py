@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossweave.plans import catalog
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-FLAGSHIP = "doc_language_profile"
+FLAGSHIP = "language_detection"
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return catalog.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog.oracle_sql()
