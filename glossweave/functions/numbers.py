@@ -13,7 +13,7 @@ LENGTH_RATIO = {"standard": 3.0, "concise": 2.5, "minimal": 2.0}
 
 
 def parsed_decimal(d: Dialect, x: str) -> str:
-    return d.number(d.put(filled(d, x), ",", ""), "DECIMAL(38, 4)")
+    return d.number(d.translate(d.put(filled(d, x), ",", ""), "０１２３４５６７８９", "0123456789"), "DECIMAL(38, 4)")
 
 
 def _whole(d: Dialect, x: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.plans import catalog
+from glossweave.plans import catalog, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,8 @@ FLAGSHIP = "language_detection"
 
 
 def queries() -> dict[str, Query]:
-    return catalog.queries()
+    return catalog.queries() | relational.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.oracle_sql()
+    return catalog.oracle_sql() | relational.SQL
