@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glossweave.functions import geometry as g
 from glossweave.functions import numbers as n
 from glossweave.functions import replies as r
 from glossweave.functions import text as t
@@ -33,7 +34,16 @@ def _replies(d: Dialect) -> str:
     return f"SELECT event_id AS id, props AS text FROM events UNION ALL SELECT * FROM ({samples.values(samples.REPLIES, d)}) AS s(id, text)"
 
 
-SOURCES = {"texts": (_texts, ["documents"]), "lines": (_lines, ["documents"]), "pairs": (_pairs, ["documents"]), "replies": (_replies, ["events"])}
+def _spans(d: Dialect) -> str:
+    """A box for each order line, by arithmetic on its numbers."""
+    f = "CAST({} AS DOUBLE)".format
+    return (
+        f"SELECT l_orderkey AS id, l_linenumber AS i, {f('l_quantity')} AS q, {f('l_partkey % 500')} AS x0, {f('l_partkey % 500 + l_suppkey % 90')} AS x1, "
+        f"{f('l_suppkey % 700')} AS y0, {f('l_suppkey % 700 + l_partkey % 60')} AS y1, CASE l_returnflag WHEN 'A' THEN 'text' WHEN 'N' THEN 'footer' ELSE 'abstract' END AS label FROM lineitem"
+    )
+
+
+SOURCES = {"spans": (_spans, ["lineitem"]), "texts": (_texts, ["documents"]), "lines": (_lines, ["documents"]), "pairs": (_pairs, ["documents"]), "replies": (_replies, ["events"])}
 
 
 def _text_predicates(d: Dialect) -> dict[str, str]:
@@ -126,7 +136,21 @@ def _reply_columns(d: Dialect) -> dict[str, str]:
     }
 
 
+def _geometry(d: Dialect) -> dict[str, str]:
+    align = g.vertical_alignment("y0 + q % 13", "y1 - q % 7", "y0", "y1")
+    lo, hi = g.expanded("y0", "y1", "q", "(q * 2)", f"({align})")
+    shown = {
+        "low": lo, "high": hi, "size": g.font_size("(x1 - x0)", "(y1 - y0)", "q"), "flipped": g.flipped("y0", "842.0"), "memory": g.memory_mb("q", "(150.0 + x0)"),
+        **g.thresholds("x1", "q"),
+    }
+    return {
+        "i": "i", "alignment": align, "role": g.role(d, "CASE WHEN q > 40 THEN 'paragraph_title' WHEN q > 30 THEN 'table' ELSE label END"), "style": g.script_style("(q / 5)", "10.0", "(x0 - 250)", "(y1 - y0)"),
+        "eta": g.eta(d, "(q * x0)"), "progress": g.scaled_progress("q", "50", 40, 90), **{k: f"round({v}, 6)" for k, v in shown.items()},
+    }
+
+
 QUERIES: dict[str, tuple[str, Columns]] = {
+    "geometry_rules": ("spans", _geometry),
     "text_predicates": ("texts", _text_predicates),
     "should_translate": ("lines", _should_translate),
     "line_rules": ("lines", _line_rules),
