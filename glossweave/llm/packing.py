@@ -18,12 +18,15 @@ they need.  Repeated rows are packed one by one.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,28 +37,70 @@ CACHED_WORDS = 300_000
 _ENCODERS: dict = {}
 
 
-class _Encoder(dict):
-    """Chunk of text without blanks -> its ids as little-endian bytes; bounded, filled on demand.
+class _Encoder:
+    """Ids of a text as little-endian bytes.
 
-    No token of a tokenizer that drops white space crosses a blank, so a text's ids are those of its chunks.
+    A tokenizer that lower-cases, drops white space and marks the end of words works on one word at a time,
+    so its words are looked up: ``words`` holds the ids of words seen lately, ``older`` those before, both
+    bounded.  What neither has is encoded in one call for a text and cut at the ends of words.  Any
+    other tokenizer, and texts with the strings of special tokens, are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("type") == "Split" and cuts[0].get("invert") is True
+        self.by_word &= spec.get("post_processor") is None and spec["model"].get("end_of_word_suffix") == "</w>"
+        if self.by_word:
+            self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+            self.special = [t["content"] for t in spec.get("added_tokens", [])]
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        new = []
+        for w in set(parts):
+            if w not in self.words:
+                if w in self.older:
+                    self.words[w] = self.older[w]
+                else:
+                    new.append(w)
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and (not len(cuts) or cuts[-1] == len(ids)):
+                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.words.update((w, raw[x:y]) for w, x, y in zip(some, at, at[1:], strict=False))
+            else:
+                self.words.update((w, self._whole(w)) for w in some)
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        if not self.by_word or any(t in text for t in self.special):
+            return self._whole(text)
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # lower() alone minds a final sigma
+        parts = self.cut(text)
+        try:
+            return b"".join(map(self.words.__getitem__, parts))
+        except KeyError:
+            self._learn(parts)
+        out = b"".join(map(self.words.__getitem__, parts))
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int, keep_ids: bool, id_col: str, text_col: str) -> DataFrame:

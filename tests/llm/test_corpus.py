@@ -108,7 +108,7 @@ def test_packing_other_blanks_and_marks(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    texts = ["a\x1cb\x85c d　e", "It's 'S don'T\x0bx\x0cy", "é ́a ΑΣ Σ", "<|endoftext|> a", "İstanbul ǅ ﬁ 12345 !!??", "한글 ไทย", "\x00 \x01"]
+    texts = ["a\x1cb\x85c d　e", "It's 'S don'T\x0bx\x0cy", "é ́a ΑΣ Σ", "<|endoftext|> a", "İstanbul ǅ ﬁ 12345 !!??", "한글 ไทย", "\x00 \x01", "e\u0301 \u1100\u1161 ΑΣΑΣ", "'s 'x !'s don't've", "a" * 5000, "_under_score 1_000", "٣٤ Ⅷ ½ x²", "\u200b\u00a0z"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(df, packing.default_tokenizer()).collect()}
     assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
