@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op4_suffix_array_dedup": suffix_dedup.OP4_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op7_minhash_near_dedup": minhash_dedup.OP7_SQL,
         "op8_substring_dedup": recompression.OP8_SQL,
