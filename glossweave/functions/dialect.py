@@ -119,6 +119,12 @@ class Spark(Dialect):
     def last(self, x: str) -> str:
         return f"right({x}, 1)"
 
+    def largest(self, a: str) -> str:
+        return f"CAST(array_max({a}) AS BIGINT)"
+
+    def padded(self, a: str, n: int) -> str:
+        return f"slice(concat({a}, array_repeat('', {n})), 1, {n})"
+
 
 class Oracle(Dialect):
     name = "oracle"
@@ -211,6 +217,12 @@ class Oracle(Dialect):
     def last(self, x: str) -> str:
         return f"right({x}, 1)"
 
+    def largest(self, a: str) -> str:
+        return f"list_max({a})"
+
+    def padded(self, a: str, n: int) -> str:
+        return f"list_concat({a}, [{', '.join(chr(39) * 2 for _ in range(n))}])[1:{n}]"
+
 
 #: White space in both engines' terms.
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

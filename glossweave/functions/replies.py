@@ -51,3 +51,9 @@ def items(d: Dialect, x: str) -> str:
 def numbered_blocks(d: Dialect, x: str) -> str:
     """Texts that follow ``[[ID:n]]`` marks, up to the next mark, joined by a bar."""
     return d.join(d.map(d.all(filled(d, x), r"(?s)\[\[ID:[0-9]+\]\]([^\[]*)", 1), "v", d.strip("v")), "|")
+
+
+def aligned(d: Dialect, x: str, n: int) -> str:
+    """The numbered texts cut or padded with empty ones to ``n``, joined by a bar."""
+    found = d.map(d.all(filled(d, x), r"(?s)\[\[ID:[0-9]+\]\]([^\[]*)", 1), "v", d.strip("v"))
+    return d.join(d.padded(found, n), "|")

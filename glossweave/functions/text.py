@@ -368,3 +368,60 @@ def join_separator(d: Dialect, prev: str, following: str) -> str:
         f"WHEN {ac} AND ({bc} OR {bl}) THEN '' WHEN {al} AND {bc} THEN '' WHEN {al} AND {bl} THEN ' ' "
         f"WHEN {d.like(a, r'[ \t\n]')} THEN '' ELSE ' ' END"
     )
+
+
+def is_japanese_mismatch(d: Dialect, x: str) -> str:
+    """A reply that should be Japanese and is Chinese, Korean, longer English, or ideographs that look Chinese."""
+    t, reason = filled(d, x), detect_reason(d, x)
+    return (
+        f"CASE WHEN {is_blank(d, x)} THEN false WHEN {reason} IN ('hangul', 'cjk_unencodable') THEN true "
+        f"WHEN {reason} = 'latin' THEN {d.like(t, r'[ \t\n]')} OR length({t}) >= 12 WHEN {reason} = 'cjk_fallback' THEN {looks_chinese(d, x)} ELSE false END"
+    )
+
+
+def is_mismatch(d: Dialect, x: str, to: str) -> str:
+    return f"(NOT {is_expected_english(d, x)})" if to == "en" else is_japanese_mismatch(d, x)
+
+
+def clean_output(d: Dialect, x: str) -> str:
+    """Without turn tags, fences and a leading label."""
+    t = without_fences(d, d.sub(filled(d, x), r"</?(?:start_of_turn|end_of_turn|bos|eos)>"))
+    return d.strip(d.sub(t, r"(?i)^(?:英語翻訳|日本語翻訳|English\s*Translation|Japanese\s*Translation)\s*[:：]?\s*"))
+
+
+def segments(d: Dialect, x: str) -> str:
+    """The text cut into line breaks and what stands between them; joined again it is the text."""
+    return d.all(filled(d, x), r"\r\n|\r|\n|[^\r\n]+")
+
+
+def table_rows(d: Dialect, x: str) -> str:
+    return f"CASE WHEN {d.like(filled(d, x), chr(9))} THEN {d.size(d.lines(filled(d, x)))} ELSE 0 END"
+
+
+def table_columns(d: Dialect, x: str) -> str:
+    """The largest number of cells in a line; 0 without tabs."""
+    widths = d.map(d.lines(filled(d, x)), "v", f"length(v) - length({d.put('v', chr(9), '')}) + 1")
+    return f"CASE WHEN {d.like(filled(d, x), chr(9))} THEN {d.largest(widths)} ELSE 0 END"
+
+
+def structure(d: Dialect, x: str) -> str:
+    """Flags of a text's form: line feeds, numbered lines, bullets."""
+    t = filled(d, x)
+    return (
+        f"concat(CASE WHEN {d.like(t, chr(10))} THEN 'lines ' ELSE '' END, CASE WHEN {d.like(t, r'(?m)^\s*[0-9]+[.)]')} THEN 'numbered ' ELSE '' END, "
+        f"CASE WHEN {d.like(t, r'(?m)^\s*[-•・*]')} THEN 'bullets ' ELSE '' END)"
+    )
+
+
+def is_line_prefix(d: Dialect, shorter: str, longer: str) -> str:
+    """The longer text starts with the shorter one and goes on, if at all, with a line feed."""
+    a, b = filled(d, shorter), filled(d, longer)
+    return f"({d.starts(b, a)} AND (length({a}) = length({b}) OR substr({b}, length({a}) + 1, 1) = {d.text(chr(10))}))"
+
+
+def is_raw_prompt(d: Dialect, x: str) -> str:
+    return d.starts(filled(d, x), d.text("<bos><start_of_turn>"))
+
+
+def repeated_prompt(d: Dialect, x: str) -> str:
+    return f"concat({filled(d, x)}, {d.text(chr(10) * 2)}, {filled(d, x)})"

@@ -136,6 +136,19 @@ def _reply_columns(d: Dialect) -> dict[str, str]:
     }
 
 
+def _forms(d: Dialect) -> dict[str, str]:
+    x = "text"
+    return {
+        "jp_mismatch": t.is_japanese_mismatch(d, x), "en_mismatch": t.is_mismatch(d, x, "en"), "output": t.clean_output(d, x), "snippet": f"substr({t.filled(d, x)}, 1, 200)",
+        "segments": d.size(t.segments(d, x)), "rejoined": f"({d.join(t.segments(d, x), '')} = {t.filled(d, x)})", "table_rows": t.table_rows(d, x), "table_columns": t.table_columns(d, x),
+        "structure": t.structure(d, x), "raw": t.is_raw_prompt(d, x), "twice": f"length({t.repeated_prompt(d, x)})", "aligned": r.aligned(d, x, 3),
+    }
+
+
+def _prefixes(d: Dialect) -> dict[str, str]:
+    return {"prefix": t.is_line_prefix(d, "source", "out"), "separator": t.join_separator(d, "source", "out"), "mismatch": t.is_mismatch(d, "out", "jp")}
+
+
 def _geometry(d: Dialect) -> dict[str, str]:
     align = g.vertical_alignment("y0 + q % 13", "y1 - q % 7", "y0", "y1")
     lo, hi = g.expanded("y0", "y1", "q", "(q * 2)", f"({align})")
@@ -151,6 +164,8 @@ def _geometry(d: Dialect) -> dict[str, str]:
 
 QUERIES: dict[str, tuple[str, Columns]] = {
     "geometry_rules": ("spans", _geometry),
+    "text_forms": ("texts", _forms),
+    "pair_rules": ("pairs", _prefixes),
     "text_predicates": ("texts", _text_predicates),
     "should_translate": ("lines", _should_translate),
     "line_rules": ("lines", _line_rules),
