@@ -5,7 +5,8 @@
 2. Inverted lists: every pair among the ``INDEXED`` smallest retained values names a list.  Two
    sets that reach the threshold share at least two of those values but for a chance of 4e-6 (0.2^10 +
    8 * 0.2^9) at a similarity of exactly 0.8, and much less above it or where sets are small.
-3. Each list first gives a star: its members with a leader, another leader from list to list.  Pairs
+3. Each list first gives a star (of the members whose smallest value is in its name, which suffices to join
+   what is dense): its members with a leader, another leader from list to list.  Pairs
    whose union sketch estimates ``MAYBE`` or more are confirmed on the full sets, and confirmed links
    are closed to components.  A large group of near copies becomes one component here, at linear cost.
 4. Each list then has a main component, and members outside it.  Between two outside members a list of at
@@ -78,23 +79,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """key, rep, last (place of the last value used): one row for each pair among the smallest values."""
+    """key, rep, last (place of the second value), first (whether the smallest is one): a row for each pair of smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, owner, last = [], [], []
+            keys, owner, last, first = [], [], [], []
             for r, low in zip(rep, batch.column(1).to_pylist(), strict=True):
                 v = np.frombuffer(low, np.uint64)
                 i, j = np.triu_indices(len(v), 1)
                 keys.append(mix(mix(v[i]) * U(31) + v[j]))
                 owner.append(np.full(len(i), r))
                 last.append(j.astype(np.int8))
+                first.append(i == 0)
             yield pa.record_batch(
-                {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner).astype(np.int64), "last": np.concatenate(last)}
+                {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner).astype(np.int64), "last": np.concatenate(last), "first": np.concatenate(first)}
             )
 
-    return classes.where("n >= 4").select("rep", "low").mapInArrow(run, "key long, rep long, last byte")
+    return classes.where("n >= 4").select("rep", "low").mapInArrow(run, "key long, rep long, last byte, first boolean")
 
 
 def _deeper(hot: DataFrame, classes: DataFrame) -> DataFrame:
@@ -271,7 +273,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array([shingle_set(b, width).tobytes() for b in byte_rows(batch.column(1))], pa.binary())], names=["id", "set"]
             )
 
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    texts = docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi")  # alike at every size.dropDuplicates(["doc_id"]).select("doc_id", "text")
     return materialise(texts.mapInArrow(sets, "id long, set binary"), "sets")
 
 
@@ -361,8 +363,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     lists = materialise(postings.join(sizes, "key"), "lists")
     texts = docs.where("doc_id is not null")
-    pairs = materialise(_likely(stars(lists), known), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pairs = materialise(_likely(stars(lists.where("first")), known), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
     first = materialise(confirm(pairs, full_sets(ids, texts, width), percent), "checked")
     linked = first.where("linked").select("a", "b")
     joined = materialise(components(linked), "joined")
@@ -370,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = more.where("not whole").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
     beside = more.where("whole").select("a", "b")
     visited = joined.unionByName(joined.select(F.col("component").alias("node"), "component")).join(beside.select(F.col("b").alias("component")).distinct(), "component", "left_semi")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(beside.select("a")).union(visited.select("node")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).union(beside.select("a")).union(visited.select("node")).distinct()
     sets = full_sets(ids, texts, width)
     second = confirm(pairs, sets, percent).where("linked").select("a", "b").unionByName(beside_components(beside, joined, sets, percent))
     second = materialise(second, "checked")
