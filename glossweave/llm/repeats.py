@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.llm.kernels import byte_rows
-from glossweave.llm.scratch import materialise
+from glossweave.llm.scratch import discard, materialise
 
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -165,6 +165,7 @@ def repeated(docs: DataFrame, kernel: Kernel, earlier_only: bool) -> DataFrame:
     names = names.where("total > 1 and d0 < d1" if earlier_only else "total > 1")
     names = materialise(names.select("name", (F.col("s0") == F.col("s1")).alias("alike"), "d0"), "names")
     shared = materialise(runs.join(names, "name"), "shared-runs")
+    discard(runs, names)
     settled = shared.where("alike and d > d0" if earlier_only else "alike").select("d", "h", "a", "n")
     mixed = shared.where("not alike")
     classes = mixed.groupBy("name", "seg").agg(
@@ -177,6 +178,8 @@ def repeated(docs: DataFrame, kernel: Kernel, earlier_only: bool) -> DataFrame:
     met = single.groupBy("name", "w").agg(F.sum("copies").alias("all"), F.min("least").alias("first"), F.max("least").alias("last"))
     met = materialise(met.where("first < last" if earlier_only else "all > 1").select("name", "w", "first"), "met")
     found = single.join(met, ["name", "w"]).where("least > first" if earlier_only else "copies = 1").select("d", "h", F.col("at").alias("a"), F.lit(1).alias("n"))
+    found = materialise(found, "found")
+    discard(single, met)
     return settled.unionByName(many).unionByName(found).groupBy("d", "h").agg(F.collect_list(F.struct("a", "n")).alias("starts"))
 
 
