@@ -7,7 +7,7 @@ has a ``name``, the hash of content common to all its windows, and ``seg``, the
 1. Count names.  A run with a name that occurs once holds no repeated window; that is most of a corpus.
 2. Where all runs of a name are alike (one ``seg``), the runs are copies, and are settled as they stand.
 3. Else one run stands for each class of equal runs, and only its windows are hashed one by one;
-   equal windows of different classes meet by their hash.
+   equal windows of different classes meet by their hash.  What is found for it holds for each equal run.
 4. What was found goes back to the texts as intervals of window starts.
 
 Counts and minima are partial aggregates, and joins on names have a shuffle on both sides, so that
@@ -123,7 +123,7 @@ def _runs(docs: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def _windows(docs: DataFrame, reps: DataFrame, kernel: Kernel) -> DataFrame:
-    """d, h, at, name, w, copies, least: the windows of the runs in ``reps``, which has one row a text."""
+    """d, h, run (its first start), at, name, w, copies, least: the windows of the runs in ``reps``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,6 +138,7 @@ def _windows(docs: DataFrame, reps: DataFrame, kernel: Kernel) -> DataFrame:
                     {
                         "d": np.full(len(at), d[i]),
                         "h": np.full(len(at), h[i]),
+                        "run": a[each].astype(np.int32),
                         "at": at.astype(np.int32),
                         "name": name[each],
                         "w": kernel.windows(b, a, n).view(np.int64),
@@ -148,7 +149,7 @@ def _windows(docs: DataFrame, reps: DataFrame, kernel: Kernel) -> DataFrame:
 
     held = reps.groupBy("d", "h").agg(F.collect_list(F.struct("a", "n", "name", "copies", "least")).alias("runs"))
     return docs.join(held, ["d", "h"]).dropDuplicates(["d", "h"]).select("d", "h", "text", "runs").mapInArrow(
-        run, "d long, h long, at int, name long, w long, copies long, least long"
+        run, "d long, h long, run int, at int, name long, w long, copies long, least long"
     )
 
 
@@ -172,15 +173,21 @@ def repeated(docs: DataFrame, kernel: Kernel, earlier_only: bool) -> DataFrame:
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "h", "a", "n")).alias("rep"), F.min("d").alias("least")
     )
     classes = materialise(classes, "classes")
-    many = mixed.join(classes.select("name", "seg", "copies", "least"), ["name", "seg"]).where("d > least" if earlier_only else "copies > 1").select("d", "h", "a", "n")
+    same = mixed.join(classes.select("name", "seg", "copies", "least", F.col("rep.h").alias("rep_h"), F.col("rep.a").alias("rep_a")), ["name", "seg"])
+    many = same.where("d > least" if earlier_only else "copies > 1").select("d", "h", "a", "n")
     reps = classes.select("rep.d", "rep.h", "rep.a", "rep.n", "name", "copies", "least")
     single = materialise(_windows(docs, reps, kernel), "windows")
     met = single.groupBy("name", "w").agg(F.sum("copies").alias("all"), F.min("least").alias("first"), F.max("least").alias("last"))
     met = materialise(met.where("first < last" if earlier_only else "all > 1").select("name", "w", "first"), "met")
-    found = single.join(met, ["name", "w"]).where("least > first" if earlier_only else "copies = 1").select("d", "h", F.col("at").alias("a"), F.lit(1).alias("n"))
+    found = single.join(met, ["name", "w"]).where("least > first" if earlier_only else "copies = 1").select("d", "h", "run", "at")
     found = materialise(found, "found")
     discard(single, met)
-    return settled.unionByName(many).unionByName(found).groupBy("d", "h").agg(F.collect_list(F.struct("a", "n")).alias("starts"))
+    out = settled.unionByName(many).unionByName(found.select("d", "h", F.col("at").alias("a"), F.lit(1).alias("n")))
+    if earlier_only:  # runs equal to the representative in rows of its own id lose the same windows
+        twins = same.where("d = least and (h <> rep_h or a <> rep_a)").select("d", F.col("rep_h").alias("h"), F.col("rep_a").alias("run"), F.col("h").alias("own_h"), "a")
+        moved = found.join(materialise(twins.distinct(), "twins"), ["d", "h", "run"])
+        out = out.unionByName(moved.select("d", F.col("own_h").alias("h"), (F.col("a") + F.col("at") - F.col("run")).alias("a"), F.lit(1).alias("n")))
+    return out.groupBy("d", "h").agg(F.collect_list(F.struct("a", "n")).alias("starts"))
 
 
 def covered(length: int, starts: pa.Scalar | None, width: int) -> np.ndarray:
