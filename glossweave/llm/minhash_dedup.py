@@ -12,9 +12,8 @@
 4. Each list then has a main component, and members outside it.  Between two outside members a list of at
    most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
    is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
-   members against a large main component and goes on without it, or is split by a further
-   retained value; what is still longer after ``LEVELS`` values is tried in pairs of blocks of ``SHORT``.
-   Nothing is capped or dropped.
+   members against a large main component and goes on without it; without one, all its pairs are tried
+   in pairs of blocks of ``SHORT``.  Nothing is capped or dropped.
 
 Null and empty texts have an empty set and no link.  Repeated rows share a class.  A row with a null
 id gets its class's component and is never kept.  Extra columns are ignored here.
@@ -39,7 +38,6 @@ SKETCH = 64
 INDEXED = 10
 SHORT = 128
 MAYBE = 0.58
-LEVELS = 4
 _PAD = np.uint32(0xFFFFFFFF)
 
 
@@ -79,47 +77,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """key, rep, last (place of the second value), first (whether the smallest is one): a row for each pair of smallest values."""
+    """key, rep, first (whether the smallest value is one): a row for each pair of smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, owner, last, first = [], [], [], []
+            keys, owner, first = [], [], []
             for r, low in zip(rep, batch.column(1).to_pylist(), strict=True):
                 v = np.frombuffer(low, np.uint64)
                 i, j = np.triu_indices(len(v), 1)
                 keys.append(mix(mix(v[i]) * U(31) + v[j]))
                 owner.append(np.full(len(i), r))
-                last.append(j.astype(np.int8))
                 first.append(i == 0)
             yield pa.record_batch(
-                {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner).astype(np.int64), "last": np.concatenate(last), "first": np.concatenate(first)}
+                {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner).astype(np.int64), "first": np.concatenate(first)}
             )
 
-    return classes.where("n >= 4").select("rep", "low").mapInArrow(run, "key long, rep long, last byte, first boolean")
-
-
-def _deeper(hot: DataFrame, classes: DataFrame) -> DataFrame:
-    """The postings of lists that are too long, each split by every later one of the smallest values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pydict()
-            keys, owner, last, component = [], [], [], []
-            for key, rep, at, c, low in zip(rows["key"], rows["rep"], rows["last"], rows["c"], rows["low"], strict=True):
-                v = np.frombuffer(low, np.uint64)[at + 1 :]
-                keys.append(mix(mix(np.full(len(v), np.int64(key)).view(np.uint64)) * U(31) + v))
-                owner.append(np.full(len(v), rep, np.int64))
-                last.append(np.arange(at + 1, at + 1 + len(v), dtype=np.int8))
-                component.append(np.full(len(v), c, np.int64))
-            if keys:
-                yield pa.record_batch(
-                    {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner), "last": np.concatenate(last), "c": np.concatenate(component)}
-                )
-
-    return hot.join(classes.select("rep", "low"), "rep").select("key", "rep", "last", "c", "low").mapInArrow(
-        run, "key long, rep long, last byte, c long"
-    )
+    return classes.where("n >= 4").select("rep", "low").mapInArrow(run, "key long, rep long, first boolean")
 
 
 def _padded(sketch: list[bytes]) -> np.ndarray:
@@ -232,10 +206,9 @@ def stars(lists: DataFrame) -> DataFrame:
 
 def cross_pairs(lists: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b, whole: likely pairs that share a list and not yet a component, or a member and a whole component."""
-    rows = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "last", F.coalesce("component", "rep").alias("c"))
+    rows = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     full = classes.select("rep", "n", "sketch")
     found: list[DataFrame] = []
-    level = 2
     while True:
         weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         sizes = weight.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts"))
@@ -248,19 +221,14 @@ def cross_pairs(lists: DataFrame, component: DataFrame, classes: DataFrame) -> D
         big = F.col("most") >= max(2, SHORT // 4)
         rest = long.where(big & (F.col("c") != F.col("main")))  # what is outside a large component is held against all of it
         found.append(materialise(rest.select(F.col("rep").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside"))
-        mixed = long.where(~big).select("key", "rep", "last", "c")
-        rest = rest.select("key", "rep", "last", "c")
-        if level < LEVELS:
-            rows, level = rest.unionByName(_deeper(mixed, classes)), level + 1
-        elif mixed.isEmpty():
-            rows = rest
-        else:
+        mixed = long.where(~big).select("key", "rep", "c")
+        rows = rest.select("key", "rep", "c")
+        if not mixed.isEmpty():
             size = materialise(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
             mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
             each = mixed.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             each = each.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("main", F.lit(-(2**63)))
             found.append(materialise(_short(each.join(full, "rep")), "block-pairs"))
-            rows = rest
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from glossweave.llm import recompression
+from glossweave.llm import minhash_dedup, recompression
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -40,3 +41,26 @@ def test_recompression_equal_runs_in_one_id(spark, ids):
         want[(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g).encode())] += 1
     got = recompression.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == want
+
+
+def test_minhash_pair_that_shares_two_values_of_a_long_list(spark, monkeypatch):
+    """Of their ten smallest values two near copies share but two, and many unlike texts share these as well."""
+    monkeypatch.setattr(minhash_dedup, "SHORT", 8)
+    rng = random.Random(4)
+    values = lambda w: minhash_dedup.shingle_set(np.frombuffer(" ".join(w).encode(), np.uint8), 2)
+    while True:
+        a = _words(rng, 240)
+        low = values(a)[:10].tolist()
+        place = {int(values(a[i : i + 2])[0]): i for i in range(239)}
+        at = [place[v] for v in low]
+        b = list(a)
+        for i in at[:4] + at[6:]:
+            b[i] = _words(rng, 1)[0]
+        shared = set(low) & set(values(b)[:10].tolist())
+        if shared == {low[4], low[5]} and abs(at[4] - at[5]) > 2:
+            break
+    x, y = sorted(at[4:6])
+    unlike = [" ".join([*a[x : x + 2], *_words(rng, 2), *a[y : y + 2]]) for _ in range(30)]
+    rows = [(7, " ".join(a)), (3, " ".join(b)), *((100 + i, t) for i, t in enumerate(unlike))]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i, _ in rows} | {7: 3}
