@@ -7,9 +7,9 @@ proportion to it, at most 1, at the scale at which ``keep`` of all tokens are ex
 Whether a document stays follows from a hash of its id alone, so reruns agree.
 
 Targets default to the present shares raised to ``TEMPER`` and made to sum to 1: large sources give way
-to small ones.  Values beyond the ``MAX_VALUES`` largest of a marginal share one value, so the cells, which
-are fitted on the driver, are bounded whatever the input; documents meet them in a broadcast join.  A
-topic, unless a column names it, is the form of the text.
+to small ones.  Every value of a marginal is raked as its own.  Up to ``MAX_CELLS`` cells are fitted on the
+driver, and documents meet them in a broadcast join; more are fitted the same way by grouped sums over tables.
+A topic, unless a column names it, is the form of the text.
 
 Null in source, language or text counts as the empty string; a null id hashes as the empty string.  Texts
 without words weigh nothing and follow their cell.  Repeated rows share one decision.  An empty
@@ -21,13 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm.scratch import table
+from glossweave.llm.scratch import discard, materialise, table
 
 ROUNDS = 50
 TEMPER = 0.8
 KEEP = 0.8
-MAX_VALUES = 1000
-OTHER = "\x00other"
+MAX_CELLS = 20_000
 MARGINS = ("m_source", "m_lang", "m_topic")
 
 
@@ -85,7 +84,45 @@ def tempered(present: dict[str, float], temper: float) -> dict[str, float]:
     return {k: x / (sum(raised.values()) or 1.0) for k, x in raised.items()}
 
 
-def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, topic: Column | None = None) -> DataFrame:
+def fitted_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float, temper: float, rounds: int) -> DataFrame:
+    """The margins and m_p of each cell (margins, t), as ``rake`` and ``probabilities`` give them, without a bound on their number."""
+    spark = cells.sparkSession
+    total = float(cells.agg(F.sum("t")).first()[0] or 0)
+    x = materialise(cells.withColumn("t", F.col("t").cast("double")).withColumn("x", F.col("t").cast("double")), "raked")
+    want = []
+    for m in MARGINS:
+        present = x.groupBy(m).agg(F.sum("t").alias("t"))
+        given = (targets or {}).get(m)
+        if given:
+            held = spark.createDataFrame(list(given.items()), f"{m} string, share double")
+            share = present.join(held, m, "left").select(m, F.coalesce("share", F.lit(0.0)).alias("share"))
+        else:
+            raised = materialise(present.select(m, F.when(F.col("t") > 0, F.pow(F.col("t") / (total or 1.0), F.lit(temper))).otherwise(0.0).alias("w")), "tempered")
+            share = raised.select(m, (F.col("w") / F.lit(float(raised.agg(F.sum("w")).first()[0] or 1.0))).alias("share"))
+        want.append(materialise(share, "shares"))
+    for _ in range(rounds):
+        for m, share in zip(MARGINS, want, strict=True):
+            factor = x.groupBy(m).agg(F.sum("x").alias("sum")).join(share, m)
+            factor = factor.select(m, F.when(F.col("sum") > 0, F.col("share") * total / F.col("sum")).otherwise(0.0).alias("factor"))
+            scaled = materialise(x.join(factor, m).select(*MARGINS, "t", (F.col("x") * F.col("factor")).alias("x")), "raked")
+            discard(x)
+            x = scaled
+    weighed = x.withColumn("weight", F.when(F.col("t") > 0, F.col("x") / F.col("t")).otherwise(0.0))
+    scale, full = 0.0, -1
+    while True:  # cells that reach 1 leave, and the scale of the rest grows until no more do
+        least = F.col("weight") * scale <= 1
+        left, rest, n = weighed.where("t > 0").agg(F.sum(F.when(~least, F.col("t"))), F.sum(F.when(least, F.col("x"))), F.count(F.when(~least, 1))).first()
+        if n == full:
+            break
+        full = n
+        scale = max(scale, (keep * total - (left or 0.0)) / rest) if rest else float("inf")
+        if not rest:
+            break
+    p = F.when(F.col("t") == 0, 1.0).when(F.col("x") == 0, 0.0).otherwise(F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
+    return weighed.select(*MARGINS, p.alias("m_p"))
+
+
+def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER, topic: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc (the row as a struct), m_source, m_lang, m_topic, m_tokens, m_p, m_kept.  ``targets``: margin -> value -> share."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -95,11 +132,11 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | Non
         (topic_of(text) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))).alias("m_topic"),
         tokens_of(text).alias("m_tokens"),
     )
-    for m in MARGINS[:2]:
-        largest = rows.groupBy(m).agg(F.sum("m_tokens").alias("t")).orderBy(F.desc("t"), m).limit(MAX_VALUES).select(m).collect()
-        if len(largest) == MAX_VALUES:
-            rows = rows.withColumn(m, F.when(F.col(m).isin([r[0] for r in largest]), F.col(m)).otherwise(OTHER))
-    counted = rows.groupBy(*MARGINS).agg(F.sum("m_tokens").alias("t")).collect()
+    table_of_cells = materialise(rows.groupBy(*MARGINS).agg(F.sum("m_tokens").alias("t")), "cells")
+    u = F.conv(F.substring(F.sha2(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), 256), 1, 8), 16, 10).cast("double") / float(2**32)
+    counted = table_of_cells.limit(MAX_CELLS + 1).collect()
+    if len(counted) > MAX_CELLS:
+        return rows.join(fitted_cells(table_of_cells, targets, keep, temper, rounds), list(MARGINS)).withColumn("m_kept", u < F.col("m_p"))
     cells = {tuple(r[m] for m in MARGINS): float(r["t"]) for r in sorted(counted, key=lambda r: tuple(r[m] for m in MARGINS))}
     want = []
     for at, m in enumerate(MARGINS):
@@ -108,10 +145,9 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | Non
             present[key[at]] = present.get(key[at], 0.0) + x
         given = (targets or {}).get(m)
         want.append({k: given.get(k, 0.0) for k in present} if given else tempered(present, temper))
-    p = probabilities(cells, rake(cells, want), keep)
+    p = probabilities(cells, rake(cells, want, rounds), keep)
     spark = docs.sparkSession
     held = spark.createDataFrame([(*k, x) for k, x in p.items()], "m_source string, m_lang string, m_topic string, m_p double")
-    u = F.conv(F.substring(F.sha2(F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")), 256), 1, 8), 16, 10).cast("double") / float(2**32)
     return rows.join(F.broadcast(held), list(MARGINS)).withColumn("m_kept", u < F.col("m_p"))
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from glossweave.llm import minhash_dedup, recompression
+from glossweave.llm import minhash_dedup, mixing, recompression
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -64,3 +64,28 @@ def test_minhash_pair_that_shares_two_values_of_a_long_list(spark, monkeypatch):
     rows = [(7, " ".join(a)), (3, " ".join(b)), *((100 + i, t) for i, t in enumerate(unlike))]
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i for i, _ in rows} | {7: 3}
+
+
+@pytest.mark.parametrize("on_driver", [True, False])
+@pytest.mark.parametrize("given", [True, False])
+def test_mixing_rakes_every_source(spark, monkeypatch, on_driver, given):
+    """1200 sources keep their own targets, on the driver and in tables."""
+    if not on_driver:
+        monkeypatch.setattr(mixing, "MAX_CELLS", 100)
+    rng, sources = random.Random(6), 1200
+    rows = [(i, "w " * rng.randint(1, 60), rng.choice(["en", "de"]), f"s{i % sources}") for i in range(2 * sources)]
+    targets = {"m_source": {f"s{k}": (1 + k % 7) / sum(1 + j % 7 for j in range(sources)) for k in range(sources)}} if given else None
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in mixing.with_probability(df, targets, rounds=3).select("doc.doc_id", "m_topic", "m_p").collect()}
+    key = {i: (s, lang, got[i].m_topic) for i, _, lang, s in rows}
+    cells, margins = Counter(), [Counter() for _ in range(3)]
+    for i, t, *_ in rows:
+        cells[key[i]] += len(t.split())
+        for at in range(3):
+            margins[at][key[i][at]] += len(t.split())
+    want = [mixing.tempered(dict(m), mixing.TEMPER) for m in margins]
+    if given:
+        want[0] = targets["m_source"]
+    cells = {k: float(x) for k, x in cells.items()}
+    p = mixing.probabilities(cells, mixing.rake(cells, want, 3), mixing.KEEP)
+    assert len(got) == len(rows) and all(got[i].m_p == pytest.approx(p[key[i]], rel=1e-9) for i in got)
