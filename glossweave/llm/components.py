@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossweave.llm.scratch import materialise
+from glossweave.llm.scratch import discard, materialise
 
 
 def _star(both: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        e = materialise(small, "cc")
+        before_e, e = e, materialise(small, "cc")
+        discard(before_e)
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == tuple(state):
             break

@@ -1,22 +1,29 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-1. Each text's set of two-word shingles (or ``width``) is hashed once; the ``SKETCH`` smallest values
-   are its sketch.  Texts with the same set form one class, and one member stands for it.
-2. Inverted lists: every pair among the ``INDEXED`` smallest retained values names a list.  Two
-   sets that reach the threshold share at least two of those values but for a chance of 4e-6 (0.2^10 +
-   8 * 0.2^9) at a similarity of exactly 0.8, and much less above it or where sets are small.
-3. Each list first gives a star (of the members whose smallest value is in its name, which suffices to join
-   what is dense): its members with a leader, another leader from list to list.  Pairs
-   whose union sketch estimates ``MAYBE`` or more are confirmed on the full sets, and confirmed links
-   are closed to components.  A large group of near copies becomes one component here, at linear cost.
-4. Each list then has a main component, and members outside it.  Between two outside members a list of at
+1. Each text's set of word shingles (``width`` words each) is hashed once; the ``SKETCH`` smallest values
+   are its sketch.  Texts with the same set form one class; a hash of the set names it (its node).
+2. Inverted lists: every pair among the ``indexed(percent)`` smallest retained values names a list.  Two
+   sets at the threshold share at least two of those values but for a chance of ``MISS`` (for 80 percent: of
+   ten values, 0.2^10 + 8 * 0.2^9 = 4e-6); smaller sets and higher similarities miss less.
+3. Dense groups first.  Classes with the same smallest value are held against one of them, a link each,
+   so a group of near copies that holds a third of all rows costs one pair a member.  The lists
+   then shrink to one member for each component, and those of the other components in a list are
+   held against the largest one's, in ``ROUNDS`` rounds.  Confirmed links are closed to components.
+4. The lists are then completed: between two members outside a list's main component a list of at
    most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
    is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
    members against a large main component and goes on without it; without one, all its pairs are tried
    in pairs of blocks of ``SHORT``.  Nothing is capped or dropped.
 
-Null and empty texts have an empty set and no link.  Repeated rows share a class.  A row with a null
-id gets its class's component and is never kept.  Extra columns are ignored here.
+A pair is confirmed on the full sets where its union sketch estimates ``likely(percent)`` or more, 5.2 standard
+deviations below the threshold: of 64 values at least 35 must agree for 80 percent, which a linked pair
+fails with a chance of 3e-7.  The lists and this filter are the two probabilistic steps.
+
+Null and empty texts have an empty set and no link.  Texts may be of any length: sets grow with them, sketches do
+not.  Repeated rows share a class.  Rows that repeat an id with differing texts are documents of their own.  A
+component is named by its smallest id (of ties nothing depends); a row with a null id gets its component's
+and is never kept, and a component without any id is named null.  Extra columns are ignored by ``near_duplicates``
+and untouched by ``drop_near_duplicates``, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,20 +34,34 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm.components import components
 from glossweave.llm.kernels import U, byte_rows, mix, word_hashes
-from glossweave.llm.scratch import materialise, table
+from glossweave.llm.scratch import discard, materialise, table
 
 SKETCH = 64
-INDEXED = 10
 SHORT = 128
-MAYBE = 0.58
+ROUNDS = 2
+MISS = 5e-6
 _PAD = np.uint32(0xFFFFFFFF)
 
 
+def indexed(percent: int) -> int:
+    """How many of the smallest values must be indexed so that a linked pair shares two but for a chance of MISS."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
+    q = 1 - percent / 100
+    return next(k for k in range(2, SKETCH) if q**k + k * (1 - q) * q ** (k - 1) <= MISS)
+
+
+def likely(percent: int) -> float:
+    """The least estimate of a union sketch at which a pair is confirmed."""
+    p = percent / 100
+    return p - 5.2 * (p * (1 - p) / SKETCH) ** 0.5
+
+
 def shingle_set(b: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
     w = word_hashes(b, True)
@@ -54,46 +75,42 @@ def shingle_set(b: np.ndarray, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n, two sums that name the set, the sketch, and the smallest values for the index."""
+def sketches(rows: DataFrame, width: int, low_values: int) -> DataFrame:
+    """d, h, n, two sums that name the set, the sketch, and the smallest values for the index (of d, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2, sketch, low = [], [], [], [], []
-            for b in byte_rows(batch.column(1)):
+            for b in byte_rows(batch.column(2)):
                 s = shingle_set(b, width)
                 n.append(len(s))
                 s1.append(int(s.sum().view(np.int64)) if len(s) else 0)
                 s2.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
                 sketch.append((s[:SKETCH] >> U(32)).astype(np.uint32).tobytes())
-                low.append(s[:INDEXED].tobytes())
+                low.append(s[:low_values].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(low, pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "sketch", "low"],
+                [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(low, pa.binary())],
+                names=["d", "h", "n", "s1", "s2", "sketch", "low"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, low binary")
+    return rows.select("d", "h", "text").mapInArrow(run, "d long, h long, n long, s1 long, s2 long, sketch binary, low binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """key, rep, first (whether the smallest value is one): a row for each pair of smallest values."""
+    """key, node: a row for each pair of smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, owner, first = [], [], []
-            for r, low in zip(rep, batch.column(1).to_pylist(), strict=True):
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for r, low in zip(node, batch.column(1).to_pylist(), strict=True):
                 v = np.frombuffer(low, np.uint64)
                 i, j = np.triu_indices(len(v), 1)
                 keys.append(mix(mix(v[i]) * U(31) + v[j]))
                 owner.append(np.full(len(i), r))
-                first.append(i == 0)
-            yield pa.record_batch(
-                {"key": np.concatenate(keys).view(np.int64), "rep": np.concatenate(owner).astype(np.int64), "first": np.concatenate(first)}
-            )
+            yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(owner).astype(np.int64)})
 
-    return classes.where("n >= 4").select("rep", "low").mapInArrow(run, "key long, rep long, first boolean")
+    return classes.select("node", "low").mapInArrow(run, "key long, node long")
 
 
 def _padded(sketch: list[bytes]) -> np.ndarray:
@@ -117,30 +134,30 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (twice & (rank <= limit)).sum(axis=1) / np.maximum(total, 1)
 
 
-def _cross_pairs(rep: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray, main: int) -> list[tuple[int, int, bool]]:
+def _cross_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray, main: int, percent: int) -> list[tuple[int, int, bool]]:
     """Of one short list: likely pairs outside its main component, and members that some main member resembles."""
-    g = len(rep)
+    g, least = len(node), likely(percent)
     values, place = np.unique(sk, return_inverse=True)
     has = np.zeros((g, len(values)), np.float32)
     has[np.arange(g)[:, None], place.reshape(sk.shape)] = 1
     if values[-1] == _PAD:
         has[:, -1] = 0
     size = np.minimum(n, SKETCH)
-    close = has @ has.T >= 0.5 * np.minimum(size[:, None], size[None, :])
-    close &= 5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])
+    close = has @ has.T >= least * np.minimum(size[:, None], size[None, :])  # follows from the estimate that is asked for below
+    close &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     close &= c[:, None] != c[None, :]
     i, j = np.nonzero(np.triu(close, 1))
-    ok = estimate(sk[i], sk[j], n[i], n[j]) >= MAYBE if len(i) else np.zeros(0, bool)
+    ok = estimate(sk[i], sk[j], n[i], n[j]) >= least if len(i) else np.zeros(0, bool)
     out, several = set(), (c == main).sum() > 1
     for x, y in zip(i[ok], j[ok], strict=True):
         if several and (c[x] == main or c[y] == main):
-            out.add((int(rep[y if c[x] == main else x]), main, True))
+            out.add((int(node[y if c[x] == main else x]), main, True))
         else:
-            out.add((max(int(rep[x]), int(rep[y])), min(int(rep[x]), int(rep[y])), False))
+            out.add((max(int(node[x]), int(node[y])), min(int(node[x]), int(node[y])), False))
     return list(out)
 
 
-def _short(lists: DataFrame) -> DataFrame:
+def _short(lists: DataFrame, percent: int) -> DataFrame:
     """a, b, whole: from lists of at most SHORT members, pairs (whole is false) or a member and a component (true).
 
     Reads rows sorted by key, one list at a time.
@@ -152,11 +169,11 @@ def _short(lists: DataFrame) -> DataFrame:
         def solve(df: pd.DataFrame) -> pd.DataFrame:
             key = df["key"].to_numpy()
             cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            rep, n, c, main = df["rep"].to_numpy(), df["n"].to_numpy(), df["c"].to_numpy(), df["main"].to_numpy()
+            node, n, c, main = df["node"].to_numpy(), df["n"].to_numpy(), df["c"].to_numpy(), df["main"].to_numpy()
             sk = _padded(df["sketch"].tolist())
             found: set[tuple[int, int, bool]] = set()
             for s, t in zip(cut[:-1], cut[1:], strict=True):
-                found.update(_cross_pairs(rep[s:t], n[s:t], sk[s:t], c[s:t], int(main[s])))
+                found.update(_cross_pairs(node[s:t], n[s:t], sk[s:t], c[s:t], int(main[s]), percent))
             return pd.DataFrame(list(found), columns=["a", "b", "whole"]).astype({"a": np.int64, "b": np.int64, "whole": bool})
 
         for df in frames:
@@ -171,78 +188,95 @@ def _short(lists: DataFrame) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest)
 
-    return lists.select("key", "rep", "n", "sketch", "c", "main").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, whole boolean")
+    return lists.select("key", "node", "n", "sketch", "c", "main").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, whole boolean")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs whose sizes and union sketch allow a link."""
-    a = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    least = likely(percent)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             if len(df):
                 e = estimate(_padded(df["sa"].tolist()), _padded(df["sb"].tolist()), df["na"].to_numpy(), df["nb"].to_numpy())
-                yield df.loc[e >= MAYBE, ["a", "b"]]
+                yield df.loc[e >= least, ["a", "b"]]
 
-    rows = pairs.distinct().join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    rows = pairs.distinct().join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return rows.mapInPandas(run, "a long, b long")
 
 
-def _leader(lists: DataFrame) -> DataFrame:
-    """One member of each list, another one from list to list."""
-    return lists.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("leader"))
+def first_links(classes: DataFrame) -> DataFrame:
+    """a, b: each class with one of those that have the same smallest value (at most one pair for a class)."""
+    lists = classes.select(F.xxhash64(F.substring("low", 1, 8)).alias("key"), "node")
+    led = materialise(lists.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "b"), "leaders")
+    return lists.join(led, "key").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+def open_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """key, node, c: the lists that still hold several components, with each member's."""
+    rows = lists.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    parts = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    return materialise(rows.join(materialise(parts, "open-keys"), "key"), "open-lists")
 
 
-def stars(lists: DataFrame) -> DataFrame:
-    """a > b: every member of a list with the list's leader."""
-    led = materialise(_leader(lists), "leaders")
-    return lists.join(led, "key").where("rep <> leader").select(*_pair("rep", "leader"))
+def round_links(rows: DataFrame, turn: int) -> DataFrame:
+    """a, b: for each list and component one member, with one of the list's largest component.
+
+    Lists choose alike (by a hash of the node), so that two components meet in few distinct pairs.
+    """
+    one = rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"), F.count(F.lit(1)).alias("k"))
+    one = materialise(one, "list-components")
+    led = one.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("b"), F.col("c").alias("main")), F.struct("k", F.xxhash64("c", F.lit(turn)), "c")).alias("x"))
+    led = materialise(led.select("key", "x.b", "x.main"), "leaders")
+    return one.join(led, "key").where("c <> main").select(F.col("node").alias("a"), "b").distinct()
 
 
-def cross_pairs(lists: DataFrame, component: DataFrame, classes: DataFrame) -> DataFrame:
+def cross_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b, whole: likely pairs that share a list and not yet a component, or a member and a whole component."""
-    rows = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    full = classes.select("rep", "n", "sketch")
+    full = classes.select("node", "n", "sketch")
     found: list[DataFrame] = []
     while True:
         weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         sizes = weight.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts"))
         sizes = materialise(sizes.where("parts > 1").select("key", "size", "main", "most"), "sizes")
         rows = materialise(rows.join(sizes, "key"), "open-lists")
-        found.append(materialise(_short(rows.where(F.col("size") <= SHORT).join(full, "rep")), "short"))
+        found.append(materialise(_short(rows.where(F.col("size") <= SHORT).join(full, "node"), percent), "short"))
         long = rows.where(F.col("size") > SHORT)
         if long.isEmpty():
             break
         big = F.col("most") >= max(2, SHORT // 4)
         rest = long.where(big & (F.col("c") != F.col("main")))  # what is outside a large component is held against all of it
-        found.append(materialise(rest.select(F.col("rep").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside"))
-        mixed = long.where(~big).select("key", "rep", "c")
-        rows = rest.select("key", "rep", "c")
+        found.append(materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside"))
+        mixed = long.where(~big).select("key", "node", "c")
+        rows = rest.select("key", "node", "c")
         if not mixed.isEmpty():
             size = materialise(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
-            mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+            mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
             each = mixed.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             each = each.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("main", F.lit(-(2**63)))
-            found.append(materialise(_short(each.join(full, "rep")), "block-pairs"))
+            found.append(materialise(_short(each.join(full, "node"), percent), "block-pairs"))
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """id, set: the whole shingle sets of the texts with these ids."""
+def full_sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """id, set: the whole shingle sets of the classes named in ``nodes`` (id), read from one text each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
+            node = batch.column(0).to_numpy()
+            new = np.append(node[:1] != before, node[1:] != node[:-1]) if len(node) else np.zeros(0, bool)
+            before = node[-1] if len(node) else before
+            batch = batch.filter(pa.array(new))  # the join leaves repeated rows side by side
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([shingle_set(b, width).tobytes() for b in byte_rows(batch.column(1))], pa.binary())], names=["id", "set"]
             )
 
-    texts = docs.join(ids.hint("merge"), docs["doc_id"] == ids["id"], "left_semi")  # alike at every size.dropDuplicates(["doc_id"]).select("doc_id", "text")
-    return materialise(texts.mapInArrow(sets, "id long, set binary"), "sets")
+    at = classes.join(nodes, classes["node"] == nodes["id"], "left_semi").select("node", F.col("at.d").alias("d"), F.col("at.h").alias("h"))
+    rows = texts.join(at.hint("merge"), ["d", "h"]).select("node", "text")  # alike at every size
+    return materialise(rows.mapInArrow(sets, "id long, set binary"), "sets")
 
 
 def _reach(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -318,48 +352,95 @@ def confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept (whether it is its component's smallest id)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(sketches(docs, "doc_id", "text", width), "sketches")
-    groups = signed.where("n > 0").groupBy("n", "s1", "s2").agg(
-        F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("low").alias("low")
-    )
-    classes = materialise(groups, "classes")
-    known = classes.where("rep is not null")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the confirmed ones among the given pairs."""
+    pairs = materialise(_likely(pairs, classes, percent), "pairs")
+    sets = full_sets(_ends(pairs), classes, texts, width)
+    out = materialise(confirm(pairs, sets, percent).where("linked").select("a", "b").distinct(), "checked")
+    discard(pairs, sets)
+    return out
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after the components at both ends of each link have become one."""
+    to_a, to_b = (label.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("a", "ca"), ("b", "cb")))
+    between = links.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    further = materialise(components(between), "further").select(F.col("node").alias("old"), F.col("component").alias("last"))
+    moved = label.join(further, label["component"] == further["old"], "left").select("node", F.coalesce("last", "component").alias("component"))
+    return materialise(moved.unionByName(further.select(F.col("old").alias("node"), F.col("last").alias("component"))), "labels")
+
+
+def _labels(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, component of every class that is not its component's own name."""
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link with none but equal ones
+    known = classes.where(F.col("n") >= least)
+    label = _linked(first_links(known), known, texts, width, percent).select(F.col("a").alias("node"), F.col("b").alias("component"))
     postings = materialise(_postings(known), "postings")
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    lists = materialise(postings.join(sizes, "key"), "lists")
-    texts = docs.where("doc_id is not null")
-    pairs = materialise(_likely(stars(lists.where("first")), known), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()
-    first = materialise(confirm(pairs, full_sets(ids, texts, width), percent), "checked")
-    linked = first.where("linked").select("a", "b")
-    joined = materialise(components(linked), "joined")
-    more = materialise(cross_pairs(lists, joined, known), "more")
-    pairs = more.where("not whole").select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    beside = more.where("whole").select("a", "b")
-    visited = joined.unionByName(joined.select(F.col("component").alias("node"), "component")).join(beside.select(F.col("b").alias("component")).distinct(), "component", "left_semi")
-    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).union(beside.select("a")).union(visited.select("node")).distinct()
-    sets = full_sets(ids, texts, width)
-    second = confirm(pairs, sets, percent).where("linked").select("a", "b").unionByName(beside_components(beside, joined, sets, percent))
-    second = materialise(second, "checked")
-    to_a, to_b = (joined.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("a", "ca"), ("b", "cb")))
-    between = second.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    further = materialise(components(between), "further").withColumnRenamed("component", "last")
-    moved = joined.join(further, joined["component"] == further["node"], "left").select(joined["node"], F.coalesce("last", "component").alias("component"))
-    whole = moved.unionByName(further.withColumnRenamed("last", "component").join(joined.select("node"), "node", "left_anti"))
-    at = whole.withColumnRenamed("node", "rep")
-    named = classes.select("n", "s1", "s2", "rep").join(at, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")
+    several = postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
+    lists = materialise(postings.join(several, "key"), "lists")
+    discard(postings)
+    rows = open_lists(lists, label)
+    discard(lists)
+    for turn in range(1, ROUNDS):
+        label = _merged(label, _linked(round_links(rows, turn), known, texts, width, percent))
+        before, rows = rows, open_lists(rows.select("key", "node"), label)
+        discard(before)
+    more = materialise(cross_pairs(rows, known, percent), "more")
+    pairs, beside = more.where("not whole").select("a", "b"), more.where("whole").select("a", "b")
+    members = label.unionByName(label.select(F.col("component").alias("node"), "component")).distinct()
+    visited = members.join(beside.select(F.col("b").alias("component")).distinct(), "component", "left_semi").select(F.col("node").alias("id"))
+    sets = full_sets(_ends(pairs).unionByName(beside.select(F.col("a").alias("id"))).unionByName(visited).distinct(), known, texts, width)
+    links = confirm(pairs, sets, percent).where("linked").select("a", "b").unionByName(beside_components(beside, label, sets, percent))
+    links = materialise(links, "checked")
+    discard(sets, rows, more)
+    return _merged(label, links)
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """d, h, n, component of every distinct (id, text), and the rows (d, h, text) these come from; d is the id, null last."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    signed = materialise(sketches(texts, width, indexed(percent)), "sketches")
+    classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "h")).alias("at"), F.first("sketch").alias("sketch"), F.first("low").alias("low"))
+    classes = materialise(classes.withColumn("node", F.xxhash64("n", "s1", "s2")), "classes")
+    named = classes.select("n", "s1", "s2", "node").join(_labels(classes, texts, width, percent), "node", "left")
+    named = materialise(named.select("n", "s1", "s2", F.coalesce("component", "node").alias("component")), "components")
+    return signed.select("d", "h", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select("d", "h", "n", "component"), texts
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept (whether it is its component's smallest id)."""
+    rows, _ = labelled(docs, id_col, text_col, width, percent)
+    rows = materialise(rows, "labelled")
+    least = materialise(rows.where("component is not null").groupBy("component").agg(F.min("d").alias("first")), "least")
+    own = F.nullif(F.col("d"), F.lit(2**63 - 1))
+    first = F.nullif(F.coalesce("first", "d"), F.lit(2**63 - 1))
+    return rows.join(least, "component", "left").select(
+        own.alias("doc_id"), F.col("n").alias("n_shingles"), first.alias("component_id"), F.coalesce(own == first, F.lit(False)).alias("kept")
     )
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, columns as they are, without all but one text of each component.
+
+    The text with the smallest id stays (a null id comes last; of one id's texts, that with the smallest hash).
+    Texts without words are no near copies of each other and stay.  Repeated rows stay or go together.
+    """
+    rows, _ = labelled(docs, id_col, text_col, width, percent)
+    rows = materialise(rows.distinct(), "labelled")
+    best = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("d", "h")).alias("best"))
+    gone = rows.join(materialise(best, "least"), "component").where(F.struct("d", "h") != F.col("best"))
+    gone = materialise(gone.select(F.col("d").alias("__gone_d"), F.col("h").alias("__gone_h")), "gone")
+    d, h = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(gone, (d == gone["__gone_d"]) & (h == gone["__gone_h"]), "left_anti")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 OP7_SQL = r"""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -57,7 +58,7 @@ def test_minhash_components(docs, rows):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = Counter((i, len(sets[i]), find(i), i == find(i)) for i, *_ in rows)
-    assert Counter(map(tuple, minhash_dedup.near_duplicates(docs).collect())) == want
+    assert Counter(map(tuple, minhash_dedup.near_duplicates(docs, width=2).collect())) == want
 
 
 def test_minhash_long_lists_in_blocks(spark, docs, rows, monkeypatch):
@@ -65,6 +66,56 @@ def test_minhash_long_lists_in_blocks(spark, docs, rows, monkeypatch):
     test_minhash_components(docs, rows)
 
 
+@pytest.mark.parametrize("percent", [60, 90])
+def test_minhash_other_thresholds(spark, percent):
+    """Pairs at, just above and just below other thresholds, and small sets."""
+    rng, rows, want = random.Random(percent), [], {}
+    for k in range(60):
+        w = ["w%d_%d" % (k, i) for i in range(rng.choice([3, 4, 9, 40, 300]))]
+        v = list(w)
+        for _ in range(rng.randint(1, max(1, len(w) // 6))):
+            v[rng.randrange(len(v))] = "x%d" % rng.randrange(10**6)
+        a, b = set(zip(w, w[1:])), set(zip(v, v[1:]))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if 100 * len(a & b) >= percent * len(a | b) else 2 * k + 1}
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want and len(set(want.values())) not in (60, 120)
+    with pytest.raises(ValueError):
+        minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50)
+
+
+def test_minhash_repeated_rows(spark):
+    """A row 40 times over, an id with a near copy and a text of its own, null ids, and clashing extra columns."""
+    rng = random.Random(3)
+    one, other = _text(rng, 100), _text(rng, 100)
+    near = one.replace(one.split()[50], "changed", 1)
+    rows = [(1, one)] * 40 + [(7, near)] * 40 + [(7, other)] + [(None, near), (None, other + " more"), (None, None)]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, d long, h long, component long")
+    got = Counter(map(tuple, minhash_dedup.near_duplicates(df, width=2).select("doc_id", "component_id", "kept").collect()))
+    assert got == {(1, 1, True): 40, (7, 1, False): 40, (7, 7, True): 1, (None, 1, False): 1, (None, 7, False): 1, (None, None, False): 1}
+    kept = minhash_dedup.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, one): 40, (7, other): 1, (None, None): 1}
+
+
+def test_minhash_dense_group(spark, monkeypatch):
+    """A large group of near copies of one text: one component, and joins that grow with its members."""
+    monkeypatch.setattr(minhash_dedup, "SHORT", 16)
+    rng = random.Random(12)
+    base = _text(rng, 120).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(len(w))] = "z%d" % i
+        rows.append((1000 - i, " ".join(w)))
+    got = {r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {701}
+
+
+def _text(rng, n):
+    return " ".join("".join(rng.choice("abcdefghinorst") for _ in range(7)) for _ in range(n))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from glossweave.llm.components import components
 
@@ -148,6 +199,7 @@ def test_null_ids(spark):
     assert exact_dedup.decisions(df).where("keep_id = 1").count() == 2
     got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect()}
     assert got == {(None, 1, False), (None, None, False), (1, 1, True)}
+    assert {r.doc_id for r in minhash_dedup.drop_near_duplicates(df).collect()} == {1, None}
     assert suffix_dedup.remove_repeats(df, 4).where("n_removed > 0").count() == 2
     assert recompression.remove_repeats(df, 3).where("n_removed > 0").count() == 1
     assert line_dedup.drop_recurring(df).count() == 3

@@ -56,7 +56,7 @@ def test_near_keeps_smallest_of_component(steps):
 
     def shingles(t):
         w = [x.lower() for x in WORD.findall(t or "")]
-        return {tuple(w)} if len(w) == 1 else {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     sets = {r[0]: shingles(r[1]) for r in before}
     least = {i: i for i in sets}

@@ -62,7 +62,7 @@ def test_minhash_pair_that_shares_two_values_of_a_long_list(spark, monkeypatch):
     x, y = sorted(at[4:6])
     unlike = [" ".join([*a[x : x + 2], *_words(rng, 2), *a[y : y + 2]]) for _ in range(30)]
     rows = [(7, " ".join(a)), (3, " ".join(b)), *((100 + i, t) for i, t in enumerate(unlike))]
-    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
     assert got == {i: i for i, _ in rows} | {7: 3}
 
 
