@@ -3,62 +3,121 @@
 Lines are cut at line feeds and into words; words with a digit become ``<*>``.  The tree has fixed depth:
 a line goes by its number of words, then by its first ``LEADING`` words, to a leaf.  Leaves that fewer than
 ``MIN_DOCS`` documents reach cannot recur and drop out, which is most of prose.  In a leaf, a word
-that stands at its place in at least ``MIN_DOCS`` line-documents is fixed and any other is variable.  A line
-whose words are fixed for at least ``FIXED`` percent has the template of its fixed words with ``<*>`` between;
-templates that recur in ``MIN_DOCS`` line-documents or more are dropped from all of them.
+that stands at its place in at least ``MIN_DOCS`` line-documents is fixed and any other is variable.  The leading
+words are fixed by the tree itself, so they tell nothing: a line has a template if at least ``FIXED`` percent of
+its other words, masked ones aside, are fixed, and some word of it is.  The template is its fixed words with
+``<*>`` between; templates that recur in ``MIN_DOCS`` line-documents or more are dropped from all of them.
+
+One pass hashes every line; what follows works on these hashes, and the text of one line for each
+distinct line of a live leaf is fetched to find its words.
 
 A line-document is a distinct line in a distinct document.  Blank lines stay and count for nothing.  Null
-counts as empty.  Rows that repeat an id count as one document if the text repeats too, else as several.
-Extra columns are ignored; an empty table gives no rows.  Counting is by partial aggregates over
+counts as empty; texts and lines may be of any length.  Rows that repeat an id count as one document if the
+text repeats too, else as several.  There are no ties: a template recurs or not.  Extra columns are
+ignored, whatever their names; an empty table gives no rows.  Counting is by partial aggregates over
 distinct lines, so a line that a third of all documents hold is one row from each task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm.repeats import keyed
-from glossweave.llm.scratch import materialise, table
+from glossweave.llm.scratch import discard, materialise, table
 
 MIN_DOCS = 20
 LEADING = 3
 FIXED = 60
 WILD = "<*>"
-_BLANKS = "[ \\x09\\x0B-\\x0D]+"
+_BLANKS = str.maketrans("\t\x0b\x0c\r", "    ")
+_DIGIT = re.compile("[0-9]")
+_NUMBERED = re.compile("[^ ]*[0-9][^ ]*")
 
 
-def _words(line: Column) -> Column:
-    """The words of a line, those with digits masked."""
-    plain = F.btrim(F.regexp_replace(line, _BLANKS, " "), F.lit(" "))
-    return F.split(F.regexp_replace(plain, "[^ ]*[0-9][^ ]*", WILD), " ")
+def masked(line: str) -> str:
+    """The words of a line, joined by one blank, those with digits masked; empty for a blank line."""
+    plain = " ".join(filter(None, line.translate(_BLANKS).split(" ")))
+    return _NUMBERED.sub(WILD, plain) if _DIGIT.search(plain) else plain
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """d, h, i, line of every line (from ``keyed`` documents)."""
-    return docs.select("d", "h", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-
-
-def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """leaf, masked, template, of the masked lines that are dropped."""
-    marked = lines(docs).withColumn("masked", F.array_join(_words(F.col("line")), " ")).where("masked <> ''")
-    leaf = F.xxhash64(F.size(F.split("masked", " ")), F.slice(F.split("masked", " "), 1, LEADING))
-    marked = marked.select("d", "h", leaf.alias("leaf"), F.xxhash64("masked").alias("m"), "masked")
-    pairs = materialise(marked.select("leaf", "m", "d", "h").distinct(), "line-docs")
-    leaves = pairs.select("leaf", "d", "h").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    """d, h, i, leaf, m of every line that is not blank (of ``keyed`` documents); m names the masked line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            row, at, leaf, m = [], [], [], []
+            for r, text in enumerate(batch.column(2)):
+                for i, line in enumerate(text.as_py().split("\n")):
+                    if x := masked(line):
+                        b = x.encode()
+                        row.append(r)
+                        at.append(i)
+                        m.append(digest(b))
+                        leaf.append(digest(b" ".join(b.split(b" ", LEADING)[:LEADING]), b.count(b" ")))
+            k = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(k), batch.column(1).take(k), pa.array(at, pa.int32()), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in (leaf, m)]],
+                names=["d", "h", "i", "leaf", "m"],
+            )
+
+    return docs.select("d", "h", "text").mapInArrow(run, "d long, h long, i int, leaf long, m long")
+
+
+def _said(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """leaf, m, n, masked: the words of the lines in ``held`` (leaf, m, n, rep), each read from one document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                parts = text.as_py().split("\n")
+                for w in wanted.as_py():
+                    for c, v in zip(out, (w["leaf"], w["m"], w["n"], masked(parts[w["i"]])), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], names=["leaf", "m", "n", "masked"])
+
+    need = held.groupBy(F.col("rep.d").alias("d"), F.col("rep.h").alias("h")).agg(F.collect_list(F.struct("rep.i", "leaf", "m", "n")).alias("wanted"))
+    rows = docs.select("d", "h", "text").join(need.hint("merge"), ["d", "h"]).select("text", "wanted")
+    return rows.mapInArrow(run, "leaf long, m long, n long, masked string").dropDuplicates(["leaf", "m"])  # a repeated row tells twice
+
+
+def live_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """d, h, i, leaf, m of the lines in leaves with ``min_docs`` lines or more."""
+    every = materialise(lines(docs), "lines")
+    often = materialise(every.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_docs).select("leaf"), "often")
+    live = materialise(every.join(often.hint("merge"), "leaf"), "live-lines")
+    discard(every, often)
+    return live
+
+
+def templates(docs: DataFrame, live: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """leaf, m, masked, template, docs of the masked lines that are dropped."""
+    pairs = materialise(live.groupBy("leaf", "m", "d", "h").agg(F.min("i").alias("i")), "line-docs")
+    leaves = pairs.select("leaf", "d", "h").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_docs)
     leaves = materialise(leaves.select("leaf"), "leaves")
-    held = materialise(pairs.join(leaves, "leaf").groupBy("leaf", "m").agg(F.count(F.lit(1)).alias("n")), "line-counts")
-    said = marked.select("leaf", "m", "masked").distinct().join(held, ["leaf", "m"]).select("leaf", "m", "n", "masked")
-    said = materialise(said, "leaf-lines")
+    held = pairs.join(leaves.hint("merge"), "leaf").groupBy("leaf", "m").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "h", "i")).alias("rep"))
+    said = materialise(_said(docs, materialise(held, "held")), "leaf-lines")
+    discard(pairs)
     words = said.select("leaf", "m", "n", F.posexplode(F.split("masked", " ")).alias("j", "word"))
-    fixed = words.groupBy("leaf", "j", "word").agg(F.sum("n").alias("support")).where((F.col("support") >= min_docs) & (F.col("word") != WILD))
+    fixed = words.where(F.col("word") != WILD).groupBy("leaf", "j", "word").agg(F.sum("n").alias("support")).where(F.col("support") >= min_docs)
     fixed = materialise(fixed.select("leaf", "j", "word", F.lit(True).alias("fixed")), "fixed-words")
-    told = words.join(fixed, ["leaf", "j", "word"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    told = words.join(fixed.hint("merge"), ["leaf", "j", "word"], "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+    later = F.col("j") >= LEADING
     shaped = told.groupBy("leaf", "m", "n").agg(
         F.array_sort(F.collect_list(F.struct("j", F.when(F.col("fixed"), F.col("word")).otherwise(WILD).alias("word")))).alias("x"),
-        F.sum(F.col("fixed").cast("int")).alias("k"),
+        F.count_if("fixed").alias("k"),
+        F.count_if(F.col("fixed") & later).alias("k_later"),
+        F.count_if((F.col("word") != WILD) & later).alias("n_later"),
     )
-    shaped = shaped.where(100 * F.col("k") >= FIXED * F.size("x")).select("leaf", "m", "n", F.array_join(F.col("x.word"), " ").alias("template"))
+    shaped = shaped.where((100 * F.col("k_later") >= FIXED * F.col("n_later")) & (F.col("k") > 0)).select("leaf", "m", "n", F.array_join(F.col("x.word"), " ").alias("template"))
     shaped = materialise(shaped, "templates")
     often = shaped.groupBy("leaf", "template").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
     return shaped.join(materialise(often, "recurring"), ["leaf", "template"]).join(said.select("leaf", "m", "masked"), ["leaf", "m"]).select("leaf", "m", "masked", "template", "docs")
@@ -67,18 +126,29 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (the remaining lines joined by a line feed)."""
     rows = keyed(docs, id_col, text_col)
-    drop = materialise(templates(rows, min_docs).select("m").distinct(), "dropped-lines").withColumn("gone", F.lit(True))
-    masked = F.xxhash64(F.array_join(_words(F.col("line")), " "))
-    hit = lines(rows).select("d", "h", "i", masked.alias("m")).join(drop, "m").groupBy("d", "h").agg(F.collect_set("i").alias("gone"))
-    split = F.split("text", "\n")
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
-    out = rows.join(materialise(hit, "dropped"), ["d", "h"], "left")
-    return out.select(
-        "doc_id",
-        F.size(split).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
-    )
+    live = live_lines(rows, min_docs)
+    drop = materialise(templates(rows, live, min_docs).select("leaf", "m"), "dropped-lines")
+    hit = materialise(live.join(drop.hint("merge"), ["leaf", "m"]).groupBy("d", "h").agg(F.collect_set("i").alias("gone")), "dropped")
+    discard(live)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, gone, kept = [], [], []
+            for text, held in zip(batch.column(1), batch.column(2), strict=True):
+                t = text.as_py()
+                if held.is_valid:
+                    parts, out = t.split("\n"), set(held.values.to_pylist())
+                    total.append(len(parts))
+                    gone.append(len(out))
+                    kept.append("\n".join(x for i, x in enumerate(parts) if i not in out))
+                else:
+                    total.append(t.count("\n") + 1)
+                    gone.append(0)
+                    kept.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+
+    out = rows.join(hit.hint("merge"), ["d", "h"], "left").select("doc_id", "text", "gone")
+    return out.mapInArrow(cut, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +171,8 @@ fixed AS (SELECT leaf, j, word, true AS fixed FROM words WHERE word <> '{WILD}'
 shaped AS (
   SELECT w.leaf, masked, n, string_agg(CASE WHEN fixed THEN w.word ELSE '{WILD}' END, ' ' ORDER BY w.j) AS template
   FROM words w LEFT JOIN fixed f ON f.leaf = w.leaf AND f.j = w.j AND f.word = w.word
-  GROUP BY w.leaf, masked, n HAVING 100 * count(fixed) >= {FIXED} * count(*)),
+  GROUP BY w.leaf, masked, n
+  HAVING count(fixed) > 0 AND 100 * count(fixed) FILTER (w.j >= {LEADING}) >= {FIXED} * count(*) FILTER (w.j >= {LEADING} AND w.word <> '{WILD}')),
 often AS (SELECT leaf, template FROM shaped GROUP BY ALL HAVING sum(n) >= {MIN_DOCS}),
 gone AS (SELECT DISTINCT masked FROM shaped JOIN often USING (leaf, template))
 SELECT m.doc_id, count(*) AS n_lines, count(g.masked) AS n_dropped,

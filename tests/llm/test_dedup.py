@@ -185,6 +185,48 @@ def test_lines(docs, rows):
         assert r.kept == "\n".join(x for x in lines if x not in gone)
 
 
+def test_lines_against_brute_force(spark):
+    """Whole tree by hand: short lines that share leading words only, masked fields, blanks, numbers alone, repeated rows."""
+    rng, least = random.Random(2), 5
+    word = lambda: "".join(rng.choice("abcde") for _ in range(2))
+    rows = []
+    for i in range(60):
+        t = ["It was the " + _text(rng, 2), "Page  %d of\t%d" % (i, 2 * i), "\t", "%d %d %d %d" % (i, i, i, i), " ".join([word() for _ in range(rng.randint(1, 5))])]
+        t += ["Printed for %s in the year %d by all hands" % (word(), i)] * rng.randint(0, 2) + ["x" * 70000] * (i == 3)
+        rng.shuffle(t)
+        rows.append((i, "\n".join(t)))
+    rows += [rows[5], (5, "Page 1 of 2"), (None, None), (None, "Page 3 of 4")]
+
+    def mask(line):
+        return tuple("<*>" if re.search("[0-9]", w) else w for w in re.split("[ \t\x0b-\x0d]+", line.strip(" \t\x0b\x0c\r")) if w)
+
+    leaf = lambda m: (len(m), m[:3])
+    pairs = {(leaf(mask(x)), mask(x), r) for r in rows for x in (r[1] or "").split("\n") if mask(x)}
+    reach = Counter(k for k, _ in {(k, r) for k, _, r in pairs})
+    said = Counter((k, m) for k, m, _ in pairs if reach[k] >= least)
+    support = Counter()
+    for (k, m), n in said.items():
+        for j, w in enumerate(m):
+            support[k, j, w] += n * (w != "<*>")
+    shape = {}
+    for k, m in said:
+        fixed = [support[k, j, w] >= least for j, w in enumerate(m)]
+        if any(fixed) and 100 * sum(fixed[3:]) >= 60 * sum(w != "<*>" for w in m[3:]):
+            shape[k, m] = tuple(w if f else "<*>" for w, f in zip(m, fixed, strict=True))
+    total = Counter()
+    for (k, m), t in shape.items():
+        total[k, t] += said[k, m]
+    gone = {m for (k, m), t in shape.items() if total[k, t] >= least}
+    want = Counter()
+    for i, t in rows:
+        parts = (t or "").split("\n")
+        keep = [x for x in parts if mask(x) not in gone]
+        want[i, len(parts), len(parts) - len(keep), "\n".join(keep)] += 1
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, d int, leaf string")
+    assert Counter(map(tuple, line_dedup.drop_recurring(df, least).collect())) == want
+    assert not any(m[:3] == ("It", "was", "the") for m in gone) and any(m[0] == "Page" for m in gone)
+
+
 def test_empty_tables(none):
     assert exact_dedup.decisions(none).count() == 0
     assert exact_dedup.drop_duplicates(none).count() == 0
