@@ -21,8 +21,12 @@ class Dialect:
         raise NotImplementedError
 
     def strip(self, x: str) -> str:
-        """Without white space at either end."""
-        return self.sub(x, rf"^{WS}+|{WS}+$")
+        """Without white space at either end, in one pass from each."""
+        raise NotImplementedError
+
+    def rewrite(self, x: str, pattern: str, m: str, by: str) -> str:
+        """``x`` with every match ``m`` of the pattern replaced by the expression ``by``."""
+        raise NotImplementedError
 
     def lines(self, x: str) -> str:
         raise NotImplementedError
@@ -35,6 +39,36 @@ class Spark(Dialect):
         escaped = s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
         return f"'{escaped}'"
 
+    def strip(self, x: str) -> str:
+        return f"btrim({x}, {self.text(BLANKS)})"
+
+    def rewrite(self, x: str, pattern: str, m: str, by: str) -> str:
+        between, found = f"split({x}, {self.text(pattern)})", f"transform({self.all(x, pattern)}, {m} -> {by})"
+        return f"array_join(zip_with({between}, {found}, (rest, {m}) -> concat(rest, coalesce({m}, ''))), '')"
+
+    def let(self, value: str, name: str, e: str) -> str:
+        """``e`` with ``name`` for a value that is computed once."""
+        return f"transform(array({value}), {name} -> {e})[0]"
+
+    def grouped(self, x: str) -> str:
+        return f"format_number(CAST({x} AS BIGINT), 0)"
+
+    def distinct(self, a: str) -> str:
+        return f"array_distinct({a})"
+
+    def numbered(self, a: str, v: str, i: str, e: str) -> str:
+        """Like ``map``, with the position from 1."""
+        return f"transform({a}, ({v}, {i}) -> {e})".replace(f"<{i}>", f"CAST({i} + 1 AS BIGINT)")
+
+    def concat_lists(self, *lists: str) -> str:
+        return f"concat({', '.join(lists)})"
+
+    def where_position(self, a: str, x: str) -> str:
+        return f"CAST(array_position({a}, {x}) AS BIGINT)"
+
+    def position(self, x: str, y: str) -> str:
+        return f"CAST(instr({x}, {y}) AS BIGINT)"
+
     def like(self, x: str, pattern: str) -> str:
         return f"regexp_like({x}, {self.text(pattern)})"
 
@@ -133,6 +167,34 @@ class Oracle(Dialect):
         parts = s.replace("'", "''").replace("\n", "'||chr(10)||'").replace("\r", "'||chr(13)||'").replace("\t", "'||chr(9)||'").replace("\0", "'||chr(0)||'")
         return f"('{parts}')" if "||" in parts else f"'{parts}'"
 
+    def strip(self, x: str) -> str:
+        return f"trim({x}, {self.text(BLANKS)})"
+
+    def rewrite(self, x: str, pattern: str, m: str, by: str) -> str:
+        between, found = f"string_split_regex({x}, {self.text(pattern)})", f"list_transform({self.all(x, pattern)}, lambda {m}: {by})"
+        return f"array_to_string(list_transform(list_zip({between}, {found}), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+    def let(self, value: str, name: str, e: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {e})[1]"
+
+    def grouped(self, x: str) -> str:
+        return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+    def distinct(self, a: str) -> str:
+        return f"list_filter({a}, lambda item, place: list_position({a}, item) = place)"
+
+    def numbered(self, a: str, v: str, i: str, e: str) -> str:
+        return f"list_transform({a}, lambda {v}, {i}: {e})".replace(f"<{i}>", i)
+
+    def concat_lists(self, *lists: str) -> str:
+        return f"({' || '.join(lists)})"
+
+    def where_position(self, a: str, x: str) -> str:
+        return f"CAST(list_position({a}, {x}) AS BIGINT)"
+
+    def position(self, x: str, y: str) -> str:
+        return f"instr({x}, {y})"
+
     def like(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, {self.text(pattern)})"
 
@@ -226,3 +288,5 @@ class Oracle(Dialect):
 
 #: White space in both engines' terms.
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same as characters.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

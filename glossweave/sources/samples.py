@@ -32,3 +32,15 @@ def values(rows: list[tuple[str, ...]] | list[str], dialect: object) -> str:
         fields = (r,) if isinstance(r, str) else r
         out.append(f"({-1 - i}, {', '.join(dialect.text(f) for f in fields)})")
     return "VALUES " + ", ".join(out)
+
+AMOUNTS = [
+    "売上高は▲10億円。22万円。3月。", "2兆2,385億円(前年同期比1,554億円減)", "4兆279億円", "8,021億円と▲50 と △1.5億円、3月と11月", "5万3千円と1,200台と2千台", "利益 >= 5% かつ x<y → 約~10", "¥450 billion and -¥1.25bn yen",
+    "450 billion yen", "(450) billion yen", "▲450 billion", "450bn", "4,500 oku yen", "1.2 trllion yen and ¥3 trillion", "12.5 thousand yen, 3 million, ¥1,234.5 million", "Okinawa is different from oku.", "22,385 oku yen",
+    "1兆円と1兆と10,000億", "▲3万円 △4千台 -2億 +5億円", "1.5万円と0.5千台 兆5万", "売上 5億 売上 5億", "-¥0.0000001 billion", "100,000,000 billion", "9月 10月 13月 0月", "a>=b, c ≧ d", "↑ ↓ → ~", "no amounts here",
+]
+
+REPAIRS = [
+    ("売上は539億円", "Sales were 539 billion yen"), ("2兆2,385億円", "22,385 oku yen"), ("2兆2,385億円", "2.2385 trillion yen"), ("4兆279億円", "4.279 trillion yen and 4,279 billion yen"), ("539億", "¥53.9 billion, 1.2bn"),
+    ("▲10億円", "(10) oku yen"), ("22万円と3千台", "220,000 yen, 3,000 units and 22 man yen"), ("5万", "50,000. and 50,000, x50,000"), ("1月と9月と3月", "January, Sept and march and March"), ("5月", "may be MAY"), ("12月", "Dec. and December"),
+    ("1兆と2兆", "1 trillion and 2,000 billion"), ("1億", "10 bn"), ("", "5 oku"), ("3億", "3億 left"), ("文", "1,000 billion yen and (2.5) trillion, 30 oku yen, ¥7 bn"), ("4兆279億円と5兆", "5,000 billion"), ("2千", "2 sen-yen 2 sen"),
+]
