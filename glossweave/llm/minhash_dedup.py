@@ -5,10 +5,11 @@
 2. Inverted lists: every pair among the ``indexed(percent)`` smallest retained values names a list.  Two
    sets at the threshold share at least two of those values but for a chance of ``MISS`` (for 80 percent: of
    ten values, 0.2^10 + 8 * 0.2^9 = 4e-6); smaller sets and higher similarities miss less.
-3. Dense groups first.  Classes with the same smallest value are held against one of them, a link each,
-   so a group of near copies that holds a third of all rows costs one pair a member.  The lists
-   then shrink to one member for each component, and those of the other components in a list are
-   held against the largest one's, in ``ROUNDS`` rounds.  Confirmed links are closed to components.
+3. Dense groups first.  Classes with the same smallest value are held, by their sketches, against ``LEADERS`` of
+   them, and each takes the most similar one as a likely link.  The lists then shrink to one member for each
+   likely component, and those beside a list's largest component are held against ``LEADERS`` members of it,
+   ``ROUNDS`` times.  So a group of near copies that holds a third of all rows costs a few
+   estimates and one link a member.  All likely links are confirmed on the full sets and closed to components.
 4. The lists are then completed: between two members outside a list's main component a list of at
    most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
    is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
@@ -34,7 +35,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm.components import components
@@ -43,9 +44,11 @@ from glossweave.llm.scratch import discard, materialise, table
 
 SKETCH = 64
 SHORT = 128
+LEADERS = 4
 ROUNDS = 2
 MISS = 5e-6
 _PAD = np.uint32(0xFFFFFFFF)
+_NONE = U(2**64 - 1)
 
 
 def indexed(percent: int) -> int:
@@ -102,21 +105,22 @@ def _postings(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r, low in zip(node, batch.column(1).to_pylist(), strict=True):
                 v = np.frombuffer(low, np.uint64)
                 i, j = np.triu_indices(len(v), 1)
-                keys.append(mix(mix(v[i]) * U(31) + v[j]))
+                keys.append(list_name(v[i], v[j]))
                 owner.append(np.full(len(i), r))
-            yield pa.record_batch({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(owner).astype(np.int64)})
+            yield pa.record_batch({"key": np.concatenate(keys), "node": np.concatenate(owner).astype(np.int64)})
 
     return classes.select("node", "low").mapInArrow(run, "key long, node long")
 
 
-def _padded(sketch: list[bytes]) -> np.ndarray:
-    m = np.full((len(sketch), SKETCH), _PAD)
-    for i, s in enumerate(sketch):
-        v = np.frombuffer(s, np.uint32)
+def _padded(values: list[bytes], pad: np.unsignedinteger = _PAD) -> np.ndarray:
+    """The sketches as rows of SKETCH values, or with ``_NONE`` as many smallest values as one has at most."""
+    m = np.full((len(values), SKETCH if pad is _PAD else max((len(v) for v in values), default=0) // 8), pad)
+    for i, s in enumerate(values):
+        v = np.frombuffer(s, pad.dtype)
         m[i, : len(v)] = v
     return m
 
@@ -134,7 +138,20 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (twice & (rank <= limit)).sum(axis=1) / np.maximum(total, 1)
 
 
-def _cross_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray, main: int, percent: int) -> list[tuple[int, int, bool]]:
+def list_name(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The key of the list of two retained values, the smaller one first."""
+    return mix(mix(v) * U(31) + w).view(np.int64)
+
+
+def _own_list(low: np.ndarray, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+    """Which pairs have this list as the one of their two smallest shared values; each pair counts in that one."""
+    shared = (low[i][:, :, None] == low[j][:, None, :]).any(axis=2) & (low[i] != _NONE)
+    order = np.cumsum(shared, axis=1)
+    first, second = (np.where(shared & (order == k), low[i], 0).max(axis=1) for k in (1, 2))
+    return list_name(first, second) == key
+
+
+def _cross_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, low: np.ndarray, c: np.ndarray, main: int, name: int, percent: int) -> list[tuple[int, int, bool]]:
     """Of one short list: likely pairs outside its main component, and members that some main member resembles."""
     g, least = len(node), likely(percent)
     values, place = np.unique(sk, return_inverse=True)
@@ -148,8 +165,12 @@ def _cross_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, c: np.ndarray,
     close &= c[:, None] != c[None, :]
     i, j = np.nonzero(np.triu(close, 1))
     ok = estimate(sk[i], sk[j], n[i], n[j]) >= least if len(i) else np.zeros(0, bool)
-    out, several = set(), (c == main).sum() > 1
-    for x, y in zip(i[ok], j[ok], strict=True):
+    i, j = i[ok], j[ok]
+    several = (c == main).sum() > 1
+    beside = several & ((c[i] == main) | (c[j] == main))
+    mine = beside | _own_list(low, i, j, name) if len(i) else beside
+    out = set()
+    for x, y in zip(i[mine], j[mine], strict=True):
         if several and (c[x] == main or c[y] == main):
             out.add((int(node[y if c[x] == main else x]), main, True))
         else:
@@ -170,10 +191,10 @@ def _short(lists: DataFrame, percent: int) -> DataFrame:
             key = df["key"].to_numpy()
             cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
             node, n, c, main = df["node"].to_numpy(), df["n"].to_numpy(), df["c"].to_numpy(), df["main"].to_numpy()
-            sk = _padded(df["sketch"].tolist())
+            sk, low, name = _padded(df["sketch"].tolist()), _padded(df["low"].tolist(), _NONE), df["name"].to_numpy()
             found: set[tuple[int, int, bool]] = set()
             for s, t in zip(cut[:-1], cut[1:], strict=True):
-                found.update(_cross_pairs(node[s:t], n[s:t], sk[s:t], c[s:t], int(main[s]), percent))
+                found.update(_cross_pairs(node[s:t], n[s:t], sk[s:t], low[s:t], c[s:t], int(main[s]), int(name[s]), percent))
             return pd.DataFrame(list(found), columns=["a", "b", "whole"]).astype({"a": np.int64, "b": np.int64, "whole": bool})
 
         for df in frames:
@@ -188,29 +209,34 @@ def _short(lists: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield solve(rest)
 
-    return lists.select("key", "node", "n", "sketch", "c", "main").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, whole boolean")
+    return lists.select("key", "node", "n", "sketch", "low", "c", "main", "name").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, whole boolean")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs whose sizes and union sketch allow a link."""
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int, least: float) -> DataFrame:
+    """a, b, e: the distinct pairs whose sizes allow a link and whose union sketch estimates ``least`` or more."""
     a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    least = likely(percent)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             if len(df):
-                e = estimate(_padded(df["sa"].tolist()), _padded(df["sb"].tolist()), df["na"].to_numpy(), df["nb"].to_numpy())
-                yield df.loc[e >= least, ["a", "b"]]
+                df["e"] = estimate(_padded(df["sa"].tolist()), _padded(df["sb"].tolist()), df["na"].to_numpy(), df["nb"].to_numpy())
+                yield df.loc[df["e"] >= least, ["a", "b", "e"]]
 
     rows = pairs.distinct().join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.mapInPandas(run, "a long, b long, e double")
+
 
+def _leaders(turn: int, *also: str) -> Column:
+    """Up to LEADERS nodes of a group, chosen by hashes of the node, so that lists choose alike."""
+    return F.array_distinct(F.array(*[F.min_by(F.struct("node", *also), F.struct(F.xxhash64("node", F.lit(LEADERS * turn + i)), "node")) for i in range(LEADERS)]))
 
-def first_links(classes: DataFrame) -> DataFrame:
-    """a, b: each class with one of those that have the same smallest value (at most one pair for a class)."""
+
+def first_pairs(classes: DataFrame) -> DataFrame:
+    """a, b: each class with leaders among those that have the same smallest value."""
     lists = classes.select(F.xxhash64(F.substring("low", 1, 8)).alias("key"), "node")
-    led = materialise(lists.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "b"), "leaders")
+    led = lists.groupBy("key").agg(_leaders(0).alias("led"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    led = materialise(led.select("key", F.explode("led.node").alias("b")), "leaders")
     return lists.join(led, "key").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
@@ -221,43 +247,75 @@ def open_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
     return materialise(rows.join(materialise(parts, "open-keys"), "key"), "open-lists")
 
 
-def round_links(rows: DataFrame, turn: int) -> DataFrame:
-    """a, b: for each list and component one member, with one of the list's largest component.
-
-    Lists choose alike (by a hash of the node), so that two components meet in few distinct pairs.
-    """
-    one = rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"), F.count(F.lit(1)).alias("k"))
+def round_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """a, b: for each list and component one member, with leaders of the list's largest component."""
+    one = rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"), F.count(F.lit(1)).alias("k"), _leaders(turn).alias("led"))
     one = materialise(one, "list-components")
-    led = one.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("b"), F.col("c").alias("main")), F.struct("k", F.xxhash64("c", F.lit(turn)), "c")).alias("x"))
-    led = materialise(led.select("key", "x.b", "x.main"), "leaders")
-    return one.join(led, "key").where("c <> main").select(F.col("node").alias("a"), "b").distinct()
+    led = one.groupBy("key").agg(F.max_by(F.struct("led", "c"), F.struct("k", F.xxhash64("c", F.lit(turn)), "c")).alias("x"))
+    led = materialise(led.select("key", F.col("x.c").alias("main"), F.explode("x.led.node").alias("b")), "leaders")
+    return one.join(led, "key").where("c <> main").select(F.col("node").alias("a"), "b")
+
+
+def likely_links(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each class at most one likely link a round; sketches alone decide."""
+    label, found, rows = None, [], None
+    for turn in range(ROUNDS + 1):
+        pairs = first_pairs(known) if turn == 0 else round_pairs(rows, turn)
+        scored = estimated(pairs, known, percent, percent / 100)
+        found.append(materialise(scored.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")), "likely"))
+        if turn < ROUNDS:
+            label = _merged(label, found[-1])
+            rows = open_lists(lists if rows is None else rows.select("key", "node"), label)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
-def cross_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b, whole: likely pairs that share a list and not yet a component, or a member and a whole component."""
-    full = classes.select("node", "n", "sketch")
+def complete(rows: DataFrame, label: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``label`` after every link that two members of a list can have."""
+    full = known.select("node", "n", "sketch", "low")
     found: list[DataFrame] = []
     while True:
         weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         sizes = weight.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts"))
         sizes = materialise(sizes.where("parts > 1").select("key", "size", "main", "most"), "sizes")
         rows = materialise(rows.join(sizes, "key"), "open-lists")
-        found.append(materialise(_short(rows.where(F.col("size") <= SHORT).join(full, "node"), percent), "short"))
+        found.append(materialise(_short(rows.where(F.col("size") <= SHORT).withColumn("name", F.col("key")).join(full, "node"), percent), "short"))
         long = rows.where(F.col("size") > SHORT)
         if long.isEmpty():
             break
         big = F.col("most") >= max(2, SHORT // 4)
-        rest = long.where(big & (F.col("c") != F.col("main")))  # what is outside a large component is held against all of it
-        found.append(materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside"))
         mixed = long.where(~big).select("key", "node", "c")
-        rows = rest.select("key", "node", "c")
         if not mixed.isEmpty():
             size = materialise(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
             mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
             each = mixed.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            each = each.withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("main", F.lit(-(2**63)))
+            each = each.withColumn("name", F.col("key")).withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("main", F.lit(-(2**63)))
             found.append(materialise(_short(each.join(full, "node"), percent), "block-pairs"))
-    return reduce(DataFrame.unionByName, found).distinct()
+        rest = materialise(long.where(big & (F.col("c") != F.col("main"))).select("key", "node", "main"), "rest")
+        if rest.isEmpty():
+            break
+        # what is outside a large component is held against all of it at once, and mostly joins it
+        beside = materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b")).distinct(), "beside")
+        label = _merged(label, _confirmed(None, beside, label, known, texts, width, percent))
+        rows = open_lists(rest.select("key", "node"), label)
+    more = materialise(reduce(DataFrame.unionByName, found).distinct(), "more")
+    to = label.select(F.col("node").alias("b"), "component")  # components have grown since a member was to be held against one
+    beside = more.where("whole").join(to, "b", "left").select("a", F.coalesce("component", "b").alias("b")).distinct()
+    beside = beside.join(label.select(F.col("node").alias("a"), "component"), "a", "left").where(F.coalesce("component", "a") != F.col("b")).select("a", "b")
+    return _merged(label, _confirmed(more.where("not whole").select("a", "b"), materialise(beside, "beside"), label, known, texts, width, percent))
+
+
+def _confirmed(pairs: DataFrame | None, beside: DataFrame, label: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the links among ``pairs`` and between members (a) and whole components (b) of ``beside``."""
+    members = label.unionByName(label.select(F.col("component").alias("node"), "component")).distinct()
+    visited = members.join(beside.select(F.col("b").alias("component")).distinct(), "component", "left_semi").select(F.col("node").alias("id"))
+    ids = visited.unionByName(beside.select(F.col("a").alias("id")))
+    sets = full_sets((ids if pairs is None else ids.unionByName(_ends(pairs))).distinct(), known, texts, width)
+    links = beside_components(beside, label, sets, percent)
+    if pairs is not None:
+        links = links.unionByName(confirm(pairs, sets, percent).where("linked").select("a", "b"))
+    links = materialise(links.distinct(), "checked")
+    discard(sets)
+    return links
 
 
 def full_sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -356,17 +414,10 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: the confirmed ones among the given pairs."""
-    pairs = materialise(_likely(pairs, classes, percent), "pairs")
-    sets = full_sets(_ends(pairs), classes, texts, width)
-    out = materialise(confirm(pairs, sets, percent).where("linked").select("a", "b").distinct(), "checked")
-    discard(pairs, sets)
-    return out
-
-
-def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """``label`` (node, component) after the components at both ends of each link have become one."""
+    if label is None:
+        return materialise(components(links), "labels")
     to_a, to_b = (label.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("a", "ca"), ("b", "cb")))
     between = links.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     further = materialise(components(between), "further").select(F.col("node").alias("old"), F.col("component").alias("last"))
@@ -378,26 +429,17 @@ def _labels(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """node, component of every class that is not its component's own name."""
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets link with none but equal ones
     known = classes.where(F.col("n") >= least)
-    label = _linked(first_links(known), known, texts, width, percent).select(F.col("a").alias("node"), F.col("b").alias("component"))
     postings = materialise(_postings(known), "postings")
     several = postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     lists = materialise(postings.join(several, "key"), "lists")
     discard(postings)
+    pairs = materialise(likely_links(lists, known, percent), "pairs")
+    sets = full_sets(_ends(pairs), known, texts, width)
+    label = _merged(None, materialise(confirm(pairs, sets, percent).where("linked").select("a", "b"), "checked"))
+    discard(sets)
     rows = open_lists(lists, label)
     discard(lists)
-    for turn in range(1, ROUNDS):
-        label = _merged(label, _linked(round_links(rows, turn), known, texts, width, percent))
-        before, rows = rows, open_lists(rows.select("key", "node"), label)
-        discard(before)
-    more = materialise(cross_pairs(rows, known, percent), "more")
-    pairs, beside = more.where("not whole").select("a", "b"), more.where("whole").select("a", "b")
-    members = label.unionByName(label.select(F.col("component").alias("node"), "component")).distinct()
-    visited = members.join(beside.select(F.col("b").alias("component")).distinct(), "component", "left_semi").select(F.col("node").alias("id"))
-    sets = full_sets(_ends(pairs).unionByName(beside.select(F.col("a").alias("id"))).unionByName(visited).distinct(), known, texts, width)
-    links = confirm(pairs, sets, percent).where("linked").select("a", "b").unionByName(beside_components(beside, label, sets, percent))
-    links = materialise(links, "checked")
-    discard(sets, rows, more)
-    return _merged(label, links)
+    return complete(rows, label, known, texts, width, percent)
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
