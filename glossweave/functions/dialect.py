@@ -97,7 +97,7 @@ class Spark(Dialect):
         return f"CAST(size({a}) AS BIGINT)"
 
     def at(self, a: str, i: str) -> str:
-        return f"try_element_at({a}, CAST({i} AS INT))"
+        return f"get({a}, CAST({i} AS INT) - 1)"
 
     def join(self, a: str, by: str) -> str:
         return f"array_join({a}, {self.text(by)})"
@@ -138,6 +138,31 @@ class Spark(Dialect):
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, {self.text('$.' + path)})"
 
+    def valid_json(self, x: str) -> str:
+        return f"(try_parse_json({x}) IS NOT NULL)"
+
+    def json_kind(self, x: str, path: str = "$") -> str:
+        """object, array, string, int, bool, null or number; null where there is nothing."""
+        kind = f"schema_of_variant(try_variant_get(try_parse_json({x}), {self.text(path)}, 'variant'))"
+        return self.let(kind, "kind", "CASE WHEN startswith(kind, 'OBJECT') THEN 'object' WHEN startswith(kind, 'ARRAY') THEN 'array' WHEN kind = 'STRING' THEN 'string' WHEN kind = 'BIGINT' THEN 'int' WHEN kind = 'BOOLEAN' THEN 'bool' WHEN kind = 'VOID' THEN 'null' WHEN kind IS NOT NULL THEN 'number' END")
+
+    def json_list(self, x: str, path: str) -> str:
+        """The elements of an array, strings plain and the rest as JSON."""
+        return f"coalesce(from_json(get_json_object({x}, {self.text(path)}), 'array<string>'), array())"
+
+    def empty_list(self) -> str:
+        return "CAST(array() AS ARRAY<STRING>)"
+
+    def steps(self, n: str) -> str:
+        return f"sequence(CAST(1 AS BIGINT), CAST({n} AS BIGINT))"
+
+    def part(self, a: str, lo: str, hi: str) -> str:
+        """Elements from place ``lo`` to ``hi``."""
+        return f"slice({a}, CAST({lo} AS INT), CAST(greatest({hi} - {lo} + 1, 0) AS INT))"
+
+    def substr(self, x: str, lo: str) -> str:
+        return f"substring({x}, CAST({lo} AS INT))"
+
     def integer(self, x: str) -> str:
         return f"CAST({x} AS BIGINT)"
 
@@ -262,7 +287,29 @@ class Oracle(Dialect):
         return f"translate({x}, {self.text(a)}, {self.text(b)})"
 
     def json(self, x: str, path: str) -> str:
-        return f"json_extract_string({x}, {self.text('$.' + path)})"
+        return f"CASE WHEN json_valid({x}) THEN json_extract_string({x}, {self.text('$.' + path)}) END"
+
+    def valid_json(self, x: str) -> str:
+        return f"coalesce(json_valid({x}), false)"
+
+    def json_kind(self, x: str, path: str = "$") -> str:
+        kind = f"CASE WHEN json_valid({x}) THEN json_type({x}, {self.text(path)}) END"
+        return self.let(kind, "kind", "CASE kind WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'number' END")
+
+    def json_list(self, x: str, path: str) -> str:
+        return f"CASE WHEN json_valid({x}) THEN coalesce(json_extract_string({x}, {self.text(path + '[*]')}), []) ELSE [] END"
+
+    def empty_list(self) -> str:
+        return "CAST([] AS VARCHAR[])"
+
+    def steps(self, n: str) -> str:
+        return f"range(1, {n} + 1)"
+
+    def part(self, a: str, lo: str, hi: str) -> str:
+        return f"({a})[{lo}:{hi}]"
+
+    def substr(self, x: str, lo: str) -> str:
+        return f"substr({x}, {lo})"
 
     def integer(self, x: str) -> str:
         return f"CAST({x} AS BIGINT)"

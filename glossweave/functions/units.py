@@ -37,7 +37,7 @@ def amount(d: Dialect, v: str) -> str:
     """A decimal with thousands commas and without trailing zeros."""
     fraction = d.get("CAST(abs(q) AS STRING)", r"\.([0-9]*[1-9])0*$", 1)
     tail = d.let(fraction, "r", "CASE WHEN r = '' THEN '' ELSE concat('.', r) END")
-    return d.let(v, "q", f"concat(CASE WHEN q < 0 THEN '-' ELSE '' END, {d.grouped('floor(abs(q))')}, {tail})")
+    return d.let(v, "q", f"CASE WHEN q IS NOT NULL THEN concat(CASE WHEN q < 0 THEN '-' ELSE '' END, {d.grouped('floor(abs(q))')}, {tail}) END")
 
 
 def yen(d: Dialect, v: str) -> str:
@@ -45,7 +45,7 @@ def yen(d: Dialect, v: str) -> str:
     parts = [(d.div("n", "1000000000000"), "兆", False), (d.div("(n % 1000000000000)", "100000000"), "億", True), (d.div("(n % 100000000)", "10000"), "万", True), ("(n % 10000)", "", True)]
     shown = ", ".join(f"CASE WHEN {p} > 0 THEN concat({d.grouped(p) if commas else f'CAST({p} AS STRING)'}, '{u}') ELSE '' END" for p, u, commas in parts)
     whole = d.let("CAST(round(abs(w), 0) AS BIGINT)", "n", f"CASE WHEN n = 0 THEN '0' ELSE concat({shown}) END")
-    return d.let(v, "w", f"concat(CASE WHEN w < 0 THEN '-' ELSE '' END, {whole}, '円')")
+    return d.let(v, "w", f"CASE WHEN w IS NOT NULL THEN concat(CASE WHEN w < 0 THEN '-' ELSE '' END, {whole}, '円') END")
 
 
 def oku(d: Dialect, v: str, with_yen: str = "false") -> str:
@@ -54,7 +54,7 @@ def oku(d: Dialect, v: str, with_yen: str = "false") -> str:
     whole = f"CASE WHEN {cho} > 0 AND {rest} > 0 THEN concat(CAST({cho} AS STRING), '兆', {d.grouped(rest)}, '億') WHEN {cho} > 0 THEN concat(CAST({cho} AS STRING), '兆') ELSE concat({d.grouped('n')}, '億') END"
     whole = d.let("CAST(floor(abs(t)) AS BIGINT)", "n", whole)
     plain = f"CASE WHEN t = floor(t) THEN concat(CASE WHEN t < 0 THEN '-' ELSE '' END, {whole}) ELSE concat({amount(d, 't')}, '億') END"
-    return d.let(v, "t", f"CASE WHEN {with_yen} THEN {yen(d, scaled('t', 100000000))} ELSE {plain} END")
+    return d.let(v, "t", f"CASE WHEN t IS NULL THEN NULL WHEN {with_yen} THEN {yen(d, scaled('t', 100000000))} ELSE {plain} END")
 
 
 def scaled(v: str, by: int) -> str:
@@ -85,19 +85,19 @@ def english_small(d: Dialect, x: str) -> str:
     """Thousands and millions written out; with yen, in Japanese units."""
     prefix, number, suffix, has_yen = _parts(d)
     v = f"CASE WHEN {d.like('m', '(?i)thousand')} THEN {scaled(decimal(d, number), 1000)} ELSE {scaled(decimal(d, number), 1000000)} END"
-    return d.rewrite(x, _english("thousand|million"), "m", f"coalesce(concat({_bare(d, prefix)}, CASE WHEN {has_yen} THEN {yen(d, v)} ELSE {amount(d, v)} END, {suffix}), m)")
+    return d.rewrite(x, _english("thousand|million"), "m", f"coalesce({_bare(d, prefix)} || CASE WHEN {has_yen} THEN {yen(d, v)} ELSE {amount(d, v)} END || {suffix}, m)")
 
 
 def english_large(d: Dialect, x: str) -> str:
     """Billions and trillions in Japanese units."""
     prefix, number, suffix, has_yen = _parts(d)
     v = f"CASE WHEN {d.like('m', '(?i)tri?llion')} THEN {scaled(decimal(d, number), 10000)} ELSE {scaled(decimal(d, number), 10)} END"
-    return d.rewrite(x, _english("billion|trillion|trllion|bn"), "m", f"coalesce(concat({_bare(d, prefix)}, {oku(d, v, has_yen)}, {suffix}), m)")
+    return d.rewrite(x, _english("billion|trillion|trllion|bn"), "m", f"coalesce({_bare(d, prefix)} || {oku(d, v, has_yen)} || {suffix}, m)")
 
 
 def english_oku(d: Dialect, x: str) -> str:
     prefix, number, suffix, has_yen = _parts(d)
-    return d.rewrite(x, _english("oku"), "m", f"coalesce(concat({_bare(d, prefix)}, {oku(d, decimal(d, number), has_yen)}, {suffix}), m)")
+    return d.rewrite(x, _english("oku"), "m", f"coalesce({_bare(d, prefix)} || {oku(d, decimal(d, number), has_yen)} || {suffix}, m)")
 
 
 def _whole(d: Dialect, x: str) -> str:

@@ -132,7 +132,7 @@ def _reply_columns(d: Dialect) -> dict[str, str]:
     x = "text"
     return {
         "json": r.json_part(d, x), "target": r.target(d, x), "thought": r.without_thoughts(d, x), "content": r.chat_content(d, x), "failure": r.failure(d, x), "empty": r.is_empty_object(d, x),
-        "items": r.items(d, x), "blocks": r.numbered_blocks(d, x),
+        "blocks": r.numbered_blocks(d, x),
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.plans import amounts, catalog, relational
+from glossweave.plans import amounts, catalog, relational, replies, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,8 @@ FLAGSHIP = "language_detection"
 
 
 def queries() -> dict[str, Query]:
-    return catalog.queries() | relational.QUERIES | amounts.QUERIES
+    return catalog.queries() | relational.QUERIES | amounts.QUERIES | replies.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.oracle_sql() | relational.SQL | amounts.SQL
+    return catalog.oracle_sql() | relational.SQL | amounts.SQL | replies.SQL | reports.SQL

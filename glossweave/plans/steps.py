@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ def bound(sql: str, tables: list[str]) -> str:
     """The statement with its tables as parameters, other braces kept."""
     sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
-        sql = sql.replace(f"FROM {t} ", f"FROM {{{t}}} ")
+        sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
     return sql
 
 

@@ -13,13 +13,14 @@ D = Oracle()
 def value(expression, **columns):
     c = duckdb.connect()
     shown = ", ".join(f"{v if isinstance(v, str) and v.startswith('[') else D.text(v)} AS {k}" for k, v in columns.items())
-    return c.sql(f"SELECT {expression} FROM (SELECT {shown})").fetchone()[0]
+    return c.execute(f"SELECT {expression} FROM (SELECT {shown})").fetchone()[0]
 
 
 def repaired(source, out):
     build = lambda d: (f"SELECT 0 AS id, {d.text(source)} AS source, {d.text(out)} AS out", *amounts.amount_repairs(d)[1:])
-    r = duckdb.connect().sql(steps.oracle(build))
-    return dict(zip(r.columns, r.fetchone()))
+    c = duckdb.connect()
+    r = c.execute(steps.oracle(build))
+    return dict(zip([x[0] for x in r.description], r.fetchone(), strict=True))
 
 
 @pytest.mark.parametrize(
