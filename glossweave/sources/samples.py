@@ -61,3 +61,7 @@ FORMS = [
     r"a\nb\tc\r\nd", r"see C:\new\table\n and \n", r"\\server\new x\n", "text glossary", "see glossary.csv.", "glossary\nbody\n glossary.csv glossary ", "glossary", "{v0} and (v1 2) and [ v9 ] and {V3}", "no {v} here", "(v1)(v1)",
     "Available devices:\n  Vulkan0: A\n  vulkan0: B\n Vulkan1 : C", "Vulkan2: x\nnoise\nVULKAN3: y", "log Vulkan5: z\navailable devices:\nVulkan7: w", "unsloth/translategemma-4b", "translategemma", "xtranslategemma", "全角とhalf", "∑x", "+5", "αβ", "ー", "\t\ttab", "°", "",
 ]
+
+GLOSSARY = ["売上高,net sales", "# a comment,x", "", " AI , artificial intelligence ", '"a,b",c', "alone", "円安,", " ,x"]
+#: What loading these gives.
+GLOSSARY_ROWS = [(0, "売上高", "net sales"), (3, "AI", "artificial intelligence"), (4, "a,b", "c"), (5, "alone", ""), (6, "円安", "")]
