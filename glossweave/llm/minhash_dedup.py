@@ -13,8 +13,10 @@
 4. The lists are then completed: between two members outside a list's main component a list of at
    most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
    is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
-   members against a large main component and goes on without it; without one, all its pairs are tried
-   in pairs of blocks of ``SHORT``.  Nothing is capped or dropped.
+   members against a large main component and goes on without it; without one, its members that some
+   other one resembles are compared on the full sets in pairs of blocks of ``SHORT``, each of which gives no
+   more links than it has members.  A pair counts in the list of its two smallest shared values only.
+   Nothing is capped or dropped.
 
 A pair is confirmed on the full sets where its union sketch estimates ``likely(percent)`` or more, 5.2 standard
 deviations below the threshold: of 64 values at least 35 must agree for 80 percent, which a linked pair
@@ -29,13 +31,13 @@ and untouched by ``drop_near_duplicates``, whatever their names.  An empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.llm.components import components
@@ -178,38 +180,86 @@ def _cross_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, low: np.ndarra
     return list(out)
 
 
-def _short(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b, whole: from lists of at most SHORT members, pairs (whole is false) or a member and a component (true).
-
-    Reads rows sorted by key, one list at a time.
-    """
+def _by_list(rows: DataFrame, key: list[str], solve: Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame | None], schema: str) -> DataFrame:
+    """``solve`` for the rows of some whole keys (each a short list, or a pair of blocks) with the place of each, as they stream by in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
-
-        def solve(df: pd.DataFrame) -> pd.DataFrame:
-            key = df["key"].to_numpy()
-            cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)]))
-            node, n, c, main = df["node"].to_numpy(), df["n"].to_numpy(), df["c"].to_numpy(), df["main"].to_numpy()
-            sk, low, name = _padded(df["sketch"].tolist()), _padded(df["low"].tolist(), _NONE), df["name"].to_numpy()
-            found: set[tuple[int, int, bool]] = set()
-            for s, t in zip(cut[:-1], cut[1:], strict=True):
-                found.update(_cross_pairs(node[s:t], n[s:t], sk[s:t], low[s:t], c[s:t], int(main[s]), int(name[s]), percent))
-            return pd.DataFrame(list(found), columns=["a", "b", "whole"]).astype({"a": np.int64, "b": np.int64, "whole": bool})
-
         for df in frames:
             df = df if rest is None else pd.concat([rest, df], ignore_index=True)
             if not len(df):
                 continue
-            key = df["key"].to_numpy()
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-            rest = df.iloc[cut:]
-            if cut:
-                yield solve(df.iloc[:cut])
-        if rest is not None and len(rest):
-            yield solve(rest)
+            cut = np.append(np.flatnonzero((df[key] != df[key].shift()).any(axis=1).to_numpy()), len(df))
+            if len(cut) > 2 and (out := solve(df.iloc[: cut[-2]], list(zip(cut[:-2], cut[1:-1], strict=True)))) is not None:
+                yield out
+            rest = df.iloc[cut[-2] :]
+        if rest is not None and (out := solve(rest, [(0, len(rest))])) is not None:
+            yield out
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
+
+
+def _found(df: pd.DataFrame, places: list[tuple[int, int]], percent: int) -> Iterator[tuple[int, list[tuple[int, int, bool]]]]:
+    """The name of each list and what it gives."""
+    sk, low = _padded(df["sketch"].tolist()), _padded(df["low"].tolist(), _NONE)
+    node, n, c, main, name = (df[x].to_numpy() for x in ("node", "n", "c", "main", "name"))
+    for s, t in places:
+        yield int(name[s]), _cross_pairs(node[s:t], n[s:t], sk[s:t], low[s:t], c[s:t], int(main[s]), int(name[s]), percent)
+
+
+def _short(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b, whole: from lists of at most SHORT members, pairs (whole is false) or a member and a component (true)."""
+
+    def solve(df: pd.DataFrame, places: list[tuple[int, int]]) -> pd.DataFrame | None:
+        found = {p for _, pairs in _found(df, places, percent) for p in pairs}
+        return pd.DataFrame(list(found), columns=["a", "b", "whole"]) if found else None
+
+    return _by_list(lists.select("key", "node", "n", "sketch", "low", "c", "main", "name"), ["key"], solve, "a long, b long, whole boolean")
+
+
+def _flags(blocks: DataFrame, percent: int) -> DataFrame:
+    """name, node: members of long lists that some other member resembles by its sketch (so many rows as members, not pairs)."""
+
+    def solve(df: pd.DataFrame, places: list[tuple[int, int]]) -> pd.DataFrame | None:
+        found = {(name, x) for name, pairs in _found(df, places, percent) for a, b, _ in pairs for x in (a, b)}
+        return pd.DataFrame(list(found), columns=["name", "node"]) if found else None
 
-    return lists.select("key", "node", "n", "sketch", "low", "c", "main", "name").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, whole boolean")
+    return _by_list(blocks.select("key", "node", "n", "sketch", "low", "c", "main", "name"), ["key"], solve, "name long, node long").distinct()
+
+
+def _in_blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Each member of a list once for every pair of blocks of about SHORT members that its own block is in; ``x`` and ``y`` name the pair."""
+    size = materialise(rows.groupBy(name).agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    each = rows.join(size, name).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("mine", "other", "blocks")
+
+
+def block_links(flags: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: of the flagged members of each list, the links on full sets, a pair of blocks at a time; of each tangle a spanning tree."""
+
+    def tree(values: list[np.ndarray], nodes: list[int]) -> Iterator[tuple[int, int]]:
+        root = list(range(len(nodes)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(*np.nonzero(np.triu(_reach(values, values, percent), 1)), strict=True):
+            x, y = top(i), top(j)
+            if x != y:
+                root[x] = y
+                yield nodes[i], nodes[j]
+
+    def solve(df: pd.DataFrame, places: list[tuple[int, int]]) -> pd.DataFrame | None:
+        values, nodes = [np.frombuffer(s, np.uint64) for s in df["set"]], df["node"].tolist()
+        out = [p for s, t in places if t - s > 1 for p in tree(values[s:t], nodes[s:t])]
+        return pd.DataFrame(out, columns=["a", "b"]) if out else None
+
+    rows = _in_blocks(flags, "name").join(sets.withColumnRenamed("id", "node").hint("merge"), "node")
+    return _by_list(rows.select("name", "x", "y", "node", "set"), ["name", "x", "y"], solve, "a long, b long")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int, least: float) -> DataFrame:
@@ -223,96 +273,92 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int, least: float)
                 df["e"] = estimate(_padded(df["sa"].tolist()), _padded(df["sb"].tolist()), df["na"].to_numpy(), df["nb"].to_numpy())
                 yield df.loc[df["e"] >= least, ["a", "b", "e"]]
 
-    rows = pairs.distinct().join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    rows = pairs.distinct().join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return rows.mapInPandas(run, "a long, b long, e double")
 
 
-def _leaders(turn: int, *also: str) -> Column:
-    """Up to LEADERS nodes of a group, chosen by hashes of the node, so that lists choose alike."""
-    return F.array_distinct(F.array(*[F.min_by(F.struct("node", *also), F.struct(F.xxhash64("node", F.lit(LEADERS * turn + i)), "node")) for i in range(LEADERS)]))
-
-
 def first_pairs(classes: DataFrame) -> DataFrame:
-    """a, b: each class with leaders among those that have the same smallest value."""
+    """a, b: each class with leaders among those that have the same smallest value, chosen by hashes."""
     lists = classes.select(F.xxhash64(F.substring("low", 1, 8)).alias("key"), "node")
-    led = lists.groupBy("key").agg(_leaders(0).alias("led"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    led = materialise(led.select("key", F.explode("led.node").alias("b")), "leaders")
-    return lists.join(led, "key").where("node <> b").select(F.col("node").alias("a"), "b")
+    leaders = F.array_distinct(F.array(*[F.min_by("node", F.struct(F.xxhash64("node", F.lit(i)), "node")) for i in range(LEADERS)]))
+    led = lists.groupBy("key").agg(leaders.alias("led"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    led = materialise(led.select("key", F.explode("led").alias("b")), "leaders")
+    return lists.join(led.hint("merge"), "key").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
 def open_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
     """key, node, c: the lists that still hold several components, with each member's."""
-    rows = lists.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    rows = lists.join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    rows = materialise(rows, "labelled-lists")
     parts = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    return materialise(rows.join(materialise(parts, "open-keys"), "key"), "open-lists")
+    out = materialise(rows.join(materialise(parts, "open-keys").hint("merge"), "key"), "open-lists")
+    discard(rows)
+    return out
 
 
 def round_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """a, b: for each list and component one member, with leaders of the list's largest component."""
-    one = rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"), F.count(F.lit(1)).alias("k"), _leaders(turn).alias("led"))
-    one = materialise(one, "list-components")
-    led = one.groupBy("key").agg(F.max_by(F.struct("led", "c"), F.struct("k", F.xxhash64("c", F.lit(turn)), "c")).alias("x"))
-    led = materialise(led.select("key", F.col("x.c").alias("main"), F.explode("x.led.node").alias("b")), "leaders")
-    return one.join(led, "key").where("c <> main").select(F.col("node").alias("a"), "b")
+    """a, b: for each list and component one member, with leaders of the list's largest component.
+
+    A hash of the node alone chooses, so that two components meet in few distinct pairs.  There are
+    about ``LEADERS`` leaders in the first round and 8 times as many in the next.
+    """
+    wanted = LEADERS * 8 ** (turn - 1)
+    weight = materialise(rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"), F.count(F.lit(1)).alias("k")), "list-components")
+    main = weight.groupBy("key").agg(F.max_by(F.struct("c", "k", "node"), F.struct("k", F.xxhash64("c", F.lit(turn)), "c")).alias("x"))
+    main = materialise(main.select("key", F.col("x.c").alias("c"), F.col("x.k").alias("k"), F.col("x.node").alias("least")), "mains")
+    every = F.greatest(F.lit(1), F.floor(F.col("k") / wanted))
+    led = rows.join(main.hint("merge"), ["key", "c"]).where((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0))
+    led = materialise(led.select("key", F.col("node").alias("b"), F.col("c").alias("main")), "leaders")
+    return weight.join(led.hint("merge"), "key").where("c <> main").select(F.col("node").alias("a"), "b")
 
 
 def likely_links(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each class at most one likely link a round; sketches alone decide."""
-    label, found, rows = None, [], None
+    """a, b: for each class at most one likely link a round; sketches alone decide, and components are provisional."""
+    found, rows = [], None
     for turn in range(ROUNDS + 1):
         pairs = first_pairs(known) if turn == 0 else round_pairs(rows, turn)
-        scored = estimated(pairs, known, percent, percent / 100)
+        scored = estimated(pairs, known, percent, percent / 100 - 0.025 * turn)
         found.append(materialise(scored.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")), "likely"))
         if turn < ROUNDS:
-            label = _merged(label, found[-1])
-            rows = open_lists(lists if rows is None else rows.select("key", "node"), label)
+            label = found[0].toDF("node", "component") if turn == 0 else _merged(None, reduce(DataFrame.unionByName, found))
+            before, rows = rows, open_lists(lists if rows is None else rows.select("key", "node"), label)
+            if before is not None:
+                discard(before)
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def complete(rows: DataFrame, label: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """``label`` after every link that two members of a list can have."""
-    full = known.select("node", "n", "sketch", "low")
+def cross_pairs(rows: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs that share a list and not yet a component, or a member and a whole component (a, b, whole); members to compare in long lists (name, node)."""
+    full = known.select("node", "n", "sketch", "low").hint("merge")
     found: list[DataFrame] = []
+    flags: list[DataFrame] = []
     while True:
         weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         sizes = weight.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts"))
         sizes = materialise(sizes.where("parts > 1").select("key", "size", "main", "most"), "sizes")
-        rows = materialise(rows.join(sizes, "key"), "open-lists")
+        rows = materialise(rows.join(sizes.hint("merge"), "key"), "open-lists")
         found.append(materialise(_short(rows.where(F.col("size") <= SHORT).withColumn("name", F.col("key")).join(full, "node"), percent), "short"))
         long = rows.where(F.col("size") > SHORT)
         if long.isEmpty():
             break
         big = F.col("most") >= max(2, SHORT // 4)
+        rest = long.where(big & (F.col("c") != F.col("main")))  # what is outside a large component is held against all of it
+        found.append(materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside"))
         mixed = long.where(~big).select("key", "node", "c")
-        if not mixed.isEmpty():
-            size = materialise(mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
-            mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            each = mixed.join(size, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            each = each.withColumn("name", F.col("key")).withColumn("key", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn("main", F.lit(-(2**63)))
-            found.append(materialise(_short(each.join(full, "node"), percent), "block-pairs"))
-        rest = materialise(long.where(big & (F.col("c") != F.col("main"))).select("key", "node", "main"), "rest")
-        if rest.isEmpty():
-            break
-        # what is outside a large component is held against all of it at once, and mostly joins it
-        beside = materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b")).distinct(), "beside")
-        label = _merged(label, _confirmed(None, beside, label, known, texts, width, percent))
-        rows = open_lists(rest.select("key", "node"), label)
-    more = materialise(reduce(DataFrame.unionByName, found).distinct(), "more")
-    to = label.select(F.col("node").alias("b"), "component")  # components have grown since a member was to be held against one
-    beside = more.where("whole").join(to, "b", "left").select("a", F.coalesce("component", "b").alias("b")).distinct()
-    beside = beside.join(label.select(F.col("node").alias("a"), "component"), "a", "left").where(F.coalesce("component", "a") != F.col("b")).select("a", "b")
-    return _merged(label, _confirmed(more.where("not whole").select("a", "b"), materialise(beside, "beside"), label, known, texts, width, percent))
-
-
-def _confirmed(pairs: DataFrame | None, beside: DataFrame, label: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: the links among ``pairs`` and between members (a) and whole components (b) of ``beside``."""
+        rows = rest.select("key", "node", "c")
+        blocks = _in_blocks(mixed, "key").withColumn("name", F.col("key")).withColumn("key", F.xxhash64("key", "x", "y")).withColumn("main", F.lit(-(2**63)))
+        flags.append(materialise(_flags(blocks.join(full, "node"), percent), "flags"))
+    flags.append(known.sparkSession.createDataFrame([], "name long, node long"))
+    return reduce(DataFrame.unionByName, found).distinct(), reduce(DataFrame.unionByName, flags).distinct()
+
+
+def _confirmed(pairs: DataFrame, beside: DataFrame, flags: DataFrame, label: DataFrame, known: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the links among ``pairs``, between members (a) and whole components (b) of ``beside``, and among ``flags``."""
     members = label.unionByName(label.select(F.col("component").alias("node"), "component")).distinct()
     visited = members.join(beside.select(F.col("b").alias("component")).distinct(), "component", "left_semi").select(F.col("node").alias("id"))
     ids = visited.unionByName(beside.select(F.col("a").alias("id")))
-    sets = full_sets((ids if pairs is None else ids.unionByName(_ends(pairs))).distinct(), known, texts, width)
-    links = beside_components(beside, label, sets, percent)
-    if pairs is not None:
-        links = links.unionByName(confirm(pairs, sets, percent).where("linked").select("a", "b"))
+    sets = full_sets(ids.unionByName(_ends(pairs)).unionByName(flags.select(F.col("node").alias("id"))).distinct(), known, texts, width)
+    links = beside_components(beside, label, sets, percent).unionByName(block_links(flags, sets, percent)).unionByName(confirm(pairs, sets, percent).where("linked").select("a", "b"))
     links = materialise(links.distinct(), "checked")
     discard(sets)
     return links
@@ -431,7 +477,7 @@ def _labels(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     known = classes.where(F.col("n") >= least)
     postings = materialise(_postings(known), "postings")
     several = postings.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    lists = materialise(postings.join(several, "key"), "lists")
+    lists = materialise(postings.join(several.hint("merge"), "key"), "lists")
     discard(postings)
     pairs = materialise(likely_links(lists, known, percent), "pairs")
     sets = full_sets(_ends(pairs), known, texts, width)
@@ -439,7 +485,10 @@ def _labels(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     discard(sets)
     rows = open_lists(lists, label)
     discard(lists)
-    return complete(rows, label, known, texts, width, percent)
+    more, flags = (materialise(x, "more") for x in cross_pairs(rows, known, percent))
+    links = _confirmed(more.where("not whole").select("a", "b"), more.where("whole").select("a", "b"), flags, label, known, texts, width, percent)
+    discard(rows, more)
+    return _merged(label, links)
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -449,9 +498,9 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     signed = materialise(sketches(texts, width, indexed(percent)), "sketches")
     classes = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "h")).alias("at"), F.first("sketch").alias("sketch"), F.first("low").alias("low"))
     classes = materialise(classes.withColumn("node", F.xxhash64("n", "s1", "s2")), "classes")
-    named = classes.select("n", "s1", "s2", "node").join(_labels(classes, texts, width, percent), "node", "left")
+    named = classes.select("n", "s1", "s2", "node").join(_labels(classes, texts, width, percent).hint("merge"), "node", "left")
     named = materialise(named.select("n", "s1", "s2", F.coalesce("component", "node").alias("component")), "components")
-    return signed.select("d", "h", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left").select("d", "h", "n", "component"), texts
+    return signed.select("d", "h", "n", "s1", "s2").join(named.hint("merge"), ["n", "s1", "s2"], "left").select("d", "h", "n", "component"), texts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

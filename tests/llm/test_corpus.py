@@ -40,13 +40,14 @@ def test_simhash(docs, rows):
     texts = {i: t or "" for i, t, *_ in rows}
     ids = sorted(texts)
     want = set()
+    every = [fingerprint(texts[i]) for i in ids]
     for k, i in enumerate(ids):
         t, nxt = texts[i], texts[ids[(k + 1) % len(ids)]]
         cut = len(t) // 4
         e = t[: len(t) - cut] + nxt[:cut]
         f, fe, fn = fingerprint(t), fingerprint(e), fingerprint(nxt)
         like = lambda a, b: 1 - (a ^ b).bit_count() / 64
-        want.add((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f"{f:016x}", f"{fe:016x}", like(f, fe), like(f, fn)))
+        want.add((i, len(t), hashlib.sha256(e.encode()).hexdigest(), f"{f:016x}", f"{fe:016x}", like(f, fe), like(f, fn), sum((f ^ x).bit_count() <= 3 for x in every) if i % 50 == 0 else None))
     got = [tuple(r) for r in simhash.fingerprint_edits(docs.withColumn("next_id", F.lit(0))).collect()]
     assert set(got) == want and len(got) == len(want)
 
@@ -205,6 +206,29 @@ def test_bloom_never_calls_a_repeat_unique(spark):
     assert repeated <= seen and len(seen) < 1000
 
 
+def test_bloom_in_ranges_and_hot_keys(spark, monkeypatch):
+    """Many filters instead of a large one; a key of a third of all rows."""
+    monkeypatch.setattr(bloom, "MAX_LOG2_CELLS", 12)
+    monkeypatch.setattr(bloom, "MIN_LOG2_CELLS", 10)
+    keys = spark.createDataFrame([(k,) for k in [*range(3000), *range(0, 3000, 50), *[7] * 1500]], "h long").repartition(3)
+    flagged = bloom.flagged(keys, keys, "h", "maybe")
+    assert bloom.ranges(keys.count()) > 10 and flagged.count() == keys.count()
+    seen = {r.h for r in flagged.where("maybe").collect()}
+    assert {*range(0, 3000, 50), 7} <= seen and len(seen) < 900
+
+
+def test_mixing_targets_that_name_some_values(spark):
+    present = {"a": 50.0, "b": 30.0, "c": 20.0}
+    assert mixing.completed(present, {"a": 3.0, "b": 1.0}) == pytest.approx({"a": 0.6, "b": 0.2, "c": 0.2})
+    rows = [(i, "w " * 10, "en", "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for cells in (mixing.MAX_CELLS, 1):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(mixing, "MAX_CELLS", cells)
+            got = {r.m_source: r.p for r in mixing.with_probability(df, {"m_source": {"a": 1.0}}, keep=0.5, rounds=4).groupBy("m_source").agg(F.avg("m_p").alias("p")).collect()}
+        assert all(p > 0.3 for p in got.values())
+
+
 def test_raking_meets_all_margins():
     rng = random.Random(4)
     cells = {(a, b, c): rng.uniform(1, 50) for a in "xyz" for b in "pq" for c in "uvw"}
