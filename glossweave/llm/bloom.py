@@ -2,9 +2,10 @@
 
 Each key sets ``PROBES`` cells.  A cell that two keys (or one key twice) touched is "shared"; a key
 all of whose cells are shared is possibly repeated, any other key is certainly unique.  Tasks send
-their cells as sparse lists grouped by segment, so the shuffle is a few bytes a key; merging needs
-one segment at a time.  Only the merged bitmap, whose size ``MAX_LOG2_CELLS`` bounds at 64 MiB, is
-broadcast.  Beyond that bound the filter just lets more rows through to the exact step.
+their cells as sparse lists grouped by segment, each cell at most twice a batch, so a key that a third of
+all rows share adds a few entries and no more; merging needs one segment at a time.  Keys are dealt into
+ranges of their hash, each with a filter of its own of at most ``MAX_LOG2_CELLS`` (64 MiB), of which only
+one is held and broadcast at a time: the share of keys that pass for nothing stays the same at any size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +27,21 @@ MAX_LOG2_CELLS = 29
 SEGMENT_LOG2 = 15
 
 
+def ranges(n_keys: int) -> int:
+    """How many filters of the largest size the keys need."""
+    return max(1, math.ceil(n_keys * CELLS_PER_KEY / (1 << MAX_LOG2_CELLS)))
+
+
 def log2_cells(n_keys: int) -> int:
     wanted = math.ceil(math.log2(max(1, n_keys) * CELLS_PER_KEY))
     return min(MAX_LOG2_CELLS, max(MIN_LOG2_CELLS, wanted))
 
 
+def range_of(column: str, n: int) -> Column:
+    """The range of a key, from other bits than those that name its cells."""
+    return F.pmod(F.xxhash64(column), F.lit(n))
+
+
 def cells(keys: np.ndarray, log2: int) -> np.ndarray:
     """(PROBES, n) cell numbers by double hashing of the 64-bit keys."""
     k = keys.view(np.uint64)
@@ -49,7 +60,8 @@ def shared_cells(keys: DataFrame, column: str, log2: int) -> np.ndarray:
             h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(h):
                 continue
-            cell = np.sort(cells(h, log2).ravel().astype(np.int64))
+            cell, times = np.unique(cells(h, log2).ravel().astype(np.int64), return_counts=True)
+            cell = np.repeat(cell, np.minimum(times, 2))
             segment = cell >> SEGMENT_LOG2
             cut = np.flatnonzero(np.diff(segment, prepend=-1))
             low = (cell & ((1 << SEGMENT_LOG2) - 1)).astype(np.uint16)
@@ -74,9 +86,9 @@ def shared_cells(keys: DataFrame, column: str, log2: int) -> np.ndarray:
         .groupBy("segment")
         .applyInPandas(merge, "segment int, bits binary")
     )
-    bitmap = np.zeros((1 << log2) // 8, np.uint8)
+    bitmap = np.zeros(max(1 << log2, 1 << SEGMENT_LOG2) // 8, np.uint8)
     width = (1 << SEGMENT_LOG2) // 8
-    for row in found.collect():  # at most 64 MiB, however many keys there are
+    for row in found.collect():  # at most 64 MiB
         bitmap[row.segment * width : (row.segment + 1) * width] = np.frombuffer(row.bits, np.uint8)
     return bitmap
 
@@ -97,3 +109,16 @@ def with_flag(rows: DataFrame, column: str, bitmap: np.ndarray, log2: int, flag:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*batch.schema.names, flag])
 
     return rows.mapInArrow(look, schema)
+
+
+def flagged(rows: DataFrame, keys: DataFrame, column: str, flag: str) -> DataFrame:
+    """``rows`` plus ``flag`` (whether ``column`` is possibly repeated among ``keys``), range by range of the hash."""
+    n = keys.count()
+    parts = ranges(n)
+    log2 = log2_cells(-(-n // parts))
+    out = None
+    for r in range(parts):
+        own, some = (rows, keys) if parts == 1 else (x.where(range_of(column, parts) == r) for x in (rows, keys))
+        part = with_flag(own, column, shared_cells(some, column, log2), log2, flag)
+        out = part if out is None else out.unionByName(part)
+    return out

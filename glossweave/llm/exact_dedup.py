@@ -7,7 +7,7 @@ on the map side first, so a group of copies that holds a third of all rows costs
 
 Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``; null counts as empty.  Of equal
 texts the one with the most code points in the original stays, then the smallest id (a null id comes
-last).  Empty tables give empty results; extra columns pass through ``drop_duplicates`` untouched.
+last).  Texts of any length count whole.  Empty tables give empty results; extra columns pass through ``drop_duplicates`` untouched.
 Rows that repeat an id and a text are one text: ``decisions`` marks each of them alike and
 ``drop_duplicates`` keeps one of them.
 """
@@ -44,8 +44,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def flagged_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, text_sha256, h and ``maybe``: whether another row possibly has the same text."""
     keys = materialise(_keys(docs, id_col, text_col), "exact-keys")
-    log2 = bloom.log2_cells(keys.count())
-    return bloom.with_flag(keys, "h", bloom.shared_cells(keys, "h", log2), log2, "maybe")
+    return bloom.flagged(keys, keys, "h", "maybe")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,12 +72,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     task, because the reduction runs before the shuffle.
     """
     sha, h, flag = "__gw_sha", "__gw_h", "__gw_maybe"
-    keys = _keys(docs, id_col, text_col).select("h")
-    keys = materialise(keys, "exact-hashes")
-    log2 = bloom.log2_cells(keys.count())
-    bitmap = bloom.shared_cells(keys, "h", log2)
+    while {sha, h, flag} & set(docs.columns):
+        sha, h, flag = sha + "_", h + "_", flag + "_"
+    keys = materialise(_keys(docs, id_col, text_col).select(F.col("h").alias(h)), "exact-hashes")
     hashed = docs.withColumn(sha, _sha(F.col(text_col))).withColumn(h, F.conv(F.substring(sha, 2, 15), 16, 10).cast("long"))
-    rows = bloom.with_flag(hashed, h, bitmap, log2, flag)
+    rows = bloom.flagged(hashed, keys, h, flag)
     single = rows.where(~F.col(flag)).select(*docs.columns)
     length = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
     best = (
