@@ -7,9 +7,10 @@ share one long (32 bits each), so 32 sums serve all 64 bits and partial sums run
 
 ``within`` finds all fingerprints at most ``radius`` bits apart by permuted block tables: 64 bits fall into
 ``blocks`` blocks, and if at most ``radius`` bits differ then some ``blocks - radius`` blocks agree,
-so a table for each such choice, keyed by the chosen blocks, holds every pair.
+so a table for each such choice, keyed by the chosen blocks, holds every pair.  The query asks it for
+every id divisible by ``QUERY_EVERY``: ``n_within`` counts the rows within ``RADIUS`` bits, its own included.
 
-Null counts as empty; a text without words has the fingerprint 0.  Equal texts have equal fingerprints.
+Null counts as empty; texts of any length count whole, and extra columns, whatever their names, for nothing; a text without words has the fingerprint 0.  Equal texts have equal fingerprints.
 Rows without an id are left out.  Of rows that repeat an id each distinct text gets a row, and one of
 them stands for the id as another's neighbour.  Empty tables give no rows.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from glossweave.llm.scratch import materialise, table
 
 MAX_WEIGHT = 16
+RADIUS = 3
+QUERY_EVERY = 50
 _PAIR = 0x0000000100000001
 _LEVELS = (10, 25, 40)
 
@@ -60,12 +63,8 @@ def as_text(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def within(queries: DataFrame, all_rows: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """query_id, doc_id, distance for all pairs at most ``radius`` bits apart.
-
-    Both inputs: doc_id, fingerprint.  Equal fingerprints meet once, as one representative each, and are
-    expanded only after verification.
-    """
+def _near(q: DataFrame, a: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """qf, af, distance: all pairs of distinct fingerprints at most ``radius`` bits apart, by permuted block tables."""
     cut = [round(i * 64 / blocks) for i in range(blocks + 1)]
     masks = [sum((1 << cut[b + 1]) - (1 << cut[b]) for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
@@ -74,10 +73,18 @@ def within(queries: DataFrame, all_rows: DataFrame, radius: int = 3, blocks: int
         keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col(fp).bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])
         return rows.select(fp, F.explode(keys).alias("key")).select(fp, "key.t", "key.k")
 
-    q = queries.select(F.col("fingerprint").alias("qf")).distinct()
-    a = all_rows.select(F.col("fingerprint").alias("af")).distinct()
     near = tables("qf", q).join(tables("af", a), ["t", "k"]).withColumn("distance", F.bit_count(F.col("qf").bitwiseXOR(F.col("af"))))
-    near = near.where(F.col("distance") <= radius).select("qf", "af", "distance").distinct()
+    return near.where(F.col("distance") <= radius).select("qf", "af", "distance").distinct()
+
+
+def within(queries: DataFrame, all_rows: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """query_id, doc_id, distance for all pairs at most ``radius`` bits apart.
+
+    Both inputs: doc_id, fingerprint.  Equal fingerprints meet once, as one representative each, and are
+    expanded only after verification.
+    """
+    q = queries.select(F.col("fingerprint").alias("qf")).distinct()
+    near = _near(q, all_rows.select(F.col("fingerprint").alias("af")).distinct(), radius, blocks)
     return (
         queries.select(F.col("doc_id").alias("query_id"), F.col("fingerprint").alias("qf"))
         .join(near, "qf")
@@ -86,6 +93,16 @@ def within(queries: DataFrame, all_rows: DataFrame, radius: int = 3, blocks: int
     )
 
 
+def count_within(queries: DataFrame, all_rows: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """fingerprint, n: how many of ``all_rows`` lie at most ``radius`` bits from each distinct fingerprint of ``queries``.
+
+    Equal fingerprints are one row with a count, so copies cost nothing.
+    """
+    counted = materialise(all_rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("k")), "fingerprint-counts")
+    near = _near(queries.select(F.col("fingerprint").alias("qf")).distinct(), counted.select(F.col("fingerprint").alias("af")), radius, blocks)
+    return near.join(counted, near["af"] == counted["fingerprint"]).groupBy(F.col("qf").alias("fingerprint")).agg(F.sum("k").alias("n"))
+
+
 def _successors(ids: DataFrame, level: int = 0) -> DataFrame:
     """x and the next larger x.  Windows cover the at most 2^15 ids that share all but their lowest bits."""
     if level == len(_LEVELS):
@@ -131,6 +148,9 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = edited.withColumn("sha", F.unhex(F.sha2("text", 256)))
     of_edited = fingerprints(edited, ["doc_id", "next_id", "n_chars", "h0", "sha"]).withColumnRenamed("fingerprint", "edited")
     own = materialise(fingerprints(docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("h0"), "text"), ["doc_id", "h0"]), "fingerprints")
+    queries = own.where(F.col("doc_id") % QUERY_EVERY == 0)
+    found = materialise(count_within(queries, own, RADIUS), "within")
+    own = own.join(found.hint("merge"), "fingerprint", "left")
     of_next = own.groupBy("doc_id").agg(F.min_by("fingerprint", "h0").alias("next_fp")).withColumnRenamed("doc_id", "next_id")
     return (
         of_edited.join(own, ["doc_id", "h0"])
@@ -143,6 +163,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             as_text(F.col("edited")).alias("edited_fingerprint"),
             likeness(F.col("fingerprint"), F.col("edited")).alias("near_edited"),
             likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
+            F.when(F.col("doc_id") % QUERY_EVERY == 0, F.col("n")).alias("n_within"),
         )
     )
 
