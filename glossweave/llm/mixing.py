@@ -6,12 +6,14 @@ The ratio of raked to present tokens is a cell's weight; a document stays with a
 proportion to it, at most 1, at the scale at which ``keep`` of all tokens are expected to stay.
 Whether a document stays follows from a hash of its id alone, so reruns agree.
 
+Targets that are given are shares of the values they name; a value that a margin's targets don't name keeps its
+present share, and the named ones divide the rest in proportion, so nothing is lost for lack of a target.
 Targets default to the present shares raised to ``TEMPER`` and made to sum to 1: large sources give way
 to small ones.  Every value of a marginal is raked as its own.  Up to ``MAX_CELLS`` cells are fitted on the
 driver, and documents meet them in a broadcast join; more are fitted the same way by grouped sums over tables.
 A topic, unless a column names it, is the form of the text.
 
-Null in source, language or text counts as the empty string; a null id hashes as the empty string.  Texts
+Ties don't arise: equal weights get equal probabilities.  Texts of any length count whole.  Null in source, language or text counts as the empty string; a null id hashes as the empty string.  Texts
 without words weigh nothing and follow their cell.  Repeated rows share one decision.  An empty
 table gives no rows.
 """
@@ -84,6 +86,15 @@ def tempered(present: dict[str, float], temper: float) -> dict[str, float]:
     return {k: x / (sum(raised.values()) or 1.0) for k, x in raised.items()}
 
 
+def completed(present: dict[str, float], given: dict[str, float]) -> dict[str, float]:
+    """A share for each value present: what ``given`` does not name keeps its own, the named ones divide the rest."""
+    total = sum(present.values()) or 1.0
+    own = {k: x / total for k, x in present.items() if k not in given}
+    named = sum(given[k] for k in present if k in given)
+    rest = 1.0 - sum(own.values())
+    return {k: own[k] if k in own else (rest * given[k] / named if named else present[k] / total) for k in present}
+
+
 def fitted_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float, temper: float, rounds: int) -> DataFrame:
     """The margins and m_p of each cell (margins, t), as ``rake`` and ``probabilities`` give them, without a bound on their number."""
     spark = cells.sparkSession
@@ -95,7 +106,11 @@ def fitted_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None,
         given = (targets or {}).get(m)
         if given:
             held = spark.createDataFrame(list(given.items()), f"{m} string, share double")
-            share = present.join(held, m, "left").select(m, F.coalesce("share", F.lit(0.0)).alias("share"))
+            both = materialise(present.join(held, m, "left").select(m, "t", "share"), "given")
+            named, own = both.agg(F.sum("share"), F.sum(F.when(F.col("share").isNull(), F.col("t")))).first()
+            rest = 1.0 - float(own or 0) / (total or 1.0)
+            given_share = F.col("share") * F.lit(rest / named) if named else F.col("t") / F.lit(total or 1.0)
+            share = both.select(m, F.when(F.col("share").isNull(), F.col("t") / F.lit(total or 1.0)).otherwise(given_share).alias("share"))
         else:
             raised = materialise(present.select(m, F.when(F.col("t") > 0, F.pow(F.col("t") / (total or 1.0), F.lit(temper))).otherwise(0.0).alias("w")), "tempered")
             share = raised.select(m, (F.col("w") / F.lit(float(raised.agg(F.sum("w")).first()[0] or 1.0))).alias("share"))
@@ -144,7 +159,7 @@ def with_probability(docs: DataFrame, targets: dict[str, dict[str, float]] | Non
         for key, x in cells.items():
             present[key[at]] = present.get(key[at], 0.0) + x
         given = (targets or {}).get(m)
-        want.append({k: given.get(k, 0.0) for k in present} if given else tempered(present, temper))
+        want.append(completed(present, given) if given else tempered(present, temper))
     p = probabilities(cells, rake(cells, want, rounds), keep)
     spark = docs.sparkSession
     held = spark.createDataFrame([(*k, x) for k, x in p.items()], "m_source string, m_lang string, m_topic string, m_p double")
