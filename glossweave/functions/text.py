@@ -168,7 +168,15 @@ def meaningful(d: Dialect, x: str) -> str:
 
 def japanese_ratio(d: Dialect, x: str) -> str:
     """Share of Japanese characters among the meaningful ones of the first 500; 0 without any."""
-    m = meaningful(d, f"substr({filled(d, x)}, 1, 500)")
+    return d.let(meaningful_prefix(d, x), "mf", ratio_of(d, "mf"))
+
+
+def meaningful_prefix(d: Dialect, x: str) -> str:
+    """The meaningful ones of the first 500 characters, which is what detection looks at."""
+    return meaningful(d, f"substr({filled(d, x)}, 1, 500)")
+
+
+def ratio_of(d: Dialect, m: str) -> str:
     return f"CASE WHEN {m} = '' THEN 0.0 ELSE CAST({d.count(m, f'[{HIRAGANA}{KATAKANA}{IDEOGRAPH}]')} AS DOUBLE) / length({m}) END"
 
 
@@ -179,16 +187,19 @@ SHORT_TEXT = 20
 
 def is_japanese(d: Dialect, x: str, threshold: float = 0.3) -> str:
     """Primarily Japanese; decided at the 20th, 35th or 50th meaningful character where that is clear."""
-    t = filled(d, x)
-    m = meaningful(d, f"substr({t}, 1, 500)")
+    return d.let(meaningful_prefix(d, x), "mf", is_japanese_of(d, filled(d, x), "mf", threshold))
+
+
+def is_japanese_of(d: Dialect, t: str, m: str, threshold: float = 0.3) -> str:
+    """The same of a text and its meaningful prefix."""
 
     def ratio(s: str) -> str:
         return f"(CAST({d.count(s, f'[{HIRAGANA}{KATAKANA}{IDEOGRAPH}]')} AS DOUBLE) / length({s}))"
 
     stages = ""
     for n, high, low in STAGES:
-        r = ratio(f"substr({m}, 1, {n})")
-        stages += f" WHEN length({t}) >= {SHORT_TEXT} AND length({m}) >= {n} AND ({r} >= {high} OR {r} < {low}) THEN {r} >= {threshold}"
+        clear = d.let(ratio(f"substr({m}, 1, {n})"), "r", f"CASE WHEN r >= {high} OR r < {low} THEN r >= {threshold} END")
+        stages += f" WHEN length({t}) >= {SHORT_TEXT} AND length({m}) >= {n} AND {clear} IS NOT NULL THEN {clear}"
     return f"CASE WHEN {m} = '' THEN false{stages} ELSE {ratio(m)} >= {threshold} END"
 
 
@@ -219,8 +230,11 @@ def rare_ideographs(d: Dialect, x: str) -> str:
 
 def detect_reason(d: Dialect, x: str) -> str:
     """Why a language is detected: the first kana or hangul decides, then rare ideographs, then the share of Latin."""
-    t = filled(d, x)
-    m = meaningful(d, f"substr({t}, 1, 500)")
+    return d.let(meaningful_prefix(d, x), "mf", reason_of(d, "mf"))
+
+
+def reason_of(d: Dialect, m: str) -> str:
+    """The same of a meaningful prefix."""
     first = d.get(m, f"[{HIRAGANA}{KATAKANA}{HANGUL}]")
     return (
         f"CASE WHEN {m} = '' THEN 'empty' WHEN {d.like(first, f'[{HIRAGANA}{KATAKANA}]')} THEN 'kana' WHEN {first} <> '' THEN 'hangul' "
@@ -314,7 +328,12 @@ def without_attachments(d: Dialect, x: str) -> str:
 
 
 def clean_item(d: Dialect, x: str) -> str:
-    t = d.sub(without_attachments(d, without_markers(d, x)), r"^\s*\[\[ID:\d+\]\]\s*")
+    return item_of(d, without_markers(d, x))
+
+
+def item_of(d: Dialect, unmarked: str) -> str:
+    """A text without markers also without attachment links, its id mark and a glossary label."""
+    t = d.sub(without_attachments(d, unmarked), r"^\s*\[\[ID:\d+\]\]\s*")
     return d.strip(d.sub(t, r"(?i)[\s。．.、,]*(?:glossary(?:_old)?|abbreviations|用語集|略語集)(?:\.[a-z]{2,4})?\s*$"))
 
 

@@ -11,6 +11,7 @@ from glossweave.functions import numbers as n
 from glossweave.functions import replies as r
 from glossweave.functions import text as t
 from glossweave.functions.dialect import Dialect, Oracle, Spark
+from glossweave.plans import steps
 from glossweave.sources import samples
 
 Columns = Callable[[Dialect], dict[str, str]]
@@ -76,20 +77,22 @@ def _characters(d: Dialect) -> dict[str, str]:
     return {k: t.count_of(d, x, v) for k, v in kinds.items()} | {"rare_ideographs": t.rare_ideographs(d, x), "separator": t.separator_for(d, x), "meaningful": f"length({t.meaningful(d, x)})"}
 
 
-def _detection(d: Dialect) -> dict[str, str]:
-    x = "text"
-    return {
-        "lang": t.detect(d, x), "reason": t.detect_reason(d, x), "japanese": t.is_japanese(d, x), "ratio": f"round({t.japanese_ratio(d, x)}, 9)", "direction": t.direction(d, x),
-        "chinese": t.looks_chinese(d, x), "expected_en": t.is_expected_english(d, x), "expected_jp": t.is_expected_japanese(d, x),
+def _detection(d: Dialect) -> steps.Plan:
+    """The first 500 characters are cleaned once, and every other column follows from that."""
+    x = t.filled(d, "text")
+    todo = [("prefix", t.meaningful_prefix(d, "text")), ("reason", t.reason_of(d, "prefix")), ("lang", t.language_of_reason("reason"))]
+    columns = {
+        "japanese": t.is_japanese_of(d, x, "prefix"), "ratio": f"round({t.ratio_of(d, 'prefix')}, 9)", "direction": t.direction(d, "text"), "chinese": t.looks_chinese(d, "text"),
+        "expected_en": t.is_expected_english(d, "text"), "expected_jp": f"({t.is_blank(d, 'text')} OR lang = '日本語')",
     }
+    return _texts(d), todo, ["id", "lang", "reason", *[f"{v} AS {k}" for k, v in columns.items()]]
 
 
-def _cleanup(d: Dialect) -> dict[str, str]:
+def _cleanup(d: Dialect) -> steps.Plan:
     x = "text"
-    return {
-        "fences": t.without_fences(d, x), "markers": t.without_markers(d, x), "attachments": t.without_attachments(d, x), "item": t.clean_item(d, x), "plain": t.plain_output(d, x),
-        "negatives": t.negative_markers(d, x), "html": t.marked_up(d, x),
-    }
+    todo = [("fences", t.without_fences(d, x)), ("markers", t.without_markers(d, x)), ("attachments", t.without_attachments(d, x))]
+    columns = {"item": t.item_of(d, "markers"), "plain": f"CASE WHEN fences = {t.filled(d, x)} THEN markers ELSE {d.strip(t.without_markers(d, 'fences'))} END", "negatives": t.negative_markers(d, x), "html": t.marked_up(d, x)}
+    return _texts(d), todo, ["id", "fences", "markers", "attachments", *[f"{v} AS {k}" for k, v in columns.items()]]
 
 
 def _names(d: Dialect) -> dict[str, str]:
@@ -170,8 +173,6 @@ QUERIES: dict[str, tuple[str, Columns]] = {
     "should_translate": ("lines", _should_translate),
     "line_rules": ("lines", _line_rules),
     "character_profile": ("texts", _characters),
-    "language_detection": ("texts", _detection),
-    "text_cleanup": ("texts", _cleanup),
     "text_names": ("texts", _names),
     "text_measures": ("texts", _measures),
     "amounts_and_dates": ("texts", _amounts),
@@ -180,6 +181,10 @@ QUERIES: dict[str, tuple[str, Columns]] = {
 }
 
 
+#: Queries whose columns share work: the shared part is a column of an inner query.
+STEPPED: dict[str, steps.Build] = {"language_detection": _detection, "text_cleanup": _cleanup}
+
+
 def select(d: Dialect, name: str) -> str:
     source, columns = QUERIES[name]
     return f"SELECT id, {', '.join(f'{v} AS {k}' for k, v in columns(d).items())} FROM ({SOURCES[source][0](d)}) AS src"
@@ -201,8 +206,8 @@ def _bound(sql: str, table: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: spark_query(name) for name in QUERIES}
+    return {name: spark_query(name) for name in QUERIES} | {name: steps.query(f, ["documents"]) for name, f in STEPPED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: select(Oracle(), name) for name in QUERIES}
+    return {name: select(Oracle(), name) for name in QUERIES} | {name: steps.oracle(f) for name, f in STEPPED.items()}
