@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pack_greedily(rows: DataFrame, group: str, order: str, size: Column, limit: int) -> DataFrame:
-    """``group``, ``order``, size and batch number: batches close when the next row would exceed ``limit``.
+def chunked(text: Column, ends: str, limit: int) -> Column:
+    """A text in chunks of whole sentences of at most ``limit`` characters, stripped; longer sentences are cut.
 
-    A row larger than the limit closes the open batch and forms one of its own.  The fold runs over the
-    rows of one group, which a document or a conversation bounds.
+    A sentence ends at one of ``ends``.  One pass over each text, in Arrow batches.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), size.cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("open"), F.array().cast("array<struct<k:bigint,n:bigint,batch:bigint>>").alias("out"))
+    pattern = re.compile(f"[^{ends}]*[{ends}]|[^{ends}]+")
+
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[str]:
+            out, held = [], ""
+            for sentence in pattern.findall(t or ""):
+                for at in range(0, len(sentence), limit):
+                    piece = sentence[at : at + limit]
+                    if held and len(held) + len(piece) > limit:
+                        out.append(held)
+                        held = ""
+                    held += piece
+            return [x for x in (c.strip(" \n") for c in [*out, held]) if x]
 
-    def step(acc: Column, x: Column) -> Column:
-        large = x["n"] > limit
-        fits = acc["open"] & ~large & (acc["held"] + x["n"] <= limit)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        held = F.when(large, F.lit(0)).when(fits, acc["held"] + x["n"]).otherwise(x["n"]).cast("long")
-        row = F.struct(x["k"].cast("long").alias("k"), x["n"].alias("n"), batch.alias("batch"))
-        return F.struct(batch.alias("batch"), held.alias("held"), (~large).alias("open"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return texts.map(one)
 
-    folded = rows.groupBy(group).agg(F.aggregate(items, start, step).alias("f"))
-    return folded.select(group, F.explode("f.out").alias("x")).select(group, F.col("x.k").alias(order), F.col("x.n").alias("size"), F.col("x.batch").alias("batch"))
+    return chunks(text)
 
 
 def first_seen(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """Rows with ``first`` (the order of the text's first use in its group) and ``slot`` (its number among the distinct ones)."""
-    first = F.min(order).over(Window.partitionBy(group, text))
-    return rows.withColumn("first", first).withColumn("slot", F.dense_rank().over(Window.partitionBy(group).orderBy("first")).cast("long"))
+    first = F.min(order).over(Window.partitionBy(group, "digest"))
+    return rows.withColumn("digest", F.sha2(text, 256)).withColumn("first", first).withColumn("slot", F.dense_rank().over(Window.partitionBy(group).orderBy("first")).cast("long"))
 
 
 def within_budget(rows: DataFrame, group: str, order: str, text: str, most_chars: int, most_rows: int) -> DataFrame:
@@ -54,23 +61,35 @@ def zip_lines(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "full_outer").na.fill("", ["original", "translated"])
 
 
-def exact_p95(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, least, most, mean and p95 by the exclusive method (the largest value below 20 samples).
+BUCKETS = 4096
+
+
+def exact_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """n, least, most, mean, p50 and p95 by the exclusive method (the largest value below 20 samples).
 
-    Works on counts of distinct values, so a window holds a group's distinct values and not its rows.
+    Values fall into equal steps between a group's least and largest one; only the steps that hold a wanted rank are
+    sorted, so no task holds a group, however many rows or distinct values it has.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(group).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(group)))
-    m = 19 * (F.col("n") + 1)
-    j = F.greatest(F.lit(1), F.least(F.floor(m / 20), F.col("n") - 1))
-
-    def at(k: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= k, F.col(value)))
-
-    stats = ranked.groupBy(group).agg(
-        F.max("n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"), at(j).alias("lo"), at(j + 1).alias("hi")
-    )
-    delta = 19 * (F.col("n") + 1) - 20 * F.greatest(F.lit(1), F.least(F.floor(19 * (F.col("n") + 1) / 20), F.col("n") - 1))
-    p95 = F.when(F.col("n") >= 20, (F.col("lo") * (20 - delta) + F.col("hi") * delta) / 20).otherwise(F.col("most"))
-    return stats.select(group, "n", "least", "most", F.round("mean", 6).alias("mean"), F.round(p95, 6).alias("p95"))
+    known = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"))
+    ends = known.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"))
+    step = F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("least")) / (F.col("most") - F.col("least")) * BUCKETS))
+    placed = known.join(ends, group).select(group, "v", F.when(F.col("most") > F.col("least"), step).otherwise(0).alias("step"))
+    counts = placed.groupBy(group, "step", "v").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy(group).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = counts.groupBy(group, "step").agg(F.sum("c").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    n = F.col("n")
+    j = F.greatest(F.lit(1), F.least(F.floor(19 * (n + 1) / 20), n - 1))
+    wanted = ends.select(group, F.explode(F.array_distinct(F.array(j, F.least(j + 1, n), F.floor((n + 1) / 2), F.floor(n / 2) + 1))).alias("rank"))
+    held = steps.join(wanted, group).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c"))).select(group, "step", "before", "rank")
+    inside = Window.partitionBy(group, "step").orderBy("v")
+    ranked = counts.join(held.select(group, "step", "before").distinct(), [group, "step"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    found = ranked.drop("before").join(held.drop("before"), [group, "step"]).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+    values = found.groupBy(group).agg(F.map_from_entries(F.collect_set(F.struct("rank", "v"))).alias("at"))
+    delta = 19 * (n + 1) - 20 * j
+
+    def value_at(rank: Column) -> Column:
+        return F.get(F.map_values(F.map_filter("at", lambda k, _: k == rank)), F.lit(0))
+
+    p95 = F.when(n >= 20, (value_at(j) * (20 - delta) + value_at(j + 1) * delta) / 20).otherwise(F.col("most"))
+    p50 = (value_at(F.floor((n + 1) / 2)) + value_at(F.floor(n / 2) + 1)) / 2
+    return ends.join(values, group).select(group, "n", "least", "most", F.round("mean", 6).alias("mean"), F.round(p50, 6).alias("p50"), F.round(p95, 6).alias("p95"))

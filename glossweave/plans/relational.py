@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossweave.operators import batching, glossary, layout
+from glossweave.operators import batching, glossary, layout, translating
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAGE_H, PAGE_W = 900.0, 800.0
 LIMIT = 600
-ENDS = "。！？.!?\n"
+ENDS, MESSAGE_ENDS = "。！？.!?\n", "。！？!?\n"
+CHUNK = 3000
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def batch_pack(spark: SparkSession, d: str) -> DataFrame:
-    return batching.pack_greedily(_read(spark, d, "conversations"), "conv_id", "turn", F.char_length("text"), LIMIT)
+    rows = translating.packed(_read(spark, d, "conversations"), "conv_id", "turn", F.char_length("text"), LIMIT)
+    return rows.select("conv_id", "turn", F.char_length("text").cast("long").alias("size"), "batch")
 
 
 def dedupe_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +31,7 @@ def dedupe_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_stats(spark: SparkSession, d: str) -> DataFrame:
-    keys = _read(spark, d, "documents").groupBy("lang", F.concat_ws("|", "lang", F.trim("text")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("b"))
+    keys = _read(spark, d, "documents").groupBy("lang", F.sha2(F.concat_ws("|", "lang", F.trim("text")), 256).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("b"))
     hits = F.sum(F.col("n") - 1)
     return keys.groupBy("lang").agg(
         hits.alias("hits"), F.count(F.lit(1)).alias("misses"), F.round(100.0 * hits / F.sum("n"), 1).alias("hit_rate"), F.round(F.sum("b") / 1024.0, 3).alias("kb")
@@ -84,7 +86,7 @@ def history_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latency_stats(spark: SparkSession, d: str) -> DataFrame:
-    return batching.exact_p95(_read(spark, d, "events"), "event_type", "value")
+    return batching.exact_stats(_read(spark, d, "events"), "event_type", "value")
 
 
 def bilingual_zip(spark: SparkSession, d: str) -> DataFrame:
@@ -100,18 +102,18 @@ def contiguous_ranges(spark: SparkSession, d: str) -> DataFrame:
     return batching.islands(rows, "l_orderkey", "l_linenumber")
 
 
+def _chunks(spark: SparkSession, d: str, ends: str) -> DataFrame:
+    rows = _read(spark, d, "documents").select("doc_id", F.posexplode(batching.chunked(F.col("text"), ends, CHUNK)).alias("i", "chunk"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.md5("chunk").alias("md5"), F.char_length("chunk").cast("long").alias("n"))
+
+
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.regexp_extract_all("text", F.lit(f"[^{ENDS}]*[{ENDS}]|[^{ENDS}]+"), F.lit(0))
-    parts = F.flatten(F.transform(parts, lambda x: F.regexp_extract_all(x, F.lit("(?s).{1,1000}"), F.lit(0))))
+    return _chunks(spark, d, ENDS)
 
-    def step(acc: F.Column, x: F.Column) -> F.Column:
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-        fits = (F.size(acc) > 0) & (F.char_length(last) + F.char_length(x) <= 1000)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, x)))).otherwise(F.concat(acc, F.array(x)))
 
-    chunks = F.aggregate(parts, F.array().cast("array<string>"), step)
-    rows = _read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(chunks).alias("i", "chunk"))
-    return rows.select("conv_id", "turn", F.col("i").cast("long").alias("i"), F.md5("chunk").alias("md5"), F.char_length("chunk").cast("long").alias("n"))
+def message_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Messages have no full stop among their sentence ends."""
+    return _chunks(spark, d, MESSAGE_ENDS)
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -159,14 +161,14 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def languages_by_source(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents")
-    return docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.char_length("text")).alias("chars"), F.count_distinct("text").alias("texts"))
+    return docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.char_length("text")).alias("chars"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         batch_pack, dedupe_expand, cache_stats, glossary_topk, char_budget, section_filter, section_summary, history_recent, history_search, history_prune, history_results, latency_stats,
-        bilingual_zip, contiguous_ranges, sentence_chunks, box_overlaps, region_lookup, page_statistics, coordinate_clusters, double_copies, prompts, languages_by_source,
+        bilingual_zip, contiguous_ranges, sentence_chunks, message_chunks, box_overlaps, region_lookup, page_statistics, coordinate_clusters, double_copies, prompts, languages_by_source,
     )
 }
 
@@ -175,6 +177,22 @@ _HISTORY = "SELECT event_id AS id, event_type || '-' || user_id AS source_text,
 _BOXES = f"""SELECT page, box, x0, y0, x0 + 20 + n % 200 AS x1, y0 + 12 + n % 48 AS y1, (['text', 'title', 'table', 'figure', 'footer'])[n % 5 + 1] AS label FROM (
   SELECT doc_id AS page, i AS box, length(line) AS n, ((i * 97 + length(line) * 13) % 560)::DOUBLE AS x0, ((i * 61 + length(line) * 7) % 840)::DOUBLE AS y0 FROM ({_LINES}))"""
 
+
+
+def _chunks_sql(ends: str) -> str:
+    ends = ends.replace("\n", "\\n")
+    return f"""
+WITH RECURSIVE p AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[^{ends}]*[{ends}]|[^{ends}]+'), lambda x: regexp_extract_all(x, '(?s).{{1,{CHUNK // 4}}}.{{0,{CHUNK // 4}}}.{{0,{CHUNK // 4}}}.{{0,{CHUNK // 4}}}'))) AS p FROM documents),
+t AS MATERIALIZED (SELECT doc_id, unnest(range(1, len(p) + 1)) AS k, unnest(p) AS s FROM p),
+r AS (
+  SELECT doc_id, k, 0 AS i, length(s) AS held, s FROM t WHERE k = 1
+  UNION ALL
+  SELECT t.doc_id, t.k, CASE WHEN r.held + length(t.s) <= {CHUNK} THEN r.i ELSE r.i + 1 END, CASE WHEN r.held + length(t.s) <= {CHUNK} THEN r.held + length(t.s) ELSE length(t.s) END, t.s
+  FROM r JOIN t ON t.doc_id = r.doc_id AND t.k = r.k + 1),
+c AS (SELECT doc_id, i, trim(string_agg(s, '' ORDER BY k), ' ' || chr(10)) AS chunk FROM r GROUP BY doc_id, i)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, md5(chunk) AS md5, length(chunk) AS n FROM c WHERE chunk <> ''"""
+
+
 SQL: dict[str, str] = {
     "batch_pack": f"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
@@ -214,7 +232,7 @@ SELECT source, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) F
     "latency_stats": """
 WITH s AS (SELECT event_type, list_sort(list(value)) AS v, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type),
 j AS (SELECT *, greatest(1, least(19 * (n + 1) // 20, n - 1)) AS j FROM s)
-SELECT event_type, n, v[1] AS least, v[n] AS most, round(list_sum(v) / n, 6) AS mean,
+SELECT event_type, n, v[1] AS least, v[n] AS most, round(list_sum(v) / n, 6) AS mean, round((v[(n + 1) // 2] + v[n // 2 + 1]) / 2, 6) AS p50,
   round(CASE WHEN n >= 20 THEN (v[j] * (20 - (19 * (n + 1) - 20 * j)) + v[j + 1] * (19 * (n + 1) - 20 * j)) / 20 ELSE v[n] END, 6) AS p95 FROM j""",
     "bilingual_zip": f"""
 WITH l AS (SELECT doc_id // 2 AS pair, doc_id % 2 AS side, i, line FROM ({_LINES}))
@@ -224,15 +242,8 @@ FROM (SELECT * FROM l WHERE side = 0) a FULL JOIN (SELECT * FROM l WHERE side =
 WITH r AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N'),
 g AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM r)
 SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS n FROM g GROUP BY l_orderkey, island""",
-    "sentence_chunks": f"""
-WITH RECURSIVE p AS (
-  SELECT conv_id, turn, flatten(list_transform(regexp_extract_all(text, '[^。！？.!?\\n]*[。！？.!?\\n]|[^。！？.!?\\n]+'), lambda x: regexp_extract_all(x, '(?s).{{1,1000}}'))) AS p FROM conversations),
-r AS (
-  SELECT conv_id, turn, p, 1 AS k, 0 AS i, p[1] AS chunk FROM p WHERE len(p) > 0
-  UNION ALL
-  SELECT conv_id, turn, p, k + 1, CASE WHEN length(chunk) + length(p[k + 1]) <= 1000 THEN i ELSE i + 1 END,
-         CASE WHEN length(chunk) + length(p[k + 1]) <= 1000 THEN chunk || p[k + 1] ELSE p[k + 1] END FROM r WHERE k < len(p))
-SELECT conv_id, turn, i, md5(arg_max(chunk, k)) AS md5, length(arg_max(chunk, k)) AS n FROM r GROUP BY conv_id, turn, i""",
+    "sentence_chunks": _chunks_sql(ENDS),
+    "message_chunks": _chunks_sql(MESSAGE_ENDS),
     "box_overlaps": f"""
 WITH b AS ({_BOXES}), p AS (
   SELECT a.page, a.box AS a, b.box AS b,

@@ -46,11 +46,6 @@ STATEMENTS: dict[str, tuple[str, str, list[str]]] = {
         "SELECT event_id, event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, try_cast(json_extract_string(props, '$.note') AS DOUBLE) AS note, try_cast(event_type || value AS DOUBLE) AS bad, try_cast(value::VARCHAR AS DOUBLE) AS seconds FROM events ",
         ["events"],
     ),
-    "latency_medians": (
-        "SELECT event_type, count(value) AS runs, round(percentile(value * 1000, 0.5), 4) AS p50_ms, round(min(value) * 1000, 4) AS min_ms, round(max(value) * 1000, 4) AS max_ms FROM events GROUP BY event_type",
-        "SELECT event_type, count(value) AS runs, round(median(value * 1000), 4) AS p50_ms, round(min(value) * 1000, 4) AS min_ms, round(max(value) * 1000, 4) AS max_ms FROM events GROUP BY event_type",
-        ["events"],
-    ),
     "selected_sections": (
         "SELECT source, CAST(size(filter(s, x -> x.selected)) AS BIGINT) AS selected, array_join(transform(filter(s, x -> x.selected), x -> CAST(x.i AS STRING)), ',') AS indices, CASE WHEN size(s) = 0 THEN CAST(0 AS BIGINT) ELSE CAST(size(s) AS BIGINT) END AS sections FROM (SELECT source, array_sort(collect_list(struct(doc_id AS i, n_chars % 3 = 0 AS selected))) AS s FROM documents GROUP BY source)",
         "SELECT source, count(*) FILTER (n_chars % 3 = 0) AS selected, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (n_chars % 3 = 0), '') AS indices, count(*) AS sections FROM documents GROUP BY source",

@@ -65,3 +65,26 @@ def test_terms(spark):
     got = {r.doc_id: r.terms for r in terms.matched(docs, glossary, 2).collect()}
     assert got == {1: "AI", 3: "e-mail", 4: "売上高", 5: "22万円,円", 7: "GPU,AI"}
     assert [tuple(r) for r in dataflow.glossary_load(spark, "").orderBy("idx").collect()] == samples.GLOSSARY_ROWS
+
+
+def test_exact_stats_of_hard_groups(spark):
+    """Single values, ties, two values, outliers that squeeze the rest into one step."""
+    import statistics
+
+    rng = random.Random(4)
+    groups = {"one": [3.0], "ties": [2.0] * 50, "two": [1.0, 9.0], "far": [rng.random() for _ in range(200)] + [1e12], "many": [rng.gauss(0, 1) for _ in range(999)], "few": [1.0, 2.0, 2.0, 7.0]}
+    df = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x] + [("one", None)], "g string, v double")
+    from glossweave.operators import batching
+
+    got = {r.g: r for r in batching.exact_stats(df, "g", "v").collect()}
+    for g, x in groups.items():
+        p95 = statistics.quantiles(x, n=20)[-1] if len(x) >= 20 else max(x)
+        assert (got[g].n, got[g].p50, got[g].p95) == (len(x), round(statistics.median(x), 6), round(p95, 6))
+
+
+def test_chunks(spark):
+    from glossweave.operators import batching
+
+    df = spark.createDataFrame([(1, "One. Two! Three"), (2, "x" * 25), (3, None), (4, " \n")], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", batching.chunked(F.col("t"), ".!", 10).alias("c")).collect()}
+    assert got == {1: ["One. Two!", "Three"], 2: ["x" * 10, "x" * 10, "x" * 5], 3: [], 4: []}
