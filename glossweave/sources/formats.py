@@ -53,18 +53,40 @@ def dialect(text: str) -> type[csv.Dialect] | csv.Dialect:
         return csv.excel_tab if "\t" in sample else csv.excel
 
 
+MOST_CHARS = 3000
+_SENTENCE = re.compile("[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+")
+_NUMBERS = re.compile(r"[\d\s.,+\-()/%]*")
+
+
+def sentence_chunks(text: str, limit: int = MOST_CHARS) -> list[str]:
+    """Whole sentences in chunks of at most ``limit`` characters, stripped; longer sentences are cut."""
+    out, held = [], ""
+    for sentence in _SENTENCE.findall(text):
+        for piece in (sentence[k : k + limit] for k in range(0, len(sentence), limit)):
+            if held and len(held) + len(piece) > limit:
+                out.append(held)
+                held = ""
+            held += piece
+    return [x for x in (c.strip() for c in [*out, held]) if x]
+
+
 def txt_blocks(raw: bytes) -> Iterator[Block]:
+    """Paragraphs parted by blank lines, long ones in chunks; those of numbers alone are left out."""
     for i, part in enumerate(decode(raw)[0].replace("\r\n", "\n").split("\n\n")):
-        if part.strip():
-            yield f"para_{i}", part.strip(), f"Paragraph {i + 1}", "paragraph", None, i, None
+        text = part.strip()
+        if not text or _NUMBERS.fullmatch(text):
+            continue
+        chunks = sentence_chunks(text) if len(text) > MOST_CHARS else [text]
+        for j, chunk in enumerate(chunks):
+            yield f"para_{i}_chunk_{j}" if len(chunks) > 1 else f"para_{i}", chunk, f"Paragraph {i + 1}", "paragraph", None, i, j
 
 
 def csv_blocks(raw: bytes) -> Iterator[Block]:
     text = decode(raw)[0]
-    for r, row in enumerate(csv.reader(io.StringIO(text, newline=""), dialect(text)), 1):
-        for c, cell in enumerate(row, 1):
+    for r, row in enumerate(csv.reader(io.StringIO(text, newline=""), dialect(text))):
+        for c, cell in enumerate(row):
             if cell.strip():
-                yield f"r{r}_c{c}", cell, f"Row {r}, column {c}", "cell", None, r, c
+                yield f"r{r}_c{c}", cell, f"Row {r + 1}, Col {c + 1}", "cell", None, r, c
 
 
 def _column(letters: str) -> int:
@@ -128,6 +150,12 @@ def pptx_blocks(raw: bytes) -> Iterator[Block]:
                 text = "".join(x.text or "" for x in p.iter(f"{_A}t"))
                 if text.strip():
                     yield f"s{i}_p{k}", text, f"Slide {i + 1}", "shape", i, k, None
+            notes = name.replace("ppt/slides/slide", "ppt/notesSlides/notesSlide")
+            if notes in z.namelist():
+                for k, p in enumerate(ElementTree.fromstring(z.read(notes)).iter(f"{_A}p")):
+                    text = "".join(x.text or "" for x in p.iter(f"{_A}t"))
+                    if text.strip():
+                        yield f"s{i}_notes_{k}", text, f"Slide {i + 1} notes", "notes", i, k, None
 
 
 PARSERS: dict[str, Callable[[bytes], Iterator[Block]]] = {
@@ -145,7 +173,11 @@ def read_blocks(spark: SparkSession, path: str, sections: list[int] | None = Non
         names = [c.split(" ")[0] for c in BLOCKS.split(", ")]
         for df in frames:
             for file, kind, content in zip(df["path"], df["ext"], df["content"], strict=True):
-                rows = pd.DataFrame([(file, *b) for b in PARSERS[kind](bytes(content))], columns=names)
+                try:
+                    found = list(PARSERS[kind](bytes(content)))
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, csv.Error) as e:  # one broken file is a row, not a failed job
+                    found = [("error", f"{type(e).__name__}: {e}", "", "error", None, None, None)]
+                rows = pd.DataFrame([(file, *b) for b in found], columns=names)
                 yield rows.astype({"section": "Int32", "row": "Int32", "col": "Int32"})
 
     blocks = files.mapInPandas(parse, BLOCKS)
@@ -160,7 +192,27 @@ def apply_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
     )
 
 
+def texts_of(blocks: DataFrame) -> DataFrame:
+    """doc, value: each document from its translated paragraphs, chunks joined as they are, paragraphs by a blank line."""
+    parts = blocks.groupBy("doc", "row").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("col", F.lit(0)).alias("k"), "translated"))).alias("x"))
+    parts = parts.select("doc", "row", F.array_join(F.transform("x", lambda x: x["translated"]), "").alias("part"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "part"))), lambda x: x["part"]), "\n\n")
+    return parts.groupBy("doc").agg(text.alias("value"))
+
+
+def csv_of(cells: DataFrame, delimiter: str = ",", newline: str = "\n") -> DataFrame:
+    """doc, value: each table from its cells (doc, row, col, translated), gaps empty, quoted where a cell needs it."""
+    quoted = F.when(F.regexp_like("translated", F.lit(f'[{re.escape(delimiter)}"\r\n]')), F.concat(F.lit('"'), F.replace("translated", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("translated"))
+    held = cells.groupBy("doc", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", quoted.alias("t")))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda c: F.coalesce(F.element_at("m", c), F.lit("")))
+    lines = held.select("doc", "row", F.array_join(filled, delimiter).alias("line"))
+    return lines.groupBy("doc").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), newline), F.lit(newline)).alias("value"))
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """doc, value: a folder for each document (``doc=...``) that holds one file with its whole text."""
+    documents.repartition("doc").write.mode("overwrite").partitionBy("doc").text(path, lineSep="\n")
+
+
 def write_txt(blocks: DataFrame, path: str) -> None:
-    """One text file row per document: paragraphs in order, parted by a blank line."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "translated"))), lambda x: x["translated"]), "\n\n")
-    blocks.groupBy("doc").agg(text.alias("value")).select("value").write.text(path, lineSep="\n\x1e\n")
+    write_documents(texts_of(blocks), path)

@@ -47,7 +47,7 @@ def test_all_formats(spark, tmp_path):
     rows = formats.read_blocks(spark, str(tmp_path)).collect()
     got = {(r.doc.rsplit("/", 1)[1], r.block): r.text for r in rows}
     assert got == {
-        ("a.txt", "para_0"): "One.", ("a.txt", "para_2"): "Two\nlines.", ("b.csv", "r1_c1"): "x", ("b.csv", "r1_c2"): "y", ("b.csv", "r1_c3"): "z", ("b.csv", "r3_c1"): "a", ("b.csv", "r3_c2"): "b", ("b.csv", "r3_c3"): "c", ("b.csv", "r2_c1"): "売上", ("b.csv", "r2_c3"): "3",
+        ("a.txt", "para_0"): "One.", ("a.txt", "para_2"): "Two\nlines.", ("b.csv", "r0_c0"): "x", ("b.csv", "r0_c1"): "y", ("b.csv", "r0_c2"): "z", ("b.csv", "r2_c0"): "a", ("b.csv", "r2_c1"): "b", ("b.csv", "r2_c2"): "c", ("b.csv", "r1_c0"): "売上", ("b.csv", "r1_c2"): "3",
         ("c.docx", "para_0"): "First", ("c.docx", "para_2"): "Third", ("c.docx", "table_0_r0_c0"): "Cell", ("d.xlsx", "One_A1"): "Shared", ("d.xlsx", "One_B2"): "In",
         ("e.pptx", "s0_p0"): "Slide 1", ("e.pptx", "s1_p0"): "Slide 2", ("e.pptx", "s2_p0"): "Slide 10",
     }
