@@ -8,6 +8,7 @@ from __future__ import annotations
 import ast
 import difflib
 import json
+import html
 import re
 import unicodedata
 from collections.abc import Callable
@@ -180,6 +181,55 @@ def wrapped(text: str | None, width: float, size: float) -> list[str]:
     return lines
 
 
+def marked_changes(base: str | None, target: str | None) -> str:
+    """The target as HTML, with what is new against the base in marks; blanks and words are the units."""
+    a, b = (re.findall(r"\s+|\S+", t or "") for t in (base, target))
+    out = []
+    for kind, _, _, lo, hi in difflib.SequenceMatcher(None, a, b).get_opcodes():
+        if part := html.escape("".join(b[lo:hi])):
+            out.append(part if kind == "equal" else f'<span class="diff-added">{part}</span>')
+    return "".join(out).replace("\n", "<br>")
+
+
+_ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+
+def _recipient(name: str, address: str) -> str:
+    name = name.strip().strip('"')
+    if "@" in name or name.lower() == address.lower():
+        name = ""
+    if re.search(r'[",;<>]', name):
+        name = f'"{name}"'
+    return f"{name} <{address}>" if name else address
+
+
+def _recipients_in(token: str) -> list[str]:
+    if found := re.findall(rf"([^<]*)<({_ADDRESS})>", token):
+        return [_recipient(n.strip().strip('"').strip(" ,;"), a) for n, a in found]
+    if m := re.fullmatch(rf"({_ADDRESS})\s*\(([^)]*)\)", token):
+        return [_recipient(m[2], m[1])]
+    addresses = re.findall(_ADDRESS, token)
+    if len(addresses) > 1:
+        return [r for part in token.split(",") if part.strip() for r in _recipients_in(part.strip())]
+    if addresses:
+        name = token.replace(addresses[0], "").replace("<", "").replace(">", "").strip().strip('"').strip(" ,;()")
+        return [_recipient(name, addresses[0])]
+    return [token]
+
+
+def recipients(raw: str | None) -> str:
+    """Distinct recipients in order, names that need it in quotes, names that repeat an address left out."""
+    text = (raw or "").replace("\r\n", "\n").replace("\r", "\n").strip()
+    tokens = [t.strip() for t in re.split(r"[;\n]+", text)]
+    return "; ".join(dict.fromkeys(r for t in tokens if t for r in _recipients_in(t)))
+
+
+def pasted(text: str | None) -> str:
+    """Rows of tab-parted cells as a spreadsheet takes them: CRLF between rows, cells with quotes quoted."""
+    rows = [line.split("\t") for line in (text or "").replace("\r\n", "\n").split("\n")]
+    return "\r\n".join("\t".join(f'"{c.replace(chr(34), chr(34) * 2)}"' if '"' in c else c for c in row) for row in rows)
+
+
 def udf(function: Callable, kind: str, *fixed: object) -> Callable:
     """A pandas UDF of one of the functions above, over as many columns as it is given."""
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glossweave.operators import reading
 from glossweave.plans.relational import _BOXES, boxes
 
 # Gaps, shares and labels that results depend on.
-GAP, SHARE, MARGIN, SIZE, JUMP = 5.0, 0.3, 20.0, 10.5, 5.0
+GAP, SHARE, MARGIN, SIZE, JUMP, COLUMN_GAP = 5.0, 0.3, 20.0, 10.5, 5.0, 10.0
 PAGE_W, PAGE_H = 800.0, 900.0
 SKIPPED, TEXTUAL = "('figure')", "('text', 'title', 'table')"
 
 _DX, _DY = "(least(a.x1, o.x1) - greatest(a.x0, o.x0))", "(least(a.y1, o.y1) - greatest(a.y0, o.y0))"
+_OTHER = "NOT (abs(o.x0 - a.x0) < 5 AND abs(o.y0 - a.y0) < 5)"
 _LINES = """
   SELECT page, axis, line, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM (
     SELECT page, axis, avg(v) AS line FROM (
@@ -62,6 +64,19 @@ SELECT a.page, a.box,
   max(greatest({MARGIN}, CASE WHEN o.y1 < a.y0 - {GAP} AND {_DX} > (a.x1 - a.x0) * {SHARE} THEN o.y1 + {GAP} ELSE {MARGIN} END)) AS lim_bottom,
   min(least({PAGE_H - MARGIN}, CASE WHEN o.y0 > a.y1 + {GAP} AND {_DX} > (a.x1 - a.x0) * {SHARE} THEN o.y0 - {GAP} ELSE {PAGE_H - MARGIN} END)) AS lim_top
 FROM b a JOIN b o ON a.page = o.page GROUP BY a.page, a.box""",
+    "side_boundaries": f"""
+SELECT page, box, bound_left, bound_right, bound_bottom, bound_top, greatest(0, x0 - bound_left) AS free_left, greatest(0, bound_right - x1) AS free_right, greatest(0, y0 - bound_bottom) AS free_bottom, greatest(0, bound_top - y1) AS free_top,
+  CASE WHEN x1 >= {PAGE_W - MARGIN} THEN x1 - x0 ELSE greatest(x1 - x0, bound_right - x0) END AS expandable_width FROM (
+  SELECT a.page, a.box, a.x0, a.y0, a.x1, a.y1,
+    least(min(a.x0), max(CASE WHEN {_OTHER} AND o.x1 < a.x0 - {COLUMN_GAP} AND {_DY} >= (a.y1 - a.y0) * {SHARE} AND o.x1 + {COLUMN_GAP} > {MARGIN} THEN o.x1 + {COLUMN_GAP} ELSE {MARGIN} END)) AS bound_left,
+    greatest(max(a.x1), min(CASE WHEN {_OTHER} AND o.x0 > a.x1 + {COLUMN_GAP} AND {_DY} >= (a.y1 - a.y0) * {SHARE} AND o.x0 - {COLUMN_GAP} < {PAGE_W - MARGIN} THEN o.x0 - {COLUMN_GAP} ELSE {PAGE_W - MARGIN} END)) AS bound_right,
+    least(min(a.y0), max(CASE WHEN {_OTHER} AND o.y1 < a.y0 - {COLUMN_GAP} AND {_DX} >= (a.x1 - a.x0) * {SHARE} AND o.y1 + {COLUMN_GAP} > {MARGIN} THEN o.y1 + {COLUMN_GAP} ELSE {MARGIN} END)) AS bound_bottom,
+    greatest(max(a.y1), min(CASE WHEN {_OTHER} AND o.y0 > a.y1 + {COLUMN_GAP} AND {_DX} >= (a.x1 - a.x0) * {SHARE} AND o.y0 - {COLUMN_GAP} < {PAGE_H - MARGIN} THEN o.y0 - {COLUMN_GAP} ELSE {PAGE_H - MARGIN} END)) AS bound_top
+  FROM b a JOIN b o ON a.page = o.page GROUP BY a.page, a.box, a.x0, a.y0, a.x1, a.y1) AS s""",
+    "cell_boundaries": f"""
+SELECT page, box, c0 AS cell_left, c1 AS cell_right, d0 AS cell_bottom, d1 AS cell_top, greatest(0, x0 - c0 - {COLUMN_GAP}) AS free_left, greatest(0, c1 - x1 - {COLUMN_GAP}) AS free_right FROM (
+  SELECT a.page, a.box, a.x0, a.x1, o.x0 AS c0, o.x1 AS c1, o.y0 AS d0, o.y1 AS d1, row_number() OVER (PARTITION BY a.page, a.box ORDER BY {_DX} * {_DY} DESC, o.box) AS place
+  FROM b a JOIN b o ON a.page = o.page AND o.label = 'table' AND a.box <> o.box AND (a.x0 + a.x1) / 2 BETWEEN o.x0 AND o.x1 AND (a.y0 + a.y1) / 2 BETWEEN o.y0 AND o.y1 AND {_DX} > 0 AND {_DY} > 0) AS s WHERE place = 1""",
     "font_sizes": f"""
 SELECT page, box, coalesce(min(CASE WHEN place = 1 THEN size END), {SIZE}) AS size FROM (
   SELECT a.page, a.box, o.y1 - o.y0 AS size, row_number() OVER (PARTITION BY a.page, a.box ORDER BY {_DX} * {_DY} DESC, o.box) AS place
@@ -85,6 +100,14 @@ def _query(statement: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.sql(sql, b=boxes(spark, sf_dir))
 
 
+def boxes_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that a detector gives as JSON, a list a page."""
+    told = F.to_json(F.struct(F.collect_list(F.struct("box", "label", F.array("x0", "y0", "x1", "y1").alias("coordinate"))).alias("boxes")))
+    replies = boxes(spark, sf_dir).groupBy("page").agg(told.alias("json"))
+    read = F.from_json("json", "boxes array<struct<box: bigint, label: string, coordinate: array<double>>>")
+    return replies.select("page", F.explode(read["boxes"]).alias("b")).select("page", "b.box", "b.label", *[F.get("b.coordinate", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each box in its page's reading order."""
     b = boxes(spark, sf_dir)
@@ -92,5 +115,6 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(s) for name, s in STATEMENTS.items()}
-QUERIES |= {"cell_texts": _query(_TEXTS["spark"].format(_MEMBERS)), "reading_order": reading_order}
+QUERIES |= {"cell_texts": _query(_TEXTS["spark"].format(_MEMBERS)), "reading_order": reading_order, "boxes_from_json": boxes_from_json}
 SQL = {name: f"WITH b AS ({_BOXES}) {s}" for name, s in {**STATEMENTS, "cell_texts": _TEXTS["oracle"].format(_MEMBERS)}.items()}
+SQL["boxes_from_json"] = f"SELECT page, box, label, x0, y0, x1, y1 FROM ({_BOXES})"

@@ -54,3 +54,14 @@ def test_as_udf(spark):
     df = spark.createDataFrame([("ＡＢ", "ab"), (None, "")], "a string, b string")
     got = df.select(v.udf(v.folded, "string")("a").alias("f"), v.udf(v.looks_untranslated, "boolean")("a", "b").alias("u")).collect()
     assert [tuple(r) for r in got] == [("ab", True), ("", False)]
+
+
+def test_changes_recipients_and_pasting():
+    from glossweave.functions import vectorised as v
+
+    assert v.marked_changes("a b c", "a x c\n<") == 'a <span class="diff-added">x</span> c<span class="diff-added"><br>&lt;</span>'
+    assert v.marked_changes("", "") == "" and v.marked_changes(None, "a") == '<span class="diff-added">a</span>'
+    assert v.recipients("A B <a@x.org>; b@x.org (Bo)\nc@x.org <c@x.org>; A B <a@x.org>") == "A B <a@x.org>; Bo <b@x.org>; c@x.org"
+    assert v.recipients("d@x.org, Eve e@x.org") == "d@x.org; Eve <e@x.org>" and v.recipients('"X, Y" <f@x.org>') == '"X, Y" <f@x.org>'
+    assert v.recipients(None) == "" and v.recipients("nobody") == "nobody"
+    assert v.pasted('a\tHe said "Hi"\nb') == 'a\t"He said ""Hi"""\r\nb'
