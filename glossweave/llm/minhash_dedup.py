@@ -7,9 +7,8 @@
    ten values, 0.2^10 + 8 * 0.2^9 = 4e-6); smaller sets and higher similarities miss less.
 3. Dense groups first.  Classes with the same smallest value are held, by their sketches, against ``LEADERS`` of
    them, and each takes the most similar one as a likely link.  The lists then shrink to one member for each
-   likely component, and those beside a list's largest component are held against ``LEADERS`` members of it,
-   ``ROUNDS`` times.  So a group of near copies that holds a third of all rows costs a few
-   estimates and one link a member.  All likely links are confirmed on the full sets and closed to components.
+   likely component, and those beside a list's largest component are held against some members of it.  So a group of near copies that holds a third of all rows costs a few
+   estimates and two links a member.  All likely links are confirmed on the full sets and closed to components.
 4. The lists are then completed: between two members outside a list's main component a list of at
    most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
    is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
@@ -47,7 +46,6 @@ from glossweave.llm.scratch import discard, materialise, table
 SKETCH = 64
 SHORT = 128
 LEADERS = 4
-ROUNDS = 2
 MISS = 5e-6
 _PAD = np.uint32(0xFFFFFFFF)
 _NONE = U(2**64 - 1)
@@ -283,48 +281,41 @@ def first_pairs(classes: DataFrame) -> DataFrame:
     leaders = F.array_distinct(F.array(*[F.min_by("node", F.struct(F.xxhash64("node", F.lit(i)), "node")) for i in range(LEADERS)]))
     led = lists.groupBy("key").agg(leaders.alias("led"), F.count(F.lit(1)).alias("k")).where("k > 1")
     led = materialise(led.select("key", F.explode("led").alias("b")), "leaders")
-    return lists.join(led.hint("merge"), "key").where("node <> b").select(F.col("node").alias("a"), "b")
+    return lists.join(led, "key").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
-def open_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
-    """key, node, c: the lists that still hold several components, with each member's."""
+def labelled_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """key, node, c: the members of each list with their component."""
     rows = lists.join(label.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    rows = materialise(rows, "labelled-lists")
-    parts = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    out = materialise(rows.join(materialise(parts, "open-keys").hint("merge"), "key"), "open-lists")
-    discard(rows)
-    return out
+    return materialise(rows, "labelled-lists")
 
 
-def round_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """a, b: for each list and component one member, with leaders of the list's largest component.
+def round_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: for each list and component one member, with about 4 * LEADERS leaders of the list's largest component.
 
-    A hash of the node alone chooses, so that two components meet in few distinct pairs.  There are
-    about ``LEADERS`` leaders in the first round and 8 times as many in the next.
+    A hash of the node alone chooses, so that two components meet in few distinct pairs.
     """
-    wanted = LEADERS * 8 ** (turn - 1)
-    weight = materialise(rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"), F.count(F.lit(1)).alias("k")), "list-components")
-    main = weight.groupBy("key").agg(F.max_by(F.struct("c", "k", "node"), F.struct("k", F.xxhash64("c", F.lit(turn)), "c")).alias("x"))
+    weight = materialise(rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node")).alias("node"), F.count(F.lit(1)).alias("k")), "list-components")
+    main = weight.groupBy("key").agg(F.max_by(F.struct("c", "k", "node"), F.struct("k", "c")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     main = materialise(main.select("key", F.col("x.c").alias("c"), F.col("x.k").alias("k"), F.col("x.node").alias("least")), "mains")
-    every = F.greatest(F.lit(1), F.floor(F.col("k") / wanted))
-    led = rows.join(main.hint("merge"), ["key", "c"]).where((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(turn)), every) == 0))
+    every = F.greatest(F.lit(1), F.floor(F.col("k") / (4 * LEADERS)))
+    led = rows.join(main, ["key", "c"]).where((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(1)), every) == 0))
     led = materialise(led.select("key", F.col("node").alias("b"), F.col("c").alias("main")), "leaders")
-    return weight.join(led.hint("merge"), "key").where("c <> main").select(F.col("node").alias("a"), "b")
+    return weight.join(led, "key").where("c <> main").select(F.col("node").alias("a"), "b")
 
 
 def likely_links(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each class at most one likely link a round; sketches alone decide, and components are provisional."""
-    found, rows = [], None
-    for turn in range(ROUNDS + 1):
-        pairs = first_pairs(known) if turn == 0 else round_pairs(rows, turn)
-        scored = estimated(pairs, known, percent, percent / 100 - 0.025 * turn)
-        found.append(materialise(scored.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")), "likely"))
-        if turn < ROUNDS:
-            label = found[0].toDF("node", "component") if turn == 0 else _merged(None, reduce(DataFrame.unionByName, found))
-            before, rows = rows, open_lists(lists if rows is None else rows.select("key", "node"), label)
-            if before is not None:
-                discard(before)
-    return reduce(DataFrame.unionByName, found).distinct()
+    """a, b: for each class at most two likely links; sketches alone decide, and the components between are provisional."""
+
+    def best(pairs: DataFrame, least: float) -> DataFrame:
+        scored = estimated(pairs, known, percent, least)
+        return materialise(scored.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b")), "likely")
+
+    first = best(first_pairs(known), percent / 100)
+    rows = labelled_lists(lists, first.toDF("node", "component"))
+    second = best(round_pairs(rows), percent / 100 - 0.025)
+    discard(rows)
+    return first.unionByName(second).distinct()
 
 
 def cross_pairs(rows: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -336,18 +327,21 @@ def cross_pairs(rows: DataFrame, known: DataFrame, percent: int) -> tuple[DataFr
         weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         sizes = weight.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts"))
         sizes = materialise(sizes.where("parts > 1").select("key", "size", "main", "most"), "sizes")
-        rows = materialise(rows.join(sizes.hint("merge"), "key"), "open-lists")
+        rows = materialise(rows.join(sizes, "key"), "open-lists")
         found.append(materialise(_short(rows.where(F.col("size") <= SHORT).withColumn("name", F.col("key")).join(full, "node"), percent), "short"))
         long = rows.where(F.col("size") > SHORT)
         if long.isEmpty():
             break
         big = F.col("most") >= max(2, SHORT // 4)
         rest = long.where(big & (F.col("c") != F.col("main")))  # what is outside a large component is held against all of it
-        found.append(materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside"))
+        beside = materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside")
+        found.append(beside)
         mixed = long.where(~big).select("key", "node", "c")
-        rows = rest.select("key", "node", "c")
         blocks = _in_blocks(mixed, "key").withColumn("name", F.col("key")).withColumn("key", F.xxhash64("key", "x", "y")).withColumn("main", F.lit(-(2**63)))
         flags.append(materialise(_flags(blocks.join(full, "node"), percent), "flags"))
+        if beside.isEmpty():
+            break
+        rows = rest.select("key", "node", "c")
     flags.append(known.sparkSession.createDataFrame([], "name long, node long"))
     return reduce(DataFrame.unionByName, found).distinct(), reduce(DataFrame.unionByName, flags).distinct()
 
@@ -483,7 +477,7 @@ def _labels(classes: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     sets = full_sets(_ends(pairs), known, texts, width)
     label = _merged(None, materialise(confirm(pairs, sets, percent).where("linked").select("a", "b"), "checked"))
     discard(sets)
-    rows = open_lists(lists, label)
+    rows = labelled_lists(lists, label)
     discard(lists)
     more, flags = (materialise(x, "more") for x in cross_pairs(rows, known, percent))
     links = _confirmed(more.where("not whole").select("a", "b"), more.where("whole").select("a", "b"), flags, label, known, texts, width, percent)
