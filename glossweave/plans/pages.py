@@ -83,7 +83,7 @@ SELECT page, box, coalesce(min(CASE WHEN place = 1 THEN size END), {SIZE}) AS si
   FROM b a JOIN b o ON a.page = o.page AND o.label = 'text' AND {_DX} > 0 AND {_DY} > 0 AND {_DX} * {_DY} >= 0.2 * least((a.x1 - a.x0) * (a.y1 - a.y0), (o.x1 - o.x0) * (o.y1 - o.y0))
   UNION ALL SELECT page, box, NULL, NULL FROM b) AS s GROUP BY page, box""",
     "cells_at_points": """
-SELECT p.page, p.box AS point, min(c.box) AS cell FROM b p LEFT JOIN b c ON c.page = p.page AND c.label = 'table' AND (p.x0 + p.x1) / 2 >= c.x0 AND (p.x0 + p.x1) / 2 <= c.x1 AND (p.y0 + p.y1) / 2 >= c.y0 AND (p.y0 + p.y1) / 2 <= c.y1 GROUP BY p.page, p.box""",
+SELECT p.page, p.box AS point, coalesce(min(c.box), -1) AS cell FROM b p LEFT JOIN b c ON c.page = p.page AND c.label = 'table' AND (p.x0 + p.x1) / 2 >= c.x0 AND (p.x0 + p.x1) / 2 <= c.x1 AND (p.y0 + p.y1) / 2 >= c.y0 AND (p.y0 + p.y1) / 2 <= c.y1 GROUP BY p.page, p.box""",
     "reading_edges": f"SELECT e.page, e.box, e.next FROM ({_EDGES}) e LEFT JOIN ({_BETWEEN}) k ON k.page = e.page AND k.box = e.box AND k.next = e.next WHERE k.box IS NULL",
 }
 _TEXTS = {

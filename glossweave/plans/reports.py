@@ -21,7 +21,7 @@ def text_rules(d: Dialect) -> steps.Plan:
     x, formulas = filled(d, "text"), d.array(*[d.text(v) for v in FORMULAS])
     todo = [
         ("unescaped", f.unescaped(d, x)), ("uncited", f.without_citations(d, x, LABELS)), ("restored", f.restored(d, x, formulas)), ("formulas", f.numbered_formulas(d, x, formulas)), ("devices", f.devices(d, x)),
-        ("width", f"round({f.text_width(d, x, '10.5')}, 3)"), ("model", f.is_translation_model(d, "text")), ("script", f.with_script(d, x)), ("n", d.integer(f"length({x})")),
+        ("width", f"CAST({f.text_width(d, x, '10.5')} AS DOUBLE)"), ("model", f.is_translation_model(d, "text")), ("script", f.with_script(d, x)), ("n", d.integer(f"length({x})")),
     ]
     font = "CASE id % 4 WHEN 0 THEN 'ABCDEF+CMSY10' WHEN 1 THEN 'Arial' WHEN 2 THEN 'Latin Modern Math' ELSE '' END"
     todo += [("first_formula", f.is_formula_char(d, font, f"substr({x}, 1, 1)")), ("swapped", f.swapped(d, f"CASE WHEN id % 3 = 0 THEN '{f.DETECT}' ELSE 'en' END", f"CASE WHEN id % 5 = 0 THEN '{f.AUTO}' ELSE 'ja' END"))]
@@ -62,8 +62,8 @@ STATEMENTS: dict[str, tuple[str, str, list[str]]] = {
         ["documents"],
     ),
     "batch_limits": (
-        "SELECT event_id, coalesce(CASE WHEN k > 20 THEN k END, CASE WHEN user_id > 3 THEN user_id END) AS batch_limit, CASE WHEN k > 20 THEN 'file' WHEN user_id > 3 THEN 'generic' END AS limit_source FROM (SELECT event_id, user_id, try_cast(get_json_object(props, '$.k') AS BIGINT) AS k FROM events )",
-        "SELECT event_id, CASE WHEN k > 20 THEN k WHEN user_id > 3 THEN user_id END AS batch_limit, CASE WHEN k > 20 THEN 'file' WHEN user_id > 3 THEN 'generic' END AS limit_source FROM (SELECT event_id, user_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events )",
+        "SELECT event_id, coalesce(CASE WHEN k > 20 THEN k END, CASE WHEN user_id > 3 THEN user_id END, 0) AS batch_limit, CASE WHEN k > 20 THEN 'file' WHEN user_id > 3 THEN 'generic' END AS limit_source FROM (SELECT event_id, user_id, try_cast(get_json_object(props, '$.k') AS BIGINT) AS k FROM events )",
+        "SELECT event_id, CASE WHEN k > 20 THEN k WHEN user_id > 3 THEN user_id ELSE 0 END AS batch_limit, CASE WHEN k > 20 THEN 'file' WHEN user_id > 3 THEN 'generic' END AS limit_source FROM (SELECT event_id, user_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events )",
         ["events"],
     ),
     "sweep_grid": (
@@ -177,8 +177,8 @@ STATEMENTS: dict[str, tuple[str, str, list[str]]] = {
         ["conversations"],
     ),
     "merged_areas": (
-        "SELECT a.l_orderkey, a.l_linenumber, min(b.l_linenumber) AS area FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS r, l_suppkey % 10 AS c FROM lineitem ) a LEFT JOIN (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS r1, l_suppkey % 10 AS c1, l_partkey % 10 + l_quantity % 4 AS r2, l_suppkey % 10 + l_quantity % 3 AS c2 FROM lineitem WHERE l_returnflag = 'R') b ON a.l_orderkey = b.l_orderkey AND a.r BETWEEN b.r1 AND b.r2 AND a.c BETWEEN b.c1 AND b.c2 GROUP BY a.l_orderkey, a.l_linenumber",
-        "SELECT l_orderkey, l_linenumber, min(area) AS area FROM (SELECT a.l_orderkey, a.l_linenumber, (SELECT min(b.l_linenumber) FROM lineitem b WHERE b.l_returnflag = 'R' AND a.l_orderkey = b.l_orderkey AND a.l_partkey % 10 >= b.l_partkey % 10 AND a.l_partkey % 10 <= b.l_partkey % 10 + b.l_quantity % 4 AND a.l_suppkey % 10 >= b.l_suppkey % 10 AND a.l_suppkey % 10 <= b.l_suppkey % 10 + b.l_quantity % 3) AS area FROM lineitem a) GROUP BY l_orderkey, l_linenumber",
+        "SELECT a.l_orderkey, a.l_linenumber, coalesce(min(b.l_linenumber), 0) AS area FROM (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS r, l_suppkey % 10 AS c FROM lineitem ) a LEFT JOIN (SELECT l_orderkey, l_linenumber, l_partkey % 10 AS r1, l_suppkey % 10 AS c1, l_partkey % 10 + l_quantity % 4 AS r2, l_suppkey % 10 + l_quantity % 3 AS c2 FROM lineitem WHERE l_returnflag = 'R') b ON a.l_orderkey = b.l_orderkey AND a.r BETWEEN b.r1 AND b.r2 AND a.c BETWEEN b.c1 AND b.c2 GROUP BY a.l_orderkey, a.l_linenumber",
+        "SELECT l_orderkey, l_linenumber, coalesce(min(area), 0) AS area FROM (SELECT a.l_orderkey, a.l_linenumber, (SELECT min(b.l_linenumber) FROM lineitem b WHERE b.l_returnflag = 'R' AND a.l_orderkey = b.l_orderkey AND a.l_partkey % 10 >= b.l_partkey % 10 AND a.l_partkey % 10 <= b.l_partkey % 10 + b.l_quantity % 4 AND a.l_suppkey % 10 >= b.l_suppkey % 10 AND a.l_suppkey % 10 <= b.l_suppkey % 10 + b.l_quantity % 3) AS area FROM lineitem a) GROUP BY l_orderkey, l_linenumber",
         ["lineitem"],
     ),
 }
