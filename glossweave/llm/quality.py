@@ -8,7 +8,8 @@ zero the step undoes the overfit instead.
 
 Training reads at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` unlabelled rows, chosen by a hash
 of the id; that is the only bound.  Every row is scored on its whole text.  No score depends on labels,
-language, source or id.  Null and empty texts get the score of a text without words.  With no positive
+language, source or id, and extra columns pass through.  Texts of any length are read whole; ties of the hash that chooses
+training rows go by id.  Null and empty texts get the score of a text without words.  With no positive
 training row at all, every score is the prior (0.5 without labels).  Repeated rows score alike.
 """
 
@@ -152,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` plus quality_score and quality_predicted, a double and an int; names must be free."""
+    """``docs`` plus quality_score and quality_predicted, a double and an int; a clash of names is a ValueError."""
+    if {"quality_score", "quality_predicted"} & set(docs.columns):
+        raise ValueError("docs must not have columns quality_score or quality_predicted")
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = [*docs.columns, "quality_score", "quality_predicted"]

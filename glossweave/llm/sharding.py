@@ -8,7 +8,7 @@ balanced tree of the gaps.  For a fixed number of shards the smallest capacity t
 bins is found by bisection, which leaves the sizes near equal.  A group larger than a fair share
 fills its own shard and sets that capacity.
 
-Null text counts as no bytes.  Ties go by key, so results repeat.  Repeated rows are rows of one group
+Null text counts as no bytes; texts may be of any length.  Ties go by key, so results repeat.  Repeated rows are rows of one group
 and get slots of their own.  An empty table gives no rows.  Extra columns are ignored.
 """
 

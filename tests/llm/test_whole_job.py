@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from glossweave.llm import minhash_dedup, mixing, recompression
+from glossweave.llm import minhash_dedup, mixing, packing, quality, recompression, suffix_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -89,3 +89,29 @@ def test_mixing_rakes_every_source(spark, monkeypatch, on_driver, given):
     cells = {k: float(x) for k, x in cells.items()}
     p = mixing.probabilities(cells, mixing.rake(cells, want, 3), mixing.KEEP)
     assert len(got) == len(rows) and all(got[i].m_p == pytest.approx(p[key[i]], rel=1e-9) for i in got)
+
+
+def test_texts_longer_than_a_block(spark):
+    """Texts of several blocks that share a part across the blocks' ends."""
+    rng = random.Random(11)
+    long = " ".join(_words(rng, 45000))
+    cut = long[100_000:180_000]
+    rows = [(1, long), (2, "start " + cut + " end"), (3, "small text"), (4, long[:399])]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "doc_id long, text string, d int, starts int")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(df).collect()}
+    shared = len(cut) + 2 if long[99_999] == long[180_000] == " " else None
+    lo, hi = 100_000 - (long[99_999] == " "), 180_000 + (long[180_000] == " ")
+    assert got == {1: (len(long), hi - lo, 1), 2: (len(cut) + 10, hi - lo, 1), 3: (10, 0, 0), 4: (399, 0, 0)} and shared in (None, hi - lo)
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in recompression.remove_repeats(df).collect()}
+    whole = set(long.split())
+    assert words[1] == (45000, 0) and words[2][1] == sum(w in whole for w in rows[1][1].split()) and words[4] == (len(rows[3][1].split()), sum(w in whole for w in rows[3][1].split()))
+
+
+def test_packing_nothing(none):
+    assert packing.pack(none, packing.default_tokenizer()).count() == 0
+
+
+def test_quality_names_must_be_free(spark):
+    df = spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, quality_score double")
+    with pytest.raises(ValueError):
+        quality.score(df, quality.Model(0.5))
