@@ -40,7 +40,7 @@ def yen_words(d: Dialect, amount: str) -> str:
     """A whole amount of yen in 10^12, 10^8, 10^4 and single units."""
     a = f"abs({amount})"
     parts = [(d.div(a, "1000000000000"), "兆"), (d.div(f"({a} % 1000000000000)", "100000000"), "億"), (d.div(f"({a} % 100000000)", "10000"), "万"), (f"({a} % 10000)", "")]
-    shown = ", ".join(f"CASE WHEN {v} > 0 THEN concat(CAST({v} AS STRING), '{u}') ELSE '' END" for v, u in parts)
+    shown = ", ".join(f"CASE WHEN {v} > 0 THEN concat({d.grouped(v) if u != '兆' else f'CAST({v} AS STRING)'}, '{u}') ELSE '' END" for v, u in parts)
     return f"CASE WHEN {amount} = 0 THEN '0円' ELSE concat(CASE WHEN {amount} < 0 THEN '-' ELSE '' END, {shown}, '円') END"
 
 
@@ -49,8 +49,8 @@ def oku_words(d: Dialect, oku: str) -> str:
     a = f"abs({oku})"
     cho, rest = d.div(a, "10000"), f"({a} % 10000)"
     return (
-        f"CASE WHEN {oku} = 0 THEN '0億円' ELSE concat(CASE WHEN {oku} < 0 THEN '-' ELSE '' END, "
-        f"CASE WHEN {cho} > 0 THEN concat(CAST({cho} AS STRING), '兆') ELSE '' END, CASE WHEN {rest} > 0 THEN concat(CAST({rest} AS STRING), '億') ELSE '' END, '円') END"
+        f"CASE WHEN {oku} = 0 THEN '0円' ELSE concat(CASE WHEN {oku} < 0 THEN '-' ELSE '' END, "
+        f"CASE WHEN {cho} > 0 THEN concat(CAST({cho} AS STRING), '兆') ELSE '' END, CASE WHEN {rest} > 0 THEN concat({d.grouped(rest)}, '億') ELSE '' END, '円') END"
     )
 
 

@@ -62,8 +62,8 @@ def test_amounts(value):
     assert value(n.oku_amounts, "2兆5,000億円と300億円と2兆5,000億円") == [300, 25000]
     assert value(n.k_amounts, "12万円と3千台") == [3, 120]
     assert value(n.months_of, "12月と1月と13月") == [1, 12]
-    assert value(lambda d, x: n.yen_words(d, f"CAST({x} AS BIGINT)"), "1234500006789") == "1兆2345億6789円"
-    assert value(lambda d, x: n.oku_words(d, f"CAST({x} AS BIGINT)"), "25300") == "2兆5300億円"
+    assert value(lambda d, x: n.yen_words(d, f"CAST({x} AS BIGINT)"), "1234500006789") == "1兆2,345億6,789円"
+    assert value(lambda d, x: n.oku_words(d, f"CAST({x} AS BIGINT)"), "25300") == "2兆5,300億円"
 
 
 def test_replies(value):
@@ -73,4 +73,4 @@ def test_replies(value):
     assert value(r.json_part, 'x {"a": {"b": 1}} y') == '{"a": {"b": 1}}'
     assert value(r.failure, '{"a": [1') == "truncated_json"
     assert value(r.chat_content, '{"choices": [{"message": {"content": "hi"}}]}') == "hi"
-    assert value(r.items, '{"items": [{"id": 1, "translation": "a"}, {"id": "2", "translation": "b"}]}') == "a|b"
+    assert value(lambda d, x: d.join(r.items_by_id(d, x, 2), "|"), '{"items": [{"id": 1, "translation": "a"}, {"id": "2", "translation": "b"}]}') == "a|b"
