@@ -38,7 +38,8 @@ def matched(docs: DataFrame, glossary: DataFrame, k: int) -> DataFrame:
     forms = terms.select("idx", F.explode(F.array("source", "target")).alias("form")).withColumn("form", F.trim(folded(F.col("form")))).where("form <> ''")
     forms = forms.withColumn("c", compact(F.col("form")))
     texts = docs.select("doc_id", folded(F.col("text")).alias("t")).withColumn("c", compact(F.col("t")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("c") - LEAST + 1)), lambda i: F.substring(F.col("c"), i, F.lit(LEAST))))
+    shifts = [F.regexp_extract_all(F.substr(F.col("c"), F.lit(k + 1)), F.lit(f"(?s).{{{LEAST}}}"), F.lit(0)) for k in range(LEAST)]  # each place once, in linear time
+    grams = F.array_distinct(F.concat(*shifts))
     long = forms.where(F.char_length("c") >= LEAST).select("idx", "c", F.substring("c", 1, LEAST).alias("gram"))
     maybe = texts.select("doc_id", F.explode(grams).alias("gram")).join(long, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("idx", F.col("c").alias("form"))).alias("maybe"))
     hits = texts.join(maybe, "doc_id").select("doc_id", F.explode(F.filter("maybe", lambda x: F.contains(F.col("c"), x["form"]))).alias("x")).select("doc_id", "x.idx")
