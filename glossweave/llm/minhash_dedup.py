@@ -13,7 +13,7 @@
    most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
    is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
    members against a large main component and goes on without it; without one, its members that some
-   other one resembles are compared on the full sets in pairs of blocks of ``SHORT``, each of which gives no
+   other one resembles are compared on the full sets in pairs of blocks of ``SHORT`` (sketches in larger ones), each of which gives no
    more links than it has members.  A pair counts in the list of its two smallest shared values only.
    Nothing is capped or dropped.
 
@@ -225,9 +225,9 @@ def _flags(blocks: DataFrame, percent: int) -> DataFrame:
     return _by_list(blocks.select("key", "node", "n", "sketch", "low", "c", "main", "name"), ["key"], solve, "name long, node long").distinct()
 
 
-def _in_blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Each member of a list once for every pair of blocks of about SHORT members that its own block is in; ``x`` and ``y`` name the pair."""
-    size = materialise(rows.groupBy(name).agg(F.ceil(F.count(F.lit(1)) / SHORT).cast("int").alias("blocks")), "blocks")
+def _in_blocks(rows: DataFrame, name: str, members: int) -> DataFrame:
+    """Each member of a list once for every pair of blocks of about ``members`` that its own block is in; ``x`` and ``y`` name the pair."""
+    size = materialise(rows.groupBy(name).agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("blocks")), "blocks")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     each = rows.join(size, name).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return each.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).drop("mine", "other", "blocks")
@@ -256,7 +256,7 @@ def block_links(flags: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         out = [p for s, t in places if t - s > 1 for p in tree(values[s:t], nodes[s:t])]
         return pd.DataFrame(out, columns=["a", "b"]) if out else None
 
-    rows = _in_blocks(flags, "name").join(sets.withColumnRenamed("id", "node").hint("merge"), "node")
+    rows = _in_blocks(flags, "name", SHORT).join(sets.withColumnRenamed("id", "node").hint("merge"), "node")
     return _by_list(rows.select("name", "x", "y", "node", "set"), ["name", "x", "y"], solve, "a long, b long")
 
 
@@ -337,7 +337,7 @@ def cross_pairs(rows: DataFrame, known: DataFrame, percent: int) -> tuple[DataFr
         beside = materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside")
         found.append(beside)
         mixed = long.where(~big).select("key", "node", "c")
-        blocks = _in_blocks(mixed, "key").withColumn("name", F.col("key")).withColumn("key", F.xxhash64("key", "x", "y")).withColumn("main", F.lit(-(2**63)))
+        blocks = _in_blocks(mixed, "key", 3 * SHORT).withColumn("name", F.col("key")).withColumn("key", F.xxhash64("key", "x", "y")).withColumn("main", F.lit(-(2**63)))
         flags.append(materialise(_flags(blocks.join(full, "node"), percent), "flags"))
         if beside.isEmpty():
             break
