@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality, recompression, sharding, simhash, suffix_dedup
+from glossweave.llm import exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality, recompression, sharding, simhash, suffix_dedup, token_alignment, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,8 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": recompression.op8_substring_dedup,
         "op9_mixing_sources": mixing.op9_mixing_sources,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
