@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import exact_dedup, line_dedup, minhash_dedup, mixing, packing, quality, recompression, sharding, simhash, suffix_dedup, token_alignment, whitening
+from glossweave.llm import exact_dedup, line_dedup, minhash_dedup, mixing, packing, private_data, quality, recompression, sharding, simhash, suffix_dedup, token_alignment, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op9_mixing_sources": mixing.op9_mixing_sources,
         "op10_quality_classifier": quality.op10_quality_classifier,
         "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_personal_data": private_data.op12_personal_data,
         "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
