@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.plans import amounts, catalog, dataflow, files, pages, relational, replies, reports
+from glossweave.plans import amounts, catalog, dataflow, files, pages, pagetext, relational, replies, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,8 @@ FLAGSHIP = "language_detection"
 
 
 def queries() -> dict[str, Query]:
-    return catalog.queries() | relational.QUERIES | amounts.QUERIES | replies.QUERIES | reports.QUERIES | pages.QUERIES | dataflow.QUERIES | files.QUERIES
+    return catalog.queries() | relational.QUERIES | amounts.QUERIES | replies.QUERIES | reports.QUERIES | pages.QUERIES | pagetext.QUERIES | dataflow.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.oracle_sql() | relational.SQL | amounts.SQL | replies.SQL | reports.SQL | pages.SQL | dataflow.SQL | files.SQL
+    return catalog.oracle_sql() | relational.SQL | amounts.SQL | replies.SQL | reports.SQL | pages.SQL | pagetext.SQL | dataflow.SQL | files.SQL
