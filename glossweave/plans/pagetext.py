@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossweave.functions import pagetext, text
 from glossweave.functions.dialect import Dialect, Oracle, Spark
-from glossweave.operators import page_text
+from glossweave.operators import page_text, wrapping
 from glossweave.plans import steps
 
 ROLES = "CASE cls WHEN 3 THEN 'header' WHEN 1000 THEN 'table_cell' END"
@@ -66,7 +66,29 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.blocks(page_paragraphs(spark, sf_dir), ROLES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_boundaries, page_formulas, page_paragraphs, page_blocks)}
+def boxed(d: Dialect) -> str:
+    """Turns as texts of boxes of several widths, sizes and languages; some boxes have no width, some sizes count as missing."""
+    shown = f"CASE WHEN conv_id % 3 = 0 THEN {d.translate('text', LETTERS, KANA)} ELSE text END"
+    fields = {
+        "x0": "10.0 + turn * 3", "y0": "400.0 - turn", "x1": "10.0 + turn * 3 + CASE WHEN conv_id % 19 = 7 THEN 0 ELSE 30 + (conv_id * 37 + turn * 11) % 300 END", "y1": "400.0 - turn + 20 + conv_id % 90",
+        "size": "CASE WHEN turn % 7 = 6 THEN 0 ELSE 8 + conv_id % 5 END", "first_x": "CASE WHEN turn % 2 = 0 THEN 14.0 + turn * 3 END", "first_y": "CASE WHEN turn % 3 = 0 THEN 415.0 - turn END",
+    }
+    numbers = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in fields.items())
+    return f"SELECT conv_id * 1000 + turn AS id, {shown} AS text, {numbers}, CASE conv_id % 4 WHEN 0 THEN 'ja' WHEN 1 THEN 'en' WHEN 2 THEN 'zh-CN' ELSE 'xx' END AS lang, turn % 5 = 4 AS is_cell FROM conversations"
+
+
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(steps.bound(boxed(Spark()), ["conversations"]), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each text in its box, and where they go."""
+    boxes = _boxed(spark, sf_dir)
+    lines = wrapping.wrapped(boxes.selectExpr("id", "text", "x1 - x0 AS box", "size"))
+    return wrapping.placed(lines, boxes.drop("text")).selectExpr("id", "line", "text", "round(height, 6) AS height", "x", "round(y, 6) AS y")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (page_boundaries, page_formulas, page_paragraphs, page_blocks, wrapped_lines)}
 
 
 def _marked_sql() -> str:
@@ -127,7 +149,40 @@ def _blocks_sql() -> str:
     return f"SELECT page, paragraph, block, leader, page_number, role, skip, n_lines, is_cell, x0, y0, x1, y1, size, y FROM {sql} AS s WHERE bare <> ''"
 
 
+def _wrapped_sql() -> str:
+    """Line by line, by recursion; what fits is looked up among all places of a text."""
+    single = lambda x: f"regexp_matches({x}, '^[{wrapping.SINGLE}]')"
+    heights = " ".join(f"WHEN '{k}' THEN {v}" for k, v in wrapping.LINE_HEIGHTS.items())
+    return f"""
+WITH RECURSIVE b AS MATERIALIZED (SELECT *, x1 - x0 AS box, CASE WHEN size > 0 THEN size ELSE 10.0 END AS own_size FROM ({boxed(Oracle())}) AS s),
+l AS MATERIALIZED (SELECT id, box, own_size, unnest(range(len(string_split(text, chr(10))))) AS part, unnest(string_split(text, chr(10))) AS own, len(string_split(text, chr(10))) - 1 AS last FROM b WHERE text <> '' AND box > 0),
+c AS (SELECT id, part, box, own_size, unnest(range(length(own) + 1)) AS p, unnest(list_concat(regexp_extract_all(own, '(?s).'), [''])) AS ch FROM l WHERE own <> ''),
+w AS (SELECT *, CASE WHEN ch = '' THEN 0 WHEN {single('ch')} THEN own_size ELSE own_size / 2 END AS w, coalesce(lag(ch) OVER (PARTITION BY id, part ORDER BY p), ' ') AS before FROM c),
+h AS MATERIALIZED (SELECT id, part, box, p, ch, sum(w) OVER (PARTITION BY id, part ORDER BY p) - w AS upto, before = ' ' OR ch = '' OR {single('ch')} OR {single('before')} AS joint, max(p) OVER (PARTITION BY id, part) AS n FROM w),
+j AS MATERIALIZED (SELECT a.id, a.part, a.p, a.n, max(e.p) FILTER (e.joint AND e.p > a.p AND e.upto - a.upto <= a.box * (1 + 1e-9)) AS fits, max(e.p) FILTER (e.p = a.p + 1 OR e.upto - a.upto <= a.box * (1 + 1e-9)) AS chars, min(e.p) FILTER (e.joint AND e.p > a.p) AS token
+  FROM h a JOIN h e ON a.id = e.id AND a.part = e.part AND e.p >= a.p AND e.p <= a.p + 200 WHERE a.p < a.n GROUP BY a.id, a.part, a.p, a.n),
+s AS MATERIALIZED (SELECT j.*, coalesce(fits, chars) AS loose, fits IS NOT NULL OR chars = token AS cut, g.p AS held_blank, k.p AS loose_blank FROM j LEFT JOIN h g ON g.id = j.id AND g.part = j.part AND g.p = greatest(j.fits, j.token) AND g.ch = ' ' LEFT JOIN h k ON k.id = j.id AND k.part = j.part AND k.p = coalesce(j.fits, j.chars) AND k.ch = ' '),
+r AS (
+  SELECT id, part, p, q, n, whole, CASE WHEN at_joint AND blank IS NOT NULL THEN q + 1 ELSE q END AS next, at_joint AND blank IS NULL AS next_whole, at_joint, coalesce(at_joint AND blank = n - 1, false) AS dropped
+  FROM (SELECT *, false AS whole, loose AS q, cut AS at_joint, loose_blank AS blank FROM s WHERE p = 0)
+  UNION ALL
+  SELECT id, part, p, q, n, whole, CASE WHEN at_joint AND blank IS NOT NULL THEN q + 1 ELSE q END, at_joint AND blank IS NULL, at_joint, coalesce(at_joint AND blank = n - 1, false)
+  FROM (SELECT s.*, r.next_whole AS whole, CASE WHEN r.next_whole THEN greatest(s.fits, s.token) ELSE s.loose END AS q, r.next_whole OR s.cut AS at_joint, CASE WHEN r.next_whole THEN s.held_blank ELSE s.loose_blank END AS blank
+    FROM r JOIN s ON s.id = r.id AND s.part = r.part AND s.p = r.next)),
+t AS (
+  SELECT r.id, r.part, r.p, CASE WHEN at_joint AND q < n THEN rtrim(substr(own, p + 1, q - p), ' ') ELSE substr(own, p + 1, q - p) END AS text FROM r JOIN l USING (id, part)
+  UNION ALL SELECT r.id, r.part, n, '' FROM r JOIN l USING (id, part) WHERE dropped AND part < last
+  UNION ALL SELECT id, part, 0, '' FROM l WHERE own = '' AND part < last
+  UNION ALL SELECT id, 0, 0, text FROM b WHERE text <> '' AND box <= 0),
+u AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, p) - 1 AS line, count(*) OVER (PARTITION BY id) AS n_lines, text FROM t),
+v AS (SELECT u.*, b.* EXCLUDE (id, text), CASE lower(lang) {heights} ELSE 1.1 END::DOUBLE AS normal FROM u JOIN b USING (id)),
+x AS (SELECT *, CASE WHEN y1 - y0 <= 0 OR box <= 0 THEN normal ELSE list_reduce(range(0, greatest(1, trunc((normal - 1.0) / 0.05)::BIGINT + 1)), lambda h, k: CASE WHEN k < trunc((normal - 1.0) / 0.05) + 1 AND n_lines * own_size * h > y1 - y0 AND h > 1.0 THEN h - 0.05 ELSE h END, normal) END AS lowered FROM v)
+SELECT id, line, text, round(CASE WHEN y1 - y0 <= 0 OR box <= 0 THEN lowered ELSE greatest(1.0, lowered) END, 6) AS height, CASE WHEN line = 0 THEN coalesce(first_x, x0) ELSE x0 END AS x,
+  round(coalesce(first_y, y0) - line * own_size * CASE WHEN y1 - y0 <= 0 OR box <= 0 THEN lowered ELSE greatest(1.0, lowered) END, 6) AS y FROM x"""
+
+
 SQL: dict[str, str] = {
+    "wrapped_lines": _wrapped_sql(),
     "page_boundaries": f"SELECT page, seq, i, base, kind, formula, v, {pagetext.boundary(False)} AS plain, {pagetext.boundary(False, **{k: str(v) for k, v in THRESHOLDS.items()})} AS dynamic FROM ({_marked_sql()}) AS m",
     "page_formulas": f"SELECT page, v, string_agg(ch, '' ORDER BY i) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_min(font, i) AS font, arg_min(size, i) AS size FROM ({_marked_sql()}) AS m WHERE formula GROUP BY page, v",
     "page_paragraphs": _paragraphs_sql(),
