@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from glossweave.functions.dialect import Dialect
-from glossweave.functions.text import filled, stripped
+from glossweave.functions.text import filled, stripped, without_fences
 
 
 def json_part(d: Dialect, x: str) -> str:
@@ -38,12 +38,11 @@ def is_empty_object(d: Dialect, x: str) -> str:
 
 
 def failure(d: Dialect, x: str) -> str:
-    s = stripped(d, x)
-    opened, closed = d.count(s, r"[\[{]"), d.count(s, r"[\]}]")
-    return (
-        f"CASE WHEN {s} = '' THEN 'empty' WHEN {opened} = 0 THEN 'no_json' WHEN {opened} > {closed} THEN 'truncated_json' WHEN {d.like(s, r'^\{\s*\}$')} THEN 'empty_json_object' "
-        f"WHEN {json_part(d, x)} = '' THEN 'invalid_json' ELSE 'json_schema_mismatch' END"
-    )
+    """Why a reply holds no translations: by what is left open, by whether anything can be read, and by what that is."""
+    cleaned = d.strip(without_fences(d, x))
+    kinds = f"CASE WHEN j = '' THEN CASE WHEN {json_part(d, 's')} = '' THEN 'no_json' ELSE 'invalid_json' END WHEN {d.like('j', r'^\[')} THEN 'json_type_list' WHEN {d.like('j', r'^[{]\s*[}]$')} THEN 'empty_json_object' ELSE 'json_schema_mismatch' END"
+    read = d.let(loose_json(d, "s"), "j", kinds)
+    return d.let(cleaned, "s", f"CASE WHEN s = '' THEN 'empty' WHEN {is_truncated(d, 's')} THEN 'truncated_json' ELSE {read} END")
 
 
 def loose_json(d: Dialect, x: str) -> str:
@@ -56,14 +55,14 @@ def loose_json(d: Dialect, x: str) -> str:
 def is_truncated(d: Dialect, x: str) -> str:
     """Whether a bracket or a string that opens is left open, with no closer out of turn.
 
-    Strings go first, then innermost pairs of brackets, four levels at a time.
+    Strings go first; then a stack of open brackets, to any depth, runs along what is left.
     """
-    s = d.sub(d.get(x, r"(?s)[\[{].*$"), r'"(?:[^"\\]|\\.)*"', "")
+    s = d.sub(d.get(x, r"(?s)[\[{].*$"), r'(?s)"[^"\\]*(?:\\.[^"\\]*)*"', "")
     s = d.sub(s, r'(?s)".*$', "<")
-    s = d.sub(s, r"[^\[\]{}<]", "")
-    for _ in range(6):
-        s = d.sub(s, r"\[\]|[{][}]", "")
-    return f"coalesce({d.like(s, r'^[\[{]*<?$')} AND {s} <> '', false)"
+    opener = f"CASE v WHEN ']' THEN '[' ELSE {d.text('{')} END"
+    push = f"CASE WHEN open = '!' THEN open WHEN {d.any_of('v', ['[', '{', '<'])} THEN concat(open, v) WHEN {d.last('open')} = {opener} THEN substr(open, 1, length(open) - 1) ELSE '!' END"
+    left = d.fold(d.all(s, r"[\[\]{}<]"), "''", "open", "v", push)
+    return f"coalesce({left} NOT IN ('', '!'), false)"
 
 
 def items_by_id(d: Dialect, json: str, n: int) -> str:

@@ -155,14 +155,16 @@ def protect_formulas(text: str | None) -> tuple[str, list[str]]:
 
 
 def restore_formulas(text: str | None, held: list[str]) -> str:
-    """The inverse; numbers out of range stay.  Brackets of any kind are accepted."""
+    """The inverse; numbers out of range stay.  Brackets of any kind are accepted.
+
+    A formula can hold marks of those found before it and of no others, so each mark is put back once.
+    """
 
     def put(m: re.Match[str]) -> str:
         i = int(m[1])
-        return held[i] if i < len(held) else m[0]
+        return restore_formulas(held[i], held[:i]) if i < len(held) else m[0]
 
-    done = re.sub(r"[{(\[]\s*v\s*(\d+)\s*[})\]]", put, text or "")
-    return done if done == text else restore_formulas(done, held) if re.search(r"\{v\d+\}", done) and any(f"{{v{i}}}" in done for i in range(len(held))) else done
+    return re.sub(r"[{(\[]\s*v\s*(\d+)\s*[})\]]", put, text or "")
 
 
 def wrapped(text: str | None, width: float, size: float) -> list[str]:

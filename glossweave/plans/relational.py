@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossweave.functions.dialect import BLANKS, Oracle
 from glossweave.operators import batching, glossary, layout, translating
+from glossweave.streaming import deltas
 
 Query = Callable[[SparkSession, str], DataFrame]
 PAGE_H, PAGE_W = 900.0, 800.0
@@ -144,10 +146,9 @@ def coordinate_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def double_copies(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e = e.withColumn("before", F.lag("event_type").over(w)).withColumn("gap", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1000)
-    return e.where((F.col("before") == F.col("event_type")) & (F.col("gap") >= 20) & (F.col("gap") <= 3_600_000)).select("event_id", "user_id", F.round("gap", 3).alias("gap"))
+    """Events as copies; minutes of the table count as milliseconds, which gives gaps of the size that the rule is about."""
+    e = _read(spark, d, "events").select("user_id", "event_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60).alias("ms"), F.col("event_type").alias("payload"))
+    return deltas.double_copy_rows(e, "user_id", "event_id", "ms", "payload")
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +190,7 @@ r AS (
   UNION ALL
   SELECT t.doc_id, t.k, CASE WHEN r.held + length(t.s) <= {CHUNK} THEN r.i ELSE r.i + 1 END, CASE WHEN r.held + length(t.s) <= {CHUNK} THEN r.held + length(t.s) ELSE length(t.s) END, t.s
   FROM r JOIN t ON t.doc_id = r.doc_id AND t.k = r.k + 1),
-c AS (SELECT doc_id, i, trim(string_agg(s, '' ORDER BY k), ' ' || chr(10)) AS chunk FROM r GROUP BY doc_id, i)
+c AS (SELECT doc_id, i, trim(string_agg(s, '' ORDER BY k), {Oracle().text(BLANKS + chr(28) + chr(29) + chr(30) + chr(31))}) AS chunk FROM r GROUP BY doc_id, i)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, md5(chunk) AS md5, length(chunk) AS n FROM c WHERE chunk <> ''"""
 
 
@@ -267,8 +268,13 @@ g AS (SELECT *, CASE WHEN x0 - lag(x0) OVER (PARTITION BY page ORDER BY x0) > 5
 c AS (SELECT page, x0, sum(new) OVER (PARTITION BY page ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS cluster FROM g)
 SELECT page, cluster::BIGINT AS cluster, count(*) AS n, round(avg(x0), 6) AS mean FROM c GROUP BY page, cluster""",
     "double_copies": """
-WITH e AS (SELECT *, lag(event_type) OVER w AS before, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, user_id, round(gap, 3) AS gap FROM e WHERE before = event_type AND gap BETWEEN 20 AND 3600000""",
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, floor(epoch_us(ts) / 60000000)::BIGINT AS ms, event_type AS p, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 60000000), event_id) AS i FROM events),
+r AS (
+  SELECT user_id, event_id, ms, i, p AS last, ms AS at, '' AS fired, -1000000000 AS fired_at, false AS hit FROM e WHERE i = 1
+  UNION ALL
+  SELECT user_id, event_id, ms, i, CASE WHEN now THEN '' ELSE p END, ms, CASE WHEN now THEN p ELSE fired END, CASE WHEN now THEN ms ELSE fired_at END, now FROM (
+    SELECT e.user_id, e.event_id, e.ms, e.i, e.p, r.fired, r.fired_at, e.p = r.last AND e.ms - r.at BETWEEN 20 AND 2500 AND (r.fired <> e.p OR e.ms - r.fired_at >= 1200) AS now FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, ms FROM r WHERE hit""",
     "prompts": """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 p AS (SELECT conv_id, 'Style: minimal' || chr(10) || 'Keep ids.' || chr(10) || '===INPUT_TEXT===' || chr(10) || string_agg(i || '. [[ID:' || i || ']] ' || text, chr(10) ORDER BY i) AS prompt FROM t GROUP BY conv_id)

@@ -27,6 +27,10 @@ def coalesce(rows: list[tuple[int, str]], state: tuple[str, int | None]) -> tupl
     return out, (held, flushed)
 
 
+#: Nothing copied yet.
+COPY_START = ("", -(10**9), "", -(10**9))
+
+
 def double_copies(rows: list[tuple[int, str]], state: tuple[str, int, str, int]) -> tuple[list[int], tuple[str, int, str, int]]:
     """Times at which the same payload came twice within the gap, each payload at most once a cooldown."""
     last, at, fired, fired_at = state
@@ -42,6 +46,26 @@ def double_copies(rows: list[tuple[int, str]], state: tuple[str, int, str, int])
     return out, (last, at, fired, fired_at)
 
 
+def double_copy_rows(events: DataFrame, user: str, order: str, ms: str, payload: str) -> DataFrame:
+    """user, order, ms of each double copy in a table: rows of a user stream by in order, and only the state of one user is held; rows without user or time are left out."""
+    kinds = dict(events.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state = None, COPY_START
+        for df in frames:
+            out = []
+            for u, o, m, p in df.itertuples(index=False):
+                state = state if u == here else COPY_START
+                here = u
+                hit, state = double_copies([(int(m), p)], state)
+                if hit:
+                    out.append((u, o, m))
+            yield pd.DataFrame(out, columns=[user, order, ms])
+
+    rows = events.select(user, order, F.col(ms).cast("long").alias(ms), F.coalesce(F.col(payload), F.lit("")).alias(payload)).where(F.col(ms).isNotNull() & F.col(user).isNotNull())
+    return rows.repartition(user).sortWithinPartitions(user, ms, order).mapInPandas(run, f"{user} {kinds[user]}, {order} {kinds[order]}, {ms} long")
+
+
 def _ordered(frames: Iterator[pd.DataFrame]) -> list[tuple[int, str]]:
     df = pd.concat(list(frames))
     df = df.sort_values(["ms", "seq"], kind="stable")
@@ -73,7 +97,7 @@ def double_copy_events(stream: DataFrame, lateness: str = "10 seconds") -> DataF
         if state.hasTimedOut:
             state.remove()
             return
-        old = state.get if state.exists else ("", -(10**9), "", -(10**9))
+        old = state.get if state.exists else COPY_START
         out, new = double_copies(_ordered(frames), tuple(old))
         state.update(new)
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 60_000)

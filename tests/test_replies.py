@@ -64,3 +64,30 @@ def test_sections_and_streams():
     assert read('{"choices":[{"text":"t","reasoning":"r"}]}', replies.stream_deltas, "reasoning") == "r"
     empty = lambda t: duckdb.connect().execute(f"SELECT {r.is_empty_object(D, 'x')} FROM (SELECT {D.text(t)} AS x)").fetchone()[0]
     assert [empty(t) for t in ("", "{}", '{"translation": " "}', '{"translation": 5}', '{"translation": "a"}', "text", '{"a": 1}')] == [True, True, True, True, False, False, False]
+
+
+CLASSES = [
+    ("", "empty"), ("```json\n```", "empty"), ("plain words", "no_json"), ("{bad}", "invalid_json"), ("[1, 2]", "json_type_list"), ('{"a": "x"}', "json_schema_mismatch"), ('{"a": "x', "truncated_json"), ('{"items":[1}', "invalid_json"),
+    ("{}", "empty_json_object"), ("{ }", "empty_json_object"), ('{"a": [[[[[[[[[[[[1', "truncated_json"), ('{"a": 1,}', "json_schema_mismatch"), ("text {", "truncated_json"), ("] {}", "empty_json_object"), ('{"a": "\\\\"}', "json_schema_mismatch"),
+]
+
+
+def test_classes_of_failure_on_both_engines(spark):
+    from glossweave.functions.dialect import Spark
+
+    names = [w for _, w in CLASSES]
+    assert [duckdb.connect().execute(f"SELECT {r.failure(D, 'x')} FROM (SELECT {D.text(t)} AS x)").fetchone()[0] for t, _ in CLASSES] == names
+    df = spark.createDataFrame([(t,) for t, _ in CLASSES], "x string").coalesce(1)
+    assert [v[0] for v in df.selectExpr(r.failure(Spark(), "x")).collect()] == names
+
+
+DEPTHS = [(f'{{"a": {"[" * n}', True) for n in (1, 6, 7, 8, 12, 40)] + [(f'{{"a": {"[" * n}1{"]" * n}}}', False) for n in (7, 12, 40)] + [('{"a": [1}', False), ('{"a": "x[', True), ('"q" [', True), ("", False), ('[{"k": "\\"]"}', True)]
+
+
+def test_truncation_at_any_depth_on_both_engines(spark):
+    from glossweave.functions.dialect import Spark
+
+    want = [w for _, w in DEPTHS]
+    assert [duckdb.connect().execute(f"SELECT {r.is_truncated(D, 'x')} FROM (SELECT {D.text(t)} AS x)").fetchone()[0] for t, _ in DEPTHS] == want
+    df = spark.createDataFrame([(t,) for t, _ in DEPTHS], "x string").coalesce(1)
+    assert [v[0] for v in df.selectExpr(r.is_truncated(Spark(), "x")).collect()] == want

@@ -89,3 +89,11 @@ def test_streams(spark, tmp_path):
     base = 1700000000000
     assert {(r.stream_id, r.ms - base, r.text) for r in spark.table("gw_text").collect()} >= {(1, 0, "a"), (1, 300, "bc"), (2, 0, "z")}
     assert {(r.user_id, r.ms - base) for r in spark.table("gw_copies").collect()} == {(2, 100)}
+
+
+def test_double_copies_of_a_table(spark):
+    from glossweave.streaming import deltas
+
+    rows = [(1, 1, 0, "a"), (1, 2, 100, "a"), (1, 3, 200, "a"), (1, 4, 1000, "a"), (1, 5, 1300, "a"), (1, 6, 1400, "a"), (2, 7, 0, "a"), (2, 8, 2500, "a"), (2, 9, 9000, "b"), (2, 10, 11501, "b"), (3, 11, 0, "a"), (3, 12, 19, "a"), (3, 13, None, "a"), (None, 14, 5, "z"), (None, 15, 50, "z")]
+    df = spark.createDataFrame(rows, "u long, e long, ms long, t string").repartition(3)
+    assert sorted(r.e for r in deltas.double_copy_rows(df, "u", "e", "ms", "t").collect()) == [2, 5, 8]

@@ -65,3 +65,11 @@ def test_changes_recipients_and_pasting():
     assert v.recipients("d@x.org, Eve e@x.org") == "d@x.org; Eve <e@x.org>" and v.recipients('"X, Y" <f@x.org>') == '"X, Y" <f@x.org>'
     assert v.recipients(None) == "" and v.recipients("nobody") == "nobody"
     assert v.pasted('a\tHe said "Hi"\nb') == 'a\t"He said ""Hi"""\r\nb'
+
+
+def test_formula_marks_in_the_text_itself():
+    for text in ("$a {v0}$", "{v0} and $b$", r"$$x \frac{1}{2}$$ and \cmd{y $z$}", "{v3} $a$ [v0]"):
+        out, held = v.protect_formulas(text)
+        assert isinstance(v.restore_formulas(out, held), str)
+    out, held = v.protect_formulas(r"\cmd{y} and $z$")
+    assert v.restore_formulas(out, held) == r"\cmd{y} and $z$"
