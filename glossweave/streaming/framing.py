@@ -1,9 +1,9 @@
-"""Framing of streams: event streams from pieces of any cut, chunked bodies, and the guard before a preview."""
+"""Framing of streams: event streams from pieces of any cut, and chunked bodies."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,28 +81,3 @@ def unchunked(body: Column) -> Column:
         return raw.map(lambda x: None if x is None else dechunk(bytes(x)))
 
     return plain(body)
-
-
-def previews(rows: Iterable[tuple[int, str]], mismatched: Callable[[str], bool] | None = None) -> Iterator[tuple[int, str]]:
-    """(milliseconds, text) to show for (milliseconds, piece) rows; a piece that repeats all so far replaces it.
-
-    Small changes soon after the last are held back, and what is left is shown at the end.  ``mismatched`` is asked
-    about the first ``GUARDED`` characters until there are as many; true ends the stream.
-    """
-    text, shown, last, open_guard = "", "", -THROTTLE_MS, mismatched is not None
-    ms = 0
-    for ms, piece in rows:
-        text = piece if text and piece.startswith(text) else text + piece
-        if text == shown:
-            continue
-        if open_guard:
-            prefix = text.lstrip()[:GUARDED]
-            if prefix and mismatched(prefix):
-                return
-            open_guard = len(prefix) < GUARDED
-        if ms - last < THROTTLE_MS and abs(len(text) - len(shown)) < LEAST_CHANGE:
-            continue
-        shown, last = text, ms
-        yield ms, text
-    if text and text != shown:
-        yield ms, text

@@ -2,7 +2,7 @@
 
 from glossweave.operators import history
 from glossweave.sources import formats
-from glossweave.streaming import framing
+from glossweave.streaming import framing, guard
 
 
 def test_payloads_of_any_cut():
@@ -16,11 +16,20 @@ def test_chunks_of_a_body():
     assert framing.dechunk(b"4\r\nWi") == b"Wi" and framing.dechunk(b"zz\r\n") == b"" and framing.dechunk(b"") == b""
 
 
+def shown(rows, mismatched=None):
+    state, out, ms = guard.START, [], 0
+    for ms, piece in rows:
+        state, text = guard.step(state, ms, piece, mismatched)
+        out += [(ms, text)] if text is not None else []
+    return out + ([(ms, left)] if (left := guard.rest(state)) else [])
+
+
 def test_previews():
-    assert list(framing.previews([(0, "a"), (10, "b"), (20, "cde"), (200, "abcdef")])) == [(0, "a"), (20, "abcde"), (200, "abcdef")]
-    assert list(framing.previews([(0, "a"), (10, "b")])) == [(0, "a"), (10, "ab")]
-    assert list(framing.previews([(0, "ok "), (100, "bad"), (200, "x")], lambda t: "bad" in t)) == [(0, "ok ")]
-    assert list(framing.previews([])) == []
+    assert shown([(0, "a"), (10, "b"), (20, "cde"), (200, "abcdef")]) == [(0, "a"), (20, "abcde"), (200, "abcdef")]
+    assert shown([(0, "a"), (10, "b")]) == [(0, "a"), (10, "ab")]
+    assert shown([(0, "ok "), (100, "bad"), (200, "x")], lambda t: "bad" in t) == [(0, "ok ")]
+    assert shown([(0, "x" * 256), (100, "bad")], lambda t: "bad" in t) == [(0, "x" * 256), (100, "x" * 256 + "bad")]
+    assert shown([]) == []
 
 
 def test_history(spark):
