@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.functions.dialect import BLANKS, Oracle
-from glossweave.operators import limits, tabular
+from glossweave.operators import limits, references, tabular
 
 CONFIGURED, CONTEXT, REPLY, HEAD, ITEM = 4000, 2400, 300, "Style: minimal\n===INPUT_TEXT===\n", "concat(i, '. [[ID:', i, ']] ')"
 
@@ -46,7 +46,22 @@ def context_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.context_limits(turns, "conv_id", "turn", "text", CONFIGURED, CONTEXT, REPLY, HEAD, ITEM)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tabular_cells, tabular_paste, context_limits)}
+MOST = 2000
+
+
+def reference_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as reference files, read twice: in between, every seventh has changed and every eleventh has gone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat_ws("/", F.coalesce("source", F.lit("")), "doc_id").alias("path"), "doc_id", "text")
+    changed = F.col("doc_id") % 7 == 0
+    first = docs.select("path", F.lit(1).cast("long").alias("mtime"), F.octet_length("text").cast("long").alias("size"), F.col("text").alias("content"))
+    body = F.when(changed, F.concat(F.lit(" \r\n"), F.reverse("text"), F.lit("\t"))).otherwise(F.col("text"))
+    second = docs.where("doc_id % 11 <> 0").select("path", F.when(changed, 2).otherwise(1).cast("long").alias("mtime"), F.octet_length(body).cast("long").alias("size"), body.alias("content"))
+    cache = references.cut(first, MOST)
+    wanted = references.refreshed(second, cache, lambda keys: second.join(keys, references.KEY, "left_semi"), MOST)
+    return wanted.select("path", "mtime", "size", F.md5("text").alias("md5"), "truncated", "reused")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tabular_cells, tabular_paste, context_limits, reference_texts)}
 
 _TABLES = """
 SELECT id, string_agg(a || chr(9) || b || chr(9) || c, chr(10) ORDER BY turn) AS text, string_agg(a || chr(9) || b || chr(9) || c, chr(13) || chr(10) ORDER BY turn) AS source, CASE WHEN id % 4 <> 3 THEN 3 END AS columns, CASE WHEN id % 4 <> 3 THEN count(*) + CASE WHEN id % 7 = 6 THEN 1 ELSE 0 END END AS rows,
@@ -79,7 +94,13 @@ SELECT id, text, CASE WHEN hinted THEN wide END AS columns, CASE WHEN hinted THE
 FROM (SELECT *, list_max(list_transform(cells, lambda x: len(x))) AS wide, id % 2 = 0 AS hinted FROM (
   SELECT id, text, list_transform(string_split(rtrim(source, chr(13) || chr(10)), chr(13) || chr(10)), lambda y: string_split(y, chr(9))) AS cells FROM ({_TABLES}) AS t) AS c) AS w"""
 
+_BODY = "CASE WHEN doc_id % 7 = 0 THEN ' ' || chr(13) || chr(10) || reverse(text) || chr(9) ELSE text END"
+_WHOLE = f"trim(replace(replace({_BODY}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {Oracle().text(BLANKS)})"
+
 SQL: dict[str, str] = {
+    "reference_texts": f"""
+SELECT coalesce(source, '') || '/' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS mtime, strlen({_BODY}) AS size, md5(substr({_WHOLE}, 1, {MOST})) AS md5, length({_WHOLE}) > {MOST} AS truncated, doc_id % 7 <> 0 AS reused
+FROM documents WHERE doc_id % 11 <> 0""",
     "tabular_cells": f"WITH {_parsed_sql(_TABLES)} SELECT id, row, len(string_split(text, chr(9))) AS columns, md5(text) AS md5, coalesce(cost, 0)::BIGINT AS cost FROM o",
     "tabular_paste": f"""
 WITH {_parsed_sql(_HINTS)}
