@@ -254,12 +254,14 @@ def repaired_japanese(d: Dialect, x: str) -> str:
     v = f"CASE WHEN {d.like('m', '(?i)trillion')} THEN {scaled(decimal(d, number), 10000)} ELSE {scaled(decimal(d, number), 10)} END"
     has_yen = f"CASE WHEN {d.like('m', '(?i)yen$')} THEN '円' ELSE '' END"
     shown = f"CASE WHEN v = floor(v) AND v >= 10000 THEN concat({prefix}, {oku(d, 'v')}, {suffix}, {has_yen}) ELSE concat({prefix}, {amount(d, 'v')}, {suffix}, '億', {has_yen}) END"
-    return d.rewrite(x, _english("billion|trillion|bn"), "m", f"coalesce({d.let(v, 'v', shown)}, m)")
+    found = d.rewrite(x, _english("billion|trillion|bn"), "m", f"coalesce({d.let(v, 'v', shown)}, m)")
+    return f"CASE WHEN {d.like(x, '(?i)billion|trillion|bn')} THEN {found} ELSE {x} END"
 
 
 def repaired_japanese_oku(d: Dialect, x: str) -> str:
     prefix, number, suffix, _ = _parts(d)
-    return d.rewrite(x, _english("oku"), "m", f"concat({prefix}, {number}, {suffix}, '億', CASE WHEN {d.like('m', '(?i)yen$')} THEN '円' ELSE '' END)")
+    found = d.rewrite(x, _english("oku"), "m", f"concat({prefix}, {number}, {suffix}, '億', CASE WHEN {d.like('m', '(?i)yen$')} THEN '円' ELSE '' END)")
+    return f"CASE WHEN {d.like(x, '(?i)oku')} THEN {found} ELSE {x} END"
 
 
 def expected_thousands(d: Dialect, x: str) -> str:
@@ -275,7 +277,8 @@ def repaired_man_sen(d: Dialect, x: str) -> str:
     v = f"CASE WHEN {d.like('m', '(?i)man-?$')} THEN {scaled(number, 10000)} ELSE {scaled(number, 1000)} END"
     ok = f"NOT {d.like('m', r'^[\p{L}_.]|-$')} AND v = n AND {d.has('thousands', 'n')}"
     done = d.let(v, "v", d.let("CAST(floor(v) AS BIGINT)", "n", f"CASE WHEN {ok} THEN {_as_k(d, 'n')} ELSE m END"))
-    return d.rewrite(x, rf"(?i)[\p{{L}}_.]*{NUMBER}\s*(?:man|sen)\b-?", "m", f"coalesce({done}, m)")
+    found = d.rewrite(x, rf"(?i)[\p{{L}}_.]*{NUMBER}\s*(?:man|sen)\b-?", "m", f"coalesce({done}, m)")
+    return f"CASE WHEN {d.size('thousands')} = 0 THEN {x} ELSE {found} END"
 
 
 def _as_k(d: Dialect, n: str) -> str:
@@ -286,7 +289,8 @@ def repaired_integers(d: Dialect, x: str) -> str:
     """Whole numbers that are expected (array ``thousands``) in k notation."""
     n = _whole(d, d.get("m", rf"^({INTEGER}),*$", 1))
     done = d.let(n, "n", f"CASE WHEN n > 0 AND {d.has('thousands', 'n')} THEN concat({_as_k(d, 'n')}, {d.get('m', ',*$')}) ELSE m END")
-    return d.rewrite(x, r"[\p{L}\p{N}_.,]+", "m", f"CASE WHEN {d.like('m', '^[0-9]')} THEN {done} ELSE m END")
+    found = d.rewrite(x, r"[\p{L}\p{N}_.,]+", "m", f"CASE WHEN {d.like('m', '^[0-9]')} THEN {done} ELSE m END")
+    return f"CASE WHEN {d.size('thousands')} = 0 THEN {x} ELSE {found} END"
 
 
 def repaired_months(d: Dialect, x: str) -> str:

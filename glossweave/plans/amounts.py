@@ -36,11 +36,13 @@ def amount_hints(d: Dialect) -> steps.Plan:
 
 def amount_repairs(d: Dialect) -> steps.Plan:
     o = filled(d, "out")
+    # Without a large amount in the source there is nothing to repair, so each step asks for one first.
+    large = lambda e, other="NULL": f"CASE WHEN {d.size('expected')} > 0 THEN {e} ELSE {other} END"
     todo = [
-        ("expected", u.oku_expected(d, "source")), ("with_yen", u.large_values(d, "source", "円$")), ("in_trillions", d.distinct(u.large_values(d, "source", "兆"))), ("thousands", u.expected_thousands(d, "source")),
-        ("step1", u.repaired_oku(d, o)), ("step2", u.repaired_units(d, "step1", False)), ("step3", u.repaired_units(d, "step2", True)), ("english", f"CASE WHEN {d.size('expected')} > 0 THEN step3 ELSE {o} END"),
+        ("expected", u.oku_expected(d, "source")), ("with_yen", large(u.large_values(d, "source", "円$"))), ("in_trillions", large(d.distinct(u.large_values(d, "source", "兆")))), ("thousands", u.expected_thousands(d, "source")),
+        ("step1", large(u.repaired_oku(d, o), o)), ("step2", large(u.repaired_units(d, "step1", False), o)), ("english", large(u.repaired_units(d, "step2", True), o)),
         ("jp1", u.repaired_japanese(d, o)), ("japanese", u.repaired_japanese_oku(d, "jp1")), ("k1", u.repaired_man_sen(d, o)), ("k2", u.repaired_integers(d, "k1")),
-        ("open_months", months_missing(d, "source", "out")), ("months", u.repaired_months(d, o)), ("retry", u.needs_units(d, "source", "out")), ("retry_after", f"(retry AND {u.needs_units(d, 'source', 'english')})"),
+        ("open_months", months_missing(d, "source", "out")), ("months", u.repaired_months(d, o)), ("retry", u.needs_units(d, "source", "out")), ("retry_after", f"CASE WHEN english = {o} THEN retry ELSE retry AND {u.needs_units(d, 'source', 'english')} END"),
     ]
     return _pairs(d), todo, ["id", "english", "japanese", "k2 AS in_k", "months", "retry", "retry_after"]
 
