@@ -4,8 +4,9 @@ Each key sets ``PROBES`` cells.  A cell that two keys (or one key twice) touched
 all of whose cells are shared is possibly repeated, any other key is certainly unique.  Tasks send
 their cells as sparse lists grouped by segment, each cell at most twice a batch, so a key that a third of
 all rows share adds a few entries and no more; merging needs one segment at a time.  Keys are dealt into
-ranges of their hash, each with a filter of its own of at most ``MAX_LOG2_CELLS`` (64 MiB), of which only
-one is held and broadcast at a time: the share of keys that pass for nothing stays the same at any size.
+ranges of their hash, each with a filter of its own of at most ``MAX_LOG2_CELLS`` (64 MiB), so that the share of keys
+that pass for nothing stays the same at any size.  The price: rows and keys are read once for each range, that is for every
+45 million keys, and the filters of all ranges stay broadcast until the result is written.
 """
 
 from __future__ import annotations
