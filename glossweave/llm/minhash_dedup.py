@@ -15,7 +15,8 @@
    members against a large main component and goes on without it; without one, its members that some
    other one resembles are compared on the full sets in pairs of blocks of ``SHORT`` (sketches in larger ones), each of which gives no
    more links than it has members.  A pair counts in the list of its two smallest shared values only.
-   Nothing is capped or dropped.
+   Nothing is capped or dropped.  The blocks of a long list without a large component, and the chunks of a large
+   component times its outside members, grow faster than the list: k members take k * ceil(k / block) rows.
 
 A pair is confirmed on the full sets where its union sketch estimates ``likely(percent)`` or more, 5.2 standard
 deviations below the threshold: of 64 values at least 35 must agree for 80 percent, which a linked pair
