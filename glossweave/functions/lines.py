@@ -29,7 +29,7 @@ def continues(text: str) -> bool:
     text = text.rstrip()
     if not text or text[-1] in _NEVER:
         return False
-    if text[-1] in CONTINUES or text.endswith(tuple(CONTINUES_SUFFIX)):
+    if text[-1] in CONTINUES or text.endswith(CONTINUES_SUFFIX):
         return True
     return text[-1] not in "ねよか" and "぀" <= text[-1] <= "ゟ"
 

@@ -23,10 +23,11 @@ SENTENCE_END_EN = ".!?;:"
 CLOSING = ")）]］"
 UNITS_JA = "円万億千台個件名社年月日回本枚％%"
 CONTINUES = "がをにでとへのはもてば、,"
+# Endings after which a line goes on.
 CONTINUES_SUFFIX = (
-    "から まで より ので けど けれど けれども ながら たら なら のに ても でも だけ ほど くらい ばかり など なんか なんて こと もの "
-    "ところ ため とき 場合 際 して され であ であり でき おり あり です ます である となり とし につ にお"
-).split()
+    "から", "まで", "より", "ので", "けど", "けれど", "けれども", "ながら", "たら", "なら", "のに", "ても", "でも", "だけ", "ほど", "くらい", "ばかり", "など", "なんか", "なんて", "こと", "もの",
+    "ところ", "ため", "とき", "場合", "際", "して", "され", "であ", "であり", "でき", "おり", "あり", "です", "ます", "である", "となり", "とし", "につ", "にお",
+)
 HYPHENS = "-‐‑‒–—−"
 LEADERS = "…‥・．.·"
 CHINESE_HINTS = "，；："
