@@ -73,7 +73,7 @@ def glossary_terms(spark: SparkSession, d: str) -> DataFrame:
         (F.col("item_id") * 100000 + F.col("i")).alias("idx"), F.when(F.col("i") % 3 == 0, F.concat_ws("-", "one", F.get("w", F.col("i") + 1))).otherwise(F.col("one")).alias("source"),
         F.when(F.col("i") % 50 == 0, "k yen").otherwise(F.reverse("one")).alias("target"),
     )
-    return terms.matched(_read(spark, d, "documents"), pairs.where("idx % 7 = 0"), 40)
+    return terms.matched(_read(spark, d, "documents"), pairs, 40)
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (translate_batches, translate_summary, translate_units, translation_maps, retry_untranslated, lru_cache, glossary_load, glossary_terms)}
@@ -111,7 +111,7 @@ SQL: dict[str, str] = {
     "retry_untranslated": "SELECT conv_id, turn, length(text) % 7 = 0 OR reverse(text) = text AS retried, md5(CASE WHEN length(text) % 7 = 0 OR reverse(text) = text THEN '2:' || text ELSE reverse(text) END) AS md5 FROM conversations",
     "lru_cache": """WITH e AS (SELECT user_id, event_id, event_type, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events)
 SELECT user_id, event_id, before IS NOT NULL AND (SELECT count(DISTINCT x.event_type) FROM events x WHERE x.user_id = e.user_id AND x.event_id > e.before AND x.event_id < e.event_id) < 3 AS hit FROM e""",
-    "glossary_terms": rf"""WITH g AS (SELECT * FROM ({_PAIRS}) WHERE idx % 7 = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY idx) = 1),
+    "glossary_terms": rf"""WITH g AS (SELECT * FROM ({_PAIRS}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY idx) = 1),
 f AS (SELECT DISTINCT idx, form, regexp_replace(form, '[\s_/\\-]+', '', 'g') AS c FROM (SELECT idx, unnest([source, target]) AS form FROM g) WHERE form <> ''),
 t AS (SELECT doc_id, lower(coalesce(text, '')) AS t, regexp_replace(lower(coalesce(text, '')), '[\s_/\\-]+', '', 'g') AS c FROM documents),
 h AS (SELECT DISTINCT doc_id, idx FROM t JOIN f ON (length(f.c) >= 4 AND contains(t.c, f.c)) OR (length(f.c) < 4 AND regexp_matches(t.t, '(^|[^a-z0-9])' || f.form || '($|[^a-z0-9])'))),

@@ -51,7 +51,7 @@ def applied_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def applied_csv(spark: SparkSession, d: str) -> DataFrame:
     turns = _read(spark, d, "conversations")
-    cells = turns.select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("row"), F.posexplode(F.array(F.col("role"), F.substring("text", 1, 40), F.lit("a;b"))).alias("col", "translated"))
+    cells = turns.select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("row"), F.posexplode(F.array(F.col("role"), F.col("text"), F.lit("a;b"))).alias("col", "translated"))
     return formats.csv_of(cells, ";", "\r\n").select("doc", F.md5("value").alias("md5"))
 
 
@@ -87,7 +87,7 @@ SQL: dict[str, str] = {
     "csv_cells": """SELECT doc_id AS doc, unnest(['r0_c0', 'r0_c1', 'r0_c2', 'r1_c0', 'r1_c1', 'r1_c2', 'r2_c0', 'r2_c1', 'r2_c2']) AS block, unnest(['label', 'lang', 'source', 'row', lang, source, 'next', 'a;b', lang]) AS text FROM documents""",
     "txt_paragraphs": f"""SELECT doc_id AS doc, 'para_' || i AS block, md5(trim(line, {_BLANK})) AS md5 FROM ({_LINES}) WHERE trim(line, {_BLANK}) <> '' AND length(trim(line, {_BLANK})) <= 3000 AND NOT regexp_full_match(trim(line, {_BLANK}), '[0-9\\s.,+()/%-]*')""",
     "applied_texts": f"SELECT doc_id AS doc, md5(string_agg(CASE WHEN i % 3 = 0 AND trim(line, ' ') <> '' THEN reverse(line) ELSE line END, chr(10) || chr(10) ORDER BY i)) AS md5 FROM ({_LINES}) GROUP BY doc_id",
-    "applied_csv": """SELECT conv_id AS doc, md5(string_agg(role || ';' || CASE WHEN regexp_matches(substr(text, 1, 40), '[;"\\r\\n]') THEN '"' || replace(substr(text, 1, 40), '"', '""') || '"' ELSE substr(text, 1, 40) END || ';"a;b"' || chr(13) || chr(10), '' ORDER BY turn)) AS md5 FROM conversations GROUP BY conv_id""",
+    "applied_csv": """SELECT conv_id AS doc, md5(string_agg(role || ';' || CASE WHEN regexp_matches(text, '[;"\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ';"a;b"' || chr(13) || chr(10), '' ORDER BY turn)) AS md5 FROM conversations GROUP BY conv_id""",
     "history_added": """WITH e AS (SELECT event_type || '-' || event_id AS source_text, strftime(ts, '%Y-%m-%dT%H:%M') AS timestamp FROM events),
 h AS (SELECT *, row_number() OVER (ORDER BY source_text NOT LIKE 'click%', timestamp, source_text) AS id FROM e)
 SELECT id, source_text, 'auto' AS direction, timestamp FROM h WHERE timestamp NOT IN (SELECT timestamp FROM e WHERE source_text LIKE '%7')""",

@@ -41,7 +41,7 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def glossary_topk(spark: SparkSession, d: str) -> DataFrame:
-    terms = _read(spark, d, "benchmark").select(F.explode(glossary.words("text")).alias("term")).where(F.char_length("term") >= 8).distinct()
+    terms = _read(spark, d, "benchmark").select(F.explode(glossary.words("text")).alias("term")).distinct()
     rules = terms.select("term", F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long").alias("rule"))
     return glossary.matches(_read(spark, d, "documents"), rules, 40)
 
@@ -214,7 +214,7 @@ SELECT lang, sum(n - 1) AS hits, count(*) AS misses, round(100.0 * sum(n - 1) /
     "glossary_topk": r"""
 WITH g AS (
   SELECT DISTINCT term, ('0x' || substr(md5(term), 1, 8))::BIGINT AS rule
-  FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS term FROM benchmark) WHERE length(term) >= 8),
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS term FROM benchmark)),
 w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS term FROM documents),
 r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, rule) AS place FROM w JOIN g USING (term))
 SELECT doc_id, count(*) AS n, count(*) > 40 AS truncated, string_agg(term, ',' ORDER BY place) FILTER (place <= 40) AS terms FROM r GROUP BY doc_id""",
