@@ -47,6 +47,7 @@ from glossweave.llm.scratch import discard, materialise, table
 SKETCH = 64
 SHORT = 128
 LEADERS = 4
+MAIN_LEADERS = 8
 MISS = 5e-6
 _PAD = np.uint32(0xFFFFFFFF)
 _NONE = U(2**64 - 1)
@@ -292,17 +293,20 @@ def labelled_lists(lists: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def round_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: for each list and component one member, with about 4 * LEADERS leaders of the list's largest component.
+    """a, b: for each list and component one member, with two of the leaders of the list's largest component.
 
-    A hash of the node alone chooses, so that two components meet in few distinct pairs.
+    A list has one row with at most ``MAIN_LEADERS`` leaders, and a member takes two places in it by its own hash, so
+    the rows follow the components of the lists.  A hash of the node alone chooses, so that two components meet in few distinct pairs.
     """
     weight = materialise(rows.groupBy("key", "c").agg(F.min_by("node", F.xxhash64("node")).alias("node"), F.count(F.lit(1)).alias("k")), "list-components")
-    main = weight.groupBy("key").agg(F.max_by(F.struct("c", "k", "node"), F.struct("k", "c")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    main = materialise(main.select("key", F.col("x.c").alias("c"), F.col("x.k").alias("k"), F.col("x.node").alias("least")), "mains")
-    every = F.greatest(F.lit(1), F.floor(F.col("k") / (4 * LEADERS)))
-    led = rows.join(main, ["key", "c"]).where((F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(1)), every) == 0))
-    led = materialise(led.select("key", F.col("node").alias("b"), F.col("c").alias("main")), "leaders")
-    return weight.join(led, "key").where("c <> main").select(F.col("node").alias("a"), "b")
+    main = weight.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("c"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    main = materialise(main.select("key", "c"), "mains")
+    led = rows.join(main, ["key", "c"]).groupBy("key", F.col("c").alias("main")).agg(
+        F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(MAIN_LEADERS)])).alias("led")
+    )
+    led = materialise(led, "leaders")
+    chosen = [F.get("led", F.pmod(F.xxhash64("node", F.lit(i)), F.size("led")).cast("int")) for i in (-1, -2)]
+    return weight.join(led, "key").where("c <> main").select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array(*chosen))).alias("b"))
 
 
 def likely_links(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
