@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from glossweave.functions import forms as f
 from glossweave.functions.dialect import Dialect
 from glossweave.functions.text import filled
+from glossweave.operators import sheets
 from glossweave.plans import steps
 from glossweave.sources import samples
 
@@ -136,11 +137,6 @@ STATEMENTS: dict[str, tuple[str, str, list[str]]] = {
         "SELECT source, doc_id, side, row_number() OVER (PARTITION BY source ORDER BY doc_id, side) - 1 AS place FROM documents, (VALUES (0), (1)) s(side)",
         ["documents"],
     ),
-    "sheet_routing": (
-        "SELECT doc_id, id, max_by(sheet, struct(length(sheet), sheet)) AS sheet FROM (SELECT doc_id, concat(substring(source, 1, 4), CASE WHEN doc_id % 3 = 0 THEN '_x' ELSE '' END, CASE doc_id % 4 WHEN 0 THEN '_A1' WHEN 1 THEN '_shape_2' WHEN 2 THEN '_BC12' ELSE '_a1' END) AS id FROM documents ) d JOIN (SELECT explode(array(substring(n, 1, 4), concat(substring(n, 1, 4), '_x'))) AS sheet FROM (SELECT DISTINCT source AS n FROM documents )) s ON startswith(id, concat(sheet, '_')) AND regexp_like(substring(id, length(sheet) + 2), '^([A-Z]+[0-9]+|shape_[0-9]+|chart_.+)$') GROUP BY doc_id, id",
-        "SELECT doc_id, id, arg_max(sheet, length(sheet)) AS sheet FROM (SELECT doc_id, substr(source, 1, 4) || CASE WHEN doc_id % 3 = 0 THEN '_x' ELSE '' END || (['_A1', '_shape_2', '_BC12', '_a1'])[doc_id % 4 + 1] AS id FROM documents) d JOIN (SELECT DISTINCT unnest([substr(source, 1, 4), substr(source, 1, 4) || '_x']) AS sheet FROM documents) s ON starts_with(id, sheet || '_') AND regexp_matches(substr(id, length(sheet) + 2), '^([A-Z]+[0-9]+|shape_[0-9]+|chart_.+)$') GROUP BY doc_id, id",
-        ["documents"],
-    ),
     "message_parts": (
         "SELECT doc_id, section, md5(part) AS md5 FROM (SELECT doc_id, i AS section, part FROM documents LATERAL VIEW posexplode(split(text, '\\n')) p AS i, part) WHERE trim(part) <> ''",
         f"SELECT doc_id, i AS section, md5(part) AS md5 FROM ({_PARTS['oracle']}) WHERE trim(part, ' ') <> ''",
@@ -191,5 +187,19 @@ def _spark(statement: str, tables: list[str]) -> Callable[[SparkSession, str], D
     return run
 
 
-QUERIES = {name: _spark(s, tables) for name, (s, _, tables) in STATEMENTS.items()} | {"text_rules": steps.query(text_rules, ["documents"])}
-SQL = {name: o for name, (_, o, _) in STATEMENTS.items()} | {"text_rules": steps.oracle(text_rules)}
+_SHEET_IDS = "concat(substring(source, 1, 4), CASE WHEN doc_id % 3 = 0 THEN '_x' ELSE '' END, CASE doc_id % 4 WHEN 0 THEN '_A1' WHEN 1 THEN '_shape_2' WHEN 2 THEN '_BC12' ELSE '_a1' END)"
+
+
+def sheet_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of sheets that hold for all documents, so there is no workbook to join on; numbers of shapes and names of charts alone count."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = docs.select("source").distinct().selectExpr("explode(array(substring(source, 1, 4), concat(substring(source, 1, 4), '_x'))) AS sheet")
+    found = sheets.routed(docs.selectExpr("doc_id", f"{_SHEET_IDS} AS id"), names, [])
+    return found.where("regexp_like(suffix, '^([A-Z]+[0-9]+|shape_[0-9]+|chart_.+)$')").select("doc_id", "id", "sheet").distinct()
+
+
+QUERIES = {name: _spark(s, tables) for name, (s, _, tables) in STATEMENTS.items()} | {"text_rules": steps.query(text_rules, ["documents"]), "sheet_routing": sheet_routing}
+SQL = {name: o for name, (_, o, _) in STATEMENTS.items()} | {
+    "text_rules": steps.oracle(text_rules),
+    "sheet_routing": "SELECT doc_id, id, arg_max(sheet, length(sheet)) AS sheet FROM (SELECT doc_id, substr(source, 1, 4) || CASE WHEN doc_id % 3 = 0 THEN '_x' ELSE '' END || (['_A1', '_shape_2', '_BC12', '_a1'])[doc_id % 4 + 1] AS id FROM documents) d JOIN (SELECT DISTINCT unnest([substr(source, 1, 4), substr(source, 1, 4) || '_x']) AS sheet FROM documents) s ON starts_with(id, sheet || '_') AND regexp_matches(substr(id, length(sheet) + 2), '^([A-Z]+[0-9]+|shape_[0-9]+|chart_.+)$') GROUP BY doc_id, id",
+}
