@@ -93,7 +93,7 @@ STATEMENTS: dict[str, tuple[str, str, list[str]]] = {
         ["documents"],
     ),
     "history_after_delete": (
-        f"SELECT count(*) AS kept, count_if(deleted) AS deleted, max(CASE WHEN NOT deleted THEN id END) AS last_id FROM (SELECT id, timestamp IN (SELECT timestamp FROM ({_H['spark']}) WHERE id % 50 = 0) AS deleted FROM ({_H['spark']}))".replace("count(*) AS kept", "count_if(NOT deleted) AS kept"),
+        f"SELECT count_if(x.timestamp IS NULL) AS kept, count(x.timestamp) AS deleted, max(CASE WHEN x.timestamp IS NULL THEN id END) AS last_id FROM ({_H['spark']}) AS h LEFT JOIN (SELECT DISTINCT timestamp FROM ({_H['spark']}) WHERE id % 50 = 0) AS x ON x.timestamp = h.timestamp",
         f"WITH h AS ({_H['oracle']}), x AS (SELECT DISTINCT timestamp FROM h WHERE id % 50 = 0) SELECT count(*) FILTER (x.timestamp IS NULL) AS kept, count(x.timestamp) AS deleted, max(CASE WHEN x.timestamp IS NULL THEN id END) AS last_id FROM h LEFT JOIN x ON x.timestamp = h.timestamp",
         ["events"],
     ),
