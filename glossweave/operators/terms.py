@@ -2,7 +2,9 @@
 
 A short term of ASCII letters and digits must stand as a word; any other may stand anywhere.  A term of
 four characters or more without its separators may also stand in the text without separators, which includes
-every longer term, so these meet the texts in an equi-join on their first four characters.
+every longer term, so these meet the texts in an equi-join on their first ``KEYS`` characters, as many as they have: each place of a
+text gives a window of as many characters as the largest key, which confirms a term by itself.  Longer terms cover a whole block of a
+text cut into blocks of half a window; these, and short ones with other characters, are looked up in the texts.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST = 4
+KEYS = (LEAST, 6, 8, 12, 24)
+BLOCK = KEYS[-1] // 2
 
 
 def folded(text: Column) -> Column:
@@ -21,6 +25,11 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s_/\\-]+", "")
 
 
+def _key(text: str, n: int) -> Column:
+    """The first ``n`` characters, null for texts that have less."""
+    return F.when(F.char_length(text) >= n, F.substring(text, 1, n))
+
+
 def loaded(lines: DataFrame, line: str = "line") -> DataFrame:
     """idx, source, target of comma-separated lines; empty ones and those with a ``#`` first are skipped."""
     row = F.from_csv(F.col(line), "source string, target string")
@@ -38,17 +47,23 @@ def matched(docs: DataFrame, glossary: DataFrame, k: int) -> DataFrame:
     forms = terms.select("idx", F.explode(F.array("source", "target")).alias("form")).withColumn("form", F.trim(folded(F.col("form")))).where("form <> ''")
     forms = forms.withColumn("c", compact(F.col("form")))
     texts = docs.select("doc_id", folded(F.col("text")).alias("t")).withColumn("c", compact(F.col("t")))
-    shifts = [F.regexp_extract_all(F.substr(F.col("c"), F.lit(k + 1)), F.lit(f"(?s).{{{LEAST}}}"), F.lit(0)) for k in range(LEAST)]  # each place once, in linear time
-    grams = F.array_distinct(F.concat(*shifts))
-    long = forms.where(F.char_length("c") >= LEAST).select("idx", "c", F.substring("c", 1, LEAST).alias("gram"))
-    maybe = texts.select("doc_id", F.explode(grams).alias("gram")).join(long, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("idx", F.col("c").alias("form"))).alias("maybe"))
-    hits = texts.join(maybe, "doc_id").select("doc_id", F.explode(F.filter("maybe", lambda x: F.contains(F.col("c"), x["form"]))).alias("x")).select("doc_id", "x.idx")
+    long = forms.where(F.char_length("c") >= LEAST).select("idx", "c")
+    # A window from every place on; a match of no width moves on by half a surrogate pair, so none starts with the second half.
+    windows = F.regexp_extract_all("c", F.lit(rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{LEAST - 1},{KEYS[-1] - 1}}}))"), F.lit(1))
+    starts = texts.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w", F.explode(F.array(*[_key("w", k) for k in KEYS])).alias("key")).where("key IS NOT NULL")
+    long = long.select("idx", "c", F.coalesce(*[_key("c", k) for k in reversed(KEYS)]).alias("key"))
+    hits = starts.join(long.where(F.char_length("c") <= KEYS[-1]), "key").where(F.startswith("w", F.col("c"))).select("doc_id", "idx")
     words = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))).alias("form"))
     short = forms.where((F.char_length("c") < LEAST) & F.regexp_like("form", F.lit("^[a-z0-9]+$")))
     hits = hits.unionByName(words.join(short, "form").select("doc_id", "idx"))
     other = forms.where((F.char_length("c") < LEAST) & ~F.regexp_like("form", F.lit("^[a-z0-9]+$")))
-    pieces = texts.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", ""))).alias("one"))
-    hits = hits.unionByName(pieces.join(other.withColumn("one", F.substring("form", 1, 1)), "one").where(F.contains("t", F.col("form"))).select("doc_id", "idx"))
+    ones = texts.select("doc_id", F.explode(F.array_distinct(F.split("t", ""))).alias("one")).join(other.select("idx", "form", F.substring("form", 1, 1).alias("one")), "one")
+    blocks = texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("c", F.lit(f"(?s).{{{BLOCK}}}"), F.lit(0)))).alias("key"))
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.lit(BLOCK)), lambda i: F.substr("c", i, F.lit(BLOCK))))
+    beyond = blocks.join(long.where(F.char_length("c") > KEYS[-1]).select("idx", "c", cut.alias("key")), "key")
+    maybe = ones.select("doc_id", "idx", F.col("form").alias("asked"), F.lit(False).alias("bare")).unionByName(beyond.select("doc_id", "idx", F.col("c").alias("asked"), F.lit(True).alias("bare"))).distinct()
+    asked = F.when(F.col("bare"), F.contains("c", F.col("asked"))).otherwise(F.contains("t", F.col("asked")))
+    hits = hits.unionByName(texts.join(maybe, "doc_id").where(asked).select("doc_id", "idx")).repartition("doc_id")
     both = F.concat_ws(" ", folded(F.col("source")), folded(F.col("target")))
     unit = F.regexp_like(both, F.lit("[億兆]|oku|k yen")) | (F.contains(both, F.lit("円")) & F.regexp_like(both, F.lit("[千万]")))
     size = F.greatest(F.char_length("source"), F.char_length("target"))

@@ -1,7 +1,10 @@
 """Queries whose work must grow with their tables, and rules that must not hang on the order of rows."""
 
 import datetime
+import random
+import re
 
+from glossweave.operators import terms
 from glossweave.plans import reports
 
 DIR = "/root/testdata/sf0.001"
@@ -17,3 +20,24 @@ def test_deleted_times_meet_by_equality(spark, tmp_path):
     rows = [(50, at(1), 1, "a", 1.0, "{}"), (51, at(1), 1, "a", 1.0, "{}"), (52, at(2), 1, "a", 1.0, "{}"), (53, None, 1, "a", 1.0, "{}"), (100, None, 1, "a", 1.0, "{}")]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert tuple(reports.QUERIES["history_after_delete"](spark, str(tmp_path)).first()) == (3, 2, 100)
+
+
+def test_terms_of_all_lengths(spark):
+    """Terms up to several windows long, from two places of a plane above the first; no text and no candidate list goes through a shuffle."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab 𠮷い") for _ in range(rng.randint(0, 300))) for _ in range(60)] + [None, "?" + "𠮷" * 40]
+    own = [t for t in texts if t]
+    found = {rng.choice(own)[(a := rng.randint(0, 30)) : a + rng.randint(4, 70)].strip() for _ in range(200)} | {"?ab ", "𠮷𠮷𠮷𠮷", "?𠮷𠮷𠮷", "a" * 40}
+    rows = [(i, s, "") for i, s in enumerate(sorted(s for s in found if len(re.sub(r"\s", "", s)) >= 4))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n, r.truncated) for r in terms.matched(docs, spark.createDataFrame(rows, "idx long, source string, target string"), 5).collect()}
+    bare = lambda x: re.sub(r"\s", "", x or "").lower()
+    want = {i: n for i, t in enumerate(texts) if (n := sum(bare(s) in bare(t) for _, s, _ in rows))}
+    assert got == {i: (n, n > 5) for i, n in want.items()}
+    assert max(len(bare(s)) for _, s, _ in rows) > 48
+
+
+def test_terms_hold_no_candidate_lists(spark):
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    plan = terms.matched(docs, spark.createDataFrame([(0, "text", "")], "idx long, source string, target string"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
