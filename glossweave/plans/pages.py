@@ -17,10 +17,11 @@ SKIPPED, TEXTUAL = "('figure')", "('text', 'title', 'table')"
 
 _DX, _DY = "(least(a.x1, o.x1) - greatest(a.x0, o.x0))", "(least(a.y1, o.y1) - greatest(a.y0, o.y0))"
 _OTHER = "NOT (abs(o.x0 - a.x0) < 5 AND abs(o.y0 - a.y0) < 5)"
+# Equal edges are peers of one frame, so they share a cluster whichever of them comes first.
 _LINES = """
   SELECT page, axis, line, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM (
     SELECT page, axis, avg(v) AS line FROM (
-      SELECT page, axis, v, sum(new) OVER (PARTITION BY page, axis ORDER BY v ROWS UNBOUNDED PRECEDING) AS cluster FROM (
+      SELECT page, axis, v, sum(new) OVER (PARTITION BY page, axis ORDER BY v) AS cluster FROM (
         SELECT page, axis, v, CASE WHEN v - lag(v) OVER (PARTITION BY page, axis ORDER BY v) > {jump} THEN 1 ELSE 0 END AS new FROM (
           SELECT page, 'x' AS axis, x0 AS v FROM b UNION ALL SELECT page, 'x', x1 FROM b UNION ALL SELECT page, 'y', y0 FROM b UNION ALL SELECT page, 'y', y1 FROM b) AS e) AS f) AS g
     GROUP BY page, axis, cluster) AS h""".format(jump=JUMP)

@@ -5,7 +5,7 @@ import random
 import re
 
 from glossweave.operators import terms
-from glossweave.plans import reports
+from glossweave.plans import pages, reports
 
 DIR = "/root/testdata/sf0.001"
 
@@ -41,3 +41,13 @@ def test_terms_hold_no_candidate_lists(spark):
     docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     plan = terms.matched(docs, spark.createDataFrame([(0, "text", "")], "idx long, source string, target string"), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_list") == 1
+
+
+def test_equal_edges_share_a_grid_line(spark):
+    """Boxes that start where the first of a new cluster does, in any order."""
+    assert "ROWS" not in pages.STATEMENTS["grid_lines"]
+    rows = [(p, b, x, 0.0, x + 4, 3.0) for p in range(50) for b, x in enumerate([0.0] + [30.0] * 20)]
+    random.Random(6).shuffle(rows)
+    b = spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double").repartition(7)
+    got = spark.sql(re.sub(r"\b(FROM|JOIN) b\b", r"\1 {b}", pages.STATEMENTS["grid_lines"]), b=b).where("axis = 'x'")
+    assert {(r.i, r.line) for r in got.collect()} == {(0, 2.0), (1, 32.0)}
