@@ -51,3 +51,12 @@ def test_equal_edges_share_a_grid_line(spark):
     b = spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double").repartition(7)
     got = spark.sql(re.sub(r"\b(FROM|JOIN) b\b", r"\1 {b}", pages.STATEMENTS["grid_lines"]), b=b).where("axis = 'x'")
     assert {(r.i, r.line) for r in got.collect()} == {(0, 2.0), (1, 32.0)}
+
+
+def test_cells_of_equal_edges(spark):
+    """The structure of a table hangs on the same lines."""
+    assert "ROWS" not in pages.STATEMENTS["table_structure"]
+    rows = [(1, b, x, y, x + 4, y + 3) for b, (x, y) in enumerate((x, y) for x in (0.0, 30.0, 30.0) for y in (0.0, 40.0))]
+    b = spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double").repartition(5)
+    got = spark.sql(re.sub(r"\b(FROM|JOIN) b\b", r"\1 {b}", pages.STATEMENTS["table_structure"]), b=b)
+    assert {(r.box, r.row_idx, r.col_idx, r.row_span, r.col_span) for r in got.collect()} == {(b, b % 2 // 2, b // 2 // 3, 1, 1) for b in range(6)}
