@@ -5,13 +5,17 @@ A token that doesn't fit starts the next line, whole; only on an empty line it i
 its line with what follows.  A blank that would
 start a line is dropped, and the blanks at the end of a full line as well.  A line feed ends a line, full or not.
 
-Where a line that starts at a place ends does not depend on the lines before it, only on whether it began empty.  So every place gets two
-pointers to the next line, from one window over the running widths, and doubling these pointers gives all lines of a text in as many
-steps as the number of lines has binary digits.  Nothing folds over a text, and no Python runs.
+Where a line that starts at a place ends does not depend on the lines before it, only on whether it began empty.  So the ends from
+all places of a text follow from its running widths at once, and the lines from a walk along these ends.  Spark gives the widths; what a
+text needs stays in its row, and no row meets another one.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,44 +32,67 @@ def is_single(ch: str) -> str:
     return f"regexp_like({ch}, r'^[{SINGLE}]')"
 
 
+_RANGES = [(int(a, 16), int(b, 16)) for a, b in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", SINGLE)]
+
+
+def cut_lines(own: str, widths: np.ndarray, box: float) -> tuple[list[str], bool]:
+    """The lines of a text without line feeds, and whether a blank was dropped after the last one."""
+    n = len(own)
+    codes = np.frombuffer(own.encode("utf-32-le", "surrogatepass"), "<u4")
+    single = np.zeros(n, bool)
+    for low, high in _RANGES:
+        single |= (codes >= low) & (codes <= high)
+    # A place p stands before the character p.
+    joint = np.ones(n + 1, bool)
+    joint[1:n] = single[1:] | single[:-1] | (codes[:-1] == 32)
+    far = np.concatenate(([0.0], np.cumsum(widths))) / box
+    places = np.arange(n + 1)
+    chars = np.searchsorted(far, far + (1 + TOLERANCE), "right") - 1
+    fits = np.maximum.accumulate(np.where(joint, places, 0))[chars]
+    tokens = np.flatnonzero(joint)
+    token = np.append(tokens[np.searchsorted(tokens, places[:-1], "right")], n)
+    least = np.maximum(chars, places + 1)
+    loose, held = np.where(fits > places, fits, least), np.maximum(fits, token)
+    cut = (fits > places) | (least == token)
+    lines, p, whole, dropped = [], 0, False, False
+    while p < n:
+        q, at_joint = (int(held[p]), True) if whole else (int(loose[p]), bool(cut[p]))
+        lines.append(own[p:q].rstrip(" ") if at_joint and q < n else own[p:q])
+        blank = at_joint and q < n and own[q] == " "
+        dropped = blank and q == n - 1
+        p, whole = (q + 1, False) if blank else (q, at_joint)
+    return lines, dropped
+
+
+def _wrap(text: str, widths: np.ndarray, box: float) -> list[str]:
+    if box <= 0:
+        return [text]
+    out: list[str] = []
+    parts, at = text.split("\n"), 0
+    for i, own in enumerate(parts):
+        lines, dropped = cut_lines(own, widths[at : at + len(own)], box) if own else ([], True)
+        # A line feed ends a line with nothing in it, too; the end of a text does not.
+        out += [*lines, ""] if dropped and i < len(parts) - 1 else lines
+        at += len(own) + 1
+    return out
+
+
 def wrapped(texts: DataFrame, width: str = "CASE WHEN {single} THEN size ELSE size / 2 END") -> DataFrame:
     """id, line (from 0), text of each line; from id, text, box (its width), size.
 
-    ``width`` is the width of the character ``ch`` in SQL.  Null and empty texts have no lines; a box without width takes the text as one
-    line; a size of nothing or less counts as the default one.  ids name rows, so they must not repeat.
+    ``width`` is the width of the character ``ch`` in SQL, nothing or more.  Null and empty texts have no lines; a box without width takes the
+    text as one line; a size of nothing or less counts as the default one.
     """
+
+    @F.pandas_udf("array<string>")
+    def wrap(text: pd.Series, widths: pd.Series, box: pd.Series) -> pd.Series:
+        return pd.Series([_wrap(*r) for r in zip(text, widths, box, strict=True)], dtype=object)
+
     spark_size = f"CASE WHEN size > 0 THEN size ELSE {DEFAULT_SIZE} END"
-    rows = texts.where("text <> ''").selectExpr("id", "text", "CAST(box AS DOUBLE) AS box", f"CAST({spark_size} AS DOUBLE) AS size")
-    whole = rows.where("box <= 0").selectExpr("id", "CAST(0 AS BIGINT) AS line", "text")
-    parts = rows.where("box > 0").selectExpr("id", "box", "size", "posexplode(split(text, '\\n', -1)) AS (part, own)", "size(split(text, '\\n', -1)) - 1 AS last_part")
-    full = parts.where("own <> ''")
-    # A place p stands before the character p; ``upto`` is the width before it.
-    places = full.selectExpr("id", "part", "box", "size", "posexplode(concat(regexp_extract_all(own, '(?s).', 0), array(''))) AS (p, ch)")
-    along = "PARTITION BY id, part ORDER BY p"
-    places = places.selectExpr("*", f"CASE WHEN ch = '' THEN 0D ELSE CAST({width.format(single=is_single('ch'))} AS DOUBLE) END AS w", f"{is_single('ch')} AS single", f"lag(ch) OVER ({along}) AS before")
-    places = places.selectExpr("*", f"coalesce(sum(w) OVER ({along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS upto", f"p = 0 OR ch = '' OR single OR before = ' ' OR {is_single('before')} AS joint")
-    # The same box holds for a whole text, so what fits after p are the places up to a box further on.
-    places = places.selectExpr("*", "upto / box AS far")
-    reach = f"PARTITION BY id, part ORDER BY far RANGE BETWEEN CURRENT ROW AND {1 + TOLERANCE}D FOLLOWING"
-    after = "PARTITION BY id, part ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    places = places.selectExpr("id", "part", "p", "ch", "joint", f"max(CASE WHEN joint THEN p END) OVER ({reach}) AS fits", f"max(p) OVER ({reach}) AS chars", f"min(CASE WHEN joint THEN p END) OVER ({after}) AS token")
-    ends = "struct(p, CASE WHEN fits > p THEN fits ELSE greatest(chars, p + 1) END AS loose, greatest(fits, token) AS held, coalesce(fits > p, false) OR greatest(chars, p + 1) = token AS cut, ch = ' ' AS blank)"
-    held = places.groupBy("id", "part").agg(F.expr(f"array_sort(collect_list({ends}))").alias("e"))
-    # State 2p: the line began empty; 2p + 1: with the token that did not fit before.  The end of the text leads to itself.
-    end = "CAST(2 * (size(e) - 1) AS INT)"
-    after_end = "CASE WHEN e[{x}].p = size(e) - 1 THEN 2 * {x} WHEN e[{x}].blank THEN 2 * ({x} + 1) ELSE 2 * {x} + 1 END"
-    step = f"transform(sequence(0, 2 * size(e) - 1), s -> CAST(CASE WHEN s DIV 2 = size(e) - 1 THEN {end} WHEN s % 2 = 1 THEN {after_end.format(x='e[CAST(s DIV 2 AS INT)].held')} WHEN e[CAST(s DIV 2 AS INT)].cut THEN {after_end.format(x='e[CAST(s DIV 2 AS INT)].loose')} ELSE 2 * e[CAST(s DIV 2 AS INT)].loose END AS INT))"
-    double = "struct(array_union(a.starts, transform(a.starts, s -> a.jump[s])) AS starts, transform(a.jump, s -> a.jump[s]) AS jump)"
-    digits = "sequence(1, CAST(ceil(log2(size(e) + 1)) AS INT) + 1)"
-    found = held.selectExpr("id", "part", "e", f"{step} AS jump")
-    found = found.selectExpr("id", "part", "e", f"aggregate({digits}, struct(array(0) AS starts, jump AS jump), (a, _) -> {double}, a -> a.starts) AS starts")
-    lines = found.selectExpr("id", "part", "e", "explode(starts) AS s").selectExpr("id", "part", "e", "s", "CAST(s DIV 2 AS INT) AS p").where("p < size(e) - 1")
-    lines = lines.selectExpr("id", "part", "e", "p", "CASE WHEN s % 2 = 1 THEN e[p].held ELSE e[p].loose END AS q", "size(e) - 1 AS n", "s % 2 = 1 OR e[p].cut AS at_joint").selectExpr("*", "at_joint AND q = n - 1 AND e[q].blank AS dropped")
-    dropped = lines.where("dropped").select("id", "part", "n").join(parts.where("part < last_part").select("id", "part"), ["id", "part"]).selectExpr("id", "part", "n AS p", "'' AS text")
-    cut = lines.join(full.select("id", "part", "own"), ["id", "part"]).selectExpr("id", "part", "p", "CASE WHEN at_joint AND q < n THEN rtrim(substring(own, p + 1, q - p)) ELSE substring(own, p + 1, q - p) END AS text")
-    # A line feed ends a line with nothing in it, too; the end of a text does not.
-    bare = parts.where("own = '' AND part < last_part").selectExpr("id", "part", "0 AS p", "'' AS text")
-    return cut.unionByName(bare).unionByName(dropped).selectExpr("id", "row_number() OVER (PARTITION BY id ORDER BY part, p) - 1L AS line", "text").unionByName(whole)
+    rows = texts.where("text <> '' AND box IS NOT NULL").selectExpr("id", "text", "CAST(box AS DOUBLE) AS box", f"CAST({spark_size} AS DOUBLE) AS size")
+    each = f"transform(regexp_extract_all(text, '(?s).', 0), ch -> coalesce(CAST({width.format(single=is_single('ch'))} AS DOUBLE), 0D))"
+    rows = rows.selectExpr("id", "text", "box", f"CASE WHEN box > 0 THEN {each} END AS widths")
+    return rows.select("id", F.posexplode(wrap("text", "widths", "box")).alias("line", "text")).select("id", F.col("line").cast("long").alias("line"), "text")
 
 
 def line_height(lang: str, n_lines: str, size: str, width: str, height: str, is_cell: str) -> str:

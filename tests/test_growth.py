@@ -4,8 +4,8 @@ import datetime
 import random
 import re
 
-from glossweave.operators import terms
-from glossweave.plans import pages, reports
+from glossweave.operators import terms, wrapping
+from glossweave.plans import pages, pagetext, reports
 
 DIR = "/root/testdata/sf0.001"
 
@@ -60,3 +60,16 @@ def test_cells_of_equal_edges(spark):
     b = spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double").repartition(5)
     got = spark.sql(re.sub(r"\b(FROM|JOIN) b\b", r"\1 {b}", pages.STATEMENTS["table_structure"]), b=b)
     assert {(r.box, r.row_idx, r.col_idx, r.row_span, r.col_span) for r in got.collect()} == {(b, b % 2 // 2, b // 2 // 3, 1, 1) for b in range(6)}
+
+
+def test_wrapping_meets_no_other_row(spark):
+    boxes = spark.createDataFrame([(1, "ab cd\n" * 3, 15.0, 10.0)], "id long, text string, box double, size double")
+    df = wrapping.wrapped(boxes, "CASE WHEN ch = 'a' THEN 2 * size ELSE size / 2 END")
+    assert "Window" not in _plan(df) and "Exchange" not in _plan(df)
+    assert [r.text for r in df.orderBy("line").collect()] == ["a", "b", "cd"] * 3
+
+
+def test_characters_of_a_page_stay_in_its_task(spark):
+    for name in ("page_boundaries", "page_formulas", "page_blocks"):
+        plan = _plan(pagetext.QUERIES[name](spark, DIR))
+        assert "Exchange" not in plan[plan.index("Window") : plan.index("Generate posexplode")], name
