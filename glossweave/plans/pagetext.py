@@ -12,6 +12,8 @@ from glossweave.operators import page_text, wrapping
 from glossweave.plans import steps
 
 ROLES = "CASE cls WHEN 3 THEN 'header' WHEN 1000 THEN 'table_cell' END"
+#: Pages of a task.
+PAGES = 300
 #: Letters of every third conversation become Japanese characters.
 LETTERS, KANA = "aeioutsn.,(", "のがを人社です日。、（"
 
@@ -21,11 +23,12 @@ def chars(d: Dialect) -> str:
     shown = f"CASE WHEN conv_id % 3 = 0 THEN {d.translate('text', LETTERS, KANA)} ELSE text END"
     found = d.all(shown, "(?s).")
     each = {
-        "spark": f"SELECT conv_id, turn, CAST(k AS BIGINT) AS k, ch FROM conversations LATERAL VIEW posexplode({found}) AS k, ch",
+        "spark": f"SELECT conv_id, turn, page, CAST(k AS BIGINT) AS k, ch FROM conversations LATERAL VIEW posexplode({found}) AS k, ch",
         "oracle": f"SELECT conv_id, turn, unnest(range(len({found}))) AS k, unnest({found}) AS ch FROM conversations",
     }[d.name]
+    page = {"spark": "page", "oracle": "conv_id * 1000 + turn AS page"}[d.name]
     placed = (
-        f"SELECT conv_id * 1000 + turn AS page, k AS seq, ch, conv_id, turn, k, {d.div('k', '50')} AS line, {d.div('k', '250')} AS para, k % 50 AS col, {d.div('(k % 50)', '17')} AS cell, "
+        f"SELECT {page}, k AS seq, ch, conv_id, turn, k, {d.div('k', '50')} AS line, {d.div('k', '250')} AS para, k % 50 AS col, {d.div('(k % 50)', '17')} AS cell, "
         f"CASE WHEN conv_id % 5 = 2 THEN 9 ELSE 6 END AS step, CASE (conv_id + {d.div('k', '250')}) % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1000 WHEN 4 THEN 1001 WHEN 5 THEN 2 ELSE CASE WHEN turn % 2 = 0 THEN -1 ELSE 0 END END AS cls "
         f"FROM ({each}) AS e WHERE NOT (ch = ' ' AND turn % 2 = 1)"
     )
@@ -40,7 +43,10 @@ def chars(d: Dialect) -> str:
 
 
 def _chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(steps.bound(chars(Spark()), ["conversations"]), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """The pages are dealt before they become characters, so no character moves; their number sets that of tasks, whose sorts stay small."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("*", "conv_id * 1000 + turn AS page")
+    turns = turns.repartition(max(spark.sparkContext.defaultParallelism, turns.count() // PAGES + 1), "page")
+    return spark.sql(steps.bound(chars(Spark()), ["conversations"]), conversations=turns)
 
 
 def page_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
