@@ -3,7 +3,11 @@
 import datetime
 import random
 import re
+import unicodedata
 
+from pyspark.sql import functions as F
+
+from glossweave.functions import guards
 from glossweave.operators import terms, wrapping
 from glossweave.plans import pages, pagetext, reports
 
@@ -73,3 +77,19 @@ def test_characters_of_a_page_stay_in_its_task(spark):
     for name in ("page_boundaries", "page_formulas", "page_blocks"):
         plan = _plan(pagetext.QUERIES[name](spark, DIR))
         assert "Exchange" not in plan[plan.index("Window") : plan.index("Generate posexplode")], name
+
+
+def test_plain_english_asks_for_no_compatibility_forms(monkeypatch):
+    asked = []
+    monkeypatch.setattr(guards.unicodedata, "normalize", lambda form, x: asked.append(x) or unicodedata.ucd_3_2_0.normalize(form, x))
+    assert guards.english_form(" 1,200 yen \x1f\n") == "1,200 yen" and guards.english_form(None) == "" and not guards.is_not_english(" plain ") and not guards.is_not_english(None)
+    assert not asked and guards.is_not_english("売上") and guards.english_form("２兆円") == "20,000 oku yen" and asked
+
+
+def test_english_forms_of_all_blanks(spark):
+    texts = [None, "", " \x0b\x1c a b\x1f \n", "\n\n", "plain", " ３億円 ", "\u3000a\u3000", "é\n"] + [chr(i) + "x" + chr(i) for i in range(1, 128)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("form", guards.english_forms(F.col("text")))
+    assert [r.form for r in df.orderBy("id").collect()] == [guards.english_form(t) for t in texts]
+    # Plain texts do not go to Python.
+    plan = _plan(df)
+    assert "octet_length" in plan[plan.index("ArrowEvalPython") :]
