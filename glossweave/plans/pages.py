@@ -17,14 +17,24 @@ SKIPPED, TEXTUAL = "('figure')", "('text', 'title', 'table')"
 
 _DX, _DY = "(least(a.x1, o.x1) - greatest(a.x0, o.x0))", "(least(a.y1, o.y1) - greatest(a.y0, o.y0))"
 _OTHER = "NOT (abs(o.x0 - a.x0) < 5 AND abs(o.y0 - a.y0) < 5)"
+_VALUES = "SELECT page, 'x' AS axis, x0 AS v FROM b UNION ALL SELECT page, 'x', x1 FROM b UNION ALL SELECT page, 'y', y0 FROM b UNION ALL SELECT page, 'y', y1 FROM b"
 # Equal edges are peers of one frame, so they share a cluster whichever of them comes first.
-_LINES = """
-  SELECT page, axis, line, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM (
-    SELECT page, axis, avg(v) AS line FROM (
+_LINES = f"""
+  SELECT page, axis, line, total, n, row_number() OVER (PARTITION BY page, axis ORDER BY line) - 1 AS i FROM (
+    SELECT page, axis, avg(v) AS line, sum(v) AS total, count(*) AS n FROM (
       SELECT page, axis, v, sum(new) OVER (PARTITION BY page, axis ORDER BY v) AS cluster FROM (
-        SELECT page, axis, v, CASE WHEN v - lag(v) OVER (PARTITION BY page, axis ORDER BY v) > {jump} THEN 1 ELSE 0 END AS new FROM (
-          SELECT page, 'x' AS axis, x0 AS v FROM b UNION ALL SELECT page, 'x', x1 FROM b UNION ALL SELECT page, 'y', y0 FROM b UNION ALL SELECT page, 'y', y1 FROM b) AS e) AS f) AS g
-    GROUP BY page, axis, cluster) AS h""".format(jump=JUMP)
+        SELECT page, axis, v, CASE WHEN v - lag(v) OVER (PARTITION BY page, axis ORDER BY v) > {JUMP} THEN 1 ELSE 0 END AS new FROM ({_VALUES}) AS e) AS f) AS g
+    GROUP BY page, axis, cluster) AS h"""
+# The nearest grid line to an edge is the one after all midpoints below it, so the first of equally near ones. A midpoint is one
+# quotient of sums and counts: as differences of means, rounding would tell equally near lines apart.
+_NEAREST = f"""
+  SELECT page, box, x0, y0, x1, y1, max(CASE WHEN side = 'x0' THEN i END) AS c0, max(CASE WHEN side = 'x1' THEN i END) AS c1, max(CASE WHEN side = 'y0' THEN i END) AS r0, max(CASE WHEN side = 'y1' THEN i END) AS r1 FROM (
+    SELECT page, box, x0, y0, x1, y1, side, sum(mid) OVER (PARTITION BY page, axis ORDER BY v, mid) AS i FROM (
+      SELECT page, axis, 1 AS mid, '' AS side, (total * next_n + next_total * n) / (2 * n * next_n) AS v, NULL AS box, NULL AS x0, NULL AS y0, NULL AS x1, NULL AS y1 FROM (
+        SELECT page, axis, total, n, lead(total) OVER (PARTITION BY page, axis ORDER BY line) AS next_total, lead(n) OVER (PARTITION BY page, axis ORDER BY line) AS next_n FROM ({_LINES}) AS k) AS m WHERE next_n IS NOT NULL
+      UNION ALL SELECT page, 'x', 0, 'x0', x0, box, x0, y0, x1, y1 FROM b UNION ALL SELECT page, 'x', 0, 'x1', x1, box, x0, y0, x1, y1 FROM b
+      UNION ALL SELECT page, 'y', 0, 'y0', y0, box, x0, y0, x1, y1 FROM b UNION ALL SELECT page, 'y', 0, 'y1', y1, box, x0, y0, x1, y1 FROM b) AS u) AS w
+  WHERE side <> '' GROUP BY page, box, x0, y0, x1, y1"""
 _EDGES = f"""
   SELECT a.page, a.box, o.box AS next FROM b a JOIN b o ON a.page = o.page AND a.box <> o.box
   WHERE CASE WHEN {_DY} > 0 AND {_DY} / least(a.y1 - a.y0, o.y1 - o.y0) >= 0.3 THEN o.x0 > a.x0 + 10 ELSE (o.y0 + o.y1) / 2 > (a.y0 + a.y1) / 2 + 5 AND {_DX} > 0 AND {_DX} / least(a.x1 - a.x0, o.x1 - o.x0) >= 0.3 END"""
@@ -38,11 +48,6 @@ _BETWEEN = f"""
          AND least(o.x1, m.x1) - greatest(o.x0, m.x0) >= 0.3 * least(o.x1 - o.x0, m.x1 - m.x0) AND least(o.x1, m.x1) > greatest(o.x0, m.x0) END"""
 
 
-def _nearest(axis: str, edge: str) -> str:
-    """For each box the nearest grid line to one of its edges; the first of equally near ones."""
-    return f"SELECT page, box, min(i) AS i FROM (SELECT k.page, k.box, l.i, abs(k.{edge} - l.line) AS far, min(abs(k.{edge} - l.line)) OVER (PARTITION BY k.page, k.box) AS least_far FROM b k JOIN ({_LINES}) l ON l.page = k.page AND l.axis = '{axis}') AS z WHERE far = least_far GROUP BY page, box"
-
-
 #: name -> statement over ``b``: page, box, x0, y0, x1, y1, label.
 STATEMENTS: dict[str, str] = {
     "painted_boxes": f"""
@@ -55,9 +60,8 @@ SELECT a.page, a.box AS a, o.box AS o, {_DX} >= 0.5 * least(a.x1 - a.x0, o.x1 -
 FROM b a JOIN b o ON a.page = o.page AND a.box < o.box WHERE {_DX} > 0 OR {_DY} > 0""",
     "grid_lines": f"SELECT page, axis, CAST(i AS BIGINT) AS i, round(line, 6) AS line FROM ({_LINES}) AS l",
     "table_structure": f"""
-SELECT t.page, t.box, CAST(floor(r0.i / 2) AS BIGINT) AS row_idx, CAST(floor(c0.i / 2) AS BIGINT) AS col_idx, CAST(greatest(1, floor((r1.i - r0.i + 1) / 2)) AS BIGINT) AS row_span, CAST(greatest(1, floor((c1.i - c0.i + 1) / 2)) AS BIGINT) AS col_span
-FROM b t JOIN ({_nearest('y', 'y0')}) r0 ON r0.page = t.page AND r0.box = t.box JOIN ({_nearest('y', 'y1')}) r1 ON r1.page = t.page AND r1.box = t.box
-JOIN ({_nearest('x', 'x0')}) c0 ON c0.page = t.page AND c0.box = t.box JOIN ({_nearest('x', 'x1')}) c1 ON c1.page = t.page AND c1.box = t.box""",
+SELECT t.page, t.box, CAST(floor(r0 / 2) AS BIGINT) AS row_idx, CAST(floor(c0 / 2) AS BIGINT) AS col_idx, CAST(greatest(1, floor((r1 - r0 + 1) / 2)) AS BIGINT) AS row_span, CAST(greatest(1, floor((c1 - c0 + 1) / 2)) AS BIGINT) AS col_span
+FROM b t JOIN ({_NEAREST}) e ON e.page = t.page AND e.box = t.box AND e.x0 = t.x0 AND e.y0 = t.y0 AND e.x1 = t.x1 AND e.y1 = t.y1""",
     "adjacent_limits": f"""
 SELECT a.page, a.box,
   max(greatest({MARGIN}, CASE WHEN o.x1 < a.x0 - {GAP} AND {_DY} > (a.y1 - a.y0) * {SHARE} THEN o.x1 + {GAP} ELSE {MARGIN} END)) AS lim_left,

@@ -93,3 +93,11 @@ def test_english_forms_of_all_blanks(spark):
     # Plain texts do not go to Python.
     plan = _plan(df)
     assert "octet_length" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_equally_near_lines(spark):
+    """An edge at 16 is 19/3 from the lines at 29/3 and 67/3: the first one counts, though the difference of the means to it rounds to more."""
+    rows = [(1, b, x0, 0.0, x1, 50.0) for b, (x0, x1) in enumerate([(9.0, 20.0), (10.0, 21.0), (10.0, 21.0), (16.0, 100.0), (22.0, 22.0), (25.0, 60.0), (27.0, 27.0)])]
+    b = spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double")
+    got = spark.sql(re.sub(r"\b(FROM|JOIN) b\b", r"\1 {b}", pages.STATEMENTS["table_structure"]), b=b).where("box = 3")
+    assert [(r.col_idx, r.col_span) for r in got.collect()] == [(0, 2)]
