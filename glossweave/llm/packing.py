@@ -22,10 +22,12 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,15 +36,20 @@ from pyspark.sql import functions as F
 from glossweave.llm.scratch import materialise, table
 
 CACHED_WORDS = 300_000
+# So many bytes of texts are encoded at once.
+AT_ONCE = 1 << 23
+# White space to the splitting of runs, but not to the tokenizer.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _ENCODERS: dict = {}
 
 
 class _Encoder:
-    """Ids of a text as little-endian bytes.
+    """Ids of texts as little-endian bytes.
 
     A tokenizer that lower-cases, drops white space and marks the end of words works on one word at a time,
-    so its words are looked up: ``words`` holds the ids of words seen lately, ``older`` those before, both
-    bounded.  What neither has is encoded in one call for a text and cut at the ends of words.  Any
+    so what stands between white space has ids of its own.  Such runs are split, made distinct and put together again as
+    Arrow arrays, so each distinct run of some texts is cut into words once.  ``words`` holds the ids of words seen lately,
+    ``older`` those before, both bounded.  What neither has is encoded in one call and cut at the ends of words.  Any
     other tokenizer, and texts with the strings of special tokens, are encoded as they are.
     """
 
@@ -87,17 +94,38 @@ class _Encoder:
                 self.words.update((w, self._whole(w)) for w in some)
 
     def ids(self, text: str) -> bytes:
-        if not self.by_word or any(t in text for t in self.special):
-            return self._whole(text)
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # lower() alone minds a final sigma
-        parts = self.cut(text)
-        try:
-            return b"".join(map(self.words.__getitem__, parts))
-        except KeyError:
-            self._learn(parts)
-        out = b"".join(map(self.words.__getitem__, parts))
+        return self.all_ids([text])[0]
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        out, plain, at = [b""] * len(texts), [], []
+        for i, text in enumerate(texts):
+            if not self.by_word or any(t in text for t in self.special):
+                out[i] = self._whole(text)
+                continue
+            if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # lower() alone minds a final sigma
+            if any(x in text for x in _SEPARATORS):
+                out[i] = self._run_ids([text])[0]
+            else:
+                plain.append(text)
+                at.append(i)
+        if plain:
+            lists = pc.utf8_split_whitespace(pa.array(plain, pa.large_string()))
+            runs = lists.flatten().dictionary_encode()
+            ids = pa.array(self._run_ids(runs.dictionary.to_pylist()), pa.large_binary()).take(runs.indices)
+            _, ends, data = ids.buffers()
+            ends = np.frombuffer(ends, np.int64, len(ids) + 1, 8 * ids.offset)[lists.offsets.to_numpy()].tolist()
+            data = memoryview(data) if data else b""
+            for i, lo, hi in zip(at, ends, ends[1:], strict=False):
+                out[i] = bytes(data[lo:hi])
+        return out
+
+    def _run_ids(self, runs: list[str]) -> list[bytes]:
+        """The ids of distinct runs."""
+        cuts = list(map(self.cut, runs))
+        self._learn(list(chain.from_iterable(cuts)))
+        out = [b"".join(map(self.words.__getitem__, parts)) for parts in cuts]
         if len(self.words) > CACHED_WORDS:
             self.words, self.older = {}, self.words
         return out
@@ -114,22 +142,22 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int,
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * keep_ids]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
-            cols: list[list] = [[] for _ in names]
-            held = 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(text.as_py() or "") + end
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part_ids = ids[at : at + 4 * capacity]
-                    n = len(part_ids) // 4
-                    row = (i, p, at // 4, n, zlib.crc32(part_ids), part, seen[n], part_ids)
-                    seen[n] += 1
-                    for c, v in zip(cols, row, strict=False):
-                        c.append(v)
-                held += len(ids)
-                if held > 1 << 23:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
-                    cols, held = [[] for _ in names], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            size, lo = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while lo < len(doc_ids):
+                hi = max(lo + 1, int(np.searchsorted(size, AT_ONCE + (size[lo - 1] if lo else 0), "right")))
+                cols: list[list] = [[] for _ in names]
+                for i, ids in zip(doc_ids[lo:hi], enc.all_ids([x or "" for x in texts[lo:hi].to_pylist()]), strict=True):
+                    ids += end
+                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part_ids = ids[at : at + 4 * capacity]
+                        n = len(part_ids) // 4
+                        row = (i, p, at // 4, n, zlib.crc32(part_ids), part, seen[n], part_ids)
+                        seen[n] += 1
+                        for c, v in zip(cols, row, strict=False):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=names)
+                lo = hi
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(

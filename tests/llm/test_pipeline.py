@@ -105,3 +105,16 @@ def test_run_equals_the_stages_one_by_one(spark, sf_dir, steps):
     got = corpus_pipeline.run(spark, sf_dir)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in got.collect()) == sorted((r[0], r[1], r[4]) for r in steps[4][1])
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_repeated_runs_are_cut_into_words_once():
+    from glossweave.llm import packing
+
+    enc, met = packing._Encoder(packing.default_tokenizer()), []
+    cut = enc.cut
+    enc.cut = lambda text: met.append(len(text)) or cut(text)
+    spaces = [c for c in map(chr, range(0x3100)) if c.isspace()]
+    odd = [f"A{c}b's{c}{c}1{c}Été, don't" for c in [*spaces, "\x00", "​", "᠎", "﻿"]] + ["", " ", "\x1c", "漢字 かな。 x", "ΑΣ ΟΔΟΣ", "é İ <unk>"]
+    texts = ["word, and word, " * 5000, *odd]
+    assert enc.all_ids(texts) == [enc._whole(t) for t in texts]
+    assert sum(met) < 3000
