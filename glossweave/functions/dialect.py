@@ -24,6 +24,25 @@ class Dialect:
         """Without white space at either end, in one pass from each."""
         raise NotImplementedError
 
+    def without(self, x: str, pattern: str, members: str) -> str:
+        """``x`` without the matches of a pattern, by which all characters of the class ``[members]`` go and no other."""
+        raise NotImplementedError
+
+    def without_chars(self, x: str, pattern: str, chars: str) -> str:
+        """The same for a few characters."""
+        raise NotImplementedError
+
+    def runs(self, x: str, members: str, by: str) -> str:
+        """The runs of characters of the class ``[members]``, joined by one that is not among them."""
+        raise NotImplementedError
+
+    def unless_empty(self, x: str, default: str) -> str:
+        raise NotImplementedError
+
+    def count(self, x: str, pattern: str) -> str:
+        """How many characters of ``x`` a class holds."""
+        raise NotImplementedError
+
     def rewrite(self, x: str, pattern: str, m: str, by: str) -> str:
         """``x`` with every match ``m`` of the pattern replaced by the expression ``by``."""
         raise NotImplementedError
@@ -75,8 +94,23 @@ class Spark(Dialect):
     def sub(self, x: str, pattern: str, by: str = "") -> str:
         return f"regexp_replace({x}, {self.text(pattern)}, {self.text(by.replace(chr(92), '$'))})"
 
+    def without(self, x: str, pattern: str, members: str) -> str:
+        # A class is one test a character where alternatives are several, and a run goes at once.
+        return self.sub(x, f"[{members}]+")
+
+    def without_chars(self, x: str, pattern: str, chars: str) -> str:
+        return self.translate(x, chars, "")
+
+    def runs(self, x: str, members: str, by: str) -> str:
+        # What lies between them is a negated class, which takes many times longer to match.
+        return self.join(self.all(x, f"[{members}]+"), by)
+
+    def unless_empty(self, x: str, default: str) -> str:
+        return f"coalesce(nullif({x}, ''), {self.text(default)})"
+
     def count(self, x: str, pattern: str) -> str:
-        return f"CAST(regexp_count({x}, {self.text(pattern)}) AS BIGINT)"
+        # By what is left without the runs: regexp_count makes a string of each character.
+        return f"CAST(length({x}) - length({self.sub(x, f'{pattern}+')}) AS BIGINT)"
 
     def all(self, x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({x}, {self.text(pattern)}, {group})"
@@ -226,6 +260,18 @@ class Oracle(Dialect):
     def sub(self, x: str, pattern: str, by: str = "") -> str:
         return f"regexp_replace({x}, {self.text(pattern)}, {self.text(by)}, 'g')"
 
+    def without(self, x: str, pattern: str, members: str) -> str:
+        return self.sub(x, pattern)
+
+    def without_chars(self, x: str, pattern: str, chars: str) -> str:
+        return self.sub(x, pattern)
+
+    def runs(self, x: str, members: str, by: str) -> str:
+        return self.sub(self.sub(x, f"[^{members}]+", by), f"^{by}+|{by}+$")
+
+    def unless_empty(self, x: str, default: str) -> str:
+        return f"CASE WHEN {x} = '' THEN {self.text(default)} ELSE {x} END"
+
     def count(self, x: str, pattern: str) -> str:
         return f"len(regexp_extract_all({x}, {self.text(pattern)}))"
 

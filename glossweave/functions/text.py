@@ -5,7 +5,7 @@ Every function takes a dialect and SQL for its argument, and returns SQL.  Null
 
 from __future__ import annotations
 
-from glossweave.functions.dialect import WS, Dialect
+from glossweave.functions.dialect import BLANKS, WS, Dialect
 
 # Code-point ranges and character sets that results depend on.
 HIRAGANA = r"\x{3040}-\x{309F}"
@@ -164,7 +164,7 @@ def count_of(d: Dialect, x: str, ranges: str) -> str:
 
 def meaningful(d: Dialect, x: str) -> str:
     """Without white space and punctuation."""
-    return d.sub(filled(d, x), rf"{WS}|\p{{P}}")
+    return d.without(filled(d, x), rf"{WS}|\p{{P}}", rf"{WS}\p{{P}}")
 
 
 def japanese_ratio(d: Dialect, x: str) -> str:
@@ -226,7 +226,7 @@ UNENCODABLE = unencodable_ideographs()
 
 def rare_ideographs(d: Dialect, x: str) -> str:
     """Number of ideographs outside Shift JIS X 0213; the long class meets ideographs only."""
-    return d.count(d.sub(filled(d, x), f"[^{IDEOGRAPH}]"), f"[{UNENCODABLE}]")
+    return d.count(d.without(filled(d, x), f"[^{IDEOGRAPH}]", f"^{IDEOGRAPH}"), f"[{UNENCODABLE}]")
 
 
 def detect_reason(d: Dialect, x: str) -> str:
@@ -284,12 +284,11 @@ def estimated_tokens(d: Dialect, x: str) -> str:
 
 def folded_code(d: Dialect, x: str) -> str:
     """For compact term matching: no white space, underscore, slash, backslash or hyphen."""
-    return d.sub(f"lower({filled(d, x)})", rf"(?:{WS}|[_/\\-])+")
+    return d.without_chars(f"lower({filled(d, x)})", rf"(?:{WS}|[_/\\-])+", BLANKS + "_/\\-")
 
 
 def slug(d: Dialect, x: str, default: str = "run") -> str:
-    s = d.sub(d.sub(d.strip(filled(d, x)), r"[^A-Za-z0-9]+", "-"), r"^-+|-+$")
-    return f"CASE WHEN {s} = '' THEN {d.text(default)} ELSE {s} END"
+    return d.unless_empty(d.runs(d.strip(filled(d, x)), "A-Za-z0-9", "-"), default)
 
 
 def preview(d: Dialect, x: str, n: int = 50) -> str:
@@ -355,7 +354,7 @@ def marked_up(d: Dialect, x: str) -> str:
 
 def safe_name(d: Dialect, x: str, default: str = "translated_file") -> str:
     s = d.strip(d.sub(filled(d, x), r'[\\/:*?"<>|\x{00}-\x{1F}]', "_"))
-    return f"CASE WHEN {s} = '' THEN {d.text(default)} ELSE {s} END"
+    return d.unless_empty(s, default)
 
 
 def sheet_name(d: Dialect, x: str, n: int = 31) -> str:
