@@ -88,3 +88,22 @@ def test_chunks(spark):
     df = spark.createDataFrame([(1, "One. Two! Three"), (2, "x" * 25), (3, None), (4, " \n")], "i int, t string")
     got = {r.i: r.c for r in df.select("i", batching.chunked(F.col("t"), ".!", 10).alias("c")).collect()}
     assert got == {1: ["One. Two!", "Three"], 2: ["x" * 10, "x" * 10, "x" * 5], 3: [], 4: []}
+
+
+def test_reading_order_of_many_pages(spark):
+    """Pages meet Python as rows of a batch, not as a group each; pages of no edge, of a cycle and of many boxes."""
+    import random
+
+    from glossweave.operators import reading
+
+    rng, boxes, edges = random.Random(3), [], []
+    for page in range(300):
+        n = rng.choice([1, 2, 7, 60])
+        boxes += [(page, b, float(rng.randrange(50)), float(rng.randrange(9))) for b in range(n)]
+        edges += [(page, *rng.sample(range(n), 2)) for _ in range(rng.randrange(2 * n))] if n > 1 else []
+    got = reading.ordered(spark.createDataFrame(boxes, "page long, box long, x0 double, y0 double").repartition(5), spark.createDataFrame(edges, "page long, box long, next long").repartition(3))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(p, b, i) for p in range(300) for i, b in enumerate(reading.in_order([(b, x + y) for q, b, x, y in boxes if q == p], [(a, c) for q, a, c in edges if q == p]))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    none = reading.ordered(spark.createDataFrame([], "page long, box long, x0 double, y0 double"), spark.createDataFrame([], "page long, box long, next long"))
+    assert none.count() == 0
