@@ -47,6 +47,10 @@ class Dialect:
         """``x`` with every match ``m`` of the pattern replaced by the expression ``by``."""
         raise NotImplementedError
 
+    def where_found(self, x: str, needed: str, e: str, other: str) -> str:
+        """``e``, which is ``other`` where ``x`` lacks a pattern; one that is quick to look for spares Spark the work on most texts."""
+        raise NotImplementedError
+
     def lines(self, x: str) -> str:
         raise NotImplementedError
 
@@ -65,6 +69,9 @@ class Spark(Dialect):
         between, found = f"split({x}, {self.text(pattern)})", f"transform({self.all(x, pattern)}, {m} -> {by})"
         return f"array_join(zip_with({between}, {found}, (rest, {m}) -> concat(rest, coalesce({m}, ''))), '')"
 
+    def where_found(self, x: str, needed: str, e: str, other: str) -> str:
+        return f"CASE WHEN {self.like(x, needed)} THEN {e} ELSE {other} END"
+
     def let(self, value: str, name: str, e: str) -> str:
         """``e`` with ``name`` for a value that is computed once."""
         return f"transform(array({value}), {name} -> {e})[0]"
@@ -233,6 +240,9 @@ class Oracle(Dialect):
         between, found = f"string_split_regex({x}, {self.text(pattern)})", f"list_transform({self.all(x, pattern)}, lambda {m}: {by})"
         return f"array_to_string(list_transform(list_zip({between}, {found}), lambda z: z[1] || coalesce(z[2], '')), '')"
 
+    def where_found(self, x: str, needed: str, e: str, other: str) -> str:
+        return e
+
     def let(self, value: str, name: str, e: str) -> str:
         return f"list_transform([{value}], lambda {name}: {e})[1]"
 

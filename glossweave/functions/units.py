@@ -19,6 +19,8 @@ JP_LARGE = rf"{SIGN}?\s*(?:(?:{INTEGER})兆(?:(?:{INTEGER})億)?|(?:{INTEGER})
 JP_LARGE_LOOSE = rf"{SIGN}?\s*(?:{LOOSE}兆(?:{LOOSE}億)?|{LOOSE}億)円?"
 MAN_SEN = rf"{SIGN}?\s*{LOOSE}万(?:{LOOSE}千)?[円台]?"
 SEN = rf"{SIGN}?\s*{LOOSE}千[円台]?"
+# What every match of these holds.
+LARGE_UNIT, MAN_UNIT, SEN_UNIT = "[兆億]", "万", "千"
 # Headings, comparators and symbols of the hints.
 NUMERIC_TITLE_EN = "### Numeric conversion hints (use verbatim)"
 NUMERIC_TITLE = "### 数値変換ヒント（必ず使用）"
@@ -29,6 +31,11 @@ MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "
 MAX_HINTS, MAX_PAIRS = 12, 20
 
 
+def _rewritten(d: Dialect, x: str, needed: str, pattern: str, by: str) -> str:
+    """A rewrite of the matches ``m``, each of which holds the pattern ``needed``."""
+    return d.where_found(x, needed, d.rewrite(x, pattern, "m", by), x)
+
+
 def decimal(d: Dialect, x: str) -> str:
     return d.number(d.put(x, ",", ""), "DECIMAL(18, 6)")
 
@@ -65,13 +72,18 @@ def yen_billions(d: Dialect, x: str) -> str:
     """¥ amounts in billions in Japanese units."""
     number = decimal(d, d.get("m", NUMBER))
     sign = f"CASE WHEN {d.get('m', '[+-]')} = '-' THEN -1 ELSE 1 END"
-    return d.rewrite(x, rf"(?i)[+-]?\s*[¥￥]\s*[+-]?\s*{NUMBER}\s*(?:billion|bn)\b(?:\s*yen\b)?", "m", f"coalesce({yen(d, f'({scaled(number, 1000000000)} * {sign})')}, m)")
+    return _rewritten(d, x, "[¥￥]", rf"(?i)[+-]?\s*[¥￥]\s*[+-]?\s*{NUMBER}\s*(?:billion|bn)\b(?:\s*yen\b)?", f"coalesce({yen(d, f'({scaled(number, 1000000000)} * {sign})')}, m)")
 
 
 def _english(unit: str) -> str:
     return rf"(?i){PREFIX}{NUMBER}\)?\s*(?:{unit})\b(?:\s*yen\b)?"
 
 
+def _english_unit(unit: str) -> str:
+    """What every match of ``_english`` holds."""
+    return rf"(?i)[0-9]\)?\s*(?:{unit})\b"
+
+
 def _parts(d: Dialect) -> tuple[str, str, str, str]:
     """Of a match ``m``: its prefix, its number as text, its closing bracket, whether it names yen."""
     return d.get("m", f"^{PREFIX}"), d.get("m", NUMBER), f"CASE WHEN {d.like('m', r'[0-9]\)')} THEN ')' ELSE '' END", d.like("m", r"(?i)[¥￥]|yen$")
@@ -85,19 +97,19 @@ def english_small(d: Dialect, x: str) -> str:
     """Thousands and millions written out; with yen, in Japanese units."""
     prefix, number, suffix, has_yen = _parts(d)
     v = f"CASE WHEN {d.like('m', '(?i)thousand')} THEN {scaled(decimal(d, number), 1000)} ELSE {scaled(decimal(d, number), 1000000)} END"
-    return d.rewrite(x, _english("thousand|million"), "m", f"coalesce({_bare(d, prefix)} || CASE WHEN {has_yen} THEN {yen(d, v)} ELSE {amount(d, v)} END || {suffix}, m)")
+    return _rewritten(d, x, _english_unit("thousand|million"), _english("thousand|million"), f"coalesce({_bare(d, prefix)} || CASE WHEN {has_yen} THEN {yen(d, v)} ELSE {amount(d, v)} END || {suffix}, m)")
 
 
 def english_large(d: Dialect, x: str) -> str:
     """Billions and trillions in Japanese units."""
     prefix, number, suffix, has_yen = _parts(d)
     v = f"CASE WHEN {d.like('m', '(?i)tri?llion')} THEN {scaled(decimal(d, number), 10000)} ELSE {scaled(decimal(d, number), 10)} END"
-    return d.rewrite(x, _english("billion|trillion|trllion|bn"), "m", f"coalesce({_bare(d, prefix)} || {oku(d, v, has_yen)} || {suffix}, m)")
+    return _rewritten(d, x, _english_unit("billion|trillion|trllion|bn"), _english("billion|trillion|trllion|bn"), f"coalesce({_bare(d, prefix)} || {oku(d, v, has_yen)} || {suffix}, m)")
 
 
 def english_oku(d: Dialect, x: str) -> str:
     prefix, number, suffix, has_yen = _parts(d)
-    return d.rewrite(x, _english("oku"), "m", f"coalesce({_bare(d, prefix)} || {oku(d, decimal(d, number), has_yen)} || {suffix}, m)")
+    return _rewritten(d, x, _english_unit("oku"), _english("oku"), f"coalesce({_bare(d, prefix)} || {oku(d, decimal(d, number), has_yen)} || {suffix}, m)")
 
 
 def _whole(d: Dialect, x: str) -> str:
@@ -117,7 +129,7 @@ def tenths(d: Dialect, n: str) -> str:
 def japanese_large(d: Dialect, x: str) -> str:
     """Amounts in 10^12 and 10^8 in billions."""
     sign = f"CASE WHEN {d.like('m', f'^{NEGATIVE}')} THEN '-' ELSE '' END"
-    return d.rewrite(x, JP_LARGE, "m", f"concat({sign}, CASE WHEN {d.like('m', '円$')} THEN '¥' ELSE '' END, {tenths(d, _total(d, 'm'))}, ' billion')")
+    return _rewritten(d, x, LARGE_UNIT, JP_LARGE, f"concat({sign}, CASE WHEN {d.like('m', '円$')} THEN '¥' ELSE '' END, {tenths(d, _total(d, 'm'))}, ' billion')")
 
 
 def _unit(d: Dialect) -> str:
@@ -136,16 +148,16 @@ def _k_words(d: Dialect) -> str:
 
 def japanese_man_sen(d: Dialect, x: str) -> str:
     """Amounts in 10^4 in thousands, unless a larger unit stands before them."""
-    return d.rewrite(x, f"[兆億]?{MAN_SEN}", "m", f"CASE WHEN {d.like('m', '^[兆億]')} THEN m ELSE {_k_words(d)} END")
+    return _rewritten(d, x, MAN_UNIT, f"[兆億]?{MAN_SEN}", f"CASE WHEN {d.like('m', '^[兆億]')} THEN m ELSE {_k_words(d)} END")
 
 
 def japanese_sen(d: Dialect, x: str) -> str:
-    return d.rewrite(x, f"[兆億万]?{SEN}", "m", f"CASE WHEN {d.like('m', '^[兆億万]')} THEN m ELSE {_k_words(d)} END")
+    return _rewritten(d, x, SEN_UNIT, f"[兆億万]?{SEN}", f"CASE WHEN {d.like('m', '^[兆億万]')} THEN m ELSE {_k_words(d)} END")
 
 
 def expected_units(d: Dialect, x: str) -> str:
     """value:unit:yen of each distinct amount in 10^8, in order; trillion wins, yen is or-ed."""
-    found = d.all(filled(d, x), JP_LARGE)
+    found = _large(d, x)
     values = d.distinct(d.map(found, "m", _total(d, "m")))
     unit = f"CASE WHEN {d.has(large_values(d, x, '兆'), 'o')} THEN 'trillion' ELSE 'billion' END"
     return d.join(d.map(values, "o", f"concat(CAST(o AS STRING), ':', {unit}, ':', CASE WHEN {d.has(large_values(d, x, '円$'), 'o')} THEN 'yen' ELSE '' END)"), "|")
@@ -153,13 +165,22 @@ def expected_units(d: Dialect, x: str) -> str:
 
 def large_values(d: Dialect, x: str, mark: str) -> str:
     """Values in 10^8 of the amounts that hold a mark."""
-    return d.map(d.where(d.all(filled(d, x), JP_LARGE), "m", d.like("m", mark)), "m", _total(d, "m"))
+    return d.map(d.where(_large(d, x), "m", d.like("m", mark)), "m", _total(d, "m"))
+
+
+def _large(d: Dialect, x: str) -> str:
+    return d.where_found(filled(d, x), LARGE_UNIT, d.all(filled(d, x), JP_LARGE), d.empty_list())
 
 
 def _raws(d: Dialect, x: str, pattern: str) -> str:
     return d.distinct(d.map(d.all(x, pattern), "m", d.strip("m")))
 
 
+def _hints(d: Dialect, x: str, needed: str, lines: str) -> str:
+    """A list of lines, empty where ``x`` lacks a pattern."""
+    return d.where_found(x, needed, lines, d.empty_list())
+
+
 def _bracketed(d: Dialect, words: str) -> str:
     return f"CASE WHEN {d.like('m', f'^{NEGATIVE}')} THEN concat('(', {words}, ')') ELSE {words} END"
 
@@ -169,7 +190,7 @@ def numeric_hints_en(d: Dialect, x: str) -> str:
     tens = f"CAST({_total(d, 'm')} AS DECIMAL(18, 6)) / CASE WHEN {d.like('m', '兆')} THEN 10000 ELSE 10 END"
     words = _bracketed(d, amount(d, f"CAST({tens} AS DECIMAL(18, 6))"))
     unit = f"CASE WHEN {d.like('m', '兆')} THEN ' trillion' ELSE ' billion' END, CASE WHEN {d.like('m', '円$')} THEN ' yen' ELSE '' END"
-    lines = d.map(d.head(_raws(d, filled(d, x), JP_LARGE), MAX_HINTS), "m", f"concat('- ', m, ' -> ', {words}, {unit})")
+    lines = _hints(d, filled(d, x), LARGE_UNIT, d.map(d.head(_raws(d, filled(d, x), JP_LARGE), MAX_HINTS), "m", f"concat('- ', m, ' -> ', {words}, {unit})"))
     return f"CASE WHEN {d.size(lines)} = 0 THEN '' ELSE concat({d.text(NUMERIC_TITLE_EN + chr(10))}, {d.join(lines, chr(10))}, {d.text(chr(10))}) END"
 
 
@@ -183,7 +204,7 @@ def numeric_lines(d: Dialect, x: str) -> str:
     words = f"concat({_bracketed(d, amount(d, _k(d)))}, 'k', {_unit(d)})"
     second = d.map(_raws(d, t, MAN_SEN), "m", f"concat('- ', m, ' -> ', {words})")
     third = d.map(_raws(d, d.sub(t, MAN_SEN, "|"), SEN), "m", f"concat('- ', m, ' -> ', {words})")
-    return d.head(d.concat_lists(first, second, third), MAX_HINTS)
+    return d.head(d.concat_lists(_hints(d, t, LARGE_UNIT, first), _hints(d, t, MAN_UNIT, second), _hints(d, t, SEN_UNIT, third)), MAX_HINTS)
 
 
 def rule_lines(d: Dialect, x: str) -> str:
@@ -199,7 +220,7 @@ def rule_lines(d: Dialect, x: str) -> str:
     phrase = f"CASE {op} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in COMPARATORS.items())} END"
     compared = d.map(_raws(d, t, rf"{side}\s*(?:>=|<=|≥|≧|≤|≦|>|<)\s*{side}"), "m", f"concat('- ', m, ' -> ', {d.get('m', f'^{side}')}, ' ', {phrase}, ' ', {d.get('m', f'{side}$')})")
     symbols = d.where(d.array(*[f"CASE WHEN {d.position(t, d.text(k))} > 0 THEN '- {k} -> {v}' ELSE '' END" for k, v in SYMBOLS.items()]), "v", "v <> ''")
-    return d.concat_lists(negatives, months, compared, symbols)
+    return d.concat_lists(_hints(d, t, "▲", negatives), _hints(d, t, "月", months), _hints(d, t, "[<>≥≧≤≦]", compared), symbols)
 
 
 def titled(d: Dialect, lines: str, title: str) -> str:

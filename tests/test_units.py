@@ -67,3 +67,31 @@ def test_dynamic_pairs():
     got = value(u.dynamic_pairs(D, u.numeric_lines(D, "x"), u.rule_lines(D, "x")), x=text)
     assert got == "▲10億円=(1) billion yen|22万円=220k yen|3月=Mar."
     assert value(u.expected_units(D, "x"), x="1兆円と1兆と10,000億と3億") == "10000:trillion:yen|3:billion:"
+
+
+def test_texts_without_units_are_spared(spark):
+    """Rewrites and hints ask for what every match holds first; on texts made of pieces of amounts this changes nothing."""
+    import random
+
+    from glossweave.functions.dialect import Oracle, Spark
+    from glossweave.plans import amounts
+
+    class Plain(Spark):
+        where_found = Oracle.where_found
+
+    rng = random.Random(9)
+    bits = ["1", "2,345", "0.5", "兆", "億", "万", "千", "円", "▲", "(", ")", " ", "¥", "billion", "Thousand", "million", "bn", "oku", " yen", "月", "a>=b", "<", "x", "\n", "trllion", "台", "△"]
+    texts = [None, "", "no amounts here", *["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(400)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").cache()
+
+    def rows(d, build):
+        _, todo, columns = build(d)
+        out = df
+        for name, e in todo:
+            out = out.selectExpr("*", f"{e} AS {name}")
+        return [tuple(r) for r in out.selectExpr(*columns).orderBy("id").collect()]
+
+    for build, least in ((amounts.amount_rewrites, 8), (amounts.amount_hints, 6)):
+        assert rows(Spark(), build) == rows(Plain(), build)
+        guards = sum(build(Spark())[1][i][1].count("CASE WHEN regexp_like(") for i in range(len(build(Spark())[1])))
+        assert guards - sum(e.count("CASE WHEN regexp_like(") for _, e in build(Plain())[1]) >= least
