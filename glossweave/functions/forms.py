@@ -18,14 +18,15 @@ DETECT, AUTO = "言語を検出する", "自動"
 
 def unescaped(d: Dialect, x: str) -> str:
     """Written-out line feeds and tabs as such, but for those in Windows paths."""
-    return d.rewrite(x, r"(?i)(?:^|\s)(?:[a-z]:\\|\\\\)\S+|\\r\\n|\\n|\\t", "m", f"CASE m WHEN {d.text(chr(92) + 'r' + chr(92) + 'n')} THEN chr(10) WHEN {d.text(chr(92) + 'n')} THEN chr(10) WHEN {d.text(chr(92) + 't')} THEN chr(9) ELSE m END")
+    return d.where_found(x, r"\\", d.rewrite(x, r"(?i)(?:^|\s)(?:[a-z]:\\|\\\\)\S+|\\r\\n|\\n|\\t", "m", f"CASE m WHEN {d.text(chr(92) + 'r' + chr(92) + 'n')} THEN chr(10) WHEN {d.text(chr(92) + 'n')} THEN chr(10) WHEN {d.text(chr(92) + 't')} THEN chr(9) ELSE m END"), x)
 
 
 def without_citations(d: Dialect, x: str, labels: list[str]) -> str:
     """Lines without trailing labels; lines of nothing else go, and so do blank ones at the ends, unless all would."""
     names = "|".join(n.replace(".", r"\.") for n in sorted(labels, key=len, reverse=True))
     end = d.sub("y", r"\s+$")
-    cut = d.sub(d.sub(end, rf"(?i)^(.*?)(?:(?:{names})\s*)+({AFTER_CITATION}*)$", r"\1\2"), r"\s+$")
+    cited = d.sub(end, rf"(?i)^(.*?)(?:(?:{names})\s*)+({AFTER_CITATION}*)$", r"\1\2")
+    cut = d.sub(d.where_found("y", f"(?i){names}", cited, end), r"\s+$")
     kept = d.where(d.map(d.lines(x), "y", f"CASE WHEN {d.strip('y')} <> '' AND {cut} = '' THEN chr(1) ELSE {cut} END"), "y", "y <> chr(1)")
     whole = d.sub(d.join(kept, "\n"), r"^\s*\n|(?:\n\s*)+$")
     return d.let(whole, "w", f"CASE WHEN {d.strip('w')} = '' THEN {x} ELSE w END")

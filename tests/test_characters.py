@@ -48,3 +48,23 @@ def test_no_list_of_single_characters(spark):
         assert "size(regexp_extract_all" not in plan, name
         # Nor is the negated class of what lies between words.
         assert "[^A-Za-z0-9]" not in plan, name
+
+
+def test_rules_of_texts_without_their_marks(spark):
+    """Escapes and citations are looked for only where a backslash or a label is; this changes nothing."""
+    import random
+
+    from glossweave.functions import forms as f
+    from glossweave.functions.dialect import Oracle
+
+    class Plain(Spark):
+        where_found = Oracle.where_found
+
+    rng = random.Random(4)
+    bits = ["a", " ", "\n", "\\n", "\\t", "\\r\\n", "C:\\new\\t ", "Glossary", "glossary.csv", ".", ")", "\u2028", "\x85", "\x01", "\u3000", "\r", "text"]
+    texts = ["", "plain \n \n", "\x01\nx", *["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(400)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    columns = [[f"{f.unescaped(d, 'text')} AS u", f"{f.without_citations(d, 'text', ['glossary.csv', 'glossary'])} AS c"] for d in (Spark(), Plain())]
+    got, want = ([tuple(r) for r in df.selectExpr("i", *c).orderBy("i").collect()] for c in columns)
+    assert got == want
+    assert all(a.count("CASE WHEN regexp_like(") > b.count("CASE WHEN regexp_like(") for a, b in zip(*columns, strict=True))
