@@ -176,6 +176,15 @@ def _geometry(d: Dialect) -> dict[str, str]:
     }
 
 
+def _geometry_in_steps(d: Dialect) -> steps.Plan:
+    """The same as ``_geometry``. As one row of expressions it compiles to a method too long for the JVM to optimise; columns that several others use part it."""
+    first = ["alignment", "role", "style", "low", "high"]
+    columns = _geometry(d)
+    lo, hi = g.expanded("y0", "y1", "q", "(q * 2)", "alignment")
+    columns |= {"low": f"round({lo}, 6)", "high": f"round({hi}, 6)", "eta": g.eta(d, "seconds")}
+    return _spans(d), [*[(k, columns[k]) for k in first], ("seconds", "(q * x0)")], ["id", *[k if k in first else f"{v} AS {k}" for k, v in columns.items()]]
+
+
 QUERIES: dict[str, tuple[str, Columns]] = {
     "geometry_rules": ("spans", _geometry),
     "text_forms": ("texts", _forms),
@@ -195,7 +204,7 @@ QUERIES: dict[str, tuple[str, Columns]] = {
 #: Queries whose columns share work: the shared part is a column of an inner query.
 STEPPED: dict[str, steps.Build] = {"language_detection": _detection, "text_cleanup": _cleanup}
 #: Queries of ``QUERIES`` that Spark takes in steps; their SQL is the plain statement.
-IN_STEPS: dict[str, steps.Build] = {"character_profile": _characters_in_steps}
+IN_STEPS: dict[str, steps.Build] = {"character_profile": _characters_in_steps, "geometry_rules": _geometry_in_steps}
 
 
 def select(d: Dialect, name: str) -> str:
@@ -219,7 +228,7 @@ def _bound(sql: str, table: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: spark_query(name) for name in QUERIES} | {name: steps.query(f, ["documents"]) for name, f in (STEPPED | IN_STEPS).items()}
+    return {name: spark_query(name) for name in QUERIES} | {name: steps.query(f, SOURCES[QUERIES[name][0]][1] if name in QUERIES else ["documents"]) for name, f in (STEPPED | IN_STEPS).items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -101,3 +101,13 @@ def test_equally_near_lines(spark):
     b = spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double")
     got = spark.sql(re.sub(r"\b(FROM|JOIN) b\b", r"\1 {b}", pages.STATEMENTS["table_structure"]), b=b).where("box = 3")
     assert [(r.col_idx, r.col_span) for r in got.collect()] == [(0, 2)]
+
+
+def test_geometry_is_compiled_in_parts(spark):
+    """One method for all columns is too long for the JVM to optimise; the rows and types stay those of the plain statement."""
+    from glossweave.plans import catalog
+
+    got, plain = catalog.queries()["geometry_rules"](spark, DIR), catalog.spark_query("geometry_rules")(spark, DIR)
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Project [")
+    assert count(got) >= count(plain) + 2
+    assert got.dtypes == plain.dtypes and got.exceptAll(plain).count() == plain.exceptAll(got).count() == 0
