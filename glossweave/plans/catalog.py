@@ -177,12 +177,11 @@ def _geometry(d: Dialect) -> dict[str, str]:
 
 
 def _geometry_in_steps(d: Dialect) -> steps.Plan:
-    """The same as ``_geometry``. As one row of expressions it compiles to a method too long for the JVM to optimise; columns that several others use part it."""
-    first = ["alignment", "role", "style", "low", "high"]
+    """The same as ``_geometry``. In one generated stage its columns make a method too long for the JVM to optimise; a value computed once by ``let`` keeps them out of it."""
     columns = _geometry(d)
     lo, hi = g.expanded("y0", "y1", "q", "(q * 2)", "alignment")
-    columns |= {"low": f"round({lo}, 6)", "high": f"round({hi}, 6)", "eta": g.eta(d, "seconds")}
-    return _spans(d), [*[(k, columns[k]) for k in first], ("seconds", "(q * x0)")], ["id", *[k if k in first else f"{v} AS {k}" for k, v in columns.items()]]
+    columns |= {"alignment": "alignment", "low": f"round({lo}, 6)", "high": f"round({hi}, 6)", "eta": d.let("(q * x0)", "seconds", g.eta(d, "seconds"))}
+    return _spans(d), [("alignment", _geometry(d)["alignment"])], ["id", *[f"{v} AS {k}" for k, v in columns.items()]]
 
 
 QUERIES: dict[str, tuple[str, Columns]] = {
