@@ -9,7 +9,12 @@
    them, and each takes the most similar one as a likely link.  The lists then shrink to one member for each
    likely component, and those beside a list's largest component are held against some members of it.  So a group of near copies that holds a third of all rows costs a few
    estimates and two links a member.  All likely links are confirmed on the full sets and closed to components.
-4. The lists are then completed: between two members outside a list's main component a list of at
+4. Lists are long where many unlike texts share a passage.  All members of long lists are named by single further values of
+   their sketches as well, without the common ones (at most ``COMMON`` values that most members hold): of the ``m`` smallest values
+   a member with ``c`` common ones takes the others, where a linked pair shares more than ``c`` of ``m`` but for a chance of ``MISS``.
+   So linked members meet in a list of one rare value, and only members whose sketches are common throughout (dense groups) go on,
+   in lists of one value each, which are fewer than those of pairs.
+5. The lists are then completed: between two members outside a list's main component a list of at
    most ``SHORT`` tries all pairs of different components; an outside member that resembles a main one
    is held against the whole component, in chunks, on the full sets.  A longer list holds all its outside
    members against a large main component and goes on without it; without one, its members that some
@@ -33,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -49,6 +55,9 @@ SHORT = 128
 LEADERS = 4
 MAIN_LEADERS = 8
 MISS = 5e-6
+COMMON = 4096
+CHUNK = 4096
+COLUMNS = 16384
 _PAD = np.uint32(0xFFFFFFFF)
 _NONE = U(2**64 - 1)
 
@@ -61,6 +70,13 @@ def indexed(percent: int) -> int:
     return next(k for k in range(2, SKETCH) if q**k + k * (1 - q) * q ** (k - 1) <= MISS)
 
 
+def depths(percent: int) -> np.ndarray:
+    """For c = 0, 1, ...: of how many of the smallest values a linked pair shares more than c but for a chance of MISS (more than SKETCH: of too many)."""
+    p = percent / 100
+    fewer = lambda m, c: sum(comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(c + 1))
+    return np.array([next((m for m in range(c + 1, SKETCH + 1) if fewer(m, c) <= MISS), SKETCH + 1) for c in range(SKETCH + 1)])
+
+
 def likely(percent: int) -> float:
     """The least estimate of a union sketch at which a pair is confirmed."""
     p = percent / 100
@@ -127,6 +143,12 @@ def _padded(values: list[bytes], pad: np.unsignedinteger = _PAD) -> np.ndarray:
     return m
 
 
+def _estimates(sk: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Similarities of many pairs of rows, CHUNK at a time."""
+    parts = [slice(s, s + CHUNK) for s in range(0, len(i), CHUNK)]
+    return np.concatenate([np.zeros(0), *(estimate(sk[i[x]], sk[j[x]], n[i[x]], n[j[x]]) for x in parts)])
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Row-wise similarity from the union sketch; exact where both sets fit their sketches."""
     u = np.sort(np.concatenate([a, b], axis=1), axis=1)
@@ -145,32 +167,55 @@ def list_name(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(mix(v) * U(31) + w).view(np.int64)
 
 
-def _own_list(low: np.ndarray, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
-    """Which pairs have this list as the one of their two smallest shared values; each pair counts in that one."""
+def _own_list(low: np.ndarray, i: np.ndarray, j: np.ndarray, key: int, values: int) -> np.ndarray:
+    """Which pairs have this list as the one of their two smallest shared values (or the smallest one); each pair counts in that one."""
     shared = (low[i][:, :, None] == low[j][:, None, :]).any(axis=2) & (low[i] != _NONE)
     order = np.cumsum(shared, axis=1)
     first, second = (np.where(shared & (order == k), low[i], 0).max(axis=1) for k in (1, 2))
-    return list_name(first, second) == key
+    return (list_name(first, second) if values == 2 else first.view(np.int64)) == key
+
 
+def _shared(owner: np.ndarray, place: np.ndarray, members: int, split: int) -> np.ndarray:
+    """How many values each of the first ``split`` members shares with each other one (with all, if all come first), some columns at a time.
 
-def _cross_pairs(node: np.ndarray, n: np.ndarray, sk: np.ndarray, low: np.ndarray, c: np.ndarray, main: int, name: int, percent: int) -> list[tuple[int, int, bool]]:
-    """Of one short list: likely pairs outside its main component, and members that some main member resembles."""
+    A row of ``owner`` and ``place`` says that a member holds a value; values of one member alone need no column.
+    """
+    several = np.bincount(place) > 1
+    column = np.cumsum(several) - 1
+    owner, place = owner[several[place]], column[place[several[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    last = split if split < members else 0
+    both = np.zeros((split, members - last), np.float32)
+    for s in range(0, int(several.sum()), COLUMNS):
+        x, y = np.searchsorted(place, [s, s + COLUMNS])
+        has = np.zeros((members, min(COLUMNS, int(several.sum()) - s)), np.float32)
+        has[owner[x:y], place[x:y] - s] = 1
+        both += has[:split] @ has[last:].T
+    return both
+
+
+def _cross_pairs(
+    node: np.ndarray, n: np.ndarray, sk: np.ndarray, low: np.ndarray, c: np.ndarray, main: int, name: int, percent: int, own: int
+) -> list[tuple[int, int, bool]]:
+    """Of one short list: likely pairs outside its main component, and members that some main member resembles.
+
+    ``own``: of how many values the lists are; a pair counts only in the list of its smallest shared ones, or with 0 in any.
+    """
     g, least = len(node), likely(percent)
-    values, place = np.unique(sk, return_inverse=True)
-    has = np.zeros((g, len(values)), np.float32)
-    has[np.arange(g)[:, None], place.reshape(sk.shape)] = 1
-    if values[-1] == _PAD:
-        has[:, -1] = 0
+    owner, real = np.repeat(np.arange(g), SKETCH), sk.ravel() != _PAD
+    _, place = np.unique(sk.ravel()[real], return_inverse=True)
     size = np.minimum(n, SKETCH)
-    close = has @ has.T >= least * np.minimum(size[:, None], size[None, :])  # follows from the estimate that is asked for below
+    close = _shared(owner[real], place, g, g) >= least * np.minimum(size[:, None], size[None, :])  # follows from the estimate that is asked for below
     close &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     close &= c[:, None] != c[None, :]
     i, j = np.nonzero(np.triu(close, 1))
-    ok = estimate(sk[i], sk[j], n[i], n[j]) >= least if len(i) else np.zeros(0, bool)
+    ok = _estimates(sk, n, i, j) >= least
     i, j = i[ok], j[ok]
     several = (c == main).sum() > 1
     beside = several & ((c[i] == main) | (c[j] == main))
-    mine = beside | _own_list(low, i, j, name) if len(i) else beside
+    parts = [slice(s, s + CHUNK) for s in range(0, len(i) if own else 0, CHUNK)]
+    mine = beside | np.concatenate([np.zeros(0, bool), *(_own_list(low, i[x], j[x], name, own) for x in parts)]) if own else np.ones(len(i), bool)
     out = set()
     for x, y in zip(i[mine], j[mine], strict=True):
         if several and (c[x] == main or c[y] == main):
@@ -199,29 +244,29 @@ def _by_list(rows: DataFrame, key: list[str], solve: Callable[[pd.DataFrame, lis
     return rows.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, schema)
 
 
-def _found(df: pd.DataFrame, places: list[tuple[int, int]], percent: int) -> Iterator[tuple[int, list[tuple[int, int, bool]]]]:
+def _found(df: pd.DataFrame, places: list[tuple[int, int]], percent: int, own: int) -> Iterator[tuple[int, list[tuple[int, int, bool]]]]:
     """The name of each list and what it gives."""
     sk, low = _padded(df["sketch"].tolist()), _padded(df["low"].tolist(), _NONE)
     node, n, c, main, name = (df[x].to_numpy() for x in ("node", "n", "c", "main", "name"))
     for s, t in places:
-        yield int(name[s]), _cross_pairs(node[s:t], n[s:t], sk[s:t], low[s:t], c[s:t], int(main[s]), int(name[s]), percent)
+        yield int(name[s]), _cross_pairs(node[s:t], n[s:t], sk[s:t], low[s:t], c[s:t], int(main[s]), int(name[s]), percent, own)
 
 
-def _short(lists: DataFrame, percent: int) -> DataFrame:
+def _short(lists: DataFrame, percent: int, own: int) -> DataFrame:
     """a, b, whole: from lists of at most SHORT members, pairs (whole is false) or a member and a component (true)."""
 
     def solve(df: pd.DataFrame, places: list[tuple[int, int]]) -> pd.DataFrame | None:
-        found = {p for _, pairs in _found(df, places, percent) for p in pairs}
+        found = {p for _, pairs in _found(df, places, percent, own) for p in pairs}
         return pd.DataFrame(list(found), columns=["a", "b", "whole"]) if found else None
 
     return _by_list(lists.select("key", "node", "n", "sketch", "low", "c", "main", "name"), ["key"], solve, "a long, b long, whole boolean")
 
 
-def _flags(blocks: DataFrame, percent: int) -> DataFrame:
+def _flags(blocks: DataFrame, percent: int, own: int) -> DataFrame:
     """name, node: members of long lists that some other member resembles by its sketch (so many rows as members, not pairs)."""
 
     def solve(df: pd.DataFrame, places: list[tuple[int, int]]) -> pd.DataFrame | None:
-        found = {(name, x) for name, pairs in _found(df, places, percent) for a, b, _ in pairs for x in (a, b)}
+        found = {(name, x) for name, pairs in _found(df, places, percent, own) for a, b, _ in pairs for x in (a, b)}
         return pd.DataFrame(list(found), columns=["name", "node"]) if found else None
 
     return _by_list(blocks.select("key", "node", "n", "sketch", "low", "c", "main", "name"), ["key"], solve, "name long, node long").distinct()
@@ -323,27 +368,104 @@ def likely_links(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(second).distinct()
 
 
+def common_values(members: DataFrame) -> np.ndarray:
+    """Values that more than about SHORT sketches hold, at most COMMON of them.  Which they are decides about work alone, not about the links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, k = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+            yield pa.record_batch({"value": values[k > 1].astype(np.int64), "k": k[k > 1].astype(np.int64)})
+
+    k = members.select("sketch").mapInArrow(run, "value long, k long").groupBy("value").agg(F.sum("k").alias("k")).where(F.col("k") > SHORT)
+    return np.array([r.value for r in k.orderBy(F.desc("k"), "value").limit(COMMON).collect()], np.uint32)
+
+
+def rare_lists(members: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """key, node, n, c, sketch, low, hard: each member for the uncommon ones of its smallest values; ``hard``: links may have none of these in common.
+
+    Of two linked members one is not hard; let m be its depth and c its common values among as many.  More than c of the m smallest
+    values of the union are shared, so an uncommon one is, and it is among the m smallest of either.  Hard members take all uncommon values.
+    """
+    need = depths(percent)
+
+    def taken(v: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
+        known = np.isin(v, common)
+        c = np.cumsum(known)
+        enough = np.flatnonzero(need[c] <= np.arange(1, len(v) + 1))
+        if len(enough):
+            m = enough[0] + 1
+            return v[:m][~known[:m]], False
+        return v[~known], bool(n > SKETCH or 100 * c[-1] >= percent * n)  # a whole set in the sketch leaves nothing to chance
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, keys, hard = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for i, (n, sketch) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                v, h = taken(np.frombuffer(sketch, np.uint32), n)
+                v = np.append(v.astype(np.int64), [-1] if h else [])  # a hard one has a row at least
+                at.append(np.full(len(v), i))
+                keys.append(v.astype(np.int64))
+                hard.extend([h] * len(v))
+            rows = batch.take(pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *rows.columns, pa.array(hard, pa.bool_())], names=["key", "node", "n", "c", "sketch", "low", "hard"])
+
+    return members.select("node", "n", "c", "sketch", "low").mapInArrow(run, "key long, node long, n long, c long, sketch binary, low binary, hard boolean")
+
+
+def rare_pairs(long: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs (a, b, whole) of members of long lists that share a rare value; lists of one value each (key, node, c) of the members that may have other pairs."""
+    members = materialise(long.select("node", "c").distinct().join(full, "node"), "members")
+    rows = materialise(rare_lists(members, common_values(members), percent), "rare-lists")
+    sizes = rows.where("key >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("size"), (F.min("c") < F.max("c")).alias("parts"))
+    sizes = materialise(sizes.where("parts").select("key", "size"), "rare-sizes")
+    short = rows.join(sizes.where(F.col("size") <= SHORT), "key").withColumn("main", F.lit(-(2**63))).withColumn("name", F.col("key"))
+    pairs = materialise(_short(short, percent, 0), "rare")
+    crowded = rows.join(sizes.where(F.col("size") > SHORT), "key").select("node")
+    hard = rows.where("hard").select("node").unionByName(crowded).distinct()
+    hard = members.select("node", "c", "low").join(hard.hint("merge"), "node", "left_semi")
+    return pairs, materialise(_single_values(hard, int(depths(percent)[0])), "hard-lists")
+
+
+def _single_values(members: DataFrame, m: int) -> DataFrame:
+    """key, node, c: a row for each of the ``m`` smallest values, of which a linked pair shares one but for a chance of MISS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(low, np.int64)[:m] for low in batch.column(2).to_pylist()]
+            rows = batch.take(pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values])))
+            yield pa.record_batch({"key": np.concatenate([np.zeros(0, np.int64), *values]), "node": rows.column(0), "c": rows.column(1)})
+
+    return members.mapInArrow(run, "key long, node long, c long")
+
+
 def cross_pairs(rows: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Likely pairs that share a list and not yet a component, or a member and a whole component (a, b, whole); members to compare in long lists (name, node)."""
     full = known.select("node", "n", "sketch", "low").hint("merge")
     found: list[DataFrame] = []
     flags: list[DataFrame] = []
+    hard: DataFrame | None = None
+    own = 2
     while True:
         weight = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
         sizes = weight.groupBy("key").agg(F.sum("k").alias("size"), F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts"))
         sizes = materialise(sizes.where("parts > 1").select("key", "size", "main", "most"), "sizes")
         rows = materialise(rows.join(sizes, "key"), "open-lists")
-        found.append(materialise(_short(rows.where(F.col("size") <= SHORT).withColumn("name", F.col("key")).join(full, "node"), percent), "short"))
+        found.append(materialise(_short(rows.where(F.col("size") <= SHORT).withColumn("name", F.col("key")).join(full, "node"), percent, own), "short"))
         long = rows.where(F.col("size") > SHORT)
         if long.isEmpty():
             break
+        if hard is None:
+            pairs, hard = rare_pairs(long, full, percent)
+            found.append(pairs)
+            rows, own = hard, 1
+            continue
         big = F.col("most") >= max(2, SHORT // 4)
         rest = long.where(big & (F.col("c") != F.col("main")))  # what is outside a large component is held against all of it
         beside = materialise(rest.select(F.col("node").alias("a"), F.col("main").alias("b"), F.lit(True).alias("whole")).distinct(), "beside")
         found.append(beside)
         mixed = long.where(~big).select("key", "node", "c")
         blocks = _in_blocks(mixed, "key", 3 * SHORT).withColumn("name", F.col("key")).withColumn("key", F.xxhash64("key", "x", "y")).withColumn("main", F.lit(-(2**63)))
-        flags.append(materialise(_flags(blocks.join(full, "node"), percent), "flags"))
+        flags.append(materialise(_flags(blocks.join(full, "node"), percent, own), "flags"))
         if beside.isEmpty():
             break
         rows = rest.select("key", "node", "c")
@@ -383,12 +505,13 @@ def full_sets(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int
 
 
 def _reach(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs of the two lists of sets reach the threshold, by one product of their incidence matrices."""
-    values, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
-    has = np.zeros((len(a) + len(b), len(values)), np.float32)
-    size = np.array([len(x) for x in (*a, *b)])
-    has[np.repeat(np.arange(len(size)), size), place] = 1
-    both = (has[: len(a)] @ has[len(a) :].T).astype(np.int64)
+    """Which pairs of the two lists of sets reach the threshold, by products of parts of their incidence matrices."""
+    same = a is b
+    _, place = np.unique(np.concatenate(a if same else [*a, *b]), return_inverse=True)
+    size = np.array([len(x) for x in (a if same else (*a, *b))])
+    both = _shared(np.repeat(np.arange(len(size)), size), place, len(size), len(a)).astype(np.int64)
+    if same:
+        return 100 * both >= percent * (size[:, None] + size[None, :] - both)
     return 100 * both >= percent * (size[: len(a), None] + size[None, len(a) :] - both)
 
 

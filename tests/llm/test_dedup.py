@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,41 @@ def test_minhash_dense_group(spark, monkeypatch):
     assert got == {701}
 
 
+def test_minhash_unlike_texts_that_share_a_passage(spark, monkeypatch):
+    """Many unlike texts with one passage, some with a near copy: links are found without comparing all of them with all."""
+    monkeypatch.setattr(minhash_dedup, "SHORT", 8)
+    met = []
+    blocks = minhash_dedup._in_blocks
+    monkeypatch.setattr(minhash_dedup, "_in_blocks", lambda rows, *a: met.append(rows.count()) or blocks(rows, *a))
+    rng = random.Random(21)
+    values = lambda w: minhash_dedup.shingle_set(np.frombuffer(" ".join(w).encode(), np.uint8), 2)
+    passage = min((_text(rng, 4).split() for _ in range(4000)), key=lambda w: int(values(w)[1]))
+    rows = []
+    for i in range(120):
+        w = [*_text(rng, 40).split(), *passage, *_text(rng, 40).split()]
+        rows.append((1000 + i, " ".join(w)))
+        if i % 10 == 0:
+            w[5] = "changed"
+            rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {i: i - 1000 if i >= 1000 and i % 10 == 0 else i for i, _ in rows}
+    assert sum(met) == 0
+
+
+def test_minhash_shared_values_by_columns(monkeypatch):
+    """Counts of shared values do not depend on how many columns, or pairs, are held at once."""
+    monkeypatch.setattr(minhash_dedup, "COLUMNS", 8)
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 3)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, k)).astype(np.uint64) for k in (1, 5, 30, 30, 40, 60, 90)]
+    want = np.array([[100 * len(set(x) & set(y)) >= 50 * len(set(x) | set(y)) for y in map(np.ndarray.tolist, sets)] for x in map(np.ndarray.tolist, sets)])
+    assert (minhash_dedup._reach(sets, sets, 50) == want).all()
+    assert (minhash_dedup._reach(sets[:3], sets[3:], 50) == want[:3, 3:]).all()
+    sk, n = minhash_dedup._padded([x.astype(np.uint32).tobytes() for x in sets]), np.array([len(x) for x in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    assert (minhash_dedup._estimates(sk, n, i, j) == minhash_dedup.estimate(sk[i], sk[j], n[i], n[j])).all()
+
+
 def _text(rng, n):
     return " ".join("".join(rng.choice("abcdefghinorst") for _ in range(7)) for _ in range(n))
 
