@@ -5,9 +5,11 @@ import random
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from glossweave.functions import guards
+from glossweave.functions import guards, sieve
 from glossweave.operators import terms, wrapping
 from glossweave.plans import pages, pagetext, reports
 
@@ -47,6 +49,33 @@ def test_terms_hold_no_candidate_lists(spark):
     assert plan.count("collect_list") == 1
 
 
+def test_terms_read_each_text_once(spark):
+    """One pass over a text, and no row for each of its places."""
+    docs = spark.createDataFrame([(1, "text")], "doc_id long, text string")
+    plan = terms.matched(docs, spark.createDataFrame([(0, "text", "")], "idx long, source string, target string"), 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(coalesce(text") == 1 and "regexp_extract_all" not in plan
+
+
+def test_sieve_finds_all_across_pieces(monkeypatch):
+    """Texts and strings far longer than a piece, slices of arrays, and strings that share their beginnings."""
+    rng = random.Random(8)
+    for piece in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(sieve, "PIECE", piece)
+        monkeypatch.setattr(sieve, "ROWS", piece)
+        texts = ["".join(rng.choice("ab 0円_-/é") for _ in range(rng.choice([0, 1, 30, 300]))) for _ in range(40)]
+        bare, words = [re.sub(r"[\s_/\\-]", "", t) for t in texts], [re.findall("[a-z0-9]+", t) for t in texts]
+        own = lambda xs: {x[(i := rng.randrange(len(x))) : i + rng.randint(1, 90)] for x in (rng.choice([y for y in xs if y]) for _ in range(60))}
+        sought = {sieve.BARE: {x for x in own(bare) if len(x) >= 4} | {"abababab", "b" * 70}, sieve.PART: {x for x in own(texts) if not re.fullmatch("[a-z0-9]+", x) and len(re.sub(r"[\s_/\\-]", "", x)) < 4} | {"円", "-"}, sieve.WORD: {"a", "ab", "0b0", "bab"}}
+        keys, kinds = zip(*[(x.encode(), k) for k, xs in sought.items() for x in sorted(xs)], strict=True)
+        bits, lengths = np.zeros(1 << (sieve.LOG2_SLOTS - 3), np.uint8), {k: sorted({len(x.encode()) for x in xs}) for k, xs in sought.items()}
+        for s in sieve.slots(pa.array([b"??", *keys], pa.binary()).slice(1), np.array(kinds)):
+            np.bitwise_or.at(bits, s >> 3, (1 << (s & 7)).astype(np.uint8))
+        got = [(i, x) for rows, found in sieve.found(pa.array(["", "ab", *texts]).slice(2), lengths, bits) for i, x in zip(rows.to_pylist(), found.to_pylist(), strict=True)]
+        want = {(i, x.encode()) for i in range(len(texts)) for k, xs in sought.items() for x in xs if x in (words[i] if k == sieve.WORD else bare[i] if k == sieve.BARE else texts[i])}
+        assert {(i, x) for i, x in got if x in keys} == want and len(want) > 40
+        assert piece < 1 << 20 or len(got) == len(set(got))
+
+
 def test_equal_edges_share_a_grid_line(spark):
     """Boxes that start where the first of a new cluster does, in any order."""
     assert "ROWS" not in pages.STATEMENTS["grid_lines"]
