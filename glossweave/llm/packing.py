@@ -119,6 +119,8 @@ class _Encoder:
             data = memoryview(data) if data else b""
             for i, lo, hi in zip(at, ends, ends[1:], strict=False):
                 out[i] = bytes(data[lo:hi])
+            del lists, runs, ids, data
+            pa.default_memory_pool().release_unused()  # or the worker keeps some 100 MB from one call to the next
         return out
 
     def _run_ids(self, runs: list[str]) -> list[bytes]:
@@ -138,6 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _ENCODERS.setdefault(tokenizer_path, None) or _Encoder(tokenizer_path)
         _ENCODERS[tokenizer_path] = enc
+        pa.default_memory_pool().release_unused()  # what earlier tasks of the worker left
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *["ids"] * keep_ids]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]

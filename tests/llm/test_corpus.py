@@ -1,9 +1,12 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -105,6 +108,18 @@ def test_packing_round_trip(docs, rows):
     assert len(bins) <= -(-sum(r.length for r in got) // cap) * 1.03 + 1
 
 
+def test_packing_gives_memory_back():
+    """Between two lots of texts a worker holds little of what cutting them took."""
+    anon = lambda: int(re.search(r"Anonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    enc = packing._Encoder(packing.default_tokenizer())
+    texts = ["some words of a text that come again and again " * 200] * 800
+    for _ in range(3):
+        got = enc.all_ids(texts)
+    held = anon()
+    pa.default_memory_pool().release_unused()
+    assert len(set(got)) == 1 and held - anon() < 20
+
+
 def test_packing_other_blanks_and_marks(spark):
     from tokenizers import Tokenizer
 
